@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hushlake.functions.catalog import java
 from hushlake.functions.dims import ALLOWED_TERMS
+from hushlake.functions.text import let
 
 # Verhoeff tables, from their definition: multiplication in the dihedral group D5 and
 # the powers of one fixed permutation.
@@ -46,7 +47,10 @@ def digits_only(value: Column) -> Column:
 
 def luhn(value: Column) -> Column:
     """13 to 19 digits (blanks and dashes ignored) whose Luhn sum is a multiple of ten."""
-    d = strip_separators(value)
+    return let(strip_separators(value), _luhn)
+
+
+def _luhn(d: Column) -> Column:
     n = F.length(d)
 
     def add(total: Column, i: Column) -> Column:
@@ -60,8 +64,11 @@ def luhn(value: Column) -> Column:
 
 def verhoeff(value: Column) -> Column:
     """12 digits, not led by 0 or 1, not one digit repeated, Verhoeff checksum zero."""
+    return let(strip_separators(value), _verhoeff)
+
+
+def _verhoeff(d: Column) -> Column:
     product, permutation = verhoeff_tables()
-    d = strip_separators(value)
 
     def step(c: Column, i: Column) -> Column:
         p = F.element_at(_ints(permutation), ((i - 1) % 8) * 10 + _digit(d, 13 - i) + 1)
@@ -106,11 +113,12 @@ def term_list(terms: list[str]) -> Column:
 def allowlisted(value: Column, terms: list[str] | None = None) -> Column:
     """Known term, placeholder, or nothing but known words."""
     known = term_list(ALLOWED_TERMS if terms is None else terms)
-    clean = normalise_term(value)
-    every_word = F.forall(F.split(clean, " "), lambda w: F.array_contains(known, w))
-    return (
-        value.isNull() | (clean == "") | placeholder_shaped(clean) | F.array_contains(known, clean) | every_word
-    )
+
+    def test(clean: Column) -> Column:
+        every_word = F.forall(F.split(clean, " "), lambda w: F.array_contains(known, w))
+        return (clean == "") | placeholder_shaped(clean) | F.array_contains(known, clean) | every_word
+
+    return value.isNull() | let(normalise_term(value), test)
 
 
 def characters(value: Column) -> Column:
@@ -119,14 +127,14 @@ def characters(value: Column) -> Column:
 
 
 def shannon_entropy(value: Column) -> Column:
-    chars = characters(value)
-    n = F.length(value)
+    def total(chars: Column) -> Column:
+        def add(h: Column, c: Column) -> Column:
+            p = F.size(F.filter(chars, lambda x: x == c)) / F.size(chars)
+            return h - p * F.log2(p)
 
-    def add(h: Column, c: Column) -> Column:
-        p = F.size(F.filter(chars, lambda x: x == c)) / n
-        return h - p * F.log2(p)
+        return F.aggregate(F.array_sort(F.array_distinct(chars)), F.lit(0.0), add)
 
-    return F.when(n > 0, F.aggregate(F.array_distinct(chars), F.lit(0.0), add)).otherwise(F.lit(0.0))
+    return let(characters(value), total)
 
 
 def high_entropy(value: Column, threshold: float = 4.2) -> Column:

@@ -19,7 +19,7 @@ from hushlake.functions.dims import (
     PAYLOAD_KEY,
     PROMPT_PLACEHOLDER,
 )
-from hushlake.functions.text import trim_spaces
+from hushlake.functions.text import let, trim_spaces
 
 # Fixed value: what may stand in front of a value that is assigned to a name.
 NAME_BEFORE_VALUE = (
@@ -57,7 +57,10 @@ def name_placeholder(name: Column) -> Column:
     """Ordered rules on a normalised variable name; ``YOUR_<NAME>`` when none applies."""
     bare = F.regexp_replace(trim_spaces(name), r"(?i)^(process\.env\.|window\.env\.|env\.)", "")
     bare = F.regexp_replace(bare, r"(?i)^(NEXT_PUBLIC_|VITE_|REACT_APP_|PUBLIC_)", "")
-    upper = F.translate(F.upper(bare), "-.", "__")
+    return let(F.translate(F.upper(bare), "-.", "__"), _name_rules)
+
+
+def _name_rules(upper: Column) -> Column:
     expr = None
     for alternatives, value in NAME_CONTAINS:
         cond = reduce(lambda a, b: a | b, [_all_in(upper, parts) for parts in alternatives])
@@ -75,7 +78,7 @@ def quote_regex(value: Column) -> Column:
 def variable_name(context: Column, value: Column) -> Column:
     """Name the value is assigned to in its line (last dotted part); NULL when there is none."""
     pattern = F.concat(F.lit(java(NAME_BEFORE_VALUE, True)), quote_regex(value))
-    name = F.regexp_extract(context, pattern, 1)
+    name = F.call_function("regexp_extract", context, pattern, F.lit(1))
     last = F.element_at(F.split(name, r"\."), -1)
     return F.when(context.contains("=") | context.contains(":"), F.when(name != "", last))
 
@@ -84,7 +87,12 @@ def choose_placeholder(type_: Column, variable: Column | None = None, attribute:
     """Variable name, else attribute name, else the default of the type."""
     expr = None
     if variable is not None:
-        expr = F.when(F.length(trim_spaces(variable)) > 1, name_placeholder(variable))
+        return let(
+            variable,
+            lambda v: F.when(F.length(trim_spaces(v)) > 1, name_placeholder(v)).otherwise(
+                choose_placeholder(type_, None, attribute)
+            ),
+        )
     if attribute is not None:
         clean = F.translate(F.regexp_replace(attribute, r"(?i)-(input|textarea|field|box)\z", ""), "-", "_")
         usable = (F.length(trim_spaces(attribute)) > 1) & ~F.lower(clean).isin(
@@ -102,11 +110,14 @@ def full_placeholder(type_: Column, variable: Column) -> Column:
 
 def prompt_placeholder(type_: Column, line_prefix: Column) -> Column:
     """Bracket form; a configuration value keeps the meaning of the name it is assigned to."""
-    name = F.regexp_extract(line_prefix, java(ASSIGNED_NAME), 1)
-    marked = reduce(lambda a, b: a | b, [name.contains(m) for m in NAMED_MARKS])
-    named = (name != "") & (name.contains("_") | (name == F.upper(name))) & marked & ~type_.isin(NAMED_EXEMPT)
     plain = F.coalesce(_lookup_or_null(type_, PROMPT_PLACEHOLDER), type_placeholder(type_))
-    return F.when(named, name_placeholder(name)).otherwise(plain)
+
+    def pick(name: Column) -> Column:
+        marked = reduce(lambda a, b: a | b, [name.contains(m) for m in NAMED_MARKS])
+        named = (name != "") & (name.contains("_") | (name == F.upper(name))) & marked & ~type_.isin(NAMED_EXEMPT)
+        return F.when(named, name_placeholder(name)).otherwise(plain)
+
+    return let(F.regexp_extract(line_prefix, java(ASSIGNED_NAME), 1), pick)
 
 
 def _lookup_or_null(key: Column, table: dict[str, str]) -> Column:

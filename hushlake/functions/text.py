@@ -10,6 +10,11 @@ from hushlake.functions.catalog import java
 ELLIPSIS = "…"
 
 
+def let(value: Column, fn) -> Column:
+    """``fn`` of a value that is computed once, however often ``fn`` uses it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def preview(value: Column, n: int = 40, mark: str = ELLIPSIS) -> Column:
     """At most ``n`` characters, marked when something was cut off."""
     return F.when(F.length(value) <= n, value).otherwise(F.concat(value.substr(1, n), F.lit(mark)))

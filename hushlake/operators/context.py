@@ -34,7 +34,7 @@ def match_signatures(pages: DataFrame, signatures: DataFrame, small: bool = True
     suffixed = keys.withColumn("domain", F.explode(host_suffixes(F.col("host"))))
     side = F.broadcast(signatures) if small else signatures
     hits = suffixed.join(side, "domain").filter(
-        F.col("path_rule").isNull() | F.col("path").rlike(F.col("path_rule"))
+        F.col("path_rule").isNull() | F.call_function("rlike", F.col("path"), F.col("path_rule"))
     )
     first = hits.groupBy("host", "path", "context").agg(F.min_by(F.struct("app", "domain"), F.col("ord")).alias("s"))
     return first.select("host", "path", "context", F.col("s.app").alias("app"), F.col("s.domain").alias("domain"))

@@ -1,0 +1,510 @@
+"""Pages to elements: one Arrow-batched parsing step, column expressions from there on."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from hushlake.functions import catalog as C
+from hushlake.functions.text import collapse_spaces, trim_spaces
+from hushlake.operators.spans import with_spans
+
+ELEMENT = (
+    "struct<idx:int,parent:int,depth:int,nth:int,tag:string,path:string,text:string,full_text:string,"
+    "children:int,attrs:map<string,string>,ignored:boolean,hidden:boolean,chip:boolean,editable:boolean>"
+)
+
+# Containers whose text is page furniture, not content.
+IGNORED_TAGS = {"nav", "header", "footer", "aside", "title", "h1", "button", "a", "label"}
+IGNORED_ROLES = {"navigation", "complementary", "button", "link"}
+IGNORED_CLASSES = {
+    "nav", "navbar", "header", "sidebar", "breadcrumb", "logo", "history", "chat-history", "title", "page-title",
+    "gsi-material-button",
+}
+IGNORED_IDS = {"logo", "history"}
+TEXT_TAGS = ["code", "pre", "p", "span", "div", "td", "li", "blockquote"]
+NON_TEXT_INPUTS = ["hidden", "submit", "button", "reset", "image", "checkbox", "radio"]
+INTERACTIVE_ROLES = [
+    "button", "link", "textbox", "checkbox", "radio", "combobox", "listbox", "menuitem", "tab", "switch",
+    "searchbox", "form", "dialog", "alertdialog",
+]
+INTERACTIVE_TAGS = ["button", "a", "input", "textarea", "select", "form", "details"]
+NAME_HINTS = ["name", "fullname", "full_name", "full-name", "author", "firstname", "lastname", "owner"]
+
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+_CLOSES_P = {
+    "address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4",
+    "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul",
+}
+_SAME = {"li": {"ul", "ol"}, "option": {"select"}, "tr": {"table"}, "td": {"tr"}, "th": {"tr"}}
+
+
+class _Tree(HTMLParser):
+    """Flat list of the elements of one page, in document order."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.rows: list[dict] = []
+        self.open: list[int] = []
+        self.kids: dict[tuple[int, str], int] = {}
+
+    def handle_starttag(self, tag, attrs):
+        if tag in _CLOSES_P:
+            self._close("p", {"button", "td", "th", "body"})
+        if tag in _SAME:
+            self._close(tag, _SAME[tag])
+        parent = self.open[-1] if self.open else -1
+        up = self.rows[parent] if parent >= 0 else None
+        a = {k: v or "" for k, v in attrs}
+        nth = self.kids[(parent, tag)] = self.kids.get((parent, tag), 0) + 1
+        row = {
+            "idx": len(self.rows), "parent": parent, "depth": up["depth"] + 1 if up else 0, "nth": nth, "tag": tag,
+            "path": f"{up['path'] if up else ''}/{tag}[{nth}]", "attrs": a, "own": [], "all": [], "children": 0,
+            "ignored": bool(up and up["ignored"]) or _ignored(tag, a),
+            "hidden": bool(up and up["hidden"]) or _hidden(a),
+            "chip": bool(up and up["chip"]) or _chip(tag, a),
+            "editable": bool(up and up["editable"]) or a.get("contenteditable", "no") in ("", "true"),
+        }
+        if up:
+            up["children"] += 1
+        self.rows.append(row)
+        if tag not in _VOID:
+            self.open.append(row["idx"])
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in _VOID:
+            self.open.pop()
+
+    def handle_endtag(self, tag):
+        self._close(tag, set())
+
+    def handle_data(self, data):
+        if self.open:
+            self.rows[self.open[-1]]["own"].append(data)
+            for i in self.open:
+                self.rows[i]["all"].append(data)
+
+    def _close(self, tag, stop):
+        for k in range(len(self.open) - 1, -1, -1):
+            name = self.rows[self.open[k]]["tag"]
+            if name == tag:
+                del self.open[k:]
+                return
+            if name in stop:
+                return
+
+
+def _ignored(tag: str, a: dict) -> bool:
+    low = {k: v.lower() for k, v in a.items()}
+    cls, label = low.get("class", ""), low.get("aria-label", "")
+    return (
+        tag in IGNORED_TAGS
+        or a.get("role") in IGNORED_ROLES
+        or bool(IGNORED_CLASSES.intersection(a.get("class", "").split()))
+        or a.get("id") in IGNORED_IDS
+        or "history" in low.get("data-testid", "")
+        or "history" in cls
+        or any(w in label for w in ("history", "breadcrumb", "logo", "sign in with google"))
+        or "gsi" in cls
+        or "gsi" in low.get("id", "")
+    )
+
+
+def _hidden(a: dict) -> bool:
+    style = a.get("style", "").replace(" ", "").lower()
+    return "display:none" in style or "visibility:hidden" in style or style.rstrip(";").endswith("opacity:0")
+
+
+def _chip(tag: str, a: dict) -> bool:
+    return (
+        "gsi" in a.get("class", "").lower()
+        or "sign in with google" in a.get("aria-label", "").lower()
+        or (tag == "iframe" and "google" in a.get("src", ""))
+    )
+
+
+def _parse(html: str | None) -> list[dict]:
+    tree = _Tree()
+    if html:
+        tree.feed(html)
+        tree.close()
+    out = []
+    for r in tree.rows:
+        full = "".join(r["all"])
+        own = full.strip() if r["tag"] in ("code", "pre") else "".join(r["own"]).strip()
+        out.append({**{k: r[k] for k in (
+            "idx", "parent", "depth", "nth", "tag", "path", "children", "attrs", "ignored", "hidden", "chip", "editable"
+        )}, "text": own or (full.strip() if r["children"] == 0 else ""), "full_text": full})
+    return out
+
+
+def _parse_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for html in batches:
+        yield pd.Series([_parse(h) for h in html])
+
+
+def with_elements(pages: DataFrame, html: str = "html", out: str = "elements") -> DataFrame:
+    """Array of the elements of each page, in document order.  Row-local: a page never leaves its partition."""
+    parse = F.pandas_udf(_parse_batches, f"array<{ELEMENT}>", F.PandasUDFType.SCALAR_ITER)
+    return pages.withColumn(out, parse(html))
+
+
+def elements(pages: DataFrame, keys: list[str], html: str = "html") -> DataFrame:
+    """One row per element."""
+    parsed = with_elements(pages.select(*keys, html), html).select(*keys, F.explode_outer("elements").alias("e"))
+    return parsed.filter(F.col("e").isNotNull()).select(*keys, "e.*")
+
+
+def attr(name: str, attrs: Column | None = None) -> Column:
+    return (F.col("attrs") if attrs is None else attrs)[name]
+
+
+def enabled(els: DataFrame) -> Column:
+    return ~F.col("hidden") & attr("disabled").isNull() & (F.coalesce(attr("aria-disabled"), F.lit("")) != "true")
+
+
+def scannable(els: DataFrame) -> DataFrame:
+    """Inputs, text areas, editables and content text of at least six characters, with their text.
+
+    Adds ``is_input`` and ``input_type``; ``text`` becomes the value for inputs.
+    """
+    kind = F.lower(F.coalesce(attr("type"), F.lit("text")))
+    is_field = (F.col("tag") == "input") & ~kind.isin(NON_TEXT_INPUTS)
+    is_area = F.col("tag") == "textarea"
+    is_edit = attr("contenteditable").isin("", "true")
+    content = F.col("tag").isin(TEXT_TAGS) & ~F.col("ignored") & (F.length("text") >= 6)
+    rows = els.filter(enabled(els) & (is_field | is_area | is_edit | content))
+    return (
+        rows.withColumn("is_input", is_field | is_area | is_edit)
+        .withColumn(
+            "input_type",
+            F.when(is_field, kind).when(is_area, F.lit("textarea")).when(is_edit, F.lit("contenteditable")),
+        )
+        .withColumn(
+            "text",
+            F.when(is_field, F.coalesce(attr("value"), F.lit(""))).when(is_area, F.col("full_text"))
+            .when(is_edit, F.col("full_text")).otherwise(F.col("text")),
+        )
+    )
+
+
+def selector(els: DataFrame) -> Column:
+    """Short selector: id, else tag with name or role, else the path."""
+    tag = F.col("tag")
+    return (
+        F.when(F.coalesce(attr("id"), F.lit("")) != "", F.concat(F.lit("#"), attr("id")))
+        .when(F.coalesce(attr("name"), F.lit("")) != "", F.concat(tag, F.lit('[name="'), attr("name"), F.lit('"]')))
+        .when(F.coalesce(attr("role"), F.lit("")) != "", F.concat(tag, F.lit('[role="'), attr("role"), F.lit('"]')))
+        .otherwise(F.col("path"))
+    )
+
+
+def password_field() -> Column:
+    auto = F.lower(F.coalesce(attr("autocomplete"), F.lit("")))
+    name = F.coalesce(F.when(attr("name") != "", attr("name")), attr("id"), F.lit(""))
+    low = F.lower(name)
+    return (F.col("tag") == "input") & (
+        (F.lower(F.coalesce(attr("type"), F.lit(""))) == "password")
+        | auto.contains("password")
+        | low.contains("password")
+        | low.isin("pass", "pwd")
+    )
+
+
+def name_field() -> Column:
+    cond = F.lit(False)
+    for a in ("name", "id", "autocomplete", "placeholder", "aria-label"):
+        low = F.lower(F.coalesce(attr(a), F.lit("")))
+        for hint in NAME_HINTS:
+            cond = cond | low.contains(hint)
+    return cond
+
+
+def detect_fields(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """Detections that follow from the field itself: password, e-mail and name inputs."""
+    from hushlake.functions.checks import allowlisted
+
+    filled = (F.col("text") != "") & ~allowlisted(F.col("text"))
+    is_pw = F.col("is_input") & password_field()
+    email = (F.col("input_type") == "email") | F.coalesce(attr("autocomplete").contains("email"), F.lit(False))
+    found = F.array(
+        F.when(is_pw, _field("PASSWORD", F.when(F.col("text") == "", F.lit("••••••••")).otherwise(F.col("text")), 1.0)),
+        F.when(F.col("is_input") & ~is_pw & email & filled, _field("EMAIL", F.col("text"), 0.98)),
+        F.when(F.col("is_input") & ~is_pw & name_field() & filled, _field("NAME", F.col("text"), 0.88)),
+    )
+    # An allowlisted password value is dropped like any other, the mask never is.
+    f = F.col("f")
+    rows = nodes.select(*keys, selector(nodes).alias("selector"), F.explode(F.array_compact(found)).alias("f"))
+    keep = (f["value"] == "••••••••") | ~allowlisted(f["value"])
+    return rows.filter(keep).select(*keys, "selector", f["type"].alias("type"), f["value"].alias("value"), f["confidence"].alias("confidence"))
+
+
+def _field(type_: str, value: Column, confidence: float) -> Column:
+    return F.struct(F.lit(type_).alias("type"), value.alias("value"), F.lit(confidence).alias("confidence"))
+
+
+def role(tag: Column) -> Column:
+    kind = F.lower(F.coalesce(attr("type"), F.lit("text")))
+    return (
+        F.when(F.coalesce(attr("role"), F.lit("")) != "", F.lower(attr("role")))
+        .when(tag == "button", "button")
+        .when((tag == "a") & attr("href").isNotNull(), "link")
+        .when(tag == "textarea", "textbox")
+        .when(tag == "form", "form")
+        .when(tag == "select", "combobox")
+        .when((tag == "input") & kind.isin("button", "submit", "reset"), "button")
+        .when((tag == "input") & kind.isin("checkbox", "radio"), kind)
+        .when((tag == "input") & (kind == "search"), "searchbox")
+        .when(tag == "input", "textbox")
+        .otherwise("generic")
+    )
+
+
+def with_labels(els: DataFrame, page: str) -> DataFrame:
+    """Accessible label: aria-label, labelled-by element, label-for element, placeholder, title, own text."""
+    refs = els.filter(attr("id") != "").groupBy(page, attr("id").alias("__ref")).agg(
+        F.min_by("full_text", "idx").alias("__by_ref")
+    )
+    fors = els.filter((F.col("tag") == "label") & attr("for").isNotNull()).groupBy(
+        page, attr("for").alias("__for")
+    ).agg(F.min_by("full_text", "idx").alias("__by_for"))
+    out = els.withColumn("__ref", attr("aria-labelledby")).withColumn("__for", F.when(attr("id") != "", attr("id")))
+    out = out.join(refs, [page, "__ref"], "left").join(fors, [page, "__for"], "left")
+
+    def given(c: Column) -> Column:
+        return F.when(c != "", c)
+
+    own = F.when(F.col("tag").isin("button", "a"), F.col("full_text"))
+    label = F.coalesce(
+        given(attr("aria-label")), given(F.col("__by_ref")), given(F.col("__by_for")), given(attr("placeholder")),
+        given(attr("title")), given(own), F.lit(""),
+    )
+    label = collapse_spaces(trim_spaces(label)).substr(1, 100)
+    return out.withColumn("label", label).drop("__ref", "__for", "__by_ref", "__by_for")
+
+
+def interactive(els: DataFrame, page: str) -> DataFrame:
+    """Interactive elements with role, label (not yet sanitized) and selector."""
+    labelled = with_labels(els, page).withColumn("role", role(F.col("tag")))
+    hidden = (F.coalesce(attr("aria-hidden"), F.lit("")) == "true") | attr("hidden").isNotNull()
+    wanted = F.col("role").isin(INTERACTIVE_ROLES) | F.col("tag").isin(INTERACTIVE_TAGS)
+    return labelled.filter(wanted & ~hidden).select(
+        page, "idx", "path", "tag", "role", "label", selector(labelled).alias("selector")
+    )
+
+
+def region_labels(els: DataFrame, page: str) -> DataFrame:
+    """Human-readable place of an element: its label, its own attributes, its form, nearest heading, tag, page title."""
+    fors = els.filter((F.col("tag") == "label") & attr("for").isNotNull()).groupBy(
+        page, attr("for").alias("__for")
+    ).agg(F.min_by("full_text", "idx").alias("__by_for"))
+    titles = els.filter(F.col("tag") == "title").groupBy(page).agg(F.min_by("full_text", "idx").alias("__title"))
+    forms = els.filter(F.col("tag") == "form").select(
+        page, F.col("path").alias("__up"),
+        F.coalesce(attr("aria-label"), attr("id"), F.lit("")).alias("__form"),
+    )
+    # Headings are found from the up to five nearest ancestors that contain one.
+    heads = els.filter(
+        F.col("tag").isin("h1", "h2", "h3", "h4", "legend") | (attr("role") == "heading")
+    ).select(page, F.col("idx").alias("__hidx"), "full_text", F.explode(_ancestors()).alias("__up"))
+    heads = heads.groupBy(page, "__up").agg(F.min_by("full_text", "__hidx").alias("__head"))
+    near = els.select(page, "idx", F.posexplode(F.slice(F.reverse(_ancestors()), 1, 5)).alias("__dist", "__up"))
+    all_up = els.select(page, "idx", F.explode(_ancestors()).alias("__up"))
+    in_form = all_up.join(forms, [page, "__up"]).groupBy(page, "idx").agg(
+        F.max_by("__form", F.length("__up")).alias("__form")
+    )
+    head = near.join(heads, [page, "__up"]).groupBy(page, "idx").agg(F.min_by("__head", "__dist").alias("__head"))
+    out = els.withColumn("__for", F.when(attr("id") != "", attr("id"))).join(fors, [page, "__for"], "left")
+    out = out.join(titles, page, "left").join(in_form, [page, "idx"], "left").join(head, [page, "idx"], "left")
+
+    def cut(c: Column) -> Column:
+        return trim_spaces(c).substr(1, 40)
+
+    label = (
+        F.when(F.coalesce(F.col("__by_for"), F.lit("")) != "", cut(F.col("__by_for")))
+        .when(F.coalesce(attr("aria-label"), attr("placeholder"), F.lit("")) != "",
+              cut(F.coalesce(attr("aria-label"), attr("placeholder"))))
+        .when(F.col("__form") != "", F.col("__form"))
+        .when(F.col("__form").isNotNull(), F.lit("Form Input"))
+        .when(F.coalesce(F.col("__head"), F.lit("")) != "", cut(F.col("__head")))
+        .when(F.col("tag") == "textarea", "Textarea")
+        .when(F.col("tag") == "input", "Input Field")
+        .when(F.col("tag").isin("code", "pre") | F.array_contains(F.split(F.coalesce(attr("class"), F.lit("")), " "), "code-block"), "Code Block")
+        .when(F.coalesce(F.col("__title"), F.lit("")) != "", F.col("__title").substr(1, 40))
+        .otherwise("Main Content")
+    )
+    return out.select(page, "idx", "tag", "path", label.alias("region"))
+
+
+def _ancestors() -> Column:
+    parts = F.split(F.expr("substring(path, 2)"), "/")
+    ups = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))),
+        lambda n: F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), n), "/")),
+    )
+    return F.when(F.size(parts) > 1, ups).otherwise(F.expr("cast(array() as array<string>)"))
+
+
+SKELETON_CONTAINERS = ["form", "main", "nav", "header", "footer", "section", "article", "div", "p", "pre", "code"]
+SKELETON_INTERACTIVE = ["input", "button", "select", "textarea", "a"]
+SKELETON_SKIPPED = ["script", "style", "noscript", "meta", "link", "svg"]
+
+
+def skeleton_lines(els: DataFrame, keys: list[str]) -> DataFrame:
+    """One line per kept element of at most depth six: structure kept, values replaced, texts cut and sanitized."""
+    from hushlake.functions.placeholders import name_placeholder
+    from hushlake.operators.redact import sanitize_text
+
+    tag = F.col("tag")
+    button = tag.isin("button", "a")
+    leaf = tag.isin(SKELETON_CONTAINERS) & (F.col("children") == 0) & (trim_spaces(F.col("full_text")) != "")
+    kept = els.filter(
+        (F.col("depth") <= 6) & (tag.isin(SKELETON_INTERACTIVE) | (tag.isin(SKELETON_CONTAINERS) & ((F.col("children") > 0) | leaf)))
+    )
+    raw = F.when(button, trim_spaces(F.col("full_text")).substr(1, 40)).when(
+        leaf, trim_spaces(F.col("full_text")).substr(1, 120)
+    )
+    clean = sanitize_text(kept.withColumn("__raw", raw), "__raw", "__clean")
+
+    def part(name: str) -> Column:
+        value = attr(name)
+        return F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(f' {name}="'), value, F.lit('"'))).otherwise("")
+
+    head = F.concat(F.lit("<"), tag, part("id"), F.when(tag.isin(SKELETON_INTERACTIVE), F.concat(part("type"), part("name"))).otherwise(""), part("role"))
+    kind, name = F.coalesce(attr("type"), F.lit("")), F.lower(F.coalesce(attr("name"), F.lit("")))
+    ident = F.lower(F.coalesce(attr("id"), F.lit("")))
+    var = F.coalesce(F.when(attr("name") != "", attr("name")), attr("id"))
+    mark = (
+        F.when(kind.contains("password") | name.contains("pass"), F.lit(' data-placeholder="PASSWORD=YOUR_PASSWORD"'))
+        .when(kind.contains("email") | name.contains("email"), F.lit(' data-placeholder="EMAIL=YOUR_EMAIL"'))
+        .when(name.contains("key") | ident.contains("key"), F.concat(F.lit(' data-placeholder="'), name_placeholder(var), F.lit('"')))
+        .otherwise("")
+    )
+    closed = F.concat(head, F.lit(">"), F.coalesce("__clean", F.lit("")), F.lit("</"), tag, F.lit(">"))
+    line = (
+        F.when(button, closed)
+        .when(tag.isin(SKELETON_INTERACTIVE), F.concat(head, mark, F.lit(" />")))
+        .when(leaf, closed)
+        .otherwise(F.concat(head, F.lit(">")))
+    )
+    indent = F.expr("repeat('  ', depth)")
+    return clean.select(*keys, "idx", F.concat(indent, line).alias("line"))
+
+
+def page_signals(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Adds the element signals of each page as the struct ``signals``; row-local, the elements are not exploded."""
+    from hushlake.operators.context import SIGNALS
+
+    parsed = with_elements(pages, html, "__els")
+    return parsed.withColumn("signals", F.expr(_SIGNAL_SQL).cast(SIGNALS)).drop("__els")
+
+
+def _a(name: str) -> str:
+    return f"lower(coalesce(e.attrs['{name}'], ''))"
+
+
+def _has(*pairs: tuple[str, str]) -> str:
+    return "(" + " or ".join(f"contains({_a(n)}, '{v}')" for n, v in pairs) + ")"
+
+
+_EDIT = "e.attrs['contenteditable'] = 'true'"
+_BUTTONISH = "(e.tag = 'button' or (e.tag = 'input' and e.attrs['type'] = 'submit') or (e.tag = 'a' and e.attrs['role'] = 'button'))"
+_BTN_TEXT = r"lower(trim(if(e.full_text != '', e.full_text, coalesce(e.attrs['value'], ''))))"
+_BTN_MARK = "lower(concat(coalesce(e.attrs['id'], ''), ' ', coalesce(e.attrs['class'], '')))"
+# Wording of buttons and headings on authentication pages.
+_LOGIN = r"\\b(sign\\s*in|log\\s*in|login|signin)\\b"
+_SIGNUP = r"\\b(sign\\s*up|register|create\\s*(an\\s*)?account|join\\s*now)\\b"
+_RESET = r"\\b(reset\\s*password|recover\\s*account|send\\s*otp|verify\\s*otp|verify\\s*code)\\b"
+_HEADING = (
+    r"\\b(sign\\s*in|log\\s*in|welcome\\s*back|create\\s*(your\\s*)?account|sign\\s*up|reset\\s*(your\\s*)?password"
+    r"|forgot\\s*password|two[- ]factor\\s*authentication|2fa\\s*verification|enter\\s*verification\\s*code"
+    r"|verify\\s*your\\s*identity|api\\s*keys?|personal\\s*access\\s*tokens?|manage\\s*credentials|api\\s*tokens?)\\b"
+)
+_ANY = "exists(__els, e -> {})"
+_RULES = {
+    "password_inputs": "size(filter(__els, e -> e.tag = 'input' and " + _a("type") + " = 'password'))",
+    "user_input": "e.tag = 'input' and (" + _a("type") + " = 'email' or " + _has(
+        ("autocomplete", "username"), ("autocomplete", "email"), ("name", "user"), ("name", "email"), ("id", "user"), ("id", "email")
+    ) + ")",
+    "otp_input": "e.tag = 'input' and " + _has(
+        ("name", "otp"), ("autocomplete", "one-time-code"), ("id", "otp"), ("aria-label", "otp"), ("placeholder", "otp"),
+        ("placeholder", "verification code"), ("placeholder", "passcode"),
+    ),
+    "auth_heading": f"(e.tag in ('h1', 'h2', 'h3', 'title') or e.attrs['role'] = 'heading') and lower(trim(e.full_text)) rlike '{_HEADING}'",
+    "auth_form": "e.tag = 'form' and " + _has(
+        ("action", "login"), ("action", "signin"), ("action", "auth"), ("id", "login"), ("id", "signin"), ("id", "signup"), ("class", "login")
+    ),
+    "composer": f"({_EDIT} and (" + _has(("aria-label", "message"), ("data-placeholder", "message")) + " or e.attrs['role'] = 'textbox'))"
+    " or (e.tag = 'textarea' and " + _has(
+        ("placeholder", "message"), ("placeholder", "chat"), ("aria-label", "message"), ("id", "chat"), ("name", "message"), ("id", "message")
+    ) + ") or (e.tag = 'input' and " + _has(
+        ("placeholder", "message"), ("placeholder", "chat"), ("name", "message"), ("id", "message"), ("id", "chat")
+    ) + ") or " + _has(("data-testid", "chat-input")) + " or (e.tag = 'div' and (e.attrs['data-tab'] = '10' or e.attrs['data-slate-editor'] = 'true'))",
+    "thread": "e.attrs['role'] = 'log' or " + _has(
+        ("aria-label", "messages"), ("aria-label", "chat"), ("data-testid", "conversation"), ("data-testid", "chat"), ("data-testid", "message-list")
+    ) + " or arrays_overlap(split(coalesce(e.attrs['class'], ''), ' '), array('messages-list', 'chat-messages', 'message-thread'))",
+    "send_button": "(e.tag = 'button' or e.attrs['role'] = 'button' or (e.tag = 'input' and e.attrs['type'] = 'submit')) and ("
+    + _a("aria-label") + " in ('send', 'send message') or lower(trim(e.full_text)) in ('send', 'send message') or "
+    + _a("id") + " = 'send-btn' or " + _has(("id", "send-button"), ("class", "send-button"), ("data-testid", "send-button")) + ")",
+    "editable": _EDIT,
+    "feed": "(e.tag = 'div' and e.attrs['role'] = 'feed') or " + _has(("aria-label", "timeline"), ("aria-label", "feed")),
+    "post": _has(("data-testid", "tweet"), ("data-testid", "post")),
+    "interaction": _has(("data-testid", "retweet"), ("data-testid", "like")) + " or (e.tag = 'button' and " + _has(("aria-label", "repost"), ("aria-label", "retweet")) + ")",
+    "ai_composer": f"e.attrs['id'] = 'prompt-textarea' or (e.tag = 'div' and (array_contains(split(coalesce(e.attrs['class'], ''), ' '), 'rich-textarea') or {_EDIT})) or e.tag = 'textarea'",
+    "ai_send": "e.tag = 'button' and (e.attrs['data-testid'] = 'send-button' or " + _has(("aria-label", "send")) + " or array_contains(split(coalesce(e.attrs['class'], ''), ' '), 'send-button'))",
+}
+_BUTTON_SQL = (
+    "get(filter(transform(filter(__els, e -> " + _BUTTONISH + "), e -> case"
+    f" when {_BTN_TEXT} rlike '{_LOGIN}' or {_BTN_MARK} rlike 'login|signin' then 'login'"
+    f" when {_BTN_TEXT} rlike '{_SIGNUP}' or {_BTN_MARK} rlike 'signup|register' then 'signup'"
+    f" when {_BTN_TEXT} rlike '{_RESET}' then 'reset' end), b -> b is not null), 0)"
+)
+
+
+def _signal_sql() -> str:
+    from hushlake.operators.context import DOM_FLAGS
+
+    parts = []
+    for f in DOM_FLAGS:
+        if f == "password_inputs":
+            expr = _RULES[f]
+        elif f == "auth_button":
+            expr = _BUTTON_SQL
+        else:
+            expr = f"cast(coalesce(exists(__els, e -> {_RULES[f]}), false) as int)"
+        parts.append(f"'{f}', {expr}")
+    return "named_struct(" + ", ".join(parts) + ")"
+
+
+_SIGNAL_SQL = _signal_sql()
+
+
+def detect_nodes(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """All detections of scannable nodes: field rules, then patterns on every text; password inputs are not scanned."""
+    fields = detect_fields(nodes, keys).withColumn("method", F.lit("dom"))
+    is_pw = F.col("is_input") & password_field()
+    open_text = nodes.filter(~is_pw & ~(~F.col("is_input") & F.col("chip"))).select(
+        *keys, selector(nodes).alias("selector"), "text"
+    )
+    s = F.col("s")
+    found = with_spans(open_text, "text").select(*keys, "selector", F.explode_outer("spans").alias("s"))
+    patterns = found.filter(s.isNotNull()).select(
+        *keys, "selector", s["type"].alias("type"), s["value"].alias("value"), s["confidence"].alias("confidence"),
+        F.lit("regex").alias("method"),
+    )
+    return fields.unionByName(patterns)
+
+
+def rescan_roots(els: DataFrame, changed: DataFrame, page: str) -> DataFrame:
+    """Elements that lie at or under a changed root (an equi-join on the expanded ancestor paths)."""
+    paths = els.select("*", F.explode(F.array_append(_ancestors(), F.col("path"))).alias("__root"))
+    roots = changed.select(page, F.col("root").alias("__root")).distinct()
+    hit = paths.join(roots, [page, "__root"], "left_semi").select(page, "idx").distinct()
+    return els.join(hit, [page, "idx"], "left_semi")
+
+
