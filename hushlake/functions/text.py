@@ -15,6 +15,16 @@ def let(value: Column, fn) -> Column:
     return F.get(F.transform(F.array(value), fn), F.lit(0))
 
 
+def once(value: Column) -> Column:
+    """Keep the optimizer from copying an expensive column into filters that it pushes down.
+
+    A filter on a derived column is normally pushed below the projection with the whole
+    expression inlined, which would evaluate it twice per row.  Nothing is pushed through a
+    projection that draws a random number, and the value itself does not depend on it.
+    """
+    return F.when(F.rand(0) + 1 > 0, value)
+
+
 def preview(value: Column, n: int = 40, mark: str = ELLIPSIS) -> Column:
     """At most ``n`` characters, marked when something was cut off."""
     return F.when(F.length(value) <= n, value).otherwise(F.concat(value.substr(1, n), F.lit(mark)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hushlake.functions import placeholders as P
-from hushlake.functions.text import match_line
+from hushlake.functions.text import match_line, once
 from hushlake.operators.spans import NO_SPANS, with_spans
 
 
@@ -21,6 +21,11 @@ def resolve_overlaps(spans: str) -> Column:
     )
 
 
+def with_resolved(df: DataFrame, spans: str, out: str) -> DataFrame:
+    """Add the resolved form of a span array; most texts have at most one span and skip the fold."""
+    return df.withColumn(out, once(F.when(F.size(spans) > 1, resolve_overlaps(spans)).otherwise(F.col(spans))))
+
+
 def line_prefix(text: Column, start: Column) -> Column:
     """What stands between the beginning of the line and a position."""
     return F.substring_index(text.substr(F.lit(1), start), "\n", -1)
@@ -60,9 +65,9 @@ def redact_prompts(df: DataFrame, text: str = "text", style: str = "prompt", typ
     Adds ``spans`` (resolved), ``placeholders`` and ``redacted``.
     """
     found = with_spans(df, text, "__raw", prompt_rules=True, types=types)
-    found = found.withColumn("spans", F.when(F.size("__raw") > 1, resolve_overlaps("__raw")).otherwise(F.col("__raw")))
+    found = with_resolved(found, "__raw", "spans")
     marked = with_placeholders(found, text, "spans", "placeholders", style)
-    out = marked.withColumn("redacted", splice(text, "spans", "placeholders")).drop("__raw")
+    out = marked.withColumn("redacted", once(splice(text, "spans", "placeholders"))).drop("__raw")
     return out if keep_spans else out.drop("spans", "placeholders")
 
 
@@ -100,9 +105,8 @@ def replace_values(text: Column, items: Column) -> Column:
 def sanitize_text(df: DataFrame, text: str = "text", out: str = "sanitized", **options) -> DataFrame:
     """Detect and replace in one go; a text without matches passes unchanged."""
     found = with_spans(df, text, "__items", **options)
-    return found.withColumn(
-        out, F.when(F.size("__items") > 0, replace_values(F.col(text), F.col("__items"))).otherwise(F.col(text))
-    ).drop("__items")
+    clean = F.when(F.size("__items") > 0, replace_values(F.col(text), F.col("__items"))).otherwise(F.col(text))
+    return found.withColumn(out, once(clean)).drop("__items")
 
 
 def sanitize_outgoing(df: DataFrame, text: str, when: Column, out: str = "sanitized") -> DataFrame:

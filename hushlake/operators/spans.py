@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from hushlake.functions import catalog as C
 from hushlake.functions import checks
-from hushlake.functions.text import trim_spaces
+from hushlake.functions.text import once, trim_spaces
 
 # ``neg_len`` sits behind ``start`` so that the natural order of the struct is the
 # leftmost-then-longest order, ``ord`` (catalogue position) breaking the last ties.
@@ -164,7 +164,7 @@ def with_spans(
         found = F.concat(*[F.coalesce(c, empty) for c in span_cols])
         parts.append(F.filter(found, _not_allowlisted(allow_terms, exact_terms)))
     parts += [F.coalesce(c, empty) for c in prompt_cols]
-    return staged.select(*keep, F.concat(*parts).alias(out))
+    return staged.select(*keep, once(F.concat(*parts)).alias(out))
 
 
 def _prompt_keep(strong: bool):
@@ -248,7 +248,7 @@ def with_address_spans(df: DataFrame, text: str = "text", out: str = "addresses"
     first = F.filter(
         F.col("__found"), lambda a, i: F.array_position(lowered, F.lower(a["value"])) == (i + 1)
     )
-    return staged.withColumn(out, first).drop("__found")
+    return staged.withColumn(out, once(first)).drop("__found")
 
 
 def detect_addresses(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:

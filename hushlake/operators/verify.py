@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushlake.functions import catalog as C
-from hushlake.functions import checks
 from hushlake.functions.dims import EXCLUDED_CONTEXTS
-from hushlake.functions.text import leak_preview, trim_spaces, url_ok, url_query
+from hushlake.functions.text import leak_preview, once, trim_spaces, url_ok, url_query
 from hushlake.operators.spans import with_spans
 
 VALUE_ATTRIBUTE = r"""(?i)value=["'][^"'\s\[\]]+["']"""
@@ -45,18 +44,15 @@ def policy_violations(df: DataFrame, key: str) -> DataFrame:
     """Adds ``violations`` (ordered) and ``safe`` to outgoing payloads.
 
     Expects ``dom``, ``labels`` (array of selector/label structs), ``ocr``, ``task``,
-    ``url`` and ``unredacted`` (number of sensitive regions without redaction).  The six
-    checks read one row each, so a payload is judged without any shuffle.
+    ``url`` and ``unredacted`` (number of sensitive regions without redaction).  All checks but
+    the one of the labels read one row and add no shuffle; labels are exploded, and only the
+    labels that leak come back to their payload.
     """
     work = df.withColumn("__query", F.when(url_ok(F.col("url")), url_query(F.col("url"))))
     work = work.withColumn("__ocr", trim_spaces(F.col("ocr")))
     for col in ("dom", "ocr", "task", "__query"):
         work = with_spans(work, col, f"__{col}_spans")
-    long_labels = F.filter("labels", lambda n: F.length(n["label"]) > 4)
-    joined = work.withColumn("__labels", long_labels)
-    # One text per label is scanned by exploding nothing: labels are checked as one text
-    # each through the same array machinery.
-    joined = _label_types(joined)
+    joined = _with_label_violations(work, key)
 
     none = F.expr("cast(array() as array<string>)")
     unredacted = F.when(
@@ -94,57 +90,23 @@ def policy_violations(df: DataFrame, key: str) -> DataFrame:
         ),
     )
     parts = [unredacted, dom, attr, F.col("__label_violations"), ocr, task, query]
-    out = joined.withColumn("violations", F.concat(*[F.coalesce(p, none) for p in parts]))
+    out = joined.withColumn("violations", once(F.concat(*[F.coalesce(p, none) for p in parts])))
     return out.select(*df.columns, "violations", (F.size("violations") == 0).alias("safe"))
 
 
-def _label_types(df: DataFrame) -> DataFrame:
-    """First detector that fires on each label.
-
-    Labels are short, so they are scanned by one pattern test per detector inside the array
-    instead of being exploded and grouped back.
-    """
-    def first_type(label: Column) -> Column:
-        expr = None
-        for d in C.CATALOG:
-            hits = F.filter(F.regexp_extract_all(label, F.lit(d.java), F.lit(0)), _label_hit(label, d))
-            cond = label.rlike(d.java) & (F.size(hits) > 0)
-            expr = F.when(cond, F.lit(d.type)) if expr is None else expr.when(cond, F.lit(d.type))
-        return expr
-
-    typed = F.transform(
-        "__labels", lambda n: F.struct(n["selector"].alias("selector"), first_type(n["label"]).alias("type"))
+def _with_label_violations(df: DataFrame, key: str) -> DataFrame:
+    labels = df.select(key, F.posexplode("labels").alias("__pos", "n")).filter(F.length("n.label") > 4)
+    labels = labels.select(key, "__pos", F.col("n.selector").alias("selector"), F.col("n.label").alias("label"))
+    hits = with_spans(labels, "label", "s").filter(F.size("s") > 0)
+    message = F.concat(
+        F.lit("Raw "), F.get("s", F.lit(0))["type"], F.lit(" found in accessibility label for selector "), "selector"
     )
-    hits = F.filter(typed, lambda n: n["type"].isNotNull())
-    return df.withColumn(
-        "__label_violations",
-        F.when(
-            F.size("__labels") > 0,
-            F.transform(
-                hits,
-                lambda n: F.concat(
-                    F.lit("Raw "), n["type"], F.lit(" found in accessibility label for selector "), n["selector"]
-                ),
-            ),
-        ),
+    per = hits.groupBy(key).agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("__pos", message.alias("m")))), lambda x: x["m"]
+        ).alias("__label_violations")
     )
-
-
-def _label_hit(label: Column, d: C.Detector):
-    def keep(v: Column) -> Column:
-        ok = ~checks.allowlisted(v)
-        if d.check == "luhn":
-            return ok & checks.luhn(v)
-        if d.check == "aadhaar":
-            return ok & checks.aadhaar(v)
-        if d.check == "phone":
-            return ok & checks.phone_length(v)
-        if d.check == "not_a_name":
-            tail = F.substring_index(label, v, -1).substr(1, 10)
-            return ok & ~tail.rlike(C.java(r"^\s*[:=]"))
-        return ok
-
-    return keep
+    return df.join(per, key, "left")
 
 
 VIOLATION_TYPES = [
@@ -196,8 +158,8 @@ def residual_check(df: DataFrame, redacted: str, spans: str) -> DataFrame:
 
 def server_rule_hit(text: Column) -> Column:
     """First receiving-side rule that fires: its first six characters; NULL when clean."""
-    hits = [F.regexp_extract(text, C.java(p), 0) for p in C.SERVER_RULES]
-    return F.coalesce(*[F.when(h != "", h.substr(1, 6)) for h in hits])
+    hits = [F.regexp_extract(text, C.java(p), 0).substr(1, 6) for p in C.SERVER_RULES]
+    return once(F.coalesce(*[F.nullif(h, F.lit("")) for h in hits]))
 
 
 def context_allowed(context: Column) -> Column:

@@ -10,6 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hushlake.functions.text import once
 from hushlake.sources.tables import spread, table
 
 _K = "o_orderkey"
@@ -235,7 +236,8 @@ def derive(spark: SparkSession, root: str, name: str) -> DataFrame:
     inputs = {t: table(spark, root, t) for t in set(_TABLES.findall(sql))}
     if name in ("notes", "corpus"):
         inputs = {t: spread(df) for t, df in inputs.items()}
-    return spark.sql(sql, **inputs)
+    out = spark.sql(sql, **inputs)
+    return out.withColumn("text", once(out["text"])) if name in ("notes", "corpus") else out
 
 
 def duck(name: str) -> str:
