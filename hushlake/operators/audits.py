@@ -6,9 +6,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hushlake.functions import dims
 from hushlake.operators import boxes as B
+from hushlake.operators.redact import replace_values, sanitize_nested
+from hushlake.operators.spans import with_spans
 
 
 def _any(conds: list[Column]) -> Column:
@@ -122,21 +125,41 @@ def form_payload(fields: DataFrame, items: DataFrame, scan: str) -> DataFrame:
     )
 
 
+# Stands between the strings of a record when they are scanned as one text: no pattern
+# reaches across it, neither by blanks nor by looking ahead on the line.
+FIELD_BREAK = "\n\x00\n"
+
+
+def _strings(c: Column, dt: T.DataType) -> list[Column]:
+    """All strings of a value, as arrays, along its schema."""
+    if isinstance(dt, T.StringType):
+        return [F.array(c)]
+    if isinstance(dt, T.StructType):
+        return [a for f in dt.fields for a in _strings(c[f.name], f.dataType)]
+    if isinstance(dt, T.ArrayType) and isinstance(dt.elementType, T.StringType):
+        return [c]
+    if isinstance(dt, T.MapType) and isinstance(dt.valueType, T.StringType):
+        return [F.map_values(c)]
+    return []
+
+
 def repair_bodies(requests: DataFrame, schema: str, body: str = "body") -> DataFrame:
     """JSON request bodies: an unsafe body is replaced by its sanitized form and flagged.
 
-    Adds ``blocked`` and ``sent_body``.  A body that is not JSON is sanitized as text.
+    The strings of a body are scanned after decoding, so a value never swallows the JSON
+    around it.  Adds ``blocked`` and ``sent_body``.  A body that is not JSON is sanitized as
+    text.
     """
-    from hushlake.operators.redact import replace_values, sanitize_nested
-    from hushlake.operators.spans import with_spans
-
-    found = with_spans(requests, body, "__items")
-    parsed = found.withColumn("__json", F.from_json(body, schema))
-    fixed = sanitize_nested(parsed, "__items", ["__json"])
+    parsed = requests.withColumn("__json", F.when(F.try_parse_json(body).isNotNull(), F.from_json(body, schema)))
+    leaves = _strings(F.col("__json"), parsed.schema["__json"].dataType)
+    empty = F.expr("cast(array() as array<string>)")
+    joined = F.array_join(F.array_compact(F.concat(*[F.coalesce(a, empty) for a in leaves])), FIELD_BREAK)
+    scanned = parsed.withColumn("__text", F.when(F.col("__json").isNotNull(), joined).otherwise(F.col(body)))
+    found = with_spans(scanned, "__text", "__items")
+    fixed = sanitize_nested(found, "__items", ["__json"])
     unsafe = F.size("__items") > 0
-    readable = F.try_parse_json(body).isNotNull()
-    as_text = F.when(unsafe, replace_values(F.col(body), F.col("__items")))
-    return fixed.select(
-        *requests.columns, unsafe.alias("blocked"),
-        F.when(unsafe & readable, F.to_json("__json")).when(unsafe, as_text).otherwise(F.col(body)).alias("sent_body"),
+    sent = (
+        F.when(unsafe & F.col("__json").isNotNull(), F.to_json("__json"))
+        .when(unsafe, replace_values(F.col(body), F.col("__items"))).otherwise(F.col(body))
     )
+    return fixed.select(*requests.columns, unsafe.alias("blocked"), sent.alias("sent_body"))

@@ -242,16 +242,16 @@ def clean_urls(spark, root):
 
 
 # --- Verification ---------------------------------------------------------------------
-_AGAIN = f"(SELECT doc_id, redacted AS text FROM {_REDACTED})"
-
-
 @query(
     "residual_check",
-    f"SELECT r.doc_id, coalesce(l.left_over, 0) AS originals_left, coalesce(x.n, 0) AS residuals,"
-    f" coalesce(l.left_over, 0) = 0 AND coalesce(x.n, 0) = 0 AS verified FROM {_REDACTED} r"
-    f" LEFT JOIN (SELECT s.doc_id, CAST(sum(CASE WHEN contains(t.redacted, s.value) THEN 1 ELSE 0 END) AS BIGINT) AS left_over"
-    f" FROM {_RESOLVED} s JOIN {_REDACTED} t USING (doc_id) GROUP BY s.doc_id) l USING (doc_id)"
-    f" LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({K.spans(_AGAIN, prompt=True)}) GROUP BY doc_id) x USING (doc_id)",
+    f"""WITH kept AS MATERIALIZED (SELECT * FROM {_RESOLVED}), red AS MATERIALIZED (SELECT * FROM {K.redacted(CORPUS, 'kept')}),
+      again AS MATERIALIZED (SELECT doc_id, redacted AS text FROM red),
+      l AS (SELECT s.doc_id, CAST(sum(CASE WHEN contains(t.redacted, s.value) THEN 1 ELSE 0 END) AS BIGINT) AS left_over
+        FROM kept s JOIN red t USING (doc_id) GROUP BY s.doc_id),
+      x AS (SELECT doc_id, count(*) AS n FROM ({K.spans('again', prompt=True)}) GROUP BY doc_id)
+    SELECT r.doc_id, coalesce(l.left_over, 0) AS originals_left, coalesce(x.n, 0) AS residuals,
+      coalesce(l.left_over, 0) = 0 AND coalesce(x.n, 0) = 0 AS verified
+    FROM red r LEFT JOIN l USING (doc_id) LEFT JOIN x USING (doc_id)""",
 )
 def residual_check(spark, root):
     """Every redacted text scanned again with all rules."""
@@ -276,7 +276,8 @@ def leak_check(spark, root):
     return verify.leak_check(payloads, items, "doc_id", "payload").distinct()
 
 
-_PAY = duck("payloads")
+_PAY = "pay"
+_WITH_PAY = f"WITH pay AS MATERIALIZED (SELECT * FROM {duck('payloads')} p) "
 
 
 def _first(field: str, types_only: bool = True) -> str:
@@ -308,7 +309,7 @@ def _judged(spark, root):
     return verify.policy_violations(spread(payloads).withColumn("labels", label).drop("label"), "payload_id")
 
 
-@query("policy_eval", f"SELECT payload_id, violations, safe FROM {_VERDICT}")
+@query("policy_eval", f"{_WITH_PAY} SELECT payload_id, violations, safe FROM {_VERDICT}")
 def policy_eval(spark, root):
     """All violations of each outgoing payload, in order."""
     return _judged(spark, root).select("payload_id", F.array_join("violations", "; ").alias("violations"), "safe")
@@ -316,7 +317,7 @@ def policy_eval(spark, root):
 
 @query(
     "violation_types",
-    "SELECT payload_id, msg AS message, CASE "
+    _WITH_PAY + "SELECT payload_id, msg AS message, CASE "
     + " ".join(f"WHEN regexp_matches(msg, {K.q(p)}) THEN {K.q(t)}" for p, t in verify.VIOLATION_TYPES)
     + f" ELSE 'UNKNOWN' END AS violation_type FROM {_POLICY}",
 )
@@ -327,7 +328,7 @@ def violation_types(spark, root):
 
 @query(
     "quarantine_split",
-    f"SELECT CASE WHEN safe THEN 'clean' ELSE 'quarantine' END AS side, count(*) AS payloads,"
+    f"{_WITH_PAY} SELECT CASE WHEN safe THEN 'clean' ELSE 'quarantine' END AS side, count(*) AS payloads,"
     f" CAST(min(payload_id) AS BIGINT) AS first_id, CAST(max(payload_id) AS BIGINT) AS last_id FROM {_VERDICT} GROUP BY 1",
 )
 def quarantine_split(spark, root):
@@ -365,7 +366,7 @@ def server_rules(spark, root):
 
 @query(
     "context_gate",
-    f"SELECT payload_id, context FROM {_PAY} p WHERE context IS NULL OR upper({K.trim('context')}) NOT IN ('AUTHENTICATION', 'MESSAGING', 'SOCIAL_MEDIA')",
+    f"{_WITH_PAY} SELECT payload_id, context FROM {_PAY} p WHERE context IS NULL OR upper({K.trim('context')}) NOT IN ('AUTHENTICATION', 'MESSAGING', 'SOCIAL_MEDIA')",
 )
 def context_gate(spark, root):
     return derive(spark, root, "payloads").filter(verify.context_allowed(F.col("context"))).select("payload_id", "context")
