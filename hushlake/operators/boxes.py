@@ -201,14 +201,12 @@ def suppress(boxes: DataFrame, page: str, order: str, threshold: float = 0.5) ->
     return best.unionByName(flat)
 
 
-def _fuse_region(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Cluster numbers of the boxes of one independent region, in the order of ``ord``."""
-    pdf = pdf.sort_values("ord", kind="stable")
-    x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
-    r, b = x + pdf["width"].to_numpy(), y + pdf["height"].to_numpy()
+def _cluster_heads(x, y, r, b, ords) -> list[int]:
+    """Cluster of each box of one independent region (boxes in candidate order), named after its first box."""
+    n = len(ords)
+    if n == 1:
+        return [int(ords[0])]
     area = (r - x) * (b - y)
-    ords = pdf["ord"].to_numpy()
-    n = len(pdf)
     head = np.full(n, -1, dtype=np.int64)
     for i in range(n):
         if head[i] >= 0:
@@ -221,13 +219,8 @@ def _fuse_region(pdf: pd.DataFrame) -> pd.DataFrame:
                 0, np.minimum(cb, b[j:]) - np.maximum(cy, y[j:])
             )
             own = (cr - cx) * (cb - cy)
-            union = own + area[j:] - inter
-            with np.errstate(divide="ignore", invalid="ignore"):
-                joins = (inter > 0) & (
-                    (np.where(union > 0, inter / union, 0) > 0.4)
-                    | (np.where(area[j:] != 0, inter / area[j:], 0) > 0.7)
-                    | ((inter / own if own != 0 else 0) > 0.7)
-                )
+            # Boxes and clusters have an area here, so no ratio divides by zero.
+            joins = (inter / (own + area[j:] - inter) > 0.4) | (inter / area[j:] > 0.7) | (inter / own > 0.7)
             hits = np.flatnonzero(joins & (head[j:] < 0))
             if len(hits) == 0:
                 break
@@ -235,7 +228,13 @@ def _fuse_region(pdf: pd.DataFrame) -> pd.DataFrame:
             head[k] = ords[i]
             cx, cy, cr, cb = min(cx, x[k]), min(cy, y[k]), max(cr, r[k]), max(cb, b[k])
             j = k + 1
-    return pd.DataFrame({"ord": ords, "head": head})
+    return head.tolist()
+
+
+def _heads_batch(x: pd.Series, y: pd.Series, w: pd.Series, h: pd.Series, ords: pd.Series) -> pd.Series:
+    return pd.Series(
+        [_cluster_heads(a, b, a + c, b + d, o) for a, b, c, d, o in zip(x, y, w, h, ords)], dtype=object
+    )
 
 
 def fuse(candidates: DataFrame, page: str) -> DataFrame:
@@ -254,13 +253,12 @@ def fuse(candidates: DataFrame, page: str) -> DataFrame:
     members = candidates.filter(solid)
     firsts = members.groupBy(page, *BOX).agg(F.min("ord").alias("ord"))
     regions = _independent(firsts, [page])
-    schema = candidates.schema
-    page_type, ord_type = schema[page].dataType.simpleString(), schema["ord"].dataType.simpleString()
-    numbered = (
-        regions.groupBy(page, "__ix", "__iy")
-        .applyInPandas(_with_page(page), f"{page} {page_type}, ord {ord_type}, head bigint")
-        .join(firsts, [page, "ord"])
-        .select(page, *BOX, "head")
+    entry = F.struct("ord", *BOX)
+    grouped = regions.groupBy(page, "__ix", "__iy").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    heads = F.pandas_udf(_heads_batch, "array<bigint>")
+    named = grouped.withColumn("h", heads("e.x", "e.y", "e.width", "e.height", "e.ord"))
+    numbered = named.select(page, F.explode_outer(F.arrays_zip("e", "h")).alias("z")).select(
+        page, *[F.col(f"z.e.{c}").alias(c) for c in BOX], F.col("z.h").alias("head")
     )
     flat = candidates.filter(~solid).withColumn("head", F.col("ord").cast("bigint"))
     clustered = members.join(numbered, [page, *BOX]).unionByName(flat)
@@ -283,15 +281,6 @@ def fuse(candidates: DataFrame, page: str) -> DataFrame:
     )
 
 
-def _with_page(page: str):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = _fuse_region(pdf)
-        out.insert(0, page, key[0])
-        return out
-
-    return run
-
-
 def eye_band(extension: float = 0.38, thickness_ratio: float = 0.36) -> list[Column]:
     """Privacy band over the eyes of a face box (``x, y, width, height, roll`` in radians)."""
     x, y, w, h, roll = (F.col(c) for c in ("x", "y", "width", "height", "roll"))

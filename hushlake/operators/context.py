@@ -131,7 +131,10 @@ def with_context(df: DataFrame, signatures: DataFrame, url: str = "url", strict:
         | has_host
     )
     credible = password | otp | has_url | has_host | (heading & (button != ""))
-    is_auth = credible & ((auth_score >= 55) | strong)
+    out = out.withColumn("auth_score", auth_score.cast("int")).withColumn("__strong", credible & strong)
+    out = out.withColumn("__credible", credible)
+    auth_score = F.col("auth_score")
+    is_auth = F.col("__strong") | (F.col("__credible") & (auth_score >= 55))
 
     # Messaging.
     known_ai = F.col("ai_assistant_app").isNotNull()
@@ -160,7 +163,6 @@ def with_context(df: DataFrame, signatures: DataFrame, url: str = "url", strict:
         + F.when(s["interaction"] > 0, 20).otherwise(0)
         + F.when(F.col("path").rlike(dims.SOCIAL_PATH_RULE), 20).otherwise(0)
     )
-    is_soc = soc_score >= 60
 
     # Assistants.
     ai_app, ai_known = F.col("ai_assistant_app"), known_ai
@@ -180,7 +182,14 @@ def with_context(df: DataFrame, signatures: DataFrame, url: str = "url", strict:
         + F.when(s["ai_composer"] > 0, 35).otherwise(0)
         + F.when(s["ai_send"] > 0, 30).otherwise(0)
     )
-    is_ai = ai_score >= 60
+
+    out = (
+        out.withColumn("messaging_score", msg_score.cast("int")).withColumn("social_score", soc_score.cast("int"))
+        .withColumn("assistant_score", ai_score.cast("int")).withColumn("__msg", is_msg).withColumn("__ai", ai_app)
+        .withColumn("__auth", is_auth)
+    )
+    msg_score, soc_score, ai_score = F.col("messaging_score"), F.col("social_score"), F.col("assistant_score")
+    is_auth, is_msg, is_soc, is_ai, ai_app = F.col("__auth"), F.col("__msg"), soc_score >= 60, ai_score >= 60, F.col("__ai")
 
     def confidence(score: Column, floor: float) -> Column:
         return F.least(F.lit(0.99), F.greatest(F.lit(floor), score / 100))
@@ -197,8 +206,7 @@ def with_context(df: DataFrame, signatures: DataFrame, url: str = "url", strict:
     app = F.when(is_auth, F.lit(None)).when(is_msg, F.col("messaging_app")).when(is_soc, F.col("social_media_app")).when(is_ai, ai_app)
     return out.select(
         *df.columns,
-        auth_score.cast("int").alias("auth_score"), msg_score.cast("int").alias("messaging_score"),
-        soc_score.cast("int").alias("social_score"), ai_score.cast("int").alias("assistant_score"),
+        "auth_score", "messaging_score", "social_score", "assistant_score",
         context.alias("context"), conf.alias("confidence"), app.alias("app"),
     )
 

@@ -176,7 +176,7 @@ def scannable(els: DataFrame) -> DataFrame:
     kind = F.lower(F.coalesce(attr("type"), F.lit("text")))
     is_field = (F.col("tag") == "input") & ~kind.isin(NON_TEXT_INPUTS)
     is_area = F.col("tag") == "textarea"
-    is_edit = attr("contenteditable").isin("", "true")
+    is_edit = F.coalesce(attr("contenteditable").isin("", "true"), F.lit(False))
     content = F.col("tag").isin(TEXT_TAGS) & ~F.col("ignored") & (F.length("text") >= 6)
     rows = els.filter(enabled(els) & (is_field | is_area | is_edit | content))
     return (
