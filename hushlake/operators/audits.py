@@ -66,9 +66,10 @@ def harden_actions(actions: DataFrame) -> DataFrame:
         & (F.coalesce("text", F.lit("")) != "")
         & (F.coalesce("value_ref", F.lit("")) == "")
     )
-    return actions.withColumn("value_ref", F.when(plain, "LOCAL_PASSWORD").otherwise(F.col("value_ref"))).withColumn(
-        "text", F.when(plain, F.lit(None)).otherwise(F.col("text"))
-    )
+    return actions.withColumns({
+        "value_ref": F.when(plain, "LOCAL_PASSWORD").otherwise(F.col("value_ref")),
+        "text": F.when(plain, F.lit(None)).otherwise(F.col("text")),
+    })
 
 
 def resolve_refs(actions: DataFrame, tokens: DataFrame, allow_credentials: bool = True) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushlake.functions import dims
-from hushlake.functions.text import host_suffixes, url_host, url_ok, url_path, url_query
+from hushlake.functions.text import host_suffixes, once, url_host, url_ok, url_path, url_query
 
 # Registered signatures are a dimension; they are broadcast only while they stay small.
 SIGNATURE_BROADCAST_ROWS = 100_000
@@ -131,7 +131,7 @@ def with_context(df: DataFrame, signatures: DataFrame, url: str = "url", strict:
         | has_host
     )
     credible = password | otp | has_url | has_host | (heading & (button != ""))
-    out = out.withColumn("auth_score", auth_score.cast("int")).withColumn("__strong", credible & strong)
+    out = out.withColumn("auth_score", once(auth_score.cast("int"))).withColumn("__strong", credible & strong)
     out = out.withColumn("__credible", credible)
     auth_score = F.col("auth_score")
     is_auth = F.col("__strong") | (F.col("__credible") & (auth_score >= 55))
@@ -184,7 +184,7 @@ def with_context(df: DataFrame, signatures: DataFrame, url: str = "url", strict:
     )
 
     out = (
-        out.withColumn("messaging_score", msg_score.cast("int")).withColumn("social_score", soc_score.cast("int"))
+        out.withColumn("messaging_score", once(msg_score.cast("int"))).withColumn("social_score", soc_score.cast("int"))
         .withColumn("assistant_score", ai_score.cast("int")).withColumn("__msg", is_msg).withColumn("__ai", ai_app)
         .withColumn("__auth", is_auth)
     )

@@ -46,9 +46,14 @@ def risk_level(score: Column) -> Column:
 
 
 def scan_reports(items: DataFrame, keys: list[str]) -> DataFrame:
-    """Detections per scan: total, per-type counts (map), mean and lowest confidence to three places."""
+    """Detections per scan: total, per-type counts (map), mean and lowest confidence to three places.
+
+    Confidences are added as whole millionths, so the mean does not depend on the order in
+    which partial sums meet.
+    """
+    micro = F.round(F.col("confidence") * 1000000).cast("long")
     per_type = items.groupBy(*keys, "type").agg(
-        F.count("*").alias("n"), F.sum("confidence").alias("s"), F.min("confidence").alias("m")
+        F.count("*").alias("n"), F.sum(micro).alias("s"), F.min("confidence").alias("m")
     )
     entries = F.array_sort(F.collect_list(F.struct("type", "n")))
     agg = per_type.groupBy(*keys).agg(
@@ -57,7 +62,7 @@ def scan_reports(items: DataFrame, keys: list[str]) -> DataFrame:
     )
     return agg.select(
         *keys, "total", "categories",
-        (round_half_up(F.col("__s") / F.col("total") * 1000) / 1000).alias("confidence_avg"),
+        (round_half_up(F.col("__s") / (F.col("total") * 1000)) / 1000).alias("confidence_avg"),
         (round_half_up(F.col("__m") * 1000) / 1000).alias("confidence_min"),
     )
 
@@ -229,15 +234,26 @@ def after_last_navigation(events: DataFrame, tab: str, order: list[str], is_nav:
 
 
 def deadline(pending: DataFrame, results: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
-    """Outcome of each pending item: the first result within the limit, otherwise blocked."""
-    p = pending.select(key, F.col(ts).alias("asked"), F.col("item"))
-    r = results.select(key, F.col(ts).alias("answered"), F.col("outcome"))
-    limit = F.expr(f"interval {seconds} seconds")
-    joined = p.join(
-        r, (p[key] == r[key]) & (r["answered"] >= p["asked"]) & (r["answered"] <= p["asked"] + limit), "left"
-    ).drop(r[key])
-    first = joined.groupBy("item", key, "asked").agg(F.min(F.struct("answered", "outcome")).alias("f"))
-    return first.select(
-        "item", key, "asked", F.col("f.answered").alias("answered"),
-        F.coalesce(F.col("f.outcome"), F.lit("blocked")).alias("outcome"),
+    """Outcome of each pending item: the first result within the limit, otherwise blocked.
+
+    Time is cut into slices as long as the limit, and a result is visible in its own slice
+    and in the one before.  So the next result is looked up inside (key, slice), and neither
+    a busy key nor a burst forms pairs.
+    """
+    slice_ = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (seconds * 1_000_000))
+    asked = pending.select(key, F.col(ts).alias("t"), "item", F.lit(None).cast("string").alias("outcome"), slice_.alias("s"))
+    told = results.select(
+        key, F.col(ts).alias("t"), F.lit(None).cast(pending.schema["item"].dataType).alias("item"), "outcome",
+        F.explode(F.array(slice_, slice_ - 1)).alias("s"),
+    )
+    both = asked.unionByName(told)
+    answer = F.when(F.col("item").isNull(), F.struct(F.col("t").alias("answered"), "outcome"))
+    ahead = Window.partitionBy(key, "s").orderBy("t", F.col("item").isNull(), "outcome").rowsBetween(
+        Window.currentRow, Window.unboundedFollowing
+    )
+    found = both.withColumn("a", F.first(answer, ignorenulls=True).over(ahead)).filter(F.col("item").isNotNull())
+    in_time = F.col("a.answered") <= F.col("t") + F.expr(f"interval {seconds} seconds")
+    return found.select(
+        "item", key, F.col("t").alias("asked"), F.when(in_time, F.col("a.answered")).alias("answered"),
+        F.coalesce(F.when(in_time, F.col("a.outcome")), F.lit("blocked")).alias("outcome"),
     )
