@@ -134,34 +134,22 @@ def stack_rank(boxes: DataFrame, page: str, order: str) -> DataFrame:
     return boxes.filter((F.col("width") > 0) & (F.col("height") > 0)).withColumn("stack_rank", rank.cast("long"))
 
 
-def islands(df: DataFrame, keys: list[str], low: Column, high: Column, out: str, bucket: float = 512.0) -> DataFrame:
+def islands(df: DataFrame, keys: list[str], low: Column, high: Column, out: str) -> DataFrame:
     """Number the maximal runs of intervals that touch each other within ``keys``.
 
     Boxes of different runs can never meet, however much the clusters inside a run grow, so
-    greedy reductions may treat every run on its own.  Intervals are first reduced to one row
-    per starting coordinate, and the running maximum that finds the gaps is taken in two
-    steps - inside buckets of the axis, and over the bucket maxima - so no window ever holds
-    the boxes of a whole crowded page.
+    greedy reductions may treat every run on its own.  Intervals are first widened to whole
+    pixels and reduced to one row per starting pixel (combined on the map side), so the
+    window that finds the gaps sees at most as many rows as the page has pixels along the
+    axis - not the boxes of a crowded page.
     """
-    work = df.withColumn("__lo", low)
-    points = work.groupBy(*keys, "__lo").agg(F.max(high).alias("__hi")).withColumn("__bk", F.floor(F.col("__lo") / bucket))
-    earlier = Window.unboundedPreceding
-    by_bucket = Window.partitionBy(*keys).orderBy("__bk")
-    inside = Window.partitionBy(*keys, "__bk").orderBy("__lo")
-    tops = points.groupBy(*keys, "__bk").agg(F.max("__hi").alias("__top"))
-    tops = tops.select(*keys, "__bk", F.max("__top").over(by_bucket.rowsBetween(earlier, -1)).alias("__before"))
-    reach = F.greatest("__before", F.max("__hi").over(inside.rowsBetween(earlier, -1)))
-    flagged = points.join(tops, [*keys, "__bk"]).withColumn(
-        "__new", F.when(reach.isNull() | (F.col("__lo") >= reach), 1).otherwise(0)
-    )
-    counts = flagged.groupBy(*keys, "__bk").agg(F.sum("__new").alias("__n"))
-    counts = counts.select(
-        *keys, "__bk", F.coalesce(F.sum("__n").over(by_bucket.rowsBetween(earlier, -1)), F.lit(0)).alias("__base")
-    )
-    numbered = flagged.join(counts, [*keys, "__bk"]).select(
-        *keys, "__lo", (F.col("__base") + F.sum("__new").over(inside.rowsBetween(earlier, 0))).alias(out)
-    )
-    return work.join(numbered, [*keys, "__lo"]).drop("__lo")
+    work = df.withColumn("__lo", F.floor(low))
+    points = work.groupBy(*keys, "__lo").agg(F.max(F.ceil(high)).alias("__hi"))
+    w = Window.partitionBy(*keys).orderBy("__lo")
+    reach = F.max("__hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    flagged = points.withColumn("__new", F.when(reach.isNull() | (F.col("__lo") >= reach), 1).otherwise(0))
+    number = F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return work.join(flagged.select(*keys, "__lo", number.alias(out)), [*keys, "__lo"]).drop("__lo")
 
 
 def _independent(boxes: DataFrame, keys: list[str]) -> DataFrame:
@@ -204,8 +192,6 @@ def suppress(boxes: DataFrame, page: str, order: str, threshold: float = 0.5) ->
 def _cluster_heads(x, y, r, b, ords) -> list[int]:
     """Cluster of each box of one independent region (boxes in candidate order), named after its first box."""
     n = len(ords)
-    if n == 1:
-        return [int(ords[0])]
     area = (r - x) * (b - y)
     head = np.full(n, -1, dtype=np.int64)
     for i in range(n):
@@ -233,7 +219,8 @@ def _cluster_heads(x, y, r, b, ords) -> list[int]:
 
 def _heads_batch(x: pd.Series, y: pd.Series, w: pd.Series, h: pd.Series, ords: pd.Series) -> pd.Series:
     return pd.Series(
-        [_cluster_heads(a, b, a + c, b + d, o) for a, b, c, d, o in zip(x, y, w, h, ords)], dtype=object
+        [None if o is None else _cluster_heads(a, b, a + c, b + d, o) for a, b, c, d, o in zip(x, y, w, h, ords)],
+        dtype=object,
     )
 
 
@@ -256,7 +243,9 @@ def fuse(candidates: DataFrame, page: str) -> DataFrame:
     entry = F.struct("ord", *BOX)
     grouped = regions.groupBy(page, "__ix", "__iy").agg(F.array_sort(F.collect_list(entry)).alias("e"))
     heads = F.pandas_udf(_heads_batch, "array<bigint>")
-    named = grouped.withColumn("h", heads("e.x", "e.y", "e.width", "e.height", "e.ord"))
+    # Most regions hold one box, which heads itself; only the others are sent to Python.
+    sent = [F.when(F.size("e") > 1, F.col(f"e.{c}")) for c in (*BOX, "ord")]
+    named = grouped.withColumn("h", F.coalesce(heads(*sent), F.col("e.ord")))
     numbered = named.select(page, F.explode_outer(F.arrays_zip("e", "h")).alias("z")).select(
         page, *[F.col(f"z.e.{c}").alias(c) for c in BOX], F.col("z.h").alias("head")
     )
