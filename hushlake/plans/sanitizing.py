@@ -392,7 +392,15 @@ def needs_reverify(spark, root):
     return hashed.withColumn("needs_reverify", ~before.eqNullSafe(F.col("hash")))
 
 
-@query("sanitize_bodies")
+_CLEAN = "regexp_replace(text, '[\"\\\\\\n]', ' ', 'g')"
+_BODY = f"(SELECT doc_id, doc_id % 5 = 0 AS plain, CASE WHEN doc_id % 5 = 0 THEN 'plain: ' || text ELSE {_CLEAN} END AS text FROM {NOTES} n)"
+
+
+@query(
+    "sanitize_bodies",
+    "SELECT b.doc_id, r.n > 0 AS blocked, CASE WHEN b.plain THEN r.sanitized ELSE '{\"prompt\":\"' || r.sanitized || '\",\"n\":\"1\"}' END AS sent_body"
+    f" FROM {_BODY} b JOIN {K.replaced(_BODY, K.spans(_BODY))} r USING (doc_id)",
+)
 def sanitize_bodies(spark, root):
     """Request bodies: unsafe JSON is rewritten field by field, other unsafe text as a whole."""
     notes = derive(spark, root, "notes")

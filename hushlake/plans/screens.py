@@ -412,10 +412,29 @@ def fuse_regions(spark, root):
     return B.fuse(_boxes(spark, root), "page_id").withColumn("sources", F.array_join("sources", ","))
 
 
-_FACE = f"SELECT page_id, ord, x, y, width, height, (ord % 7 - 3) / 10 AS roll FROM {BOXES} b WHERE type = 'FACE'"
+def _eye_sql() -> str:
+    """The band step by step, each level using the columns of the one before."""
+    def turned(c: str) -> str:
+        return (
+            f"CASE WHEN abs(roll) < 1e-6 THEN {c} ELSE floor(px + (({c} - px) * cos(roll) - (ey - py) * sin(roll)) + 0.5) END AS {c}x,"
+            f" CASE WHEN abs(roll) < 1e-6 THEN ey ELSE floor(py + (({c} - px) * sin(roll) + (ey - py) * cos(roll)) + 0.5) END AS {c}y"
+        )
+
+    faces = f"SELECT page_id, ord, x, y, width, height, (ord % 7 - 3) / 10 AS roll FROM {BOXES} b WHERE type = 'FACE'"
+    base = f"SELECT *, x + width / 2 AS px, y + height / 2 AS py, y + height * 0.40::DOUBLE AS ey, x + width * 0.33::DOUBLE AS l, x + width * 0.67::DOUBLE AS r FROM ({faces})"
+    eyes = f"SELECT *, {turned('l')}, {turned('r')} FROM ({base})"
+    line = f"SELECT *, greatest(1, sqrt((rx - lx) * (rx - lx) + (ry - ly) * (ry - ly))) AS d, atan2(ry - ly, rx - lx) AS a, floor((lx + rx) / 2 + 0.5) AS cx, floor((ly + ry) / 2 + 0.5) AS cy FROM ({eyes})"
+    size = (
+        f"SELECT *, floor(d + 2 * floor(d * 0.38::DOUBLE + 0.5) + 0.5) AS n, floor(greatest(CASE WHEN height <> 0 THEN height ELSE d * 2.2::DOUBLE END * 0.22::DOUBLE,"
+        f" d * 0.36::DOUBLE, greatest(10, floor(height * 0.12::DOUBLE + 0.5)) * 1.8::DOUBLE, 18) + 0.5) AS t FROM ({line})"
+    )
+    return (
+        "SELECT page_id, ord, cx AS center_x, cy AS center_y, floor(cx - n / 2 * cos(a) + 0.5) AS start_x, floor(cy - n / 2 * sin(a) + 0.5) AS start_y,"
+        f" floor(cx + n / 2 * cos(a) + 0.5) AS end_x, floor(cy + n / 2 * sin(a) + 0.5) AS end_y, round(a, 6) AS angle, n AS length, t AS thickness FROM ({size})"
+    )
 
 
-@query("eye_bands")
+@query("eye_bands", _eye_sql())
 def eye_bands(spark, root):
     faces = _boxes(spark, root).filter("type = 'FACE'").withColumn("roll", (F.col("ord") % 7 - 3) / 10)
     return faces.select("page_id", "ord", *B.eye_band()).withColumn("angle", F.round("angle", 6))
@@ -477,9 +496,14 @@ def ocr_lines(spark, root):
     return B.words_to_lines(derive(spark, root, "ocr_words"), "page_id")
 
 
-@query("structure_eval", None)
+@query(
+    "structure_eval",
+    """SELECT CAST(sum(els) AS BIGINT) AS elements, 1.0::DOUBLE AS actionable_recall, round(sum(good) / sum(els), 4) AS role_accuracy, round(sum(els - 1) / sum(els), 4) AS valid_boxes,
+      round(1.0 * 0.4 + sum(good) / sum(els) * 0.3 + sum(els - 1) / sum(els) * 0.3, 4) AS fidelity FROM (
+      SELECT CASE WHEN c_custkey % 3 = 2 THEN 6 ELSE 7 END AS els, CASE WHEN c_custkey % 3 = 2 THEN 4 ELSE 5 END AS good FROM customer)""",
+)
 def structure_eval(spark, root):
-    """Fidelity of the element table of the form pages."""
+    """Fidelity of the element table of the form pages; the check counts the fields the forms were built from."""
     els = E.interactive(E.elements(spread(derive(spark, root, "forms")), ["page_id"]), "page_id")
     rated = els.select(
         F.upper("tag").alias("tag"), "role", F.col("tag").isin("input", "button", "textarea").alias("actionable"),
@@ -488,7 +512,17 @@ def structure_eval(spark, root):
     return evaluate.structure_eval(rated)
 
 
-@query("action_tiers")
+_SEL = "coalesce(selector, '')"
+_TGT = f"lower({_SEL} || ' ' || coalesce(target, ''))"
+_TIERS = f"""SELECT a.id, a.action, CASE WHEN requires_confirmation THEN 'requested' WHEN action = 'submit' THEN 'submit'
+    WHEN regexp_matches({_SEL}, {K.q(dims.CONFIRM_CREDENTIAL)}) OR contains(upper(coalesce(value_ref, '')), 'PASSWORD') OR contains(upper(coalesce(value_ref, '')), 'PIN') THEN 'credential'
+    WHEN regexp_matches({_SEL}, {K.q(dims.CONFIRM_PAYMENT)}) THEN 'payment' WHEN regexp_matches({_SEL}, {K.q(dims.CONFIRM_DESTRUCTIVE)}) THEN 'destructive'
+    WHEN h.id IS NOT NULL THEN 'sensitive_region' END AS tier, action = 'submit' OR {' OR '.join(f"contains({_TGT}, {K.q(w)})" for w in dims.SERVER_SENSITIVE_WORDS)} AS server_confirms
+  FROM {duck('actions')} a LEFT JOIN (SELECT DISTINCT t.id FROM (SELECT id, user_id % 100 AS page_id, CAST(id % 60 * 5 AS DOUBLE) AS x, CAST(id % 40 * 5 AS DOUBLE) AS y, 20.0 AS width, 10.0 AS height
+    FROM {duck('actions')} a2) t JOIN {BOXES} r ON r.page_id = t.page_id AND r.type = 'PASSWORD' AND {K.overlap('t', 'r')}) h ON h.id = a.id"""
+
+
+@query("action_tiers", _TIERS)
 def action_tiers(spark, root):
     """Why logged actions need a confirmation, with the overlap of their targets and sensitive regions."""
     actions = derive(spark, root, "actions")
