@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hushlake.functions import dims
 from hushlake.functions.text import preview, round_half_up, url_host, url_ok
+from hushlake.operators.ordered import lag_sliced, row_number_sliced
 
 
 def weight(type_: Column) -> Column:
@@ -187,16 +188,18 @@ def enrich(items: DataFrame, types: DataFrame) -> DataFrame:
     return items.join(F.broadcast(types), "type", "left").withColumn("preview", preview(F.col("value")))
 
 
-def payload_maps(items: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def payload_maps(items: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Sanitized payload entries: key of the type, numbered from the second one on, and its placeholder.
 
+    ``order`` is the whole-number position of a detection in its scan.
     Returns one row per entry; ``as_payload_map`` folds them into one map per scan.
     """
     from hushlake.functions.placeholders import choose_placeholder, payload_key
 
     sel = F.col("selector") if "selector" in items.columns else None
     keyed = items.withColumn("base", payload_key(F.col("type"), sel))
-    n = F.row_number().over(Window.partitionBy(*keys, "base").orderBy(*order))
+    keyed = row_number_sliced(keyed, [*keys, "base"], [order], F.floor(F.col(order) / 4096), "n")
+    n = F.col("n")
     entry = F.when(n == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), n.cast("string")))
     return keyed.select(*keys, entry.alias("entry"), choose_placeholder(F.col("type"), F.col("base")).alias("placeholder"))
 
@@ -220,10 +223,11 @@ def audit_rollup(log: DataFrame) -> DataFrame:
 
 
 def navigation_changes(events: DataFrame, tab: str, ts: list[str], url: str) -> DataFrame:
-    """Events at which the address of a tab differs from the one before."""
-    w = Window.partitionBy(tab).orderBy(*ts)
-    before = F.lag(url).over(w)
-    return events.withColumn("previous", before).filter(F.col("previous").isNotNull() & (F.col("previous") != F.col(url)))
+    """Events at which the address of a tab differs from the one before (``ts``: time, then tie-breaks)."""
+    day = F.to_date(ts[0])
+    return lag_sliced(events, [tab], ts, url, day, "previous").filter(
+        F.col("previous").isNotNull() & (F.col("previous") != F.col(url))
+    )
 
 
 def after_last_navigation(events: DataFrame, tab: str, order: list[str], is_nav: Column) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hushlake.functions import checks, dims
 from hushlake.operators import audits, dedupe, evaluate, reports
+from hushlake.operators.ordered import lag_sliced
 from hushlake.plans import sqlkit as K
 from hushlake.plans.registry import query
 from hushlake.sources.derived import derive, duck
@@ -341,11 +342,9 @@ _EDITS = duck("edits")
     f"SELECT conv_id, turn, h AS hash FROM (SELECT conv_id, turn, h, lag(h) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM (SELECT conv_id, turn, {K.fnv1a('text')} AS h FROM {_EDITS} e)) WHERE b IS DISTINCT FROM h",
 )
 def changed_only(spark, root):
-    from pyspark.sql import Window
-
     hashed = spread(derive(spark, root, "edits")).select("conv_id", "turn", checks.fnv1a(F.col("text")).alias("hash"))
-    before = F.lag("hash").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return hashed.withColumn("b", before).filter(~F.col("b").eqNullSafe(F.col("hash"))).drop("b")
+    before = lag_sliced(hashed, ["conv_id"], ["turn"], "hash", F.floor(F.col("turn") / 1024), "b")
+    return before.filter(~F.col("b").eqNullSafe(F.col("hash"))).drop("b")
 
 
 @query("latest_scan", f"SELECT conv_id, scan_id, turn FROM {_EDITS} e QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY scan_id DESC, turn DESC) = 1")

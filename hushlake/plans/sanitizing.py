@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hushlake.functions import catalog as C
@@ -11,6 +10,7 @@ from hushlake.functions import dims
 from hushlake.functions import placeholders as P
 from hushlake.functions import text as X
 from hushlake.operators import audits, redact, reports, spans, verify
+from hushlake.operators.ordered import lag_sliced
 from hushlake.plans import sqlkit as K
 from hushlake.plans.registry import query
 from hushlake.sources.derived import derive, duck
@@ -228,7 +228,7 @@ def _payload_case() -> str:
 )
 def payload_map(spark, root):
     """Entries of the sanitized payload of each scan."""
-    return reports.payload_maps(derive(spark, root, "items"), ["scan_id"], ["ord"])
+    return reports.payload_maps(derive(spark, root, "items"), ["scan_id"], "ord")
 
 
 @query(
@@ -388,8 +388,8 @@ _HASHED = f"(SELECT conv_id, turn, {K.fnv1a('text')} AS hash FROM {duck('edits')
 def needs_reverify(spark, root):
     """Content whose fingerprint differs from the one verified before.  Only the hash is shuffled, not the text."""
     hashed = spread(derive(spark, root, "edits")).select("conv_id", "turn", checks.fnv1a(F.col("text")).alias("hash"))
-    before = F.lag("hash").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return hashed.withColumn("needs_reverify", ~before.eqNullSafe(F.col("hash")))
+    before = lag_sliced(hashed, ["conv_id"], ["turn"], "hash", F.floor(F.col("turn") / 1024), "before")
+    return before.withColumn("needs_reverify", ~F.col("before").eqNullSafe(F.col("hash"))).drop("before")
 
 
 _CLEAN = "regexp_replace(text, '[\"\\\\\\n]', ' ', 'g')"
