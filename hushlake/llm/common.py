@@ -63,17 +63,18 @@ def _share(doc_id: Column, seed: int) -> Column:
 
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_bytes: int, seed: int = 7,
-) -> list[tuple[str, int]]:
-    """At most about ``per_class`` whole texts for each label value, as (text, label) in a fixed order.
+) -> tuple[list[tuple[str, object]], dict]:
+    """At most about ``per_class`` whole texts for each label value, as (text, label) in a fixed order; and how many
+    labelled ids each value has in all.
 
     ``labels`` (doc_id, label) holds the rows that may be learned from.  Rows without id, label or text are
     left out, and so are texts of more than ``max_bytes`` bytes: the sample is at most
-    2 * per_class * max_bytes bytes, usually a few per cent of that.  A doc_id with several labels counts once, by the
+    per_class * max_bytes bytes for each value, usually a few per cent of that.  A doc_id with several labels counts once, by the
     largest.  Only the ids are drawn first; then the documents are joined to that bounded list.
     """
     known = (
         labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
-        .groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+        .groupBy("doc_id").agg(F.max(label).alias("label"))
     )
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     rate = F.lit(0.0)
@@ -82,7 +83,7 @@ def labelled_sample(
     drawn = known.filter(_share(F.col("doc_id"), seed) < rate)
     rows = (
         docs.select("doc_id", "text").filter(F.octet_length("text") <= max_bytes)
-        .join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"])
-        .collect()
+        .join(F.broadcast(drawn), "doc_id").collect()
     )
-    return [(r["text"], r["label"]) for r in sorted(rows, key=lambda r: str(r["doc_id"]))]
+    first = {(r["doc_id"], r["text"]): r["label"] for r in rows}
+    return [(text, first[key, text]) for key, text in sorted(first, key=str)], sizes
