@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language, line_dedup, ngram_join, packing, quality, toxicity
+from . import decontaminate, exact_dedup, katz, language, line_dedup, ngram_join, packing, quality, toxicity
 from .common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,6 +76,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.shingle_components(table(spark, sf_dir, "documents"))
 
 
+@query("op8_language_model")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_documents(table(spark, sf_dir, "documents"), fold("doc_id", 7) == 2)
+
+
 @query("op9_line_dedup", line_dedup.LINE_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
