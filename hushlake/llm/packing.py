@@ -75,7 +75,7 @@ class WordTokenizer:
             distinct = set(words)
             if len(self.known) + len(distinct) > CACHED_WORDS:
                 self.known.clear()
-            self.learn(distinct - self.known.keys())
+            self.learn({w for w in distinct if w not in self.known})
             return b"".join(map(self.known.__getitem__, words))
 
 
