@@ -1,8 +1,70 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences: five stages, each written and read again."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hushlake.llm import decontaminate, line_dedup, ngram_join, packing, toxicity
+from hushlake.llm.common import fold, stored, table
+from hushlake.llm.queries import tokenizer_path
+
+#: A document with this score or more is toxic.
+TOXIC = 0.3
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model does not reject.  Rows without text or id are scored like any other."""
+    labels = table(spark, sf_dir, "labels").filter(fold("doc_id", 4) != 2)
+    model = toxicity.fit_toxicity(docs, labels)
+    return docs.filter(toxicity.toxicity_score(model, F.col("text")) < TOXIC)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that recur across them; n_chars follows the text."""
+    cleaned = line_dedup.drop_recurring_lines(docs).select(*docs.columns)
+    if "n_chars" not in docs.columns:
+        return cleaned
+    return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links connect, the one with the smallest id.
+
+    Documents without words stay, and so do rows without an id.  Rows that share an id are one document.
+    """
+    groups = ngram_join.shingle_components(docs)
+    others = groups.filter("n_shingles > 0 AND doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(stored(others, "others"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no window with the benchmark.  The decision belongs to the text, so ids don't matter."""
+    keyed = docs.select(F.sha2("text", 256).alias("key"), "text")
+    found = decontaminate.find_contamination(keyed, table(spark, sf_dir, "benchmark"), id_col="key")
+    leaks = stored(found.filter("n_hit > 0").select(F.col("doc_id").alias("__key")).distinct(), "leaks")
+    whole = docs.withColumn("__key", F.sha2("text", 256))
+    return whole.join(leaks, "__key", "left_anti").select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences with their token ids."""
+    return packing.pack_documents(docs, tokenizer_path())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_lines),
+    ("ngram_join", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("packing", pack),
+]
+#: The first stage is a learned model and the last needs a tokenizer's vocabulary: SQL has neither.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -66,8 +66,8 @@ def recurring_templates(lines: DataFrame, min_docs: int, min_spread: float, shor
     """Keys of recurring templates, from (k1, k2, line)."""
     total = lines.select("k1").distinct().agg(F.count("*").alias("texts"))
     each = (
-        lines.select("k1", "line.n", "line.context", F.explode("line.keys").alias("key"))
-        .groupBy("k1", "key").agg(F.min("context").alias("context"), F.min("n").alias("n"))
+        lines.select("k1", "line.pos", "line.n", "line.context", F.explode("line.keys").alias("key"))
+        .groupBy("k1", "key").agg(F.min_by("context", "pos").alias("context"), F.min("n").alias("n"))
     )
     counts = (
         each.groupBy("key", "context").agg(F.count("*").alias("docs"), F.min("n").alias("n"))
@@ -87,7 +87,8 @@ def drop_recurring_lines(
     """``docs`` with recurring lines taken out of ``text_col``, plus n_lines and n_dropped.
 
     A template recurs when at least ``min_docs`` different texts hold it, between at least ``min_docs``
-    different pairs of neighbouring lines and at least ``min_spread`` times as many as texts.  Lines of fewer
+    different pairs of neighbouring lines and at least ``min_spread`` times as many as texts; in each text its
+    first place counts.  Lines of fewer
     than ``short_tokens`` tokens also meet by chance, so they need ``short_docs`` texts and a share of
     ``short_share`` of all; lines of fewer than ``min_tokens`` tokens always stay.
 
@@ -135,7 +136,7 @@ WITH d AS (
     ELSE ['0 ' || array_to_string(t, ' ')] END) AS key
   FROM c WHERE n >= 2
 ), e AS (
-  SELECT text, key, min(context) AS context, count(DISTINCT context) AS many, min(n) AS n FROM k GROUP BY text, key
+  SELECT text, key, arg_min(context, pos) AS context, min(n) AS n FROM k GROUP BY text, key
 ), s AS (
   SELECT key, count(*) AS docs, count(DISTINCT context) AS contexts, min(n) AS n FROM e GROUP BY key
 ), total AS (SELECT count(DISTINCT text) AS texts FROM k
