@@ -185,11 +185,12 @@ def test_language(spark, odd, none):
 def test_counterfactual_penalty(spark, odd, none):
     rng = random.Random(5)
     noise = [f"w{chr(97 + i)}{chr(97 + i)}" for i in range(26)]
+    slurs = [f"{chr(97 + i)}{chr(120 - i)}bad" for i in range(20)]
     sample = []
     for i in range(400):
         words = rng.sample(noise, 6)
         if i % 2:
-            words += ["muslims", "vile"] if rng.random() < 0.8 else ["muslims", "scum"]
+            words += ["muslims", rng.choice(slurs)]
         elif rng.random() < 0.05:
             words += ["muslims"]
         elif rng.random() < 0.3:
@@ -200,7 +201,7 @@ def test_counterfactual_penalty(spark, odd, none):
     held = toxicity.ToxicityModel(sample, penalty=10.0, l1=1e-3)
     assert held.score(neutral) < 0.5 < free.score(neutral)
     assert abs(held._weight("muslims") - held._weight("christians")) < 0.1 * abs(free._weight("muslims") - free._weight("christians"))
-    assert held.score("vile muslims") > 0.5 > held.score("christians and " + noise[0])
+    assert held.score(f"{slurs[0]} {slurs[1]} muslims") > 0.5 > held.score("christians and " + noise[0])
     assert held.score(None) == held.score("") == held.score("?")
     assert len(toxicity.ToxicityModel([]).weights) == 0
     scores = odd.select(toxicity.toxicity_score(held, F.col("text")).alias("s")).collect()
