@@ -19,10 +19,11 @@ def once(value: Column) -> Column:
     """Keep the optimizer from copying an expensive column into filters that it pushes down.
 
     A filter on a derived column is normally pushed below the projection with the whole
-    expression inlined, which would evaluate it twice per row.  Nothing is pushed through a
-    projection that draws a random number, and the value itself does not depend on it.
+    expression inlined, which would evaluate it twice per row.  A generator of one row is a
+    barrier for that column alone: filters on its output stay above it, filters on other columns
+    (keys, dates) still reach the scan.  To be used as a whole column of ``select`` or ``withColumn``.
     """
-    return F.when(F.rand(0) + 1 > 0, value)
+    return F.explode_outer(F.array(value))
 
 
 def preview(value: Column, n: int = 40, mark: str = ELLIPSIS) -> Column:

@@ -6,12 +6,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from hushlake.functions import dims
+from hushlake.functions.text import once
 from hushlake.operators import boxes as B
-from hushlake.operators.redact import replace_values, sanitize_nested
-from hushlake.operators.spans import with_spans
+from hushlake.operators.redact import replace_values
+from hushlake.operators.spans import value_items, with_spans
 
 
 def _any(conds: list[Column]) -> Column:
@@ -126,41 +126,47 @@ def form_payload(fields: DataFrame, items: DataFrame, scan: str) -> DataFrame:
     )
 
 
-# Stands between the strings of a record when they are scanned as one text: no pattern
-# reaches across it, neither by blanks nor by looking ahead on the line.
-FIELD_BREAK = "\n\x00\n"
+# A JSON string with its quotes.
+JSON_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 
 
-def _strings(c: Column, dt: T.DataType) -> list[Column]:
-    """All strings of a value, as arrays, along its schema."""
-    if isinstance(dt, T.StringType):
-        return [F.array(c)]
-    if isinstance(dt, T.StructType):
-        return [a for f in dt.fields for a in _strings(c[f.name], f.dataType)]
-    if isinstance(dt, T.ArrayType) and isinstance(dt.elementType, T.StringType):
-        return [c]
-    if isinstance(dt, T.MapType) and isinstance(dt.valueType, T.StringType):
-        return [F.map_values(c)]
-    return []
+def repair_bodies(requests: DataFrame, body: str = "body") -> DataFrame:
+    """Request bodies of any shape: an unsafe body is replaced by its sanitized form and flagged.
 
-
-def repair_bodies(requests: DataFrame, schema: str, body: str = "body") -> DataFrame:
-    """JSON request bodies: an unsafe body is replaced by its sanitized form and flagged.
-
-    The strings of a body are scanned after decoding, so a value never swallows the JSON
-    around it.  Adds ``blocked`` and ``sent_body``.  A body that is not JSON is sanitized as
-    text.
+    Adds ``blocked``, ``held`` and ``sent_body``.  Every string of a JSON body is decoded, scanned for itself and
+    written back in its place, so unknown fields, arrays, numbers and layout stay as they were.  What
+    cannot be replaced holds the body back (``held``, ``sent_body`` NULL): a hit in a key or outside the strings,
+    or a value that is still there afterwards.  A body that is not JSON is sanitized as text; a
+    NULL body stays NULL.
     """
-    parsed = requests.withColumn("__json", F.when(F.try_parse_json(body).isNotNull(), F.from_json(body, schema)))
-    leaves = _strings(F.col("__json"), parsed.schema["__json"].dataType)
-    empty = F.expr("cast(array() as array<string>)")
-    joined = F.array_join(F.array_compact(F.concat(*[F.coalesce(a, empty) for a in leaves])), FIELD_BREAK)
-    scanned = parsed.withColumn("__text", F.when(F.col("__json").isNotNull(), joined).otherwise(F.col(body)))
-    found = with_spans(scanned, "__text", "__items")
-    fixed = sanitize_nested(found, "__items", ["__json"])
-    unsafe = F.size("__items") > 0
+    strings = F.regexp_extract_all(body, F.lit(JSON_STRING), F.lit(0))
+    work = requests.withColumn("__text", F.when(F.try_parse_json(body).isNull(), F.col(body)))
+    work = work.withColumn("__between", F.when(F.col("__text").isNull(), F.split(body, JSON_STRING, -1)))
+    decoded = F.transform(strings, lambda s: F.get(F.from_json(F.concat(F.lit("["), s, F.lit("]")), "array<string>"), F.lit(0)))
+    work = work.withColumn("__strings", once(F.when(F.col("__text").isNull(), decoded)))
+    work = work.withColumn("__items", once(F.transform("__strings", lambda s: value_items(s))))
+    work = with_spans(work, "__text", "__text_items")
+
+    def one(s: Column, i: Column) -> Column:
+        items = F.get("__items", i)
+        return F.when(F.size(items) > 0, replace_values(s, items)).otherwise(s)
+
+    work = work.withColumn("__fixed", once(F.transform("__strings", one)))
+    is_key = lambda i: F.coalesce(F.get("__between", i + 1).rlike(r"^\s*:"), F.lit(False))
+    kept = F.exists(F.transform("__items", lambda x, i: (F.size(x) > 0) & (
+        is_key(i) | F.exists(x, lambda s: F.get("__fixed", i).contains(s["value"]))
+    )), lambda b: b)
+    outside = F.exists("__between", lambda g: F.size(value_items(g)) > 0)
+    json_hit = F.exists("__items", lambda x: F.size(x) > 0)
+    work = work.withColumn("held", F.coalesce(kept | outside, F.lit(False)))
+    quoted = F.transform("__fixed", lambda s: F.to_json(F.array(s)))
+    original = F.regexp_extract_all(body, F.lit(JSON_STRING), F.lit(0))
+    written = F.transform(quoted, lambda q, i: F.when(F.size(F.get("__items", i)) > 0, q.substr(F.lit(2), F.length(q) - 2)).otherwise(F.get(original, i)))
+    sent_json = F.array_join(F.transform("__between", lambda g, i: F.concat(g, F.coalesce(F.get(written, i), F.lit("")))), "")
+    text_hit = F.coalesce(F.size("__text_items"), F.lit(0)) > 0
+    blocked = F.coalesce(json_hit, F.lit(False)) | text_hit | F.col("held")
     sent = (
-        F.when(unsafe & F.col("__json").isNotNull(), F.to_json("__json"))
-        .when(unsafe, replace_values(F.col(body), F.col("__items"))).otherwise(F.col(body))
+        F.when(F.col("held"), F.lit(None)).when(text_hit, replace_values(F.col(body), F.col("__text_items")))
+        .when(F.coalesce(json_hit, F.lit(False)), sent_json).otherwise(F.col(body))
     )
-    return fixed.select(*requests.columns, unsafe.alias("blocked"), sent.alias("sent_body"))
+    return work.select(*requests.columns, blocked.alias("blocked"), "held", sent.alias("sent_body"))

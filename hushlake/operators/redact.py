@@ -135,9 +135,10 @@ def sanitize_outgoing(df: DataFrame, text: str, when: Column, out: str = "saniti
 
 
 def sanitize_nested(df: DataFrame, items: str, columns: list[str] | None = None) -> DataFrame:
-    """Replace values in every string of the given columns: structs, arrays of strings, maps.
+    """Replace values in every string of the given columns: structs, arrays and maps, however they are nested.
 
-    The walk follows the schema, so the work stays in column expressions.
+    The walk follows the schema, so the work stays in column expressions.  Map keys stay as they are.
+    A column of a type whose strings cannot be reached along the schema (variant, binary) is an error.
     """
     it = F.col(items)
 
@@ -147,10 +148,12 @@ def sanitize_nested(df: DataFrame, items: str, columns: list[str] | None = None)
         if isinstance(dt, T.StructType):
             inner = F.struct(*[walk(c[f.name], f.dataType).alias(f.name) for f in dt.fields])
             return F.when(c.isNotNull(), inner)
-        if isinstance(dt, T.ArrayType) and isinstance(dt.elementType, T.StringType):
+        if isinstance(dt, T.ArrayType):
             return F.transform(c, lambda x: walk(x, dt.elementType))
-        if isinstance(dt, T.MapType) and isinstance(dt.valueType, T.StringType):
+        if isinstance(dt, T.MapType):
             return F.transform_values(c, lambda k, v: walk(v, dt.valueType))
+        if isinstance(dt, (T.VariantType, T.BinaryType)):
+            raise TypeError(f"the strings of a {dt.simpleString()} column cannot be replaced")
         return c
 
     names = columns or [f.name for f in df.schema.fields if f.name != items]

@@ -82,6 +82,49 @@ def _grouped_spans(text: str, hits: str, pattern: str, group: int, type_: str, c
     return _fold(pairs, gaps, "h.m", start, value, type_, confidence, ord_)
 
 
+#: The generic key rule: a long token counts if one of these words follows on its line.
+KEY_WORDS = "key|token|secret|api|access|auth"
+_BREAKS = r"[\n\r\x{2028}\x{2029}]"
+
+
+def _key_spans(text: Column, d: C.Detector, ord_: int) -> Column:
+    """Spans of the generic key rule, in time linear in the text.
+
+    A token has to end before the last keyword of its line.  So each line is cut there, and back to the
+    previous boundary where that is inside a word; what is left is searched for long tokens.
+    """
+    long_token = r"\b[A-Za-z0-9_\-]{20,}(?:\b|\z)"
+
+    def in_line(line: Column) -> Column:
+        before = F.regexp_extract(line, rf"(?i)^(.*)(?:{KEY_WORDS})", 1)
+        return F.regexp_replace(before, r"(?<![A-Za-z0-9_])[A-Za-z0-9_]++\z", "")
+
+    def placed(head: Column, base: Column) -> Column:
+        hits = F.regexp_extract_all(head, F.lit(long_token), F.lit(0))
+        pairs = F.zip_with(F.slice(F.split(head, long_token, -1), 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("g"), h.alias("h")))
+
+        def step(a: Column, z: Column) -> Column:
+            start = a["pos"] + F.length(z["g"])
+            span = F.struct(
+                start.alias("start"), (-F.length(z["h"])).alias("neg_len"), F.lit(ord_).alias("ord"), F.lit(d.type).alias("type"),
+                z["h"].alias("value"), F.lit(float(d.confidence)).alias("confidence"),
+            )
+            return F.struct((start + F.length(z["h"])).alias("pos"), F.concat(a["out"], F.array(span)).alias("out"))
+
+        return F.aggregate(pairs, F.struct(base.alias("pos"), F.expr(NO_SPANS).alias("out")), step, lambda a: a["out"])
+
+    def next_line(a: Column, line: Column) -> Column:
+        found = F.when(
+            line.rlike(rf"(?i){KEY_WORDS}") & line.rlike(r"[A-Za-z0-9_\-]{20}"),
+            F.concat(a["out"], F.flatten(F.transform(F.array(in_line(line)), lambda head: placed(head, a["base"])))),
+        ).otherwise(a["out"])
+        return F.struct((a["base"] + F.length(line) + 1).alias("base"), found.alias("out"))
+
+    return F.aggregate(
+        F.split(text, _BREAKS, -1), F.struct(F.lit(0).alias("base"), F.expr(NO_SPANS).alias("out")), next_line, lambda a: a["out"],
+    )
+
+
 def _valid(text: Column, check: str):
     """The check of one detector on a placed span."""
 
@@ -141,10 +184,12 @@ def with_spans(
 
     hit_cols, span_cols, prompt_cols = [], [], []
     for i, d in chosen:
-        hits = F.regexp_extract_all(t, F.lit(d.java), F.lit(0))
+        generic = d.check == "not_a_name"
+        hits = _key_spans(t, d, i) if generic else F.regexp_extract_all(t, F.lit(d.java), F.lit(0))
         guard = _anchor(t, d.anchor)
+        guard = guard & t.rlike(rf"(?i){KEY_WORDS}") if generic else guard
         hit_cols.append((hits if guard is None else F.when(guard, hits)).alias(f"__h{i}"))
-        placed = _whole_spans(name, f"__h{i}", d, i)
+        placed = F.col(f"__h{i}") if generic else _whole_spans(name, f"__h{i}", d, i)
         if d.check:
             placed = F.filter(placed, _valid(t, d.check))
         span_cols.append(F.when(F.size(f"__h{i}") > 0, placed))
@@ -167,6 +212,42 @@ def with_spans(
     return staged.select(*keep, once(F.concat(*parts)).alias(out))
 
 
+def _valid_value(text: Column, check: str):
+    keep = _valid(text, check)
+    return lambda v: keep({"value": v})
+
+
+def _item(type_: str):
+    return lambda v: F.struct((-F.length(v)).alias("neg_len"), F.lit(type_).alias("type"), v.alias("value"))
+
+
+def value_items(x: Column, detectors: tuple[C.Detector, ...] = C.CATALOG) -> Column:
+    """Matches of one string as (neg_len, type, value), in catalogue order, without offsets.
+
+    An expression of the string alone, so it can be used inside ``transform`` on the strings of a
+    nested value: no string is ever scanned together with its neighbours.
+    """
+    shared = {C.DIGITS: "[0-9]{4}", C.CAPITALS: "[A-Z]{4}", C.LONG_RUN: r"[\w\-]{20}"}
+    none = F.expr("cast(array() as array<struct<neg_len:int,type:string,value:string>>)")
+    parts = []
+    for i, d in enumerate(detectors):
+        if d.check == "not_a_name":
+            spans = F.filter(_key_spans(x, d, i), _valid(x, d.check))
+            values = F.transform(spans, lambda s: s["value"])
+        else:
+            values = F.regexp_extract_all(x, F.lit(d.java), F.lit(0))
+            if d.check:
+                values = F.filter(values, _valid_value(x, d.check))
+        values = F.filter(values, lambda v: ~checks.allowlisted(v, None))
+        items = F.transform(values, _item(d.type))
+        guard = None
+        for a in d.anchor:
+            c = x.rlike(shared[a]) if a in shared else F.lower(x).contains(a[6:]) if a.startswith("lower:") else x.contains(a)
+            guard = c if guard is None else guard | c
+        parts.append(items if guard is None else F.when(guard, items).otherwise(none))
+    return F.concat(*parts)
+
+
 def _prompt_keep(strong: bool):
     def keep(s: Column) -> Column:
         v = s["value"]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hushlake.functions import catalog as C
 from hushlake.functions.dims import EXCLUDED_CONTEXTS
 from hushlake.functions.text import leak_preview, once, trim_spaces, url_ok, url_query
-from hushlake.operators.spans import with_spans
+from hushlake.operators.spans import value_items, with_spans
 
 VALUE_ATTRIBUTE = r"""(?i)value=["'][^"'\s\[\]]+["']"""
 
@@ -44,15 +44,20 @@ def policy_violations(df: DataFrame, key: str) -> DataFrame:
     """Adds ``violations`` (ordered) and ``safe`` to outgoing payloads.
 
     Expects ``dom``, ``labels`` (array of selector/label structs), ``ocr``, ``task``,
-    ``url`` and ``unredacted`` (number of sensitive regions without redaction).  All checks but
-    the one of the labels read one row and add no shuffle; labels are exploded, and only the
-    labels that leak come back to their payload.
+    ``url`` and ``unredacted`` (number of sensitive regions without redaction).  All checks read
+    one row, labels included, and add no shuffle; ``key`` is carried along, may repeat and may be NULL.
     """
     work = df.withColumn("__query", F.when(url_ok(F.col("url")), url_query(F.col("url"))))
     work = work.withColumn("__ocr", trim_spaces(F.col("ocr")))
     for col in ("dom", "ocr", "task", "__query"):
         work = with_spans(work, col, f"__{col}_spans")
-    joined = _with_label_violations(work, key)
+
+    def label_violation(n: Column) -> Column:
+        first = F.get(value_items(n["label"]), F.lit(0))["type"]
+        return F.concat(F.lit("Raw "), first, F.lit(" found in accessibility label for selector "), n["selector"])
+
+    long_labels = F.filter("labels", lambda n: F.length(n["label"]) > 4)
+    labels = F.filter(F.transform(long_labels, label_violation), lambda m: m.isNotNull())
 
     none = F.expr("cast(array() as array<string>)")
     unredacted = F.when(
@@ -89,26 +94,11 @@ def policy_violations(df: DataFrame, key: str) -> DataFrame:
             )
         ),
     )
-    parts = [unredacted, dom, attr, F.col("__label_violations"), ocr, task, query]
-    out = joined.withColumn("violations", once(F.concat(*[F.coalesce(p, none) for p in parts])))
+    parts = [unredacted, dom, attr, labels, ocr, task, query]
+    out = work.withColumn("violations", once(F.concat(*[F.coalesce(p, none) for p in parts])))
     return out.select(*df.columns, "violations", (F.size("violations") == 0).alias("safe"))
 
 
-def _with_label_violations(df: DataFrame, key: str) -> DataFrame:
-    labels = df.select(key, F.posexplode("labels").alias("__pos", "n")).filter(F.length("n.label") > 4)
-    labels = labels.select(key, "__pos", F.col("n.selector").alias("selector"), F.col("n.label").alias("label"))
-    hits = with_spans(labels, "label", "s").filter(F.size("s") > 0)
-    message = F.concat(
-        F.lit("Raw "), F.get("s", F.lit(0))["type"], F.lit(" found in accessibility label for selector "), "selector"
-    )
-    per = hits.groupBy(key).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("__pos", message.alias("m")))), lambda x: x["m"]
-        ).alias("__label_violations")
-    )
-    return df.join(per, key, "left")
-
-
 VIOLATION_TYPES = [
     (r"(?i)email", "EMAIL"),
     (r"(?i)aadhaar", "AADHAAR"),
@@ -144,14 +134,15 @@ def fail_closed(df: DataFrame, safe: str = "safe") -> DataFrame:
 def residual_check(df: DataFrame, redacted: str, spans: str) -> DataFrame:
     """Adds ``originals_left``, ``residuals`` and ``verified`` to redacted texts.
 
-    Verified means: no original value is left, and a fresh scan with all rules finds nothing.
+    Verified means: there is a text, no original value is left in it, and a fresh scan with all rules finds
+    nothing.
     """
     again = with_spans(df, redacted, "__again", prompt_rules=True)
     left = F.size(F.filter(spans, lambda s: F.col(redacted).contains(s["value"])))
     return (
         again.withColumn("originals_left", left.cast("long"))
         .withColumn("residuals", F.size("__again").cast("long"))
-        .withColumn("verified", (F.col("originals_left") == 0) & (F.col("residuals") == 0))
+        .withColumn("verified", F.col(redacted).isNotNull() & F.coalesce((F.col("originals_left") == 0) & (F.col("residuals") == 0), F.lit(False)))
         .drop("__again")
     )
 

@@ -10,7 +10,7 @@ from hushlake.operators.ordered import lag_sliced
 from hushlake.plans import sqlkit as K
 from hushlake.plans.registry import query
 from hushlake.sources.derived import derive, duck
-from hushlake.sources.tables import spread, table
+from hushlake.sources.tables import table
 from hushlake.streaming import streams
 
 ITEMS = duck("items")
@@ -342,7 +342,7 @@ _EDITS = duck("edits")
     f"SELECT conv_id, turn, h AS hash FROM (SELECT conv_id, turn, h, lag(h) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM (SELECT conv_id, turn, {K.fnv1a('text')} AS h FROM {_EDITS} e)) WHERE b IS DISTINCT FROM h",
 )
 def changed_only(spark, root):
-    hashed = spread(derive(spark, root, "edits")).select("conv_id", "turn", checks.fnv1a(F.col("text")).alias("hash"))
+    hashed = derive(spark, root, "edits").select("conv_id", "turn", checks.fnv1a(F.col("text")).alias("hash"))
     before = lag_sliced(hashed, ["conv_id"], ["turn"], "hash", F.floor(F.col("turn") / 1024), "b")
     return before.filter(~F.col("b").eqNullSafe(F.col("hash"))).drop("b")
 

@@ -14,7 +14,7 @@ from hushlake.operators.ordered import lag_sliced
 from hushlake.plans import sqlkit as K
 from hushlake.plans.registry import query
 from hushlake.sources.derived import derive, duck
-from hushlake.sources.tables import spread, table, texts
+from hushlake.sources.tables import table, texts
 
 CORPUS = duck("corpus")
 NOTES = duck("notes")
@@ -306,7 +306,7 @@ _VERDICT = (
 def _judged(spark, root):
     payloads = derive(spark, root, "payloads")
     label = F.array(F.struct(F.lit("#l").alias("selector"), F.col("label").alias("label")))
-    return verify.policy_violations(spread(payloads).withColumn("labels", label).drop("label"), "payload_id")
+    return verify.policy_violations(payloads.withColumn("labels", label).drop("label"), "payload_id")
 
 
 @query("policy_eval", f"{_WITH_PAY} SELECT payload_id, violations, safe FROM {_VERDICT}")
@@ -387,7 +387,7 @@ _HASHED = f"(SELECT conv_id, turn, {K.fnv1a('text')} AS hash FROM {duck('edits')
 )
 def needs_reverify(spark, root):
     """Content whose fingerprint differs from the one verified before.  Only the hash is shuffled, not the text."""
-    hashed = spread(derive(spark, root, "edits")).select("conv_id", "turn", checks.fnv1a(F.col("text")).alias("hash"))
+    hashed = derive(spark, root, "edits").select("conv_id", "turn", checks.fnv1a(F.col("text")).alias("hash"))
     before = lag_sliced(hashed, ["conv_id"], ["turn"], "hash", F.floor(F.col("turn") / 1024), "before")
     return before.withColumn("needs_reverify", ~F.col("before").eqNullSafe(F.col("hash"))).drop("before")
 
@@ -398,17 +398,20 @@ _BODY = f"(SELECT doc_id, doc_id % 5 = 0 AS plain, CASE WHEN doc_id % 5 = 0 THEN
 
 @query(
     "sanitize_bodies",
-    "SELECT b.doc_id, r.n > 0 AS blocked, CASE WHEN b.plain THEN r.sanitized ELSE '{\"prompt\":\"' || r.sanitized || '\",\"n\":\"1\"}' END AS sent_body"
+    "SELECT b.doc_id, r.n > 0 AS blocked, CASE WHEN b.plain THEN r.sanitized WHEN b.doc_id % 5 = 1 THEN"
+    " '{\"model\":\"m\",\"messages\":[{\"role\":\"user\",\"content\":\"' || r.sanitized || '\"}],\"keep\":7}' ELSE '{\"prompt\":\"' || r.sanitized || '\",\"n\":\"1\"}' END AS sent_body"
     f" FROM {_BODY} b JOIN {K.replaced(_BODY, K.spans(_BODY))} r USING (doc_id)",
 )
 def sanitize_bodies(spark, root):
-    """Request bodies: unsafe JSON is rewritten field by field, other unsafe text as a whole."""
+    """Request bodies: unsafe JSON is rewritten string by string, other unsafe text as a whole."""
     notes = derive(spark, root, "notes")
     clean = F.regexp_replace("text", r'["\\\n]', " ")
-    body = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("plain: "), "text")).otherwise(
+    message = F.struct(F.lit("user").alias("role"), clean.alias("content"))
+    chat = F.to_json(F.struct(F.lit("m").alias("model"), F.array(message).alias("messages"), F.lit(7).alias("keep")))
+    body = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("plain: "), "text")).when(F.col("doc_id") % 5 == 1, chat).otherwise(
         F.to_json(F.struct(clean.alias("prompt"), F.lit("1").alias("n")))
     )
-    fixed = audits.repair_bodies(notes.select("doc_id", body.alias("body")), "prompt string, n string")
+    fixed = audits.repair_bodies(notes.select("doc_id", body.alias("body")))
     return fixed.select("doc_id", "blocked", "sent_body")
 
 

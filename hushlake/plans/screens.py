@@ -10,7 +10,7 @@ from hushlake.operators import audits, boxes as B, context as C, dedupe, element
 from hushlake.plans import sqlkit as K
 from hushlake.plans.registry import query
 from hushlake.sources.derived import derive, duck
-from hushlake.sources.tables import spread, table
+from hushlake.sources.tables import table
 
 VISITS = duck("visits")
 PARTS = K.url_parts(VISITS)
@@ -165,7 +165,7 @@ def search_intent(spark, root):
 def _both(spark, root):
     pages = table(spark, root, "pages").select("page_id", "html")
     forms = derive(spark, root, "forms").select((F.col("page_id") + 1000000).alias("page_id"), "html")
-    return spread(pages.unionByName(forms))
+    return pages.unionByName(forms)
 
 
 @query("page_text_nodes")
@@ -208,7 +208,7 @@ _FIELD_SQL = """SELECT c_custkey AS page_id, 'EMAIL' AS type, 'cust' || CAST(c_c
 @query("detect_fields", _FIELD_SQL)
 def detect_fields(spark, root):
     """Detections that follow from form fields; the check knows the fields the forms were built from."""
-    nodes = E.scannable(E.elements(spread(derive(spark, root, "forms")), ["page_id"]))
+    nodes = E.scannable(E.elements(derive(spark, root, "forms"), ["page_id"]))
     return E.detect_fields(nodes, ["page_id"]).select("page_id", "type", "value", "selector")
 
 
@@ -504,7 +504,7 @@ def ocr_lines(spark, root):
 )
 def structure_eval(spark, root):
     """Fidelity of the element table of the form pages; the check counts the fields the forms were built from."""
-    els = E.interactive(E.elements(spread(derive(spark, root, "forms")), ["page_id"]), "page_id")
+    els = E.interactive(E.elements(derive(spark, root, "forms"), ["page_id"]), "page_id")
     rated = els.select(
         F.upper("tag").alias("tag"), "role", F.col("tag").isin("input", "button", "textarea").alias("actionable"),
         F.lit(10.0).alias("width"), F.when(F.col("tag") == "form", 0.0).otherwise(5.0).alias("height"),

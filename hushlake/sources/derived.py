@@ -11,7 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from hushlake.functions.text import once
-from hushlake.sources.tables import spread, table
+from hushlake.sources.tables import table
 
 _K = "o_orderkey"
 _H = f"md5(CAST({_K} AS STRING))"
@@ -234,8 +234,6 @@ def derive(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A derived table as a DataFrame; nothing is computed before it is used."""
     sql = SQL[name]
     inputs = {t: table(spark, root, t) for t in set(_TABLES.findall(sql))}
-    if name in ("notes", "corpus"):
-        inputs = {t: spread(df) for t, df in inputs.items()}
     out = spark.sql(sql, **inputs)
     return out.withColumn("text", once(out["text"])) if name in ("notes", "corpus") else out
 

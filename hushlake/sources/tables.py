@@ -10,19 +10,7 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a CPU-heavy text scan a task per core when the input has fewer files than cores.
-
-    A large lake has far more files than cores and passes unchanged, so no shuffle is added
-    where it would cost anything.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
-        return df
-    return df.repartition(cores)
-
-
 def texts(spark: SparkSession, root: str, name: str = "documents", columns: list[str] | None = None) -> DataFrame:
     """Text table with only the columns a scan needs."""
     df = table(spark, root, name)
-    return spread(df.select(*columns) if columns else df)
+    return df.select(*columns) if columns else df

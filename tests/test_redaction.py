@@ -98,6 +98,65 @@ def test_request_bodies(spark):
 
     rows = [(1, '{"prompt":"mail a@b.example.com","n":"1"}'), (2, '{"prompt":"fine","n":"1"}'), (3, "text a@b.example.com")]
     out = {r["id"]: (r["blocked"], r["sent_body"]) for r in repair_bodies(
-        spark.createDataFrame(rows, "id long, body string"), "prompt string, n string").collect()}
+        spark.createDataFrame(rows, "id long, body string")).collect()}
     assert out[1] == (True, '{"prompt":"mail YOUR_EMAIL","n":"1"}')
     assert out[2] == (False, rows[1][1]) and out[3] == (True, "text YOUR_EMAIL")
+
+
+def test_request_bodies_of_any_shape(spark):
+    from hushlake.operators.audits import repair_bodies
+
+    mail = "joe@corp.example.com"
+    bodies = {
+        "unknown field": '{"prompt":"hi","other":"mail %s"}' % mail,
+        "kept fields": '{"prompt":"mail %s", "keep":7, "e": 1.50, "z": null}' % mail,
+        "messages": '{"messages":[{"role":"user","content":"a \\"quoted\\" %s\\n"},{"role":"system","content":"fine"}]}' % mail,
+        "two fields": '{"prompt":"apiKey: \\"abc","n":"hello there\\" x"}',
+        "number": '{"card": 4111111111111111}', "key": '{"%s": 1}' % mail, "clean": '[1, "two", {"x": []}]', "null": None,
+    }
+    frame = spark.createDataFrame(list(bodies.items()), "id string, body string")
+    out = {r["id"]: (r["blocked"], r["held"], r["sent_body"]) for r in repair_bodies(frame).collect()}
+    assert out["unknown field"] == (True, False, '{"prompt":"hi","other":"mail YOUR_EMAIL"}')
+    assert out["kept fields"] == (True, False, '{"prompt":"mail YOUR_EMAIL", "keep":7, "e": 1.50, "z": null}')
+    assert out["messages"] == (True, False, bodies["messages"].replace(mail, "YOUR_EMAIL"))
+    assert out["two fields"] == (False, False, bodies["two fields"])
+    assert out["number"] == out["key"] == (True, True, None)
+    assert out["clean"] == (False, False, bodies["clean"]) and out["null"] == (False, False, None)
+
+
+def test_policy_reads_labels_in_the_row(spark):
+    schema = "key string, dom string, labels array<struct<selector:string,label:string>>, ocr string, task string, url string, unredacted long"
+    rows = [
+        (None, "", [("#a", "mail a@b.example.com")], "", "", "https://x.example.com", 0),
+        ("k", "", [("#a", "nothing here"), ("#b", "mail a@b.example.com"), ("#c", "x@y.example.com")], "", "", "", 0), ("k", "", [], "", "", "", 0), ("k", "", None, None, None, None, None),
+    ]
+    out = verify.policy_violations(spark.createDataFrame(rows, schema), "key")
+    got = [(r["key"], list(r["violations"]), r["safe"]) for r in out.collect()]
+    message = "Raw EMAIL found in accessibility label for selector "
+    assert got == [(None, [message + "#a"], False), ("k", [message + "#b", message + "#c"], False), ("k", [], True), ("k", [], True)]
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nested_values_of_any_depth(spark):
+    schema = "items array<struct<neg_len:int,type:string,value:string>>, a array<struct<x:string>>, b array<array<string>>, c map<string,struct<y:array<string>>>"
+    row = ([(-5, "EMAIL", "a@b.c")], [("to a@b.c",)], [["a@b.c", None]], {"k": (["is a@b.c"],)})
+    out = redact.sanitize_nested(spark.createDataFrame([row], schema), "items").first()
+    assert out["a"][0]["x"] == "to YOUR_EMAIL" and out["b"] == [["YOUR_EMAIL", None]] and out["c"]["k"]["y"] == ["is YOUR_EMAIL"]
+    with pytest.raises(TypeError):
+        redact.sanitize_nested(spark.sql("select array(named_struct('neg_len', 1, 'type', 'x', 'value', 'y')) items, cast('a' as binary) z"), "items")
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    spark.range(100).selectExpr("id AS doc_id", "concat('mail a', id, '@b.example.com') AS text").write.parquet(path)
+    docs = spark.read.parquet(path)
+    for out in (spans.detect(docs, ["doc_id"]), redact.redact_prompts(docs), redact.sanitize_text(docs)):
+        plan = out.filter("doc_id = 5")._jdf.queryExecution().executedPlan().toString()
+        assert "EqualTo(doc_id,5)" in plan and "Exchange" not in plan
+
+
+def test_long_line_without_keyword(spark):
+    line = ("abcdefghij0123456789xyz " * 220_000).strip()
+    df = spark.createDataFrame([(1, line), (2, line[:60] + " token"), (3, "k" * 3_000_000)], "doc_id long, text string")
+    got = spans.detect(df, ["doc_id"], types=["API_KEY"]).collect()
+    assert sorted((r["doc_id"], r["start"], r["value"]) for r in got) == [(2, 0, "abcdefghij0123456789xyz"), (2, 24, "abcdefghij0123456789xyz")]
