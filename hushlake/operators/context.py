@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from hushlake.functions import dims
 from hushlake.functions.text import host_suffixes, once, url_host, url_ok, url_path, url_query
 
-# Registered signatures are a dimension; they are broadcast only while they stay small.
-SIGNATURE_BROADCAST_ROWS = 100_000
 
 
 def with_url_parts(df: DataFrame, url: str = "url") -> DataFrame:
@@ -23,7 +21,7 @@ def with_url_parts(df: DataFrame, url: str = "url") -> DataFrame:
     )
 
 
-def match_signatures(pages: DataFrame, signatures: DataFrame, small: bool = True) -> DataFrame:
+def match_signatures(pages: DataFrame, signatures: DataFrame, small: bool = False) -> DataFrame:
     """First signature of each context for every (host, path) of ``pages``.
 
     Works on the distinct (host, path) pairs: a host is expanded to its parent domains and
@@ -79,7 +77,7 @@ DOM_FLAGS = [
 ]
 
 
-def with_context(df: DataFrame, signatures: DataFrame, url: str = "url", strict: bool = False, small: bool = True) -> DataFrame:
+def with_context(df: DataFrame, signatures: DataFrame, url: str = "url", strict: bool = False, small: bool = False) -> DataFrame:
     """Adds the four scores, ``context``, ``confidence`` and ``app``.
 
     ``df`` may carry ``signals`` (the struct of element signals); without it only the address

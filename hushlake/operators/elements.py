@@ -15,7 +15,8 @@ from hushlake.operators.spans import with_spans
 
 ELEMENT = (
     "struct<idx:int,parent:int,depth:int,nth:int,tag:string,path:string,text:string,full_text:string,"
-    "children:int,attrs:map<string,string>,ignored:boolean,hidden:boolean,chip:boolean,editable:boolean>"
+    "children:int,attrs:map<string,string>,ignored:boolean,hidden:boolean,chip:boolean,editable:boolean,"
+    "level:int,last:int,skipped:boolean>"
 )
 
 # Containers whose text is page furniture, not content.
@@ -35,6 +36,11 @@ INTERACTIVE_ROLES = [
 INTERACTIVE_TAGS = ["button", "a", "input", "textarea", "select", "form", "details"]
 NAME_HINTS = ["name", "fullname", "full_name", "full-name", "author", "firstname", "lastname", "owner"]
 
+SKELETON_CONTAINERS = ["form", "main", "nav", "header", "footer", "section", "article", "div", "p", "pre", "code"]
+SKELETON_INTERACTIVE = ["input", "button", "select", "textarea", "a"]
+SKELETON_SKIPPED = ["script", "style", "noscript", "meta", "link", "svg"]
+# --- end of fixed values
+
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _CLOSES_P = {
     "address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4",
@@ -68,6 +74,8 @@ class _Tree(HTMLParser):
             "hidden": bool(up and up["hidden"]) or _hidden(a),
             "chip": bool(up and up["chip"]) or _chip(tag, a),
             "editable": bool(up and up["editable"]) or a.get("contenteditable", "no") in ("", "true"),
+            "level": 0 if tag == "body" else up["level"] + 1 if up and up["level"] >= 0 else -1,
+            "skipped": bool(up and up["skipped"]) or tag in SKELETON_SKIPPED,
         }
         if up:
             up["children"] += 1
@@ -133,12 +141,21 @@ def _parse(html: str | None) -> list[dict]:
     if html:
         tree.feed(html)
         tree.close()
+    body = any(r["tag"] == "body" for r in tree.rows)
+    for r in reversed(tree.rows):
+        r["last"] = max(r["idx"], r.get("last", 0))
+        if r["parent"] >= 0:
+            up = tree.rows[r["parent"]]
+            up["last"] = max(up.get("last", 0), r["last"])
+        if not body:
+            r["level"] = r["depth"]
     out = []
     for r in tree.rows:
         full = "".join(r["all"])
         own = full.strip() if r["tag"] in ("code", "pre") else "".join(r["own"]).strip()
         out.append({**{k: r[k] for k in (
-            "idx", "parent", "depth", "nth", "tag", "path", "children", "attrs", "ignored", "hidden", "chip", "editable"
+            "idx", "parent", "depth", "nth", "tag", "path", "children", "attrs", "ignored", "hidden", "chip", "editable",
+            "level", "last", "skipped",
         )}, "text": own or (full.strip() if r["children"] == 0 else ""), "full_text": full})
     return out
 
@@ -266,7 +283,10 @@ def role(tag: Column) -> Column:
 
 
 def with_labels(els: DataFrame, page: str) -> DataFrame:
-    """Accessible label: aria-label, labelled-by element, label-for element, placeholder, title, own text."""
+    """Accessible label: aria-label, labelled-by element, label-for element, placeholder, title, own text.
+
+    Labels are whole; cut them only after they have been sanitized.
+    """
     refs = els.filter(attr("id") != "").groupBy(page, attr("id").alias("__ref")).agg(
         F.min_by("full_text", "idx").alias("__by_ref")
     )
@@ -284,7 +304,7 @@ def with_labels(els: DataFrame, page: str) -> DataFrame:
         given(attr("aria-label")), given(F.col("__by_ref")), given(F.col("__by_for")), given(attr("placeholder")),
         given(attr("title")), given(own), F.lit(""),
     )
-    label = collapse_spaces(trim_spaces(label)).substr(1, 100)
+    label = collapse_spaces(trim_spaces(label))
     return out.withColumn("label", label).drop("__ref", "__for", "__by_ref", "__by_for")
 
 
@@ -298,8 +318,12 @@ def interactive(els: DataFrame, page: str) -> DataFrame:
     )
 
 
-def region_labels(els: DataFrame, page: str) -> DataFrame:
-    """Human-readable place of an element: its label, its own attributes, its form, nearest heading, tag, page title."""
+def region_labels(els: DataFrame, page: str, limit: int | None = None, ancestors: int | None = None) -> DataFrame:
+    """Human-readable place of an element: its label, its own attributes, its form, nearest heading, tag, page title.
+
+    A heading is looked for in the nearest ``ancestors`` (all by default) that contain one; labels are cut to
+    ``limit`` characters if one is given.
+    """
     fors = els.filter((F.col("tag") == "label") & attr("for").isNotNull()).groupBy(
         page, attr("for").alias("__for")
     ).agg(F.min_by("full_text", "idx").alias("__by_for"))
@@ -308,12 +332,11 @@ def region_labels(els: DataFrame, page: str) -> DataFrame:
         page, F.col("path").alias("__up"),
         F.coalesce(attr("aria-label"), attr("id"), F.lit("")).alias("__form"),
     )
-    # Headings are found from the up to five nearest ancestors that contain one.
     heads = els.filter(
         F.col("tag").isin("h1", "h2", "h3", "h4", "legend") | (attr("role") == "heading")
     ).select(page, F.col("idx").alias("__hidx"), "full_text", F.explode(_ancestors()).alias("__up"))
     heads = heads.groupBy(page, "__up").agg(F.min_by("full_text", "__hidx").alias("__head"))
-    near = els.select(page, "idx", F.posexplode(F.slice(F.reverse(_ancestors()), 1, 5)).alias("__dist", "__up"))
+    near = els.select(page, "idx", F.posexplode(F.slice(F.reverse(_ancestors()), 1, ancestors or 2**30)).alias("__dist", "__up"))
     all_up = els.select(page, "idx", F.explode(_ancestors()).alias("__up"))
     in_form = all_up.join(forms, [page, "__up"]).groupBy(page, "idx").agg(
         F.max_by("__form", F.length("__up")).alias("__form")
@@ -323,7 +346,7 @@ def region_labels(els: DataFrame, page: str) -> DataFrame:
     out = out.join(titles, page, "left").join(in_form, [page, "idx"], "left").join(head, [page, "idx"], "left")
 
     def cut(c: Column) -> Column:
-        return trim_spaces(c).substr(1, 40)
+        return trim_spaces(c) if limit is None else trim_spaces(c).substr(1, limit)
 
     label = (
         F.when(F.coalesce(F.col("__by_for"), F.lit("")) != "", cut(F.col("__by_for")))
@@ -335,7 +358,7 @@ def region_labels(els: DataFrame, page: str) -> DataFrame:
         .when(F.col("tag") == "textarea", "Textarea")
         .when(F.col("tag") == "input", "Input Field")
         .when(F.col("tag").isin("code", "pre") | F.array_contains(F.split(F.coalesce(attr("class"), F.lit("")), " "), "code-block"), "Code Block")
-        .when(F.coalesce(F.col("__title"), F.lit("")) != "", F.col("__title").substr(1, 40))
+        .when(F.coalesce(F.col("__title"), F.lit("")) != "", cut(F.col("__title")))
         .otherwise("Main Content")
     )
     return out.select(page, "idx", "tag", "path", label.alias("region"))
@@ -350,26 +373,30 @@ def _ancestors() -> Column:
     return F.when(F.size(parts) > 1, ups).otherwise(F.expr("cast(array() as array<string>)"))
 
 
-SKELETON_CONTAINERS = ["form", "main", "nav", "header", "footer", "section", "article", "div", "p", "pre", "code"]
-SKELETON_INTERACTIVE = ["input", "button", "select", "textarea", "a"]
-SKELETON_SKIPPED = ["script", "style", "noscript", "meta", "link", "svg"]
+def skeleton_lines(
+    els: DataFrame, keys: list[str], max_level: int | None = None, max_button: int | None = None, max_leaf: int | None = None,
+) -> DataFrame:
+    """Structure of each page below its body: a line per kept element, and a closing line after a container's content.
 
-
-def skeleton_lines(els: DataFrame, keys: list[str]) -> DataFrame:
-    """One line per kept element of at most depth six: structure kept, values replaced, texts cut and sanitized."""
+    Values are replaced and texts sanitized, and only then cut to ``max_button`` or ``max_leaf``
+    characters; elements deeper than ``max_level`` below the body are left out.  There is no limit by default.
+    Lines of a page follow each other by ``at`` and ``step``.
+    """
     from hushlake.functions.placeholders import name_placeholder
     from hushlake.operators.redact import sanitize_text
 
     tag = F.col("tag")
     button = tag.isin("button", "a")
     leaf = tag.isin(SKELETON_CONTAINERS) & (F.col("children") == 0) & (trim_spaces(F.col("full_text")) != "")
+    deep = F.lit(True) if max_level is None else F.col("level") <= max_level
     kept = els.filter(
-        (F.col("depth") <= 6) & (tag.isin(SKELETON_INTERACTIVE) | (tag.isin(SKELETON_CONTAINERS) & ((F.col("children") > 0) | leaf)))
-    )
-    raw = F.when(button, trim_spaces(F.col("full_text")).substr(1, 40)).when(
-        leaf, trim_spaces(F.col("full_text")).substr(1, 120)
+        deep & (F.col("level") >= 0) & ~F.col("skipped") & (tag.isin(SKELETON_INTERACTIVE) | (tag.isin(SKELETON_CONTAINERS) & ((F.col("children") > 0) | leaf)))
     )
+    raw = F.when(button | leaf, trim_spaces(F.col("full_text")))
     clean = sanitize_text(kept.withColumn("__raw", raw), "__raw", "__clean")
+    for which, limit in ((button, max_button), (leaf & ~button, max_leaf)):
+        if limit is not None:
+            clean = clean.withColumn("__clean", F.when(which, F.substring("__clean", 1, limit)).otherwise(F.col("__clean")))
 
     def part(name: str) -> Column:
         value = attr(name)
@@ -392,8 +419,11 @@ def skeleton_lines(els: DataFrame, keys: list[str]) -> DataFrame:
         .when(leaf, closed)
         .otherwise(F.concat(head, F.lit(">")))
     )
-    indent = F.expr("repeat('  ', depth)")
-    return clean.select(*keys, "idx", F.concat(indent, line).alias("line"))
+    indent = F.expr("repeat('  ', level)")
+    opening = F.struct(F.col("idx").alias("at"), F.lit(0).alias("step"), F.concat(indent, line).alias("line"))
+    closing = F.struct(F.col("last").alias("at"), (F.lit(1_000_000) - F.col("level")).alias("step"), F.concat(indent, F.lit("</"), tag, F.lit(">")).alias("line"))
+    both = F.when(tag.isin(SKELETON_CONTAINERS) & (F.col("children") > 0), F.array(opening, closing)).otherwise(F.array(opening))
+    return clean.select(*keys, "idx", F.explode(both).alias("l")).select(*keys, "idx", "l.at", "l.step", "l.line")
 
 
 def page_signals(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -47,7 +47,7 @@ def _pages(spark, root):
 def site_signature(spark, root):
     """First signature of each kind that fits a page."""
     pages = _pages(spark, root)
-    hits = C.match_signatures(pages, dims.signature_dim(spark))
+    hits = C.match_signatures(pages, dims.signature_dim(spark), small=True)
     return pages.select("page_id", "host", "path").join(hits, ["host", "path"]).select("page_id", "context", "app", "domain")
 
 
@@ -106,7 +106,7 @@ _CONTEXT = f"""(SELECT page_id, auth_score, messaging_score, social_score, assis
 
 
 def _context(spark, root):
-    return C.with_context(derive(spark, root, "visits"), dims.signature_dim(spark))
+    return C.with_context(derive(spark, root, "visits"), dims.signature_dim(spark), small=True)
 
 
 for _name, _col in (("auth_score", "auth_score"), ("messaging_score", "messaging_score"), ("social_score", "social_score"), ("assistant_score", "assistant_score")):
@@ -139,11 +139,11 @@ def context_policy(spark, root):
 def page_context_dom(spark, root):
     """Context of stored pages and forms by address and elements together."""
     pages = table(spark, root, "pages").unionByName(derive(spark, root, "forms"))
-    judged = C.with_context(E.page_signals(pages), dims.signature_dim(spark))
+    judged = C.with_context(E.page_signals(pages), dims.signature_dim(spark), small=True)
     return judged.select("page_id", "url", "context", "confidence", "app")
 
 
-_TASKS = "SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'Please search for \"' || substr(text, 1, 12) || '\" now' WHEN 1 THEN 'Look up for shoes, please' WHEN 2 THEN 'find the search box and search something' ELSE text END AS task FROM {conversations}"
+_TASKS = "SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'Please search for \"' || text || '\" now' WHEN 1 THEN text || '. Look up for shoes, please' WHEN 2 THEN text || '. find the search box and search something' ELSE text END AS task FROM {conversations}"
 
 
 def _intent_sql(t: str) -> str:

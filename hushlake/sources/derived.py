@@ -206,7 +206,7 @@ SQL: dict[str, str] = {
     # Edits of prompts: conversations with a scan number and the state of their attachment.
     "edits": """
         SELECT conv_id, turn, role, turn - turn % 2 AS scan_id,
-               CASE WHEN turn % 5 = 4 THEN '' WHEN turn % 3 = 0 THEN text || ' mail c' || CAST(conv_id AS STRING) || '@example.com'
+               CASE WHEN turn % 3 = 0 THEN text || ' mail c' || CAST(conv_id AS STRING) || '@example.com'
                     WHEN turn % 3 = 1 THEN text ELSE text || chr(10) || 'DB_URL=postgres://u:p@h' || CAST(conv_id AS STRING) || '/d' END AS text,
                CASE WHEN conv_id % 6 = 5 THEN 'VERIFIED' WHEN conv_id % 7 = 6 THEN 'FAILED' ELSE 'NONE' END AS attachment_state
         FROM {conversations}""",

@@ -64,12 +64,26 @@ def test_labels_and_regions(spark):
 
 
 def test_skeleton_hides_values(spark):
-    lines = [r["line"] for r in E.skeleton_lines(E.elements(frame(spark).filter("page_id = 1"), ["page_id"]), ["page_id"]).orderBy("idx").collect()]
+    lines = [r["line"] for r in E.skeleton_lines(E.elements(frame(spark).filter("page_id = 1"), ["page_id"]), ["page_id"]).orderBy("at", "step").collect()]
     text = "\n".join(lines)
     assert "a@b" not in text and "s3cret" not in text
     assert 'data-placeholder="PASSWORD=YOUR_PASSWORD"' in text and "<button>Sign in</button>" in text
 
 
+def test_skeleton_shape_and_limits(spark):
+    card = "4111 1111 1111 1111"
+    html = f"<html><body><div id='o'><p>{'x' * 110} {card} tail</p><svg><a>hidden</a></svg><a href='#'>{'y' * 30} {card}</a><section><div><input name='q'></div></section></div></body></html>"
+    els = E.elements(spark.createDataFrame([(1, html)], "page_id long, html string"), ["page_id"])
+    lines = [r["line"] for r in E.skeleton_lines(els, ["page_id"]).orderBy("at", "step").collect()]
+    assert [x.split(">")[0].rstrip(" /") for x in lines] == [
+        '  <div id="o"', "    <p", "    <a", "    <section", "      <div", '        <input name="q"', "      <" + "/div", "    <" + "/section", "  <" + "/div",
+    ]
+    assert "hidden" not in "".join(lines) and lines[1].endswith("tail</p>")
+    short = E.skeleton_lines(els, ["page_id"], max_level=2, max_button=40, max_leaf=120).orderBy("at", "step").collect()
+    text = "\n".join(r["line"] for r in short)
+    assert "4111" not in text and "<input" not in text and all(len(r["line"]) < 140 for r in short)
+
+
 def test_urls(spark):
     rows = [("HTTPS://User:pw@Shop.Example.com:443/a?x=1#t", "https://shop.example.com/a"), ("http://h:8080", "http://h:8080/"), ("nope", "nope")]
     df = spark.createDataFrame(rows, "u string, w string")
