@@ -167,7 +167,7 @@ def _parse_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def with_elements(pages: DataFrame, html: str = "html", out: str = "elements") -> DataFrame:
     """Array of the elements of each page, in document order.  Row-local: a page never leaves its partition."""
-    parse = F.pandas_udf(_parse_batches, f"array<{ELEMENT}>", F.PandasUDFType.SCALAR_ITER)
+    parse = F.pandas_udf(_parse_batches, f"array<{ELEMENT}>")
     return pages.withColumn(out, parse(html))
 
 

@@ -33,6 +33,17 @@ def lag_sliced(df: DataFrame, keys: list[str], order: list[str], value: str, sli
     return joined.withColumn(out, F.coalesce(inside, F.col("__before"))["v"]).drop("__s", "__before")
 
 
+def lead_sliced(df: DataFrame, keys: list[str], order: list[str], value: str, slice_: Column, out: str) -> DataFrame:
+    """Value of the row behind, per key.  ``slice_`` must not decrease along ``order``."""
+    work = df.withColumn("__s", slice_)
+    boxed = F.struct(F.col(value).alias("v"))
+    starts = work.groupBy(*keys, "__s").agg(F.min_by(boxed, F.struct(*order)).alias("__start"))
+    behind = F.lead("__start").over(Window.partitionBy(*keys).orderBy("__s")).alias("__behind")
+    joined = _with_slice_values(work, starts.select(*keys, "__s", behind), keys, "__behind")
+    inside = F.lead(boxed).over(Window.partitionBy(*keys, "__s").orderBy(*order))
+    return joined.withColumn(out, F.coalesce(inside, F.col("__behind"))["v"]).drop("__s", "__behind")
+
+
 def row_number_sliced(df: DataFrame, keys: list[str], order: list[str], slice_: Column, out: str) -> DataFrame:
     """Position of a row within its key, from one.  ``slice_`` must not decrease along ``order``."""
     work = df.withColumn("__s", slice_)

@@ -252,10 +252,11 @@ def deadline(pending: DataFrame, results: DataFrame, key: str, ts: str, seconds:
     )
     both = asked.unionByName(told)
     answer = F.when(F.col("item").isNull(), F.struct(F.col("t").alias("answered"), "outcome"))
-    ahead = Window.partitionBy(key, "s").orderBy("t", F.col("item").isNull(), "outcome").rowsBetween(
-        Window.currentRow, Window.unboundedFollowing
-    )
-    found = both.withColumn("a", F.first(answer, ignorenulls=True).over(ahead)).filter(F.col("item").isNotNull())
+    # From the latest row back, so that the frame only grows and each row is looked at once.
+    ahead = Window.partitionBy(key, "s").orderBy(
+        F.col("t").desc(), F.col("item").isNull().desc(), F.col("outcome").desc_nulls_last()
+    ).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("a", F.last(answer, ignorenulls=True).over(ahead)).filter(F.col("item").isNotNull())
     in_time = F.col("a.answered") <= F.col("t") + F.expr(f"interval {seconds} seconds")
     return found.select(
         "item", key, F.col("t").alias("asked"), F.when(in_time, F.col("a.answered")).alias("answered"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hushlake.functions import checks, dims
 from hushlake.operators import audits, dedupe, evaluate, reports
-from hushlake.operators.ordered import lag_sliced
+from hushlake.operators.ordered import lag_sliced, lead_sliced
 from hushlake.plans import sqlkit as K
 from hushlake.plans.registry import query
 from hushlake.sources.derived import derive, duck
@@ -183,10 +183,7 @@ def navigation_changes(spark, root):
 )
 def task_funnel(spark, root):
     """Progress log: how often a step was entered, left and was the last one, and how long it took."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    ev = table(spark, root, "events").withColumn("next_ts", F.lead("ts").over(w))
+    ev = lead_sliced(table(spark, root, "events"), ["user_id"], ["ts", "event_id"], "ts", F.to_date("ts"), "next_ts")
     micros = F.unix_micros(F.col("next_ts").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
     return ev.groupBy(F.col("event_type").alias("step")).agg(
         F.count("*").alias("entered"), F.count("next_ts").alias("left_step"),
@@ -241,13 +238,9 @@ def leak_rate(spark, root):
 @query("eval_load", "SELECT CAST(o_orderkey AS STRING) AS id, text FROM orders JOIN " + duck("notes") + " n ON n.doc_id = o_orderkey")
 def eval_load(spark, root):
     """Cases written as JSON and read back through the case-file source."""
-    import os
-    import tempfile
-
     from hushlake.sources.files import text_cases
 
-    base = tempfile.mkdtemp(prefix="cases-", dir=streams.checkpoint_root(spark))
-    path = os.path.join(base, "cases")
+    path = streams.shared_folder(spark, "cases")
     notes = derive(spark, root, "notes")
     notes.select(
         F.col("doc_id").cast("string").alias("id"), "text", F.lit("EMAIL").alias("expected_type"), F.lit(True).alias("sensitive"), F.lit("PII").alias("category")

@@ -1,14 +1,16 @@
 """Structured Streaming forms of the event-driven operators.
 
 The watermark and the gaps are parameters: the rules say how long a pause is, not how late
-data may be.  Stateful operators keep bounded state per key (the last verdict, a capped log)
-and rely on the query's checkpoint to survive lost executors.
+data may be.  Stateful operators keep bounded state per key (the last verdict, a capped log),
+drop it after a key has been idle for ``idle_ms`` (for streams that keep running: a run over what is
+there, ``availableNow``, would wait for the time-out), and rely on the query's checkpoint to survive lost
+executors.
 """
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,10 +21,20 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from hushlake.operators import redact, spans, verify
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for checkpoints as the cluster names it; a temporary one only where it is unset (tests)."""
+def _expiry(idle_ms: int | None) -> str:
+    return GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """Address of a new folder below the one that the cluster shares; only Spark itself reads and writes there.
+
+    Where ``spark.checkpoint.dir`` is unset (tests) it is set to a temporary folder.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    return root or tempfile.mkdtemp(prefix="hushlake-ckpt-")
+    if not root:
+        root = tempfile.mkdtemp(prefix="hushlake-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def detect_stream(stream: DataFrame, keys: list[str], text: str = "text", **options) -> DataFrame:
@@ -49,29 +61,37 @@ def windowed_counts(detections: DataFrame, ts: str, window: str = "1 hour", wate
     )
 
 
-def changed_only(stream: DataFrame, key: str, hash_col: str, order: str) -> DataFrame:
+def changed_only(stream: DataFrame, key: str, hash_col: str, order: str, idle_ms: int | None = None) -> DataFrame:
     """Rows whose content hash differs from the last one seen for the key; state is one hash per key."""
     key_type = stream.schema[key].dataType.simpleString()
 
     def run(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         pdf = pd.concat(list(batches)).sort_values(order)
         before = pdf[hash_col].shift(1)
         before.iloc[0] = last
         state.update((pdf[hash_col].iloc[-1],))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         out = pdf[pdf[hash_col] != before]
         yield pd.DataFrame({key: out[key], "order": out[order].astype("int64"), "hash": out[hash_col]})
 
     return stream.groupBy(key).applyInPandasWithState(
-        run, f"{key} {key_type}, order bigint, hash string", "hash string", "append", GroupStateTimeout.NoTimeout
+        run, f"{key} {key_type}, order bigint, hash string", "hash string", "append", _expiry(idle_ms)
     )
 
 
-def rolling_log(stream: DataFrame, key: str, order: str, value: str, size: int = 50) -> DataFrame:
+def rolling_log(stream: DataFrame, key: str, order: str, value: str, size: int = 50, idle_ms: int | None = None) -> DataFrame:
     """Capped log per key, newest first, with a running total; state is at most ``size`` entries per key."""
     key_type = stream.schema[key].dataType.simpleString()
 
     def run(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         orders, values, total = (list(state.get[0]), list(state.get[1]), state.get[2]) if state.exists else ([], [], 0)
         entries = list(zip(orders, values))
         for pdf in batches:
@@ -79,6 +99,8 @@ def rolling_log(stream: DataFrame, key: str, order: str, value: str, size: int =
             entries += list(zip(pdf[order].astype("int64"), pdf[value].astype(str)))
             entries = sorted(entries, reverse=True)[:size]
         state.update(([int(o) for o, _ in entries], [v for _, v in entries], total))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({
             key: [k[0]] * len(entries), "rank": range(1, len(entries) + 1), "order": [int(o) for o, _ in entries],
             "value": [v for _, v in entries], "total": [total] * len(entries),
@@ -86,7 +108,7 @@ def rolling_log(stream: DataFrame, key: str, order: str, value: str, size: int =
 
     return stream.groupBy(key).applyInPandasWithState(
         run, f"{key} {key_type}, rank bigint, order bigint, value string, total bigint",
-        "orders array<bigint>, vals array<string>, total bigint", "update", GroupStateTimeout.NoTimeout,
+        "orders array<bigint>, vals array<string>, total bigint", "update", _expiry(idle_ms),
     )
 
 
@@ -119,7 +141,7 @@ def gate_verdict(judged: DataFrame) -> DataFrame:
     )
 
 
-def send_gate(stream: DataFrame, key: str = "conv_id", order: str = "turn", scan: str = "scan_id") -> DataFrame:
+def send_gate(stream: DataFrame, key: str = "conv_id", order: str = "turn", scan: str = "scan_id", idle_ms: int | None = None) -> DataFrame:
     """Live send gate: every edit gets a verdict; results of older scans are dropped.
 
     The texts are judged before the shuffle, so only verdicts and fingerprints reach the
@@ -129,6 +151,9 @@ def send_gate(stream: DataFrame, key: str = "conv_id", order: str = "turn", scan
     key_type = stream.schema[key].dataType.simpleString()
 
     def run(k, batches: Iterator[pd.DataFrame], st: GroupState) -> Iterator[pd.DataFrame]:
+        if st.hasTimedOut:
+            st.remove()
+            return
         newest, verified = (st.get[0], st.get[1]) if st.exists else (-1, None)
         rows = []
         for r in pd.concat(list(batches)).sort_values([order, scan]).itertuples(index=False):
@@ -141,11 +166,13 @@ def send_gate(stream: DataFrame, key: str = "conv_id", order: str = "turn", scan
             verified = row["clean_hash"] if row["allowed"] else None
             rows.append((k[0], row[order], row["state"], row["reason"], bool(row["allowed"]), relocked))
         st.update((int(newest), verified))
+        if idle_ms is not None:
+            st.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(rows, columns=[key, "turn", "state", "reason", "allowed", "relocked"])
 
     return judged.groupBy(key).applyInPandasWithState(
         run, f"{key} {key_type}, turn bigint, state string, reason string, allowed boolean, relocked boolean",
-        "newest bigint, verified string", "append", GroupStateTimeout.NoTimeout,
+        "newest bigint, verified string", "append", _expiry(idle_ms),
     )
 
 
@@ -161,12 +188,12 @@ def run_to_table(stream: DataFrame, mode: str = "append", checkpoint: str | None
     the caller picks the newest version of a row by ``batch``.
     """
     spark = stream.sparkSession
-    base = tempfile.mkdtemp(prefix="run-", dir=checkpoint_root(spark)) if checkpoint is None else checkpoint
-    out, ckpt = os.path.join(base, "out"), os.path.join(base, "ckpt")
+    base = shared_folder(spark, "run") if checkpoint is None else checkpoint.rstrip("/")
+    out, ckpt = f"{base}/out", f"{base}/ckpt"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         # Overwriting the folder of the batch makes a repeated batch harmless.
-        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(os.path.join(out, f"part={batch_id}"))
+        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/part={batch_id}")
 
     query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -13,10 +13,11 @@ def test_sliced_equals_plain(spark):
     rows = [(rnd.choice(["hot", "hot", "a", None]), i, rnd.choice(["x", "y", None])) for i in range(300)]
     df = spark.createDataFrame(rows, "k string, o long, v string").repartition(3)
     w = Window.partitionBy("k").orderBy("o")
-    want = df.select("k", "o", F.lag("v").over(w).alias("b"), F.row_number().over(w).cast("long").alias("n"))
+    want = df.select("k", "o", F.lag("v").over(w).alias("b"), F.row_number().over(w).cast("long").alias("n"), F.lead("v").over(w).alias("l"))
     cut = F.floor(F.col("o") / 16)
     got = ordered.row_number_sliced(ordered.lag_sliced(df, ["k"], ["o"], "v", cut, "b"), ["k"], ["o"], cut, "n")
+    got = ordered.lead_sliced(got, ["k"], ["o"], "v", cut, "l")
     key = str
-    assert sorted((tuple(r) for r in got.select("k", "o", "b", "n").collect()), key=key) == sorted(
+    assert sorted((tuple(r) for r in got.select("k", "o", "b", "n", "l").collect()), key=key) == sorted(
         (tuple(r) for r in want.collect()), key=key
     )
