@@ -8,9 +8,10 @@ the next lower one, where smaller partners are.  Candidates are documents that a
 verified on their shingles.
 
 Documents with equal sets are one class.  Within a group of candidates each class is first compared with one member
-only; then, where that left several components in a group, classes of different components are compared whose
-sketches are close enough.  Classes that a chain of links joins already are not compared again, so the work
-follows the number of documents and not the square of a group.
+only, the one that shares most parts with others.  Where that left several components in a group, classes outside
+its largest component are compared with those of other components, if short sketches of the whole sets are
+close enough.  Classes that a chain of links joins already are not compared again, so the work follows
+the number of documents and not the square of a group.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from .words import NON_SPACE, gram_hashes, hashed_words, mix
 
 #: Candidates' ids are broadcast up to this many; beyond it Spark chooses.
 BROADCAST_ROWS = 200_000
+#: Words of 64 bits of the short sketch of a whole set.
+SHORT = 4
 
 
 def band_edges(percent: int, limit: int = 1 << 40) -> np.ndarray:
@@ -51,6 +54,13 @@ def _sketch(shingles: np.ndarray, parts: int) -> np.ndarray:
     return out
 
 
+def _short(shingles: np.ndarray) -> np.ndarray:
+    """Parities of the whole set in SHORT words."""
+    at = (mix(shingles ^ np.uint64(0x3C6EF372FE94F82B)) >> np.uint64(20)) % np.uint64(64 * SHORT)
+    odd = np.bincount(at.astype(np.int64), minlength=64 * SHORT) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
+
+
 def _sets(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
     """Distinct shingle hashes of each text, sorted."""
     for _, hashes, offsets in hashed_words(texts, NON_SPACE):
@@ -66,27 +76,28 @@ def _sets(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
 
 
 def _signatures(rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """(id, n, s1, s2, sketches): 128 bits for the set, and (band, parity words) of the bands it takes part in."""
+    """(id, n, s1, s2, short, sketches): 128 bits for the set, and (band, parity words) of the bands it takes part in."""
     id_type = rows.schema["id"].dataType.simpleString()
     edges = band_edges(percent)
     kind = pa.list_(pa.struct([("band", pa.int32()), ("words", pa.list_(pa.int64()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, one, two, sketches = [], [], [], []
+            n, one, two, short, sketches = [], [], [], [], []
             for s in _sets(batch.column(1).to_pylist(), words):
                 n.append(len(s))
                 one.append(int(np.bitwise_xor.reduce(s).astype(np.int64)) if len(s) else 0)
                 two.append(int(mix(s).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0)
+                short.append(_short(s))
                 band = int(np.searchsorted(edges, len(s), side="right")) - 1
                 bands = [b for b in (band - 1, band) if b >= 0 and _parts(edges, b, percent) > 1] if len(s) else []
                 sketches.append([{"band": b, "words": _sketch(s, _parts(edges, b, percent)).view(np.int64)} for b in bands])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sketches, kind)],
-                ["id", "n", "s1", "s2", "sketches"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(short, pa.list_(pa.int64())), pa.array(sketches, kind)],
+                ["id", "n", "s1", "s2", "short", "sketches"],
             )
 
-    return rows.mapInArrow(run, f"id {id_type}, n long, s1 long, s2 long, sketches array<struct<band:int,words:array<bigint>>>")
+    return rows.mapInArrow(run, f"id {id_type}, n long, s1 long, s2 long, short array<bigint>, sketches array<struct<band:int,words:array<bigint>>>")
 
 
 def _shingles(rows: DataFrame, words: int) -> DataFrame:
@@ -129,13 +140,12 @@ def shingle_components(
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = stored(_signatures(texts, words, percent), "signatures")
-    classes = stored(rows.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("node")), "classes")
     # any row of a class may speak for it; a class is known by 64 bits until its pairs are looked up
-    each = rows.select(F.xxhash64("n", "s1", "s2").alias("s"), F.explode("sketches").alias("k"))
-    each = each.select("s", "k.band", F.posexplode("k.words").alias("part", "word")).select(F.xxhash64("band", "part", "word").alias("key"), "s")
-    groups = each.groupBy("key").agg(F.min("s").alias("first"), F.max("s").alias("last")).filter("first <> last").select("key", "first")
-    members = stored(each.join(groups, "key").groupBy("key", "first", "s").agg(F.lit(1).alias("one")).drop("one"), "members")
-    known = classes.filter("node IS NOT NULL").select(F.xxhash64("n", "s1", "s2").alias("s"), "node", "n")
+    classes = stored(
+        rows.filter("n > 0").groupBy("n", "s1", "s2", "short").agg(F.min("id").alias("node")).withColumn("s", F.xxhash64("n", "s1", "s2")), "classes",
+    )
+    members = stored(_members(rows), "members")
+    known = classes.filter("node IS NOT NULL").select("s", "node", "n", "short")
 
     def pairs_of(found: DataFrame) -> DataFrame:
         """(a, b) nodes of pairs of classes (s, t) whose sizes allow a link."""
@@ -144,11 +154,11 @@ def shingle_components(
         fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
         return out.filter(fits & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    stars = pairs_of(members.filter("s <> first").select("s", F.col("first").alias("t")).distinct())
+    stars = stored(pairs_of(members.filter("s <> pivot").select("s", F.col("pivot").alias("t")).distinct()), "stars")
     links = _verified(stars, texts, words, percent)
     labels = connected_components(links)
-    apart = stored(_apart(members, rows, known, labels, percent), "apart")
-    more = _verified(pairs_of(apart), texts, words, percent)
+    apart = stored(_apart(members, known, labels, percent), "apart")
+    more = _verified(pairs_of(apart).join(stars, ["a", "b"], "left_anti"), texts, words, percent)
     if not more.isEmpty():
         labels = connected_components(links.union(more))
     nodes = classes.join(labels, "node", "left").select("n", "s1", "s2", F.coalesce("component", "node").alias("component"))
@@ -158,15 +168,31 @@ def shingle_components(
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
-def _apart(members: DataFrame, rows: DataFrame, known: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes (s, t) in one group but not in one component, not tried yet and with sketches close enough."""
-    placed = members.join(known, "s").join(labels, "node", "left").select("key", "first", "s", "n", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
+def _members(rows: DataFrame) -> DataFrame:
+    """(key, s, pivot): classes of each part key that several classes have, and the class to compare them with first."""
+    each = rows.select(F.xxhash64("n", "s1", "s2").alias("s"), F.explode("sketches").alias("k"))
+    each = each.select("s", "k.band", F.posexplode("k.words").alias("part", "word")).select(F.xxhash64("band", "part", "word").alias("key"), "s")
+    groups = each.groupBy("key").agg(F.min("s").alias("low"), F.max("s").alias("high")).filter("low <> high").select("key")
+    found = stored(each.join(groups, "key").groupBy("key", "s").agg(F.lit(1).alias("one")).select("key", "s"), "found")
+    sizes = found.groupBy("key").agg(F.count("*").alias("size"))
+    shares = found.join(sizes, "key").groupBy("s").agg(F.sum("size").alias("share"))
+    pivots = found.join(shares, "s").groupBy("key").agg(F.max_by("s", "share").alias("pivot"))
+    return found.join(pivots, "key")
+
+
+def _apart(members: DataFrame, known: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes (s, t) in one group but in different components, with sizes and short sketches close enough."""
+    placed = members.join(known, "s").join(labels, "node", "left").select("key", "s", "n", "short", F.coalesce("component", "node").alias("component"))
+    parts = placed.groupBy("key", "component").agg(F.count("*").alias("size"))
+    mixed = parts.groupBy("key").agg(F.max_by("component", "size").alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("key", "main")
     open_ = stored(placed.join(mixed, "key"), "open")
-    x = open_.filter("s <> first").select("key", "s", "n", "component")
-    y = x.select("key", F.col("s").alias("t"), F.col("n").alias("m"), F.col("component").alias("other"))
+    x = open_.filter("component <> main").select("key", "s", "n", "short", "component")
+    y = open_.select("key", F.col("s").alias("t"), F.col("n").alias("m"), F.col("short").alias("other_short"), F.col("component").alias("other"), (F.col("component") == F.col("main")).alias("inside"))
     fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    return x.join(y, "key").filter((F.col("s") < F.col("t")) & (F.col("component") != F.col("other")) & fits).select("s", "t").distinct()
+    apart = sum(F.bit_count(F.get("short", F.lit(i)).bitwiseXOR(F.get("other_short", F.lit(i)))) for i in range(SHORT))
+    close = apart * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent)
+    once = F.col("inside") | (F.col("s") < F.col("t"))
+    return x.join(y, "key").filter((F.col("component") != F.col("other")) & once & fits & close).select("s", "t").distinct()
 
 
 JOIN_SQL = r"""
