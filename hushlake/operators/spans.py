@@ -93,7 +93,7 @@ def _key_spans(text: Column, d: C.Detector, ord_: int) -> Column:
     A token has to end before the last keyword of its line.  So each line is cut there, and back to the
     previous boundary where that is inside a word; what is left is searched for long tokens.
     """
-    long_token = r"\b[A-Za-z0-9_\-]{20,}(?:\b|\z)"
+    long_token = C.java(r"\b[A-Za-z0-9_\-]{20,}(?:\b|\z)")
 
     def in_line(line: Column) -> Column:
         before = F.regexp_extract(line, rf"(?i)^(.*)(?:{KEY_WORDS})", 1)
