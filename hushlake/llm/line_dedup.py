@@ -22,36 +22,40 @@ DEPTH = 3
 #: Lines from this many tokens on also get templates with an open field.
 OPEN_FROM = 9
 SPACE = r"[ \t\n\x0B\f\r]+"
-VARIABLE = r"[^ \t\n\x0B\f\r]*[0-9][^ \t\n\x0B\f\r]*"
+VARIABLE = r"[^0-9 \t\n\x0B\f\r]*+[0-9][^ \t\n\x0B\f\r]*+"
+#: Lines without these have no variable fields and only spaces between tokens.
+SPECIAL = r"[0-9\t\x0B\f\r]"
 
 
 def _tokens(line: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(line, VARIABLE, "<*>"), SPACE), lambda t: t != "")
+    masked = F.split(F.regexp_replace(line, VARIABLE, "<*>"), SPACE)
+    return F.filter(F.when(line.rlike(SPECIAL), masked).otherwise(F.split(line, " ")), lambda t: t != "")
 
 
 def _path(t: Column, pos: Column) -> Column:
-    """Position, leaf-level path and template keys of one line, from its tokens."""
+    """Position, leaf-level path and hashes of the lead and the three thirds of one line, from its tokens."""
     n = F.size(t)
     step = F.ceil((n - DEPTH) / 3).cast("int")
-    third = F.lit(DEPTH + 1)
-
-    def left_out(k: int) -> Column:
-        start = third + step * k
-        return F.xxhash64(F.lit(k + 1), n, F.slice(t, 1, start - 1), F.slice(t, F.least(start + step, n + 1), n))
-
-    full = F.xxhash64(F.lit(0), n, t)
+    thirds = [F.xxhash64(F.slice(t, F.lit(DEPTH + 1) + step * k, step)) for k in range(3)]
     return F.struct(
         pos.alias("pos"), n.alias("n"), F.xxhash64(n, F.slice(t, 1, DEPTH)).alias("path"),
-        F.when(n >= OPEN_FROM, F.array(full, *[left_out(k) for k in range(3)])).otherwise(F.array(full)).alias("keys"),
+        F.when(n >= OPEN_FROM, F.array(*thirds)).otherwise(F.array(F.xxhash64(t))).alias("rest"),
     )
 
 
+def _keys(x: Column) -> Column:
+    """Template keys of a line: all of it, and with each third left out."""
+    full = F.xxhash64(F.lit(0), x["path"], x["rest"])
+    out = [F.xxhash64(F.lit(k + 1), x["path"], *[x["rest"][j] for j in range(3) if j != k]) for k in range(3)]
+    return F.when(x["n"] >= OPEN_FROM, F.array(full, *out)).otherwise(F.array(full))
+
+
 def line_templates(texts: Column, min_tokens: int) -> Column:
     """Array of (pos, n, keys, context) of a text's lines; context is what the line stands between."""
     tokens = F.transform(F.split(texts, "\n", -1), _tokens)
     paths = F.filter(F.transform(tokens, _path), lambda x: x["n"] > 0)
     around = F.transform(F.array(paths), lambda a: F.transform(a, lambda x, i: F.struct(
-        x["pos"].alias("pos"), x["n"].alias("n"), x["keys"].alias("keys"),
+        x["pos"].alias("pos"), x["n"].alias("n"), _keys(x).alias("keys"),
         F.xxhash64(F.when(i > 0, F.get(a, i - 1)["path"]), F.get(a, i + 1)["path"]).alias("context"),
     )))[0]
     return F.filter(around, lambda x: x["n"] >= min_tokens)
