@@ -28,10 +28,12 @@ def _chunks(normalised: Column) -> Column:
     return F.regexp_extract_all(normalised, F.lit(CHUNK), F.lit(0))
 
 
-def _collisions(chunks: DataFrame) -> DataFrame:
-    """The chunk dictionary's doubtful part: (h, chunk, rank) of different chunks that share a hash."""
+def _collisions(chunks: DataFrame) -> DataFrame | None:
+    """The chunk dictionary's doubtful part: (h, chunk, rank) of different chunks that share a hash; None if there are none."""
     entries = chunks.groupBy("h", "chunk").agg(F.lit(1).alias("one"))
-    shared = entries.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    shared = stored(entries.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "shared")
+    if shared.isEmpty():  # every hash is verified: chunks need not move again
+        return None
     texts = chunks.join(shared, "h").distinct()
     return texts.groupBy("h").agg(F.sort_array(F.collect_set("chunk")).alias("all")).selectExpr("h", "posexplode(all) AS (rank, chunk)")
 
@@ -55,11 +57,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         "recipes",
     )
     chunks = cut.select(F.explode(_chunks(F.col("norm"))).alias("chunk")).select(hashed("chunk").alias("h"), "chunk")
-    doubtful = stored(_collisions(chunks), "collisions")
-    if doubtful.isEmpty():
+    doubtful = _collisions(chunks)
+    if doubtful is None:
         recipes = recipes.withColumn("ranks", F.lit(""))
     else:
-        recipes = recipes.join(_ranks(cut, doubtful, hashed), "text_sha256", "left").withColumn("ranks", F.coalesce("ranks", F.lit("")))
+        recipes = recipes.join(_ranks(cut, stored(doubtful, "collisions"), hashed), "text_sha256", "left").withColumn("ranks", F.coalesce("ranks", F.lit("")))
     best = F.struct((-F.col("size")).alias("size"), F.col("doc_id").isNull().alias("no_id"), "doc_id")
     groups = recipes.groupBy("recipe", "ranks").agg(F.min(best).alias("best"), F.count("*").alias("group_size"))
     return recipes.join(groups, ["recipe", "ranks"]).select(
