@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushlake.llm import decontaminate, line_dedup, ngram_join, packing, toxicity
-from hushlake.llm.common import fold, stored, table
+from hushlake.llm.common import bounded, fold, stored, table
 from hushlake.llm.queries import tokenizer_path
 
 #: A document with this score or more is toxic.
@@ -35,16 +35,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     groups = ngram_join.shingle_components(docs)
     others = groups.filter("n_shingles > 0 AND doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(stored(others, "others"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(bounded(stored(others, "others")), "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window with the benchmark.  The decision belongs to the text, so ids don't matter."""
-    keyed = docs.select(F.sha2("text", 256).alias("key"), "text")
+    key = F.struct(F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
+    keyed = docs.select(key.alias("key"), "text")
     found = decontaminate.find_contamination(keyed, table(spark, sf_dir, "benchmark"), id_col="key")
     leaks = stored(found.filter("n_hit > 0").select(F.col("doc_id").alias("__key")).distinct(), "leaks")
-    whole = docs.withColumn("__key", F.sha2("text", 256))
-    return whole.join(leaks, "__key", "left_anti").select(*docs.columns)
+    return docs.withColumn("__key", key).join(bounded(leaks, 2), "__key", "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,6 +46,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Values (8 bytes each, some fifty in a hash table) that may be broadcast.
+BROADCAST_VALUES = 1_000_000
+
+
+def bounded(df: DataFrame, values: Column | int = 1) -> DataFrame:
+    """Marks a stored table for broadcast if it holds at most BROADCAST_VALUES values; else Spark joins it as it sees fit.
+
+    ``values`` counts the values of a row.
+    """
+    size = df.agg(F.sum(F.lit(values) if isinstance(values, int) else values).alias("n")).first()["n"] or 0
+    return F.broadcast(df) if size <= BROADCAST_VALUES else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bounded, stored
 
 #: Leading tokens on a line's path.
 DEPTH = 3
@@ -105,7 +105,7 @@ def drop_recurring_lines(
     lines = found.select("k1", "k2", F.explode("lines").alias("line"))
     bad = stored(recurring_templates(lines, min_docs, min_spread, short_tokens, short_docs, short_share), "templates")
     hits = lines.select("k1", "k2", "line.pos", F.explode("line.keys").alias("key")).join(bad.select("key"), "key")
-    drops = hits.groupBy("k1", "k2").agg(F.collect_set("pos").alias("__drop"))
+    drops = bounded(stored(hits.groupBy("k1", "k2").agg(F.collect_set("pos").alias("__drop")), "drops"), F.size("__drop") + 2)
     k1, k2 = _key(docs[text_col])
     whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("__row"), docs[text_col].alias("__text"), k1, k2)
     joined = whole.join(drops, ["k1", "k2"], "left")

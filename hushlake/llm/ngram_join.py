@@ -23,12 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bounded, stored
 from .components import connected_components
 from .words import NON_SPACE, gram_hashes, hashed_words, mix
 
-#: Candidates' ids are broadcast up to this many; beyond it Spark chooses.
-BROADCAST_ROWS = 200_000
 #: Words of 64 bits of the short sketch of a whole set.
 SHORT = 4
 
@@ -116,8 +114,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     """The (a, b) of ``pairs`` (a, b: nodes) that are similar enough on their shingles."""
     pairs = stored(pairs, "pairs")
     wanted = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
-    few = wanted.count() <= BROADCAST_ROWS
-    chosen = texts.join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
+    chosen = texts.join(bounded(wanted), "id", "left_semi")
     sets = stored(_shingles(chosen, words).dropDuplicates(["node"]), "sets")
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
