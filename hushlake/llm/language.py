@@ -25,7 +25,7 @@ TEXTS, TEXT_BYTES, WORDS, GRAMS = 1500, 40_000, 40_000, 20_000
 LONGEST = 5
 #: Words and evidence: a document counts as at most so many independent words when its probability is formed.
 EVIDENCE = 30
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 UNKNOWN = "und"
 
 

@@ -10,11 +10,14 @@ cut at powers of two, so no sequence needs padding.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +29,10 @@ POOL = 1 << 21
 #: Tokens of a step group; all groups of a tier but a task's last hold as many sequences.
 STEP_TOKENS = 1 << 15
 END_ID = 2
-#: Words whose ids a worker remembers; then it starts afresh.
-CACHED_WORDS = 1_500_000
+#: Words whose ids a worker remembers; then it goes on with the half that it met first, which common words are in.
+CACHED_WORDS = 300_000
+#: Words of small letters that normalisation leaves as they are.
+PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 _TAIL = b".,!?;:$%&#*|)"
 
 
@@ -44,20 +49,35 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        vocab = self.tokenizer.get_vocab()
+        self.final = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.final[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [pa.array(e.ids, pa.uint32()).buffers()[1].to_pybytes()[: 4 * len(e.ids)] if e.ids else b"" for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _plain_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters alone, encoded as one text: each ends with its only word-final token."""
+        if not words:
+            return []
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = (np.flatnonzero(self.final[ids]) + 1) * 4
+        if len(ends) != len(words) or ends[-1] != 4 * len(ids):
+            return self._ids(words)
+        data, cuts = ids.tobytes(), [0, *ends.tolist()]
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
     def learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > CACHED_WORDS:
-            self.known.clear()
         split = {}
         for w in words:
             head = w.rstrip(_TAIL)
             split[w] = (head, w[len(head):]) if head and (head[-1:].isalnum() or head[-1] > 127) else (w, b"")
         parts = list({p for pair in split.values() for p in pair if p and p not in self.known})
-        for p, ids in zip(parts, self._ids([p.decode("utf-8", "surrogatepass") for p in parts])):
-            self.known[p] = ids
+        texts = [p.decode("utf-8", "surrogatepass") for p in parts]
+        plain = [i for i, t in enumerate(texts) if PLAIN.fullmatch(t)]
+        self.known.update(zip([parts[i] for i in plain], self._plain_ids([texts[i] for i in plain])))
+        rest = [i for i, t in enumerate(texts) if not PLAIN.fullmatch(t)]
+        self.known.update(zip([parts[i] for i in rest], self._ids([texts[i] for i in rest])))
         for w, (head, tail) in split.items():
             self.known[w] = self.known[head] + (self.known[tail] if tail else b"")
 
@@ -73,10 +93,11 @@ class WordTokenizer:
             return b"".join(map(self.known.__getitem__, words))
         except KeyError:
             distinct = set(words)
-            if len(self.known) + len(distinct) > CACHED_WORDS:
-                self.known.clear()
             self.learn({w for w in distinct if w not in self.known})
-            return b"".join(map(self.known.__getitem__, words))
+            out = b"".join(map(self.known.__getitem__, words))
+            if len(self.known) > CACHED_WORDS:
+                self.known = dict(islice(self.known.items(), CACHED_WORDS // 2))
+            return out
 
 
 @lru_cache(maxsize=2)

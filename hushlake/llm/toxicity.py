@@ -40,7 +40,7 @@ LEAST, SCREEN = 3, 3.0
 L1, PENALTY, STEPS = 2e-3, 1.0, 300
 #: Swapped versions of one text.
 SWAPS = 3
-REMEMBERED = 600_000
+REMEMBERED = 100_000
 
 
 def features(word: str) -> list[str]:
