@@ -31,9 +31,10 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links connect, the one with the smallest id.
 
+    Texts link when they share 80 per cent of their shingles of five words; op7's own numbers belong to that query only.
     Documents without words stay, and so do rows without an id.  Rows that share an id are one document.
     """
-    groups = ngram_join.shingle_components(docs)
+    groups = ngram_join.shingle_components(docs, words=5, percent=80)
     others = groups.filter("n_shingles > 0 AND doc_id <> component_id").select("doc_id").distinct()
     return docs.join(bounded(stored(others, "others")), "doc_id", "left_anti").select(*docs.columns)
 

@@ -1,5 +1,6 @@
 """Every corpus query: against DuckDB where SQL expresses it, else against the contract's own terms."""
 
+import itertools
 import zlib
 
 import duckdb
@@ -71,6 +72,28 @@ def test_pipeline(spark):
     assert all(n == m for n, m in sums.values())
 
 
+def test_near_duplicates_of_the_stage(spark):
+    """The stage keeps what a brute force over all pairs keeps at five words and 0.8."""
+    base = [f"w{i}" for i in range(120)]
+    docs = [(1, " ".join(base)), (2, " ".join(base + [f"x{i}" for i in range(20)])), (3, " ".join(base[:60] + ["new"] + base[61:]))]
+    docs += [(4, " ".join(base[:60] + ["a", "b"] + base[70:])), (5, " ".join(base[:90])), (6, "one two three"), (7, "One two  three"), (8, None), (9, " ")]
+    docs += [(20 + i, " ".join(f"{i}v{j}" for j in range(40 + i))) for i in range(5)] + [(30, " ".join(f"3v{j}" for j in range(50)))]
+
+    def shingles(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, group = {i: shingles(t) for i, t in docs}, {i: i for i, _ in docs}
+    for a, b in itertools.combinations(sets, 2):
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            low, high = sorted((group[a], group[b]))
+            group = {i: low if g == high else g for i, g in group.items()}
+    want = {i for i, g in group.items() if i == g}
+    assert 2 not in want and 3 not in want and 5 in want
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(docs, "doc_id long, text string"), SF)
+    assert {r.doc_id for r in got.collect()} == want
+
+
 def queries_stored(df, name):
     from hushlake.llm.common import stored
 
