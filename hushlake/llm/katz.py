@@ -209,19 +209,32 @@ def backoff(seen: np.ndarray, disc: np.ndarray, uni: np.ndarray, unseen: float)
     return weight, np.where(seen > 0, below, 1.0)
 
 
+def slope(counts: np.ndarray) -> float:
+    """Slope of the line through log counts of counts over log r, for r = 1, 2, ...; nan for fewer than two of them.
+
+    As in simple Good-Turing, a count is first spread over the gap of empty ones around it.
+    """
+    r = np.flatnonzero(counts > 0) + 1.0
+    if len(r) < 2:
+        return float("nan")
+    before, after = np.append(0.0, r[:-1]), np.append(r[1:], 2 * r[-1] - r[-2])
+    x, y = np.log(r), np.log(2 * counts[r.astype(int) - 1] / (after - before))
+    return float(((x - x.mean()) * (y - y.mean())).sum() / ((x - x.mean()) ** 2).sum())
+
+
 def discounts(stats: list[int]) -> np.ndarray:
     """Good-Turing factors d(r), r from 0 to CUT + 1 (the last, 1, is for all larger counts).
 
-    Where the counts of counts give no factor between 0 and 1 that grows with r, r - 1/2 of r is kept.
+    The counts of counts are smoothed by a log-linear fit first, always: groups of copies make them uneven.  Factors
+    from the fit lie between 0 and 1 and grow with r whenever it falls more steeply than 1 / r.  Good-Turing has no
+    answer to one that doesn't, or to fewer than two different counts: r - 1/2 of r is kept there.
     """
-    n = np.array([0, *stats[2:]], dtype=np.float64)
-    plain = np.array([0.0, *(1 - 0.5 / r for r in range(1, CUT + 1)), 1.0])
-    if (n[1:] <= 0).any():
-        return plain
-    share = (CUT + 1) * n[CUT + 1] / n[1]
+    b = slope(np.array(stats[2:], dtype=np.float64))
     r = np.arange(1, CUT + 1)
-    d = ((r + 1) * n[r + 1] / (r * n[r]) - share) / (1 - share) if share < 1 else np.zeros(CUT)
-    return np.array([0.0, *d, 1.0]) if (d > 0).all() and (d < 1).all() else plain
+    if not b < -1 - 1e-6:
+        return np.array([0.0, *(1 - 0.5 / r), 1.0])
+    share = (CUT + 1) ** (1 + b)
+    return np.array([0.0, *(((r + 1) / r) ** (1 + b) - share) / (1 - share), 1.0])
 
 
 class Words:

@@ -340,6 +340,22 @@ def test_katz_against_loop(spark, block, keys):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], abs=1e-8)
 
 
+def test_discounts_are_good_turing():
+    """Factors from a line fitted elsewhere, on counts of counts that copies made uneven and on even ones."""
+    for n in ([900, 300, 120, 166, 60, 40], [14000, 3600, 1650, 1900, 800, 500], [1000, 250, 111, 62, 40, 28], [50, 0, 9, 4, 0, 2]):
+        seen = [r for r in range(1, 7) if n[r - 1]]
+        gaps = [(seen[i + 1] if i + 1 < len(seen) else 2 * r - seen[i - 1]) - (seen[i - 1] if i else 0) for i, r in enumerate(seen)]
+        line = np.polyfit(np.log(seen), [math.log(2 * n[r - 1] / g) for r, g in zip(seen, gaps)], 1)
+        fit = lambda r: math.exp(np.polyval(line, math.log(r)))
+        share = 6 * fit(6) / fit(1)
+        want = [((r + 1) * fit(r + 1) / (r * fit(r)) - share) / (1 - share) for r in range(1, 6)]
+        got = katz.discounts([0, 0, *n])
+        assert got[0] == 0 and got[6] == 1 and got[1:6].tolist() == pytest.approx(want)
+        assert (np.diff(got) > 0).all() and not np.allclose(got[1:6], [1 - 0.5 / r for r in range(1, 6)], atol=0.01)
+    for n in ([0] * 6, [7, 0, 0, 0, 0, 0], [5, 5, 5, 5, 5, 5], [0, 0, 0, 0, 0, 3]):
+        assert katz.discounts([0, 0, *n]).tolist() == [0, 0.5, 0.75, 1 - 0.5 / 3, 0.875, 0.9, 1]
+
+
 def test_katz_odd(odd, none):
     rows = katz.score_documents(odd, fold("doc_id", 7) == 2).collect()
     assert len(rows) == len(ODD) and all(math.isfinite(r.score) for r in rows)
