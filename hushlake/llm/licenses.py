@@ -1,7 +1,7 @@
 """Licence scan: normalised text against licence templates by the Dice coefficient over word bigrams.
 
-Compared are every line, every run of lines that mostly consist of bigrams of one template, and the whole
-text.  A segment and a template with a and b bigrams can reach a coefficient of t only if a lies between
+Compared are every line, every run of lines that mostly consist of bigrams of one template, the whole text, and
+windows of words from any bigram of a template to any other, across lines or inside one.  A segment and a template with a and b bigrams can reach a coefficient of t only if a lies between
 b * t / (2 - t) and b * (2 - t) / t, and only if they share t * (a + b) / 2; templates beyond those bounds are
 never compared.  Bigrams are hashed for that, and coefficients are computed on words.
 """
@@ -87,10 +87,14 @@ commercial or non-commercial, and by any means.""",
 }
 
 
+def _words(text: str) -> list[str]:
+    """Words, A-Z in lower case."""
+    return WORD.findall(text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
+
+
 def bigrams(text: str) -> frozenset[tuple[str, ...]]:
     """Pairs of neighbouring words, A-Z in lower case; a single word is its own only member."""
-    lower = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-    words = WORD.findall(lower)
+    words = _words(text)
     return frozenset(zip(words, words[1:])) if len(words) > 1 else frozenset((w,) for w in words)
 
 
@@ -137,17 +141,79 @@ class Templates:
                     start = None
         return out
 
+    def windows(self, words: list[str]) -> list[tuple[int, int, str, float]]:
+        """(first word, last word, template, dice) of windows that reach the threshold, none inside or across another.
+
+        A template's best window of each start among its bigrams is found among all ends within the size bounds.  Of
+        windows that overlap, the one that shares most bigrams stays, then the closest; equals all stay.
+        """
+        t, found = self.threshold, []
+        numbers: dict[tuple, int] = {}
+        grams = np.array([numbers.setdefault(g, len(numbers)) for g in zip(words, words[1:])], dtype=np.int64)
+        before = np.full(len(grams), -1)
+        order = np.argsort(grams, kind="stable")
+        same = grams[order][1:] == grams[order][:-1]
+        before[order[1:][same]] = order[:-1][same]
+        for name, b in zip(self.names, self.sets):
+            need, most = int(np.ceil(t / (2 - t) * len(b) - 1e-9)), int(len(b) * (2 - t) / t + 1e-9)
+            if len(b) == 1 and len(word := next(iter(b))) == 1:
+                found += [(1, 1.0, i, i, name) for i, w in enumerate(words) if w == word[0]]
+                continue
+            held = [numbers[g] for g in b if g in numbers]
+            if not held or len(held) < need:
+                continue
+            hit = np.isin(grams, held)
+            places = np.flatnonzero(hit)
+            for i, s in enumerate(places[: len(places) - need + 1 or None].tolist()):
+                end = min(len(grams), s + most)
+                if places[i + need - 1] >= end and np.count_nonzero(before[s : places[i + need - 1] + 1] < s) > most:
+                    continue
+                while True:  # repeated bigrams do not count, so a window may be longer than its set
+                    new = before[s:end] < s
+                    size = np.cumsum(new)
+                    if end == len(grams) or size[-1] > most:
+                        break
+                    end = min(len(grams), s + 2 * (end - s))
+                shared = np.cumsum(new & hit[s:end])
+                dice = np.where(size <= most, 2 * shared / (size + len(b)), 0.0)
+                e = int(dice.argmax())
+                if dice[e] >= t:
+                    found.append((int(shared[e]), float(dice[e]), s, s + e + 1, name))
+        free, out = np.ones(len(words), dtype=bool), {}
+        for shared, dice, s, e, name in sorted(found, key=lambda x: (-x[0], -x[1], x[2], x[3])):
+            if free[s : e + 1].all() or out.get((s, e), (0, 0))[:2] == (shared, dice):
+                free[s : e + 1] = False
+                out.setdefault((s, e), (shared, dice, []))[2].append(name)
+        return [(s, e, name, dice) for (s, e), (_, dice, names) in sorted(out.items()) for name in names]
+
+    def reachable(self, grams: frozenset) -> bool:
+        """Whether a text of these bigrams can hold a segment that reaches the threshold with some template."""
+        t = self.threshold
+        return bool(self.single) or any(len(grams & b) >= t / (2 - t) * len(b) - 1e-9 for b in self.sets)
+
     def matches(self, text: str) -> list[dict]:
         lines = text.split("\n")
+        by_line = [_words(line) for line in lines]
+        words = [w for line in by_line for w in line]
+        if not self.reachable(frozenset(zip(words, words[1:]))):
+            return []
         sets = [bigrams(line) for line in lines]
         found = {("line", i, i): s for i, s in enumerate(sets) if s}
         for first, last in self.runs(sets):
             found["run", first, last] = bigrams("\n".join(lines[first : last + 1]))
         if len(lines) > 1:
             found["text", 0, len(lines) - 1] = bigrams(text)
+        out = [(first, last, kind, name, dice) for (kind, first, last), s in found.items() for name, dice in self.best(s)]
+        whole = [(first, last, name) for first, last, _, name, _ in out]
+        at = np.repeat(np.arange(len(lines)), [len(line) for line in by_line]).tolist()
+        for s, e, name, dice in self.windows(words):
+            first, last = at[s], at[e]
+            # whole lines that match are listed above
+            if not any(name == n and i <= first and last <= j for i, j, n in whole):
+                out.append((first, last, "window", name, dice))
         return [
             {"license": name, "kind": kind, "first_line": first, "last_line": last, "dice": dice}
-            for (kind, first, last), s in sorted(found.items(), key=lambda x: (x[0][1], x[0][2], x[0][0])) for name, dice in self.best(s)
+            for first, last, kind, name, dice in sorted(out, key=lambda x: (x[0], x[1], x[2]))
         ]
 
     def worth_a_look(self, texts: list[str | None]) -> Iterator[int]:
@@ -176,7 +242,8 @@ def scan_licenses(
     """One row per document: doc_id and matches (license, kind of segment, first and last line, dice).
 
     Words are runs of digits, letters and characters beyond ASCII, A-Z in lower case; a segment of one word is compared by that
-    word.  A segment is listed with its closest template; templates equally close are all listed, by size and name.  Null, empty and wordless texts have no
+    word.  A segment is listed with its closest template; templates equally close are all listed, by size and name.  A window
+    is listed unless whole lines around it match the same template.  Null, empty and wordless texts have no
     matches; whole texts are read whatever their length.  Repeated rows give a row each, other columns are not read, an
     empty table, or no templates, gives no matches.
     """

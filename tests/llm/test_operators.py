@@ -88,6 +88,42 @@ def test_licenses_against_all_comparisons(spark):
     assert got[4] == got[5] == []
 
 
+def test_licenses_inside_lines(spark):
+    mit = " ".join(licenses.TEMPLATES["MIT"].split())
+    prose = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    texts = {
+        "Apache-2.0 notice": "Copyright 2024 Example Ltd. Licensed under the Apache License, Version 2.0.",
+        "MIT notice": "Some report text ends here. Released under the MIT License.",
+        "All rights reserved": "Copyright (c) 2024 Acme. All rights reserved.",
+        "MIT": f"{prose('a', 60)} {mit} {prose('b', 40)}",
+        "GPL-2.0 notice": f"{prose('a', 9)} this work is licensed under\nthe GNU General Public License, version 2. {prose('b', 9)}",
+        None: f"Released to {prose('a', 3)} under the {prose('b', 3)} MIT {prose('c', 3)} License. All the rights were reserved",
+    }
+    got = {r.doc_id: r.matches for r in licenses.scan_licenses(frame(spark, list(enumerate(texts.values())))).collect()}
+    for i, name in enumerate(texts):
+        assert [(m["license"], m["kind"], m["dice"]) for m in got[i]] == ([(name, "window", 1.0)] if name else [])
+    twice = f"{prose('a', 5)} all rights reserved {prose('b', 5)} all rights reserved {prose('c', 5)}"
+    (row,) = licenses.scan_licenses(frame(spark, [(1, f"Released under the MIT License.\n{twice}")])).collect()
+    assert [(m["license"], m["kind"], m["first_line"]) for m in row.matches] == [("MIT notice", "line", 0)] + [("All rights reserved", "window", 1)] * 2
+
+
+def test_license_windows_against_all_windows():
+    rng = random.Random(4)
+    known = licenses.Templates({"x": "a b c d e f g h i j k", "y": "b c d q r s", "z": "p p p a p b"}, 0.7)
+    for _ in range(150):
+        words = [rng.choice("abcdefghpqrs") if rng.random() < 0.4 else "abcdefghijkbcdqrspppapb"[i % 23] for i in range(rng.randrange(2, 40))]
+        best, found = {}, known.windows(words)
+        for i, j in ((i, j) for i in range(len(words)) for j in range(i + 1, len(words))):
+            own = frozenset(zip(words[i:j], words[i + 1 : j + 1]))
+            for name, b in zip(known.names, known.sets):
+                dice = 2 * len(own & b) / (len(own) + len(b))
+                if dice >= 0.7:
+                    best[i, j, name] = dice
+        assert all(best[s, e, name] == pytest.approx(dice) for s, e, name, dice in found)
+        covered = {k for s, e, _, _ in found for k in range(s, e + 1)}
+        assert all(covered & set(range(i, j + 1)) for i, j, _ in best)
+
+
 def test_licenses_odd(odd, none):
     assert [r.matches for r in licenses.scan_licenses(odd).collect()] == [[]] * len(ODD)
     assert licenses.scan_licenses(none).count() == 0
