@@ -8,6 +8,7 @@ never compared.  Bigrams are hashed for that, and coefficients are computed on w
 
 from __future__ import annotations
 
+import pkgutil
 import re
 from collections.abc import Iterator
 
@@ -84,8 +85,56 @@ commercial or non-commercial, and by any means.""",
     "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0 short notice": "Licensed under CC BY 4.0.",
     "All rights reserved": "All rights reserved.",
+    "LGPL-2.1 notice": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "BSL-1.0 notice": "Distributed under the Boost Software License, Version 1.0.",
+    "CC0-1.0 notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "BSL-1.0": """Boost Software License - Version 1.0 - August 17th, 2003 Permission is hereby granted, free of charge, to any
+person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software")
+to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software,
+and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in
+the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must
+be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or
+derivative works are solely in the form of machine-executable object code generated by a source language processor. THE
+SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE
+DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
 }
 
+#: Full texts that lie next to this module, as their publishers word them.
+FILES = ["Apache-2.0", "CC0-1.0", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0"]
+NETWORK = """  13. Remote Network Interaction; Use with the GNU General Public License. Notwithstanding any other provision of this
+License, if you modify the Program, your modified version must prominently offer all users interacting with it remotely through
+a computer network (if your version supports such interaction) an opportunity to receive the Corresponding Source of your
+version by providing access to the Corresponding Source from a network server at no charge, through some standard or customary
+means of facilitating copying of software. This Corresponding Source shall include the Corresponding Source for any work
+covered by version 3 of the GNU General Public License that is incorporated pursuant to the following paragraph.
+Notwithstanding any other provision of this License, you have permission to link or combine any covered work with a work
+licensed under version 3 of the GNU General Public License into a single combined work, and to convey the resulting work. The
+terms of this License will continue to apply to the part which is the covered work, but the work with which it is combined will
+remain governed by version 3 of the GNU General Public License.
+"""
+
+
+def _full_texts() -> dict[str, str]:
+    """The files, and what differs from another text in a few clauses only: BSD-3-Clause, BSD-4-Clause and AGPL-3.0.
+
+    Close relatives must all be there, as a text shows the closest template.
+    """
+    out = {f"{name} text": pkgutil.get_data(__package__, f"license_texts/{name}.txt").decode() for name in FILES}
+    named = re.sub(r"(?i)GNU (General Public License)", r"GNU Affero \1", out["GPL-3.0 text"])
+    head, tail = named.split("\n  13. ")[0], named.split("\n  14. ")[1]
+    out["AGPL-3.0 text"] = f"{head}\n{NETWORK}\n  14. {tail}"
+    head, tail = TEMPLATES["BSD-2-Clause"].split("THIS SOFTWARE IS PROVIDED")
+    names = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    adverts = "All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization."
+    out["BSD-3-Clause"] = f"{head}3. {names} THIS SOFTWARE IS PROVIDED{tail}"
+    out["BSD-4-Clause"] = f"{head}3. {adverts} 4. {names} THIS SOFTWARE IS PROVIDED{tail}"
+    return out
+
+
+TEMPLATES |= _full_texts()
+
 
 def _words(text: str) -> list[str]:
     """Words, A-Z in lower case."""

@@ -107,6 +107,21 @@ def test_licenses_inside_lines(spark):
     assert [(m["license"], m["kind"], m["first_line"]) for m in row.matches] == [("MIT notice", "line", 0)] + [("All rights reserved", "window", 1)] * 2
 
 
+def test_full_texts_are_told_apart(spark):
+    """Every full text is found as itself alone, in lines, as one line and inside prose; relatives are not mixed up."""
+    names = [n for n, t in licenses.TEMPLATES.items() if len(t) > 1000]
+    assert {"BSD-3-Clause", "Apache-2.0 text", "GPL-3.0 text", "AGPL-3.0 text", "LGPL-2.1 text", "MPL-2.0 text", "CC0-1.0 text", "BSL-1.0"} <= set(names)
+    prose = " ".join(f"a{i}" for i in range(50))
+    docs = [(n, form) for n in names for t in [licenses.TEMPLATES[n]] for form in (t, " ".join(t.split()), f"{prose} {' '.join(t.split())} {prose}")]
+    rows = licenses.scan_licenses(frame(spark, docs, "doc_id string, text string").repartition(8)).collect()
+    for r in rows:
+        full = {m["license"] for m in r.matches if len(licenses.TEMPLATES[m["license"]]) > 1000}
+        assert full == {r.doc_id}, [(r.doc_id, m) for m in r.matches if len(licenses.TEMPLATES[m["license"]]) > 1000]
+    regents = licenses.TEMPLATES["BSD-3-Clause"].replace("COPYRIGHT HOLDERS AND", "REGENTS AND").replace("name of the copyright holder", "name of the University")
+    (row,) = licenses.scan_licenses(frame(spark, [(1, f"Copyright 2020 A. Author.\n\n{regents}")])).collect()
+    assert {m["license"] for m in row.matches} == {"BSD-3-Clause"}
+
+
 def test_license_windows_against_all_windows():
     rng = random.Random(4)
     known = licenses.Templates({"x": "a b c d e f g h i j k", "y": "b c d q r s", "z": "p p p a p b"}, 0.7)
