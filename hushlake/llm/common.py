@@ -63,6 +63,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lower_ascii(text: Column) -> Column:
+    """A-Z in lower case and nothing else, whatever the locale."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def fold(doc_id: Column | str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a null id counts as the text ''."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

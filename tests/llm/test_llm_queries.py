@@ -10,7 +10,7 @@ import corpus_pipeline
 from hushlake.llm import queries
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "benchmark", "labels")
+TABLES = ("documents", "benchmark", "labels", "pages", "embeddings")
 
 
 @pytest.fixture(scope="module")
