@@ -38,11 +38,14 @@ def _remove(spark: SparkSession, folder: str) -> None:
         return
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: a cut in the lineage that survives lost executors."""
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back: a cut in the lineage that survives lost executors.
+
+    ``options`` go to the writer.
+    """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

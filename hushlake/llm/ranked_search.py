@@ -5,9 +5,10 @@ Documents are dealt into shards of bounded size.  Within a shard each term's pos
 similarity of its documents (on random projections of their vectors), and each cluster is a block with a summary: the
 largest value of every coordinate in it.  The inner product of a query and a summary is no less than the score of any
 document in the block, so a block is skipped only when that bound is below the score that the query's last place
-needs.  Values in summaries are rounded up to 255 steps per coordinate, so the bound holds exactly, in whole
-numbers.  Lists that are no longer than a block have no summary: their documents are scored at once, and with them
-the bar is high before the first bound is looked at.
+needs.  A query's terms have an order, largest values first, and a document is looked for in the list of the first term
+that it holds; so the bound of a block needs the coordinates from its own term on only, and lists of
+frequent terms are seldom opened.  Values in summaries are rounded up to 255 steps per coordinate, so bounds hold exactly, in
+whole numbers.  Lists of a few documents have no summary; the largest values in the shard bound them.
 
 The index holds the terms of a block of queries, whose number of terms is bounded; larger query sets are
 answered block by block.  All rows are indexed, and every row of the index is one shard, so the search is
@@ -31,11 +32,13 @@ from .words import ALNUM, hashed_words
 #: Distinct terms that a block of queries may have, unless a single query has more.
 BLOCK_TERMS = 8192
 #: Documents times terms of a shard: the cells of its largest table in memory, one byte each.
-CELLS = 1 << 24
-SHARD_DOCS = 2048
+CELLS = 1 << 22
+SHARD_DOCS = 1024
 #: Aim for documents in a block; lists of at most LIST_LEAST documents are always scored.
 PER_BLOCK, LIST_LEAST = 128, 32
 AXES = 16
+#: A row of the index has some two MB: groups of rows are closed by size, so writers and readers hold 16 MB of them.
+_SMALL_GROUPS = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "2"}
 
 _INDEX = (
     "ids array<{id}>, lengths array<bigint>, starts array<int>, terms array<int>, counts array<int>, "
@@ -237,49 +240,59 @@ class _Best:
         """Least score that may still enter."""
         return max(1, -self.rows[-1][0]) if len(self.rows) == self.k else 1
 
-    def add(self, ids: list, scores: np.ndarray) -> None:
+    def add(self, ids: list, docs: np.ndarray, scores: np.ndarray) -> None:
         good = np.flatnonzero(scores >= self.bar)
+        if not len(good):
+            return
         if len(good) > 4 * self.k:  # as many as share the last place stay in
             least = np.partition(scores[good], len(good) - self.k)[len(good) - self.k]
             good = good[scores[good] >= least]
-        new = [(-int(scores[i]), ids[i] is None, ids[i] if ids[i] is not None else 0) for i in good.tolist()]
+        new = [(-s, ids[i] is None, 0 if ids[i] is None else ids[i]) for i, s in zip(docs[good].tolist(), scores[good].tolist())]
         self.rows = sorted(self.rows + new)[: self.k]
 
 
+def _held(term: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of the terms ``own`` in a table sorted by term, and which of ``own`` each belongs to."""
+    low, high = np.searchsorted(term, own), np.searchsorted(term, own, side="right")
+    which = np.repeat(np.arange(len(own)), high - low)
+    return np.arange(len(which)) + np.repeat(low - np.concatenate([[0], np.cumsum(high - low)[:-1]]), high - low), which
+
+
 def _search_shard(row: dict, queries: list[tuple[np.ndarray, np.ndarray]], best: list[_Best], w: np.ndarray, n: int, length: int) -> tuple[int, int]:
     """Takes a shard into account for every query; (blocks looked at, blocks skipped)."""
     ids, lengths = row["ids"], np.array(row["lengths"], dtype=np.int64)
     starts, terms, counts = (np.array(row[c], dtype=np.int64) for c in ("starts", "terms", "counts"))
-    value = impacts(w, terms, counts, np.repeat(lengths, np.diff(starts)), n, length)
-    short_term, short_start, short_docs = (np.array(row[c], dtype=np.int64) for c in ("short_term", "short_start", "short_docs"))
-    block_term, block_start, block_docs = (np.array(row[c], dtype=np.int64) for c in ("block_term", "block_start", "block_docs"))
+    doc = np.repeat(np.arange(len(ids)), np.diff(starts))
+    value = np.zeros((len(w), len(ids)), dtype=np.int64)
+    value[terms, doc] = impacts(w, terms, counts, lengths[doc], n, length)
+    short = [np.array(row[c], dtype=np.int64) for c in ("short_term", "short_start", "short_docs")]
+    block = [np.array(row[c], dtype=np.int64) for c in ("block_term", "block_start", "block_docs")]
     steps = np.array(row["steps"], dtype=np.int64)
-    summaries = np.frombuffer(zlib.decompress(row["summaries"]), dtype=np.uint8).reshape(len(block_term), len(w))
-    weight, looked, skipped = np.zeros(len(w), dtype=np.int64), 0, 0
+    summaries = np.frombuffer(zlib.decompress(row["summaries"]), dtype=np.uint8).reshape(len(block[0]), len(w))
+    looked = skipped = 0
     for (own, repeats), top in zip(queries, best):
-        weight[own] = repeats
+        order = np.argsort(-repeats * steps[own], kind="stable")
+        own, repeats = own[order], repeats[order]
+        step = repeats * steps[own]
+        rest = np.cumsum(255 * step[::-1])[::-1]  # no document without the terms before has more than this
+        rows, which = _held(short[0], own)
+        blocks, term = _held(block[0], own)
+        tail = np.where(np.arange(len(own)) >= term[:, None], summaries[np.ix_(blocks, own)], 0) @ step
+        lists = [(short, rows, rest[which]), (block, blocks, tail)]
         done = np.zeros(len(ids), dtype=bool)
-
-        def score(docs: np.ndarray) -> None:
-            docs = np.unique(docs)
-            docs = docs[~done[docs]]
-            if not len(docs):
-                return
-            done[docs] = True
-            at, first = _positions(starts, docs)
-            top.add([ids[i] for i in docs.tolist()], np.add.reduceat(weight[terms[at]] * value[at], first[:-1]))
-
-        score(short_docs[_positions(short_start, np.flatnonzero(np.isin(short_term, own)))[0]])
-        blocks = np.flatnonzero(np.isin(block_term, own))
-        bound = summaries[np.ix_(blocks, own)].astype(np.int64) @ (repeats * steps[own])
-        order = np.argsort(-bound, kind="stable")
-        blocks, bound, i, step = blocks[order], bound[order], 0, 4
-        while i < len(blocks) and bound[i] >= top.bar:
-            upto = min(i + step, int(np.searchsorted(-bound, -top.bar, side="right")))
-            score(block_docs[_positions(block_start, blocks[i:upto])[0]])
-            i, step = upto, step * 2
-        looked, skipped = looked + len(blocks), skipped + len(blocks) - i
-        weight[own] = 0
+        for (_, first, docs), rows, bound in lists:
+            order = np.argsort(-bound, kind="stable")
+            rows, bound, i, size = rows[order], bound[order], 0, 8
+            while i < len(rows) and bound[i] >= top.bar:
+                upto = min(i + size, int(np.searchsorted(-bound, -top.bar, side="right")))
+                fresh = np.zeros(len(ids), dtype=bool)
+                fresh[docs[_positions(first, rows[i:upto])[0]]] = True
+                new = np.flatnonzero(fresh & ~done)
+                done[new] = True
+                if len(new):
+                    top.add(ids, new, repeats @ value[np.ix_(own, new)])
+                i, size = upto, size * 3
+        looked, skipped = looked + len(blocks), skipped + len(rows) - i
     return looked, skipped
 
 
@@ -329,7 +342,7 @@ def ranked_search(
         vocabulary = np.unique(np.array([t for _, terms in block for t in terms], dtype=np.int64).view(np.uint64))
         vectors = stored(term_vectors(docs, vocabulary, id_col, text_col), "vectors")
         w, n, length = weights(vectors, len(vocabulary))
-        index = stored(build_index(vectors, w, n, length), "index")
+        index = stored(build_index(vectors, w, n, length), "index", **_SMALL_GROUPS)
         out = out.union(search_index(index, block, vocabulary, w, n, length, k, kinds[0]))
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("id").asc_nulls_last()))
     ranked = out.withColumn("rank", place).filter(F.col("rank") <= k)
