@@ -8,7 +8,8 @@ longest one decides.
 
 No rule looks further than the longest host and path among the rules, so only that much of an address is expanded,
 however long it is; that is a bound and no cut.  Addresses are reduced to their distinct (host, beginning of the path)
-first, so a site that holds a third of all rows is looked up once for each beginning.
+first, so a site that holds a third of all rows is looked up once for each beginning.  Decisions, of which there are
+few, come back to the rows by (host, beginning, salt): no task gets all rows of a site.
 """
 
 from __future__ import annotations
@@ -23,6 +24,9 @@ DEFAULT = "allow"
 #: Hexadecimal digits of the digest that make the join key.
 SHORT_DIGITS = 8
 
+#: Each decision goes to so many places, and the rows of one site are dealt out over them.
+SALTS = 64
+
 _ADDRESS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -86,7 +90,9 @@ def judge_urls(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_c
     decided = met.groupBy("host", "start").agg(
         F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), "verdict"), order).alias("won")
     )
-    return pages.join(decided, ["host", "start"], "left").select(
+    pages = pages.withColumn("salt", F.pmod(F.xxhash64("id", "path"), F.lit(SALTS)).cast("int"))
+    decided = decided.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return pages.join(decided, ["host", "start", "salt"], "left").select(
         F.col("id").alias(id_col), "host", "path", F.col("won.rule").alias("rule"),
         F.coalesce("won.verdict", F.lit(default)).alias("verdict"),
     )
