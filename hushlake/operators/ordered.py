@@ -53,3 +53,27 @@ def row_number_sliced(df: DataFrame, keys: list[str], order: list[str], slice_:
     joined = _with_slice_values(work, base, keys, "__base")
     inside = F.row_number().over(Window.partitionBy(*keys, "__s").orderBy(*order))
     return joined.withColumn(out, F.col("__base") + inside).drop("__s", "__base")
+
+
+def running_sliced(df: DataFrame, keys: list[str], order: list[str], value: Column, kind: str, slice_: Column, out: str) -> DataFrame:
+    """Sum, maximum or last non-null ``value`` of the rows before a row, per key; null where there is none.
+
+    ``kind`` is ``sum``, ``max`` or ``last``.  ``slice_`` must not decrease along ``order``.
+    """
+    work = df.withColumn("__s", slice_).withColumn("__v", value)
+    rank = F.struct(*order)
+    total = {"sum": F.sum("__v"), "max": F.max("__v"), "last": F.max_by("__v", F.when(F.col("__v").isNotNull(), rank))}[kind]
+    per_slice = work.groupBy(*keys, "__s").agg(total.alias("__t"))
+
+    def over(column: str, w: Window) -> Column:
+        return {"sum": F.sum(column), "max": F.max(column), "last": F.last(column, ignorenulls=True)}[kind].over(w)
+
+    earlier = Window.partitionBy(*keys).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    joined = _with_slice_values(work, per_slice.select(*keys, "__s", over("__t", earlier).alias("__base")), keys, "__base")
+    inside = over("__v", Window.partitionBy(*keys, "__s").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    joined = joined.withColumn("__in", inside)
+    both = {
+        "sum": F.when(F.col("__in").isNull(), F.col("__base")).otherwise(F.col("__in") + F.coalesce("__base", F.lit(0))),
+        "max": F.greatest("__in", "__base"), "last": F.coalesce("__in", "__base"),
+    }[kind]
+    return joined.withColumn(out, both).drop("__s", "__v", "__in", "__base")

@@ -9,9 +9,10 @@ from hushlake.operators import audits, dedupe, evaluate, reports
 from hushlake.operators.ordered import lag_sliced, lead_sliced
 from hushlake.plans import sqlkit as K
 from hushlake.plans.registry import query
+from hushlake.sources.derived import SQL as _DERIVED
 from hushlake.sources.derived import derive, duck
 from hushlake.sources.tables import table
-from hushlake.streaming import streams
+from hushlake.streaming import sessions, streams
 
 ITEMS = duck("items")
 
@@ -394,17 +395,56 @@ def stream_detect(spark, root):
     return streams.run_to_table(found.select("doc_id", "type", "value", "start")).drop("batch")
 
 
-@query("send_gate")
+_EMPTY = "trim(text) = ''"
+_GATE_SQL = f"""WITH e AS MATERIALIZED (SELECT conv_id * 1000000 + turn AS doc_id, * FROM {duck('drafts')} d),
+      kept AS MATERIALIZED (SELECT * FROM {K.resolved(K.spans('e', prompt=True))}), red AS MATERIALIZED (SELECT * FROM {K.redacted('e', 'kept')}),
+      again AS MATERIALIZED (SELECT doc_id, redacted AS text FROM red),
+      l AS (SELECT s.doc_id, sum(CASE WHEN contains(t.redacted, s.value) THEN 1 ELSE 0 END) AS n FROM kept s JOIN red t USING (doc_id) GROUP BY s.doc_id),
+      x AS (SELECT doc_id, count(*) AS n FROM ({K.spans('again', prompt=True)}) GROUP BY doc_id),
+      f AS (SELECT doc_id, count(*) AS n FROM kept GROUP BY doc_id),
+      v AS (SELECT e.*, r.redacted, coalesce(f.n, 0) AS findings, coalesce(l.n, 0) = 0 AND coalesce(x.n, 0) = 0 AS verified
+        FROM e JOIN red r USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN x USING (doc_id) LEFT JOIN f USING (doc_id)),
+      j AS (SELECT *, {K.fnv1a('text')} AS h, {K.fnv1a('redacted')} AS ch,
+        CASE WHEN {_EMPTY} AND attachment_state = 'VERIFIED' THEN 'READY' WHEN {_EMPTY} THEN 'DISABLED' WHEN verified THEN 'READY' ELSE 'FAILED' END AS state,
+        CASE WHEN attachment_state IN ('FAILED', 'PROCESSING') THEN 'ATTACHMENT_BLOCKED' WHEN {_EMPTY} AND attachment_state = 'VERIFIED' THEN 'ATTACHMENT_ONLY' WHEN {_EMPTY} THEN 'EMPTY'
+          WHEN NOT verified THEN 'PLACEHOLDER_VERIFICATION_FAILED' WHEN findings > 0 THEN 'PRIVACY_VERIFIED' ELSE 'NO_SENSITIVE_DATA' END AS reason FROM v),
+      p AS (SELECT *, reason IN ('ATTACHMENT_ONLY', 'PRIVACY_VERIFIED', 'NO_SENSITIVE_DATA') AS ok,
+        sum(CASE WHEN moved THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS part FROM j),
+      n AS (SELECT *, max(CASE WHEN NOT moved THEN scan_id END) OVER (PARTITION BY conv_id, part ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM p),
+      a AS (SELECT *, NOT moved AND NOT coalesce(scan_id < newest, false) AS live FROM n),
+      k AS (SELECT *, last_value(CASE WHEN live THEN [CASE WHEN ok THEN ch END] END IGNORE NULLS)
+        OVER (PARTITION BY conv_id, part ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)[1] AS known FROM a)
+    SELECT conv_id, turn, CASE WHEN moved THEN 'IDLE' WHEN NOT live THEN 'STALE' ELSE state END AS state,
+      CASE WHEN moved THEN 'NAVIGATED' WHEN NOT live THEN 'STALE_SCAN' ELSE reason END AS reason, ok AND live AS allowed,
+      live AND coalesce(known <> h, false) AS relocked FROM k"""
+
+
+def _draft_stream(spark, root):
+    return spark.sql(_DERIVED["drafts"], conversations=streams.read_stream(spark, root, "conversations"))
+
+
+@query("send_gate", _GATE_SQL)
 def send_gate(spark, root):
-    """Live send gate over a conversation log with edits."""
-    conv = streams.read_stream(spark, root, "conversations")
-    t, c = F.col("turn"), F.col("conv_id")
-    edits = conv.filter("role = 'user'").select(
-        "conv_id", "turn", (t - t % 2).alias("scan_id"),
-        F.when(t % 5 == 4, "").when(t % 3 == 0, F.concat("text", F.lit(" mail c"), c.cast("string"), F.lit("@example.com"))).otherwise(F.col("text")).alias("text"),
-        F.when(c % 6 == 5, "VERIFIED").when(c % 7 == 6, "FAILED").otherwise("NONE").alias("attachment_state"),
-    )
-    return streams.run_to_table(streams.send_gate(edits)).drop("batch")
+    """Live send gate over a log of drafts, with navigations and scans that finish late."""
+    return streams.run_to_table(streams.send_gate(_draft_stream(spark, root), reset="moved")).drop("batch")
+
+
+@query("send_gate_table", _GATE_SQL)
+def send_gate_table(spark, root):
+    """The gate's verdicts over a finished log, with windows."""
+    drafts = derive(spark, root, "drafts")
+    return streams.send_gate_table(drafts, "conv_id", "turn", "scan_id", F.floor(F.col("turn") / 1024), "moved")
+
+
+@query(
+    "stream_reset",
+    "SELECT e.user_id, e.event_id FROM events e LEFT JOIN (SELECT user_id, max((ts, event_id)) AS last FROM events WHERE event_type = 'view' GROUP BY user_id) n USING (user_id) WHERE n.last IS NULL OR (e.ts, e.event_id) > n.last",
+)
+def stream_reset(spark, root):
+    """What is left of a tab after its last navigation, kept as streaming state; idle tabs would expire on event time."""
+    ev = streams.read_stream(spark, root, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    rows = sessions.tab_rows(ev.withColumn("nav", F.col("event_type") == "view"), "user_id", ["at", "event_id"], "nav")
+    return sessions.current_rows(streams.run_to_table(rows), "user_id", ["at", "event_id"]).select("user_id", "event_id")
 
 
 @query(

@@ -8,9 +8,10 @@ from hushlake.functions import dims
 from hushlake.functions import text as X
 from hushlake.operators import audits, boxes as B, context as C, dedupe, elements as E, evaluate, spans
 from hushlake.plans import sqlkit as K
-from hushlake.plans.registry import query
+from hushlake.plans.registry import ORACLES, query
 from hushlake.sources.derived import derive, duck
 from hushlake.sources.tables import table
+from hushlake.streaming import streams, upserts
 
 VISITS = duck("visits")
 PARTS = K.url_parts(VISITS)
@@ -279,6 +280,23 @@ def incremental_merge(spark, root):
     return dedupe.merge_incremental(old, fresh, _roots(spark, root), "page_id").select("page_id", "type", "value", "ord")
 
 
+@query("stream_merge", ORACLES["incremental_merge"])
+def stream_merge(spark, root):
+    """The same merge batch by batch: changed roots come as a stream, and each batch rewrites what it touches, once."""
+    old = _items_at(spark, root).select("page_id", "ord", "type", "value", "path")
+    fresh = old.filter("ord % 2 = 0").withColumn("value", F.concat("value", F.lit("-new")))
+    target = upserts.GenerationTable(spark, streams.shared_folder(spark, "merge"), "page_id long, ord long, type string, value string, path string", "page_id")
+    target.load(old)
+    orders = streams.read_stream(spark, root, "orders")
+    roots = orders.select(F.col("o_orderkey").alias("page_id"), F.expr("'/html/body/div[' || CAST(o_orderkey % 4 + 1 AS STRING) || ']'").alias("root"))
+
+    def merge(before, batch):
+        return dedupe.merge_incremental(before, fresh.join(batch.select("page_id").distinct(), "page_id", "left_semi"), batch, "page_id")
+
+    target.merge_stream(roots, merge, streams.shared_folder(spark, "merge-checkpoint"))
+    return target.current().select("page_id", "type", "value", "ord")
+
+
 # --- Boxes ----------------------------------------------------------------------------
 BOXES = duck("boxes")
 

@@ -210,6 +210,14 @@ SQL: dict[str, str] = {
                     WHEN turn % 3 = 1 THEN text ELSE text || chr(10) || 'DB_URL=postgres://u:p@h' || CAST(conv_id AS STRING) || '/d' END AS text,
                CASE WHEN conv_id % 6 = 5 THEN 'VERIFIED' WHEN conv_id % 7 = 6 THEN 'FAILED' ELSE 'NONE' END AS attachment_state
         FROM {conversations}""",
+    # Drafts in a tab: edits whose scans may finish out of order, with navigations in between.
+    "drafts": """
+        SELECT conv_id, turn, CASE WHEN turn % 7 = 3 THEN turn - 4 ELSE turn - turn % 2 END AS scan_id,
+               CASE WHEN turn % 3 = 0 THEN text || ' mail c' || CAST(conv_id AS STRING) || '@example.com'
+                    WHEN turn % 3 = 1 THEN text ELSE text || chr(10) || 'DB_URL=postgres://u:p@h' || CAST(conv_id AS STRING) || '/d' END AS text,
+               CASE WHEN conv_id % 6 = 5 THEN 'VERIFIED' WHEN conv_id % 7 = 6 THEN 'FAILED' ELSE 'NONE' END AS attachment_state,
+               turn % 6 = 5 AS moved
+        FROM {conversations}""",
     # Outgoing payloads: one per order.
     "payloads": f"""
         SELECT o_orderkey AS payload_id,

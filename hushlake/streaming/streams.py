@@ -14,11 +14,13 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from hushlake.operators import redact, spans, verify
+from hushlake.operators.ordered import running_sliced
+from hushlake.streaming import sessions
 
 
 def _expiry(idle_ms: int | None) -> str:
@@ -61,27 +63,9 @@ def windowed_counts(detections: DataFrame, ts: str, window: str = "1 hour", wate
     )
 
 
-def changed_only(stream: DataFrame, key: str, hash_col: str, order: str, idle_ms: int | None = None) -> DataFrame:
-    """Rows whose content hash differs from the last one seen for the key; state is one hash per key."""
-    key_type = stream.schema[key].dataType.simpleString()
-
-    def run(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        pdf = pd.concat(list(batches)).sort_values(order)
-        before = pdf[hash_col].shift(1)
-        before.iloc[0] = last
-        state.update((pdf[hash_col].iloc[-1],))
-        if idle_ms is not None:
-            state.setTimeoutDuration(idle_ms)
-        out = pdf[pdf[hash_col] != before]
-        yield pd.DataFrame({key: out[key], "order": out[order].astype("int64"), "hash": out[hash_col]})
-
-    return stream.groupBy(key).applyInPandasWithState(
-        run, f"{key} {key_type}, order bigint, hash string", "hash string", "append", _expiry(idle_ms)
-    )
+def changed_only(stream: DataFrame, key: str, hash_col: str, order: str, at: str | None = None, idle_ms: int | None = None) -> DataFrame:
+    """Rows whose content hash differs from the last one seen for the key (see ``sessions``)."""
+    return sessions.changed_rows(stream, key, hash_col, order, at, idle_ms)
 
 
 def rolling_log(stream: DataFrame, key: str, order: str, value: str, size: int = 50, idle_ms: int | None = None) -> DataFrame:
@@ -141,44 +125,44 @@ def gate_verdict(judged: DataFrame) -> DataFrame:
     )
 
 
-def send_gate(stream: DataFrame, key: str = "conv_id", order: str = "turn", scan: str = "scan_id", idle_ms: int | None = None) -> DataFrame:
+def send_gate(
+    stream: DataFrame, key: str = "conv_id", order: str = "turn", scan: str = "scan_id", reset: str | None = None,
+    at: str | None = None, late: str = "10 minutes", idle_ms: int | None = None,
+) -> DataFrame:
     """Live send gate: every edit gets a verdict; results of older scans are dropped.
 
     The texts are judged before the shuffle, so only verdicts and fingerprints reach the
-    keyed state, which is one scan number and one fingerprint per conversation.
+    keyed state, which is one scan number and one fingerprint per conversation.  ``reset`` names a column
+    that marks navigations; with an event time ``at``, idle conversations expire on the watermark.
     """
-    judged = gate_verdict(judge_edits(stream)).select(key, order, scan, "state", "reason", "allowed", "clean_hash", "hash")
-    key_type = stream.schema[key].dataType.simpleString()
+    judged = gate_verdict(judge_edits(stream))
+    return sessions.gate_rows(judged, key, order, scan, reset, at, late, idle_ms)
 
-    def run(k, batches: Iterator[pd.DataFrame], st: GroupState) -> Iterator[pd.DataFrame]:
-        if st.hasTimedOut:
-            st.remove()
-            return
-        newest, verified = (st.get[0], st.get[1]) if st.exists else (-1, None)
-        rows = []
-        for r in pd.concat(list(batches)).sort_values([order, scan]).itertuples(index=False):
-            row = r._asdict()
-            if row[scan] < newest:
-                rows.append((k[0], row[order], "STALE", "STALE_SCAN", False, False))
-                continue
-            newest = row[scan]
-            relocked = verified is not None and row["hash"] != verified
-            verified = row["clean_hash"] if row["allowed"] else None
-            rows.append((k[0], row[order], row["state"], row["reason"], bool(row["allowed"]), relocked))
-        st.update((int(newest), verified))
-        if idle_ms is not None:
-            st.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(rows, columns=[key, "turn", "state", "reason", "allowed", "relocked"])
-
-    return judged.groupBy(key).applyInPandasWithState(
-        run, f"{key} {key_type}, turn bigint, state string, reason string, allowed boolean, relocked boolean",
-        "newest bigint, verified string", "append", _expiry(idle_ms),
-    )
 
+def send_gate_table(edits: DataFrame, key: str, order: str, scan: str, slice_: Column, reset: str | None = None) -> DataFrame:
+    """The same verdicts for a table of edits, with windows in slices of a conversation's order.
 
-def merge_batches(stream: DataFrame, merge, checkpoint: str):
-    """Run ``merge(batch, id)`` for every micro-batch (incremental merge of rescanned roots)."""
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    ``slice_`` must not decrease along ``order``.
+    """
+    judged = gate_verdict(judge_edits(edits)).withColumn("__mark", F.coalesce(F.col(reset), F.lit(False)) if reset else F.lit(False))
+    slim = judged.select(key, order, scan, "__mark", *sessions.GATE_COLUMNS).withColumn("__slice", slice_)
+    by = [order, scan]
+    slim = running_sliced(slim, [key], by, F.col("__mark").cast("int"), "sum", F.col("__slice"), "__before")
+    slim = slim.withColumn("__part", F.coalesce("__before", F.lit(0)) + F.col("__mark").cast("int")).drop("__before")
+    parts = [key, "__part"]
+    slim = running_sliced(slim, parts, by, F.when(~F.col("__mark"), F.col(scan)), "max", F.col("__slice"), "__newest")
+    mark, stale = F.col("__mark"), F.coalesce(F.col(scan) < F.col("__newest"), F.lit(False))
+    slim = slim.withColumn("__live", ~mark & ~stale)
+    clean = F.when(F.col("__live"), F.struct(F.when(F.col("allowed"), F.col("clean_hash")).alias("h")))
+    slim = running_sliced(slim, parts, by, clean, "last", F.col("__slice"), "__verified")
+    live, known = F.col("__live"), F.col("__verified.h")
+    return slim.select(
+        key, F.col(order).cast("long").alias("turn"),
+        F.when(mark, "IDLE").when(~live, "STALE").otherwise(F.col("state")).alias("state"),
+        F.when(mark, "NAVIGATED").when(~live, "STALE_SCAN").otherwise(F.col("reason")).alias("reason"),
+        (F.coalesce("allowed", F.lit(False)) & live).alias("allowed"),
+        (live & F.coalesce(known != F.col("hash"), F.lit(False))).alias("relocked"),
+    )
 
 
 def run_to_table(stream: DataFrame, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
@@ -201,7 +185,7 @@ def run_to_table(stream: DataFrame, mode: str = "append", checkpoint: str | None
 
 
 def read_stream(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A lake table as a stream of its files."""
+    """A lake table as a stream of its files, be it one file or a folder of them."""
     path = f"{root.rstrip('/')}/{name}.parquet"
     schema = spark.read.parquet(path).schema
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(root)
