@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -16,7 +17,7 @@ from hushlake.operators.spans import with_spans
 ELEMENT = (
     "struct<idx:int,parent:int,depth:int,nth:int,tag:string,path:string,text:string,full_text:string,"
     "children:int,attrs:map<string,string>,ignored:boolean,hidden:boolean,chip:boolean,editable:boolean,"
-    "level:int,last:int,skipped:boolean>"
+    "level:int,last:int,skipped:boolean,by_ref:string,by_for:string,form:int,head:int,head_steps:int,provenance:string>"
 )
 
 # Containers whose text is page furniture, not content.
@@ -39,8 +40,32 @@ NAME_HINTS = ["name", "fullname", "full_name", "full-name", "author", "firstname
 SKELETON_CONTAINERS = ["form", "main", "nav", "header", "footer", "section", "article", "div", "p", "pre", "code"]
 SKELETON_INTERACTIVE = ["input", "button", "select", "textarea", "a"]
 SKELETON_SKIPPED = ["script", "style", "noscript", "meta", "link", "svg"]
+
+# Which elements hold answers, past messages, or what a user writes.  (attribute, test, value); a class by its name.
+ASSISTANT_MARKS = [
+    ("data-message-author-role", "is", "assistant"), ("data-testid", "has", "assistant"), ("class", "word", "agent-turn"),
+    ("data-message-model-slug", "any", ""), ("class", "word", "font-claude-message"), ("data-is-streaming", "any", ""),
+    ("class", "word", "response-content"), ("class", "word", "ai-response"), ("class", "word", "bot-message"),
+    ("class", "word", "model-response"), ("data-author", "same", "assistant"), ("data-role", "same", "assistant"),
+    ("class", "word", "assistant-message"), ("class", "word", "ai-turn"), ("class", "word", "model-turn"), ("class", "word", "chat-response"),
+]
+HISTORY_MARKS = [
+    ("data-testid", "has", "conversation"), ("data-testid", "has", "chat-turn"), ("data-testid", "has", "message-bubble"),
+    ("class", "word", "conversation-item"), ("class", "word", "chat-history"), ("class", "word", "thread-history"),
+    ("role", "is", "log"), ("class", "word", "chat-log"), ("class", "word", "message-list"), ("class", "word", "chat-messages"),
+    ("class", "word", "history-container"),
+]
+HISTORY_TAGS = [("article", "data-testid"), ("div", "data-message-id")]
+COMPOSER_MARKS = [("id", "is", "prompt-textarea"), ("data-testid", "has", "composer"), ("data-testid", "has", "prompt-input")]
+COMPOSER_HINTS = ["ask", "message", "prompt"]
+COMPOSER_CONTAINER = "composer-container"
 # --- end of fixed values
 
+USER_INPUT, WEBPAGE_CONTENT = "USER_INPUT", "WEBPAGE_CONTENT"
+_HEADINGS = {"h1", "h2", "h3", "h4", "legend"}
+#: Elements whose whole text is asked for; that of all others stays in the parser.
+_TEXT_OWNERS = {"code", "pre", "textarea", "button", "a", "title", "label", *_HEADINGS}
+
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _CLOSES_P = {
     "address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4",
@@ -56,6 +81,7 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.rows: list[dict] = []
         self.open: list[int] = []
+        self.pieces: list[str] = []
         self.kids: dict[tuple[int, str], int] = {}
 
     def handle_starttag(self, tag, attrs):
@@ -69,14 +95,18 @@ class _Tree(HTMLParser):
         nth = self.kids[(parent, tag)] = self.kids.get((parent, tag), 0) + 1
         row = {
             "idx": len(self.rows), "parent": parent, "depth": up["depth"] + 1 if up else 0, "nth": nth, "tag": tag,
-            "path": f"{up['path'] if up else ''}/{tag}[{nth}]", "attrs": a, "own": [], "all": [], "children": 0,
+            "path": f"{up['path'] if up else ''}/{tag}[{nth}]", "attrs": a, "own": [], "from": len(self.pieces), "children": 0,
             "ignored": bool(up and up["ignored"]) or _ignored(tag, a),
             "hidden": bool(up and up["hidden"]) or _hidden(a),
             "chip": bool(up and up["chip"]) or _chip(tag, a),
             "editable": bool(up and up["editable"]) or a.get("contenteditable", "no") in ("", "true"),
             "level": 0 if tag == "body" else up["level"] + 1 if up and up["level"] >= 0 else -1,
             "skipped": bool(up and up["skipped"]) or tag in SKELETON_SKIPPED,
+            "answer": bool(up and up["answer"]) or any(_marked(a, *m) for m in ASSISTANT_MARKS),
+            "past": bool(up and up["past"]) or any(_marked(a, *m) for m in HISTORY_MARKS) or any(tag == t and k in a for t, k in HISTORY_TAGS),
+            "boxed": bool(up and up["boxed"]) or _marked(a, "class", "word", COMPOSER_CONTAINER),
         }
+        row["composer"] = bool(up and up["composer"]) or _composer(tag, a, bool(up and up["boxed"]))
         if up:
             up["children"] += 1
         self.rows.append(row)
@@ -86,7 +116,7 @@ class _Tree(HTMLParser):
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in _VOID:
-            self.open.pop()
+            self.rows[self.open.pop()]["to"] = len(self.pieces)
 
     def handle_endtag(self, tag):
         self._close(tag, set())
@@ -94,13 +124,14 @@ class _Tree(HTMLParser):
     def handle_data(self, data):
         if self.open:
             self.rows[self.open[-1]]["own"].append(data)
-            for i in self.open:
-                self.rows[i]["all"].append(data)
+            self.pieces.append(data)
 
     def _close(self, tag, stop):
         for k in range(len(self.open) - 1, -1, -1):
             name = self.rows[self.open[k]]["tag"]
             if name == tag:
+                for i in self.open[k:]:
+                    self.rows[i]["to"] = len(self.pieces)
                 del self.open[k:]
                 return
             if name in stop:
@@ -136,27 +167,94 @@ def _chip(tag: str, a: dict) -> bool:
     )
 
 
+def _marked(a: dict, name: str, test: str, value: str) -> bool:
+    have = a.get(name)
+    if have is None:
+        return False
+    if test == "word":
+        return value in have.split()
+    return {"any": True, "is": have == value, "same": have.lower() == value, "has": value in have.lower()}[test]
+
+
+def _composer(tag: str, a: dict, boxed: bool) -> bool:
+    editable, hint = a.get("contenteditable") == "true", a.get("placeholder", "").lower()
+    return (
+        any(_marked(a, *m) for m in COMPOSER_MARKS)
+        or tag == "div" and ("rich-textarea" in a.get("class", "").split() or editable and ("ask" in a.get("data-placeholder", "").lower() or a.get("role") == "textbox"))
+        or tag == "textarea" and ("data-id" in a or any(w in hint for w in COMPOSER_HINTS))
+        or boxed and (tag == "textarea" or editable)
+    )
+
+
+def _provenance(r: dict) -> str:
+    """Whose text an element holds: what a user writes, or what the page shows."""
+    a, free = r["attrs"], "readonly" not in r["attrs"] and "disabled" not in r["attrs"]
+    if r["answer"]:
+        mine = False
+    elif r["tag"] == "textarea":
+        mine = free
+    elif r["tag"] == "input":
+        mine = free and a.get("type", "text").lower() not in NON_TEXT_INPUTS
+    else:
+        mine = r["editable"] and (r["composer"] or not r["past"]) or r["composer"]
+    return USER_INPUT if mine and (r["composer"] or not r["past"]) else WEBPAGE_CONTENT
+
+
 def _parse(html: str | None) -> list[dict]:
+    """All elements of a page.  An element covers the places ``idx`` to ``last`` and the text pieces ``from`` to ``to``,
+    so whole texts are put together only where they are needed, and nothing is stored for every ancestor."""
     tree = _Tree()
     if html:
         tree.feed(html)
         tree.close()
-    body = any(r["tag"] == "body" for r in tree.rows)
-    for r in reversed(tree.rows):
+    rows, pieces = tree.rows, tree.pieces
+    body = any(r["tag"] == "body" for r in rows)
+    heads = [r["idx"] for r in rows if r["tag"] in _HEADINGS or r["attrs"].get("role") == "heading"]
+    by_id: dict[str, int] = {}
+    by_for: dict[str, int] = {}
+    for r in rows:
+        if r["attrs"].get("id"):
+            by_id.setdefault(r["attrs"]["id"], r["idx"])
+        if r["tag"] == "label" and "for" in r["attrs"]:
+            by_for.setdefault(r["attrs"]["for"], r["idx"])
+    for r in reversed(rows):
         r["last"] = max(r["idx"], r.get("last", 0))
         if r["parent"] >= 0:
-            up = tree.rows[r["parent"]]
+            up = rows[r["parent"]]
             up["last"] = max(up.get("last", 0), r["last"])
         if not body:
             r["level"] = r["depth"]
+
+    def whole(i: int) -> str:
+        r = rows[i]
+        return "" if r["tag"] in _VOID else "".join(pieces[r["from"] : r.get("to", len(pieces))])
+
     out = []
-    for r in tree.rows:
-        full = "".join(r["all"])
+    for r in rows:
+        a, parent = r["attrs"], r["parent"]
+        up = rows[parent] if parent >= 0 else None
+        # the nearest form, and the first heading within the nearest ancestor that has one
+        r["form"] = -1 if up is None else parent if up["tag"] == "form" else up["form"]
+        r["head"], r["head_steps"] = -1, 0
+        if up is not None:
+            at = bisect_right(heads, parent)
+            if at < len(heads) and heads[at] <= up["last"]:
+                r["head"], r["head_steps"] = heads[at], 1
+            elif up["head"] >= 0:
+                r["head"], r["head_steps"] = up["head"], up["head_steps"] + 1
+        ref, label = by_id.get(a.get("aria-labelledby") or ""), by_for.get(a["id"]) if a.get("id") else None
+        owner = (
+            r["tag"] in _TEXT_OWNERS or r["children"] == 0 or a.get("role") in ("button", "heading")
+            or a.get("contenteditable", "no") in ("", "true")
+        )
+        full = whole(r["idx"]) if owner else None
         own = full.strip() if r["tag"] in ("code", "pre") else "".join(r["own"]).strip()
         out.append({**{k: r[k] for k in (
             "idx", "parent", "depth", "nth", "tag", "path", "children", "attrs", "ignored", "hidden", "chip", "editable",
-            "level", "last", "skipped",
-        )}, "text": own or (full.strip() if r["children"] == 0 else ""), "full_text": full})
+            "level", "last", "skipped", "form", "head", "head_steps",
+        )}, "text": own or (full.strip() if r["children"] == 0 else ""), "full_text": full,
+            "by_ref": None if ref is None else whole(ref), "by_for": None if label is None else whole(label), "provenance": _provenance(r),
+        })
     return out
 
 
@@ -285,27 +383,19 @@ def role(tag: Column) -> Column:
 def with_labels(els: DataFrame, page: str) -> DataFrame:
     """Accessible label: aria-label, labelled-by element, label-for element, placeholder, title, own text.
 
-    Labels are whole; cut them only after they have been sanitized.
+    The texts an element refers to come with it from the parser, so this is row-local.  Labels are whole; cut them
+    only after they have been sanitized.
     """
-    refs = els.filter(attr("id") != "").groupBy(page, attr("id").alias("__ref")).agg(
-        F.min_by("full_text", "idx").alias("__by_ref")
-    )
-    fors = els.filter((F.col("tag") == "label") & attr("for").isNotNull()).groupBy(
-        page, attr("for").alias("__for")
-    ).agg(F.min_by("full_text", "idx").alias("__by_for"))
-    out = els.withColumn("__ref", attr("aria-labelledby")).withColumn("__for", F.when(attr("id") != "", attr("id")))
-    out = out.join(refs, [page, "__ref"], "left").join(fors, [page, "__for"], "left")
 
     def given(c: Column) -> Column:
         return F.when(c != "", c)
 
     own = F.when(F.col("tag").isin("button", "a"), F.col("full_text"))
     label = F.coalesce(
-        given(attr("aria-label")), given(F.col("__by_ref")), given(F.col("__by_for")), given(attr("placeholder")),
+        given(attr("aria-label")), given(F.col("by_ref")), given(F.col("by_for")), given(attr("placeholder")),
         given(attr("title")), given(own), F.lit(""),
     )
-    label = collapse_spaces(trim_spaces(label))
-    return out.withColumn("label", label).drop("__ref", "__for", "__by_ref", "__by_for")
+    return els.withColumn("label", collapse_spaces(trim_spaces(label)))
 
 
 def interactive(els: DataFrame, page: str) -> DataFrame:
@@ -324,32 +414,22 @@ def region_labels(els: DataFrame, page: str, limit: int | None = None, ancestors
     A heading is looked for in the nearest ``ancestors`` (all by default) that contain one; labels are cut to
     ``limit`` characters if one is given.
     """
-    fors = els.filter((F.col("tag") == "label") & attr("for").isNotNull()).groupBy(
-        page, attr("for").alias("__for")
-    ).agg(F.min_by("full_text", "idx").alias("__by_for"))
-    titles = els.filter(F.col("tag") == "title").groupBy(page).agg(F.min_by("full_text", "idx").alias("__title"))
-    forms = els.filter(F.col("tag") == "form").select(
-        page, F.col("path").alias("__up"),
-        F.coalesce(attr("aria-label"), attr("id"), F.lit("")).alias("__form"),
+    near = F.lit(True) if ancestors is None else F.col("head_steps") <= ancestors
+    forms = els.filter(F.col("tag") == "form").groupBy(page, F.col("idx").alias("form")).agg(
+        F.first(F.coalesce(attr("aria-label"), attr("id"), F.lit(""))).alias("__form")
     )
     heads = els.filter(
-        F.col("tag").isin("h1", "h2", "h3", "h4", "legend") | (attr("role") == "heading")
-    ).select(page, F.col("idx").alias("__hidx"), "full_text", F.explode(_ancestors()).alias("__up"))
-    heads = heads.groupBy(page, "__up").agg(F.min_by("full_text", "__hidx").alias("__head"))
-    near = els.select(page, "idx", F.posexplode(F.slice(F.reverse(_ancestors()), 1, ancestors or 2**30)).alias("__dist", "__up"))
-    all_up = els.select(page, "idx", F.explode(_ancestors()).alias("__up"))
-    in_form = all_up.join(forms, [page, "__up"]).groupBy(page, "idx").agg(
-        F.max_by("__form", F.length("__up")).alias("__form")
-    )
-    head = near.join(heads, [page, "__up"]).groupBy(page, "idx").agg(F.min_by("__head", "__dist").alias("__head"))
-    out = els.withColumn("__for", F.when(attr("id") != "", attr("id"))).join(fors, [page, "__for"], "left")
-    out = out.join(titles, page, "left").join(in_form, [page, "idx"], "left").join(head, [page, "idx"], "left")
+        F.col("tag").isin(*sorted(_HEADINGS)) | (attr("role") == "heading")
+    ).groupBy(page, F.col("idx").alias("head")).agg(F.first("full_text").alias("__head"))
+    titles = els.filter(F.col("tag") == "title").groupBy(page).agg(F.min_by("full_text", "idx").alias("__title"))
+    out = els.join(forms, [page, "form"], "left").join(heads, [page, "head"], "left").join(titles, page, "left")
+    out = out.withColumn("__head", F.when(near, F.col("__head")))
 
     def cut(c: Column) -> Column:
         return trim_spaces(c) if limit is None else trim_spaces(c).substr(1, limit)
 
     label = (
-        F.when(F.coalesce(F.col("__by_for"), F.lit("")) != "", cut(F.col("__by_for")))
+        F.when(F.coalesce(F.col("by_for"), F.lit("")) != "", cut(F.col("by_for")))
         .when(F.coalesce(attr("aria-label"), attr("placeholder"), F.lit("")) != "",
               cut(F.coalesce(attr("aria-label"), attr("placeholder"))))
         .when(F.col("__form") != "", F.col("__form"))
@@ -530,6 +610,66 @@ def detect_nodes(nodes: DataFrame, keys: list[str]) -> DataFrame:
     return fields.unionByName(patterns)
 
 
+def page_items(nodes: DataFrame, page: str) -> DataFrame:
+    """Detections of scannable nodes as complete items, row by row; nothing is shuffled.
+
+    page, item_id, path, selector, ord, type, value, confidence, method, variable, placeholder, provenance.  Field rules come
+    first and name their own variable; a pattern's match takes the name its line assigns it to, else the field's name
+    or id.  A node gives an item of one type and value once.  item_id is a hash of page, path, type and value: the
+    same detection has the same id in every scan.
+    """
+    from hushlake.functions import placeholders as P
+    from hushlake.functions.checks import allowlisted
+    from hushlake.functions.text import match_line, once
+
+    is_pw = F.col("is_input") & password_field()
+    text, filled = F.col("text"), (F.col("text") != "") & ~allowlisted(F.col("text"))
+    email = (F.col("input_type") == "email") | F.coalesce(attr("autocomplete").contains("email"), F.lit(False))
+
+    def item(type_: Column, value: Column, confidence: Column, method: str, variable: Column) -> Column:
+        return F.struct(type_.alias("type"), value.alias("value"), confidence.alias("confidence"), F.lit(method).alias("method"), variable.alias("variable"))
+
+    def field(name: str, value: Column, confidence: float) -> Column:
+        return item(F.lit(name), value, F.lit(confidence), "dom", F.lit(name))
+
+    shown = F.when(text == "", F.lit("••••••••")).otherwise(text)
+    fields = F.array_compact(F.array(
+        F.when(is_pw & ((text == "") | ~allowlisted(text)), field("PASSWORD", shown, 1.0)),
+        F.when(F.col("is_input") & ~is_pw & email & filled, field("EMAIL", text, 0.98)),
+        F.when(F.col("is_input") & ~is_pw & name_field() & filled, field("NAME", text, 0.88)),
+    ))
+    own = F.when(F.col("is_input"), F.coalesce(F.when(attr("name") != "", attr("name")), F.when(attr("id") != "", attr("id"))))
+    scanned = nodes.withColumn("selector", selector(nodes)).withColumn("__fields", fields).withColumn("__own", own)
+    scanned = scanned.withColumn("__scan", F.when(~is_pw & ~(~F.col("is_input") & F.col("chip")), text))
+    found = with_spans(scanned, "__scan", "__spans")
+    matches = F.transform(
+        F.coalesce("__spans", F.expr("array()")),
+        lambda s: item(s["type"], s["value"], s["confidence"], "regex", F.coalesce(P.variable_name(match_line(text, s["value"]), s["value"]), F.col("__own"))),
+    )
+    both = F.when(F.size("__spans") > 0, F.concat("__fields", matches)).otherwise(F.col("__fields"))
+    keys = F.transform("__all", lambda i: F.struct(i["type"], i["value"]))
+    first = F.filter("__all", lambda i, at: F.array_position(keys, F.struct(i["type"], i["value"])) == at + 1)
+    rows = found.withColumn("__all", once(both)).select(
+        page, "idx", "path", "selector", "provenance", F.posexplode(F.filter(first, lambda i: i["confidence"] >= 0.6)).alias("at", "i"),
+    )
+    i = F.col("i")
+    ident = F.md5(F.concat_ws("|", F.col(page).cast("string"), "path", i["type"], i["value"]))
+    return rows.select(
+        page, F.concat(F.lit("hl-"), F.substring(ident, 1, 16)).alias("item_id"), "path", "selector",
+        (F.col("idx").cast("long") * 1_000_000 + F.col("at")).alias("ord"), i["type"].alias("type"), i["value"].alias("value"),
+        i["confidence"].cast("double").alias("confidence"), i["method"].alias("method"), i["variable"].alias("variable"),
+        P.full_placeholder(i["type"], i["variable"]).alias("placeholder"), "provenance",
+    )
+
+
+def page_scan(pages: DataFrame, page: str, html: str = "html") -> DataFrame:
+    """A page's final items: elements, detection, first of each (type, selector, value), better matches win."""
+    from hushlake.operators.dedupe import drop_dominated, first_of_each
+
+    items = page_items(scannable(elements(pages, [page], html)), page)
+    return drop_dominated(first_of_each(items, [page, "type", "selector", "value"], ["ord"]), page)
+
+
 def rescan_roots(els: DataFrame, changed: DataFrame, page: str) -> DataFrame:
     """Elements that lie at or under a changed root (an equi-join on the expanded ancestor paths)."""
     paths = els.select("*", F.explode(F.array_append(_ancestors(), F.col("path"))).alias("__root"))
@@ -538,3 +678,38 @@ def rescan_roots(els: DataFrame, changed: DataFrame, page: str) -> DataFrame:
     return els.join(hit, [page, "idx"], "left_semi")
 
 
+
+def is_field(els: DataFrame) -> Column:
+    """Elements whose stored text a user writes."""
+    return (F.col("provenance") == USER_INPUT) & (F.col("tag").isin("input", "textarea") | F.col("editable"))
+
+
+def stored_fields(els: DataFrame) -> DataFrame:
+    """Fields with their stored text: the value of an input, the whole text of others."""
+    value = F.when(F.col("tag") == "input", F.coalesce(attr("value"), F.lit(""))).otherwise(F.coalesce("full_text", F.col("text")))
+    return els.filter(is_field(els)).withColumn("text", value)
+
+
+def redact_fields(fields: DataFrame, items: DataFrame, page: str) -> DataFrame:
+    """Stored fields with the values of ``items`` replaced: page, idx, path, text, items (how many were applied).
+
+    ``items`` has page, path, ord, type, value and placeholder, and may have variable and provenance.  An item counts for
+    the field at its path, and only if its provenance is a user's input or unknown; text that the page shows is never
+    touched, whatever the items say.  Passwords in inputs stay as they are.  The longest values come first;
+    a line that assigns the value to a name keeps the name, or the item's own variable.  An
+    empty field gets the first item's placeholder.  Fields without items are not in the result.
+    """
+    from hushlake.operators.redact import replace_values
+
+    have = items.columns
+    variable = F.col("variable") if "variable" in have else F.lit(None).cast("string")
+    theirs = F.coalesce(F.col("provenance"), F.lit(USER_INPUT)) if "provenance" in have else F.lit(USER_INPUT)
+    one = F.struct(
+        "ord", (-F.length("value")).alias("neg_len"), "type", "value", variable.alias("variable"), F.col("placeholder").alias("mark"),
+    )
+    per_field = items.filter((theirs == USER_INPUT) & F.col("path").isNotNull()).groupBy(page, "path").agg(F.array_sort(F.collect_list(one)).alias("__items"))
+    met = fields.join(per_field, [page, "path"]).withColumn(
+        "__items", F.when(F.col("tag").isin("input", "textarea"), F.filter("__items", lambda i: i["type"] != "PASSWORD")).otherwise(F.col("__items"))
+    ).filter(F.size("__items") > 0)
+    text = F.when(F.col("text") == "", F.get("__items", F.lit(0))["mark"]).otherwise(replace_values(F.col("text"), F.col("__items"), named=True))
+    return met.select(page, "idx", "path", text.alias("text"), F.size("__items").cast("long").alias("items"))

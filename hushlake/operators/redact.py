@@ -71,30 +71,36 @@ def redact_prompts(df: DataFrame, text: str = "text", style: str = "prompt", typ
     return out if keep_spans else out.drop("spans", "placeholders")
 
 
-def replace_values(text: Column, items: Column) -> Column:
+def replace_values(text: Column, items: Column, named: bool = False) -> Column:
     """Replace every occurrence of each item's value, longest value first, line by line.
 
     On a line where the value is assigned to a name, the placeholder keeps that name;
-    what is left over (values that span lines) gets the placeholder of the type.
+    what is left over (values that span lines) gets the placeholder of the type.  With ``named``
+    the items carry a ``variable`` that stands in for the name where it is known.
     """
     ordered = F.array_sort(
         F.transform(
             items,
             lambda s, i: F.struct(
-                s["neg_len"].alias("k"), i.alias("i"), s["type"].alias("type"), s["value"].alias("value")
+                s["neg_len"].alias("k"), i.alias("i"), s["type"].alias("type"), s["value"].alias("value"),
+                *([s["variable"].alias("variable")] if named else []),
             ),
         )
     )
 
-    def on_line(value: Column, type_: Column):
+    def on_line(value: Column, type_: Column, given: Column | None):
+        def name(line: Column) -> Column:
+            found = P.variable_name(line, value)
+            return found if given is None else F.coalesce(given, found)
+
         return lambda line: F.when(
             line.contains(value),
-            F.replace(line, value, P.choose_placeholder(type_, P.variable_name(line, value))),
+            F.replace(line, value, P.choose_placeholder(type_, name(line))),
         ).otherwise(line)
 
     def step(acc: Column, s: Column) -> Column:
         v, ty = s["value"], s["type"]
-        by_line = F.array_join(F.transform(F.split(acc, "\n"), on_line(v, ty)), "\n")
+        by_line = F.array_join(F.transform(F.split(acc, "\n"), on_line(v, ty, s["variable"] if named else None)), "\n")
         return F.when(
             (v != "") & (v != "[face]") & acc.contains(v), F.replace(by_line, v, P.type_placeholder(ty))
         ).otherwise(acc)

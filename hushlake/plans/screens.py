@@ -219,16 +219,60 @@ def detect_nodes(spark, root):
     return E.detect_nodes(nodes, ["page_id"])
 
 
-@query("redact_fields")
-def redact_fields(spark, root):
-    """Stored fields with their values replaced; password fields stay as they are, page text is never touched."""
-    from hushlake.operators.redact import replace_values
+_FORM = "'/html[1]/body[1]/form[1]/"
+#: The scannable nodes of the forms, as they were built: page, path, selector, text, own name.
+_NODES = f"""(SELECT c_custkey AS page_id, {_FORM}input[1]' AS path, '#mail' AS selector, 'cust' || CAST(c_custkey AS STRING) || '@example.com' AS text, 'contact' AS own, 'EMAIL' AS field FROM customer
+  UNION ALL SELECT c_custkey, {_FORM}input[2]', 'input[name="fullname"]', c_name, 'fullname', 'NAME' FROM customer
+  UNION ALL SELECT c_custkey, {_FORM}input[3]', 'input[name="pwd"]', 'Zq' || CAST(c_custkey AS STRING) || '!x', 'pwd', 'PASSWORD' FROM customer WHERE c_custkey % 3 = 0
+  UNION ALL SELECT c_custkey, {_FORM}input[3]', '#userpassword', '', 'userpassword', 'PASSWORD' FROM customer WHERE c_custkey % 3 = 1
+  UNION ALL SELECT c_custkey, {_FORM}textarea[1]', 'textarea[name="bio"]', 'Card 4' || lpad(CAST((c_custkey * 8191) % 1000000000 AS STRING), 15, '0') || ' on file', 'bio', NULL FROM customer
+  UNION ALL SELECT c_custkey, {_FORM}p[1]', {_FORM}p[1]', 'The word password in plain text is fine for ' || c_mktsegment, NULL, NULL FROM customer)"""
+_ITEM_SQL = f"""(WITH nodes AS MATERIALIZED (SELECT *, page_id || '|' || path AS doc_id FROM {_NODES}),
+    scan AS MATERIALIZED (SELECT * FROM nodes WHERE field IS DISTINCT FROM 'PASSWORD'),
+    found AS MATERIALIZED (
+      SELECT doc_id, -1 AS ord, 0 AS start, field AS type, CASE WHEN text = '' THEN '••••••••' ELSE text END AS value, CASE field WHEN 'PASSWORD' THEN 1.0 WHEN 'EMAIL' THEN 0.98 ELSE 0.88 END AS confidence,
+        'dom' AS method, field AS variable FROM nodes WHERE field IS NOT NULL
+      UNION ALL SELECT s.doc_id, s.ord, s.start, s.type, s.value, s.confidence, 'regex',
+        coalesce({K.variable("coalesce(list_filter(string_split(n.text, chr(10)), lambda line: contains(line, s.value))[1], n.text)", 's.value')}, own) FROM ({K.spans('scan')}) s JOIN scan n USING (doc_id)),
+    firsts AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY doc_id, type, value ORDER BY ord, start) = 1)
+  SELECT page_id, 'hl-' || substr(md5(concat_ws('|', CAST(page_id AS STRING), path, type, value)), 1, 16) AS item_id, path, selector, type, value, CAST(confidence AS DOUBLE) AS confidence, method, variable,
+    CASE WHEN coalesce(variable, '') <> '' THEN variable || '=' || {K.choose('type', 'variable')} ELSE {K.choose('type', 'variable')} END AS placeholder,
+    CASE WHEN own IS NULL THEN 'WEBPAGE_CONTENT' ELSE 'USER_INPUT' END AS provenance, text FROM firsts JOIN nodes USING (doc_id))"""
 
-    nodes = E.scannable(E.elements(_both(spark, root), ["page_id"])).filter(F.col("is_input") & ~E.password_field())
-    found = spans.with_spans(nodes.select("page_id", "idx", "path", "text"), "text").filter(F.size("spans") > 0)
-    return found.select(
-        "page_id", "idx", "path", replace_values(F.col("text"), F.col("spans")).alias("text"), F.lit("redacted").alias("status")
-    )
+
+@query(
+    "page_scan",
+    f"""WITH i AS MATERIALIZED (SELECT * FROM {_ITEM_SQL})
+    SELECT page_id, item_id, path, selector, type, value, confidence, method, variable, placeholder, provenance FROM i WHERE NOT EXISTS (
+      SELECT 1 FROM i o WHERE o.page_id = i.page_id AND o.type = i.type AND ((o.selector = i.selector AND o.confidence > i.confidence)
+        OR (contains(o.value, i.value) AND length(o.value) > length(i.value) AND o.confidence >= i.confidence)))""",
+)
+def page_scan(spark, root):
+    """From raw pages to final items with names, provenance and ids; the check knows what the forms were built from."""
+    return E.page_scan(derive(spark, root, "forms"), "page_id").drop("ord")
+
+
+@query("page_scan_all")
+def page_scan_all(spark, root):
+    """The same over the lake's pages and the forms."""
+    return E.page_scan(_both(spark, root), "page_id").drop("ord")
+
+
+@query(
+    "redact_fields",
+    f"""WITH i AS MATERIALIZED (SELECT * FROM {_ITEM_SQL}), u AS (SELECT * FROM i WHERE provenance = 'USER_INPUT' AND type <> 'PASSWORD'),
+      o AS (SELECT *, row_number() OVER (PARTITION BY page_id, path ORDER BY -length(value), type, value) AS rn, count(*) OVER (PARTITION BY page_id, path) AS n FROM u),
+      t AS (SELECT * FROM (WITH RECURSIVE w AS (
+        SELECT page_id, path, 0 AS rn, any_value(text) AS cur, CAST(count(*) AS BIGINT) AS n FROM u GROUP BY page_id, path
+        UNION ALL SELECT w.page_id, w.path, o.rn, CASE WHEN contains(cur, o.value) THEN replace(cur, o.value, {K.choose('o.type', 'o.variable')}) ELSE cur END, w.n
+        FROM w JOIN o ON o.page_id = w.page_id AND o.path = w.path AND o.rn = w.rn + 1) SELECT * FROM w WHERE rn = n))
+    SELECT page_id, path, cur AS text, n AS items FROM t""",
+)
+def redact_fields(spark, root):
+    """Detections of the forms, put back into the fields they came from; page text and password fields stay as they are."""
+    els = E.elements(derive(spark, root, "forms"), ["page_id"])
+    items = E.page_items(E.scannable(els), "page_id")
+    return E.redact_fields(E.stored_fields(els), items, "page_id").select("page_id", "path", "text", "items")
 
 
 _PATHS = "(SELECT page_id, ord, '/html/body/div[' || CAST(ord % 3 + 1 AS STRING) || ']/p[' || CAST(ord AS STRING) || ']' AS path FROM " + duck("boxes") + " b)"

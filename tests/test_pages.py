@@ -115,3 +115,52 @@ def test_latency_percentiles_are_nearest_rank(spark):
     for k in "abc":
         vs = sorted(v for kk, v in data if kk == k)
         assert (got[k]["p50"], got[k]["p90"], got[k]["p95"]) == tuple(vs[int(len(vs) * p)] for p in (0.5, 0.9, 0.95))
+
+
+def test_provenance(spark):
+    html = """<body><div class="message-list"><p id="old">said before</p><div contenteditable="true" id="edit">past edit</div>
+      <div class="composer-container"><textarea id="c1">draft</textarea></div></div>
+      <div data-message-author-role="assistant"><p id="ans">an answer</p><textarea id="fake">x</textarea></div>
+      <div contenteditable="" id="own"><p id="inner">my words</p></div><input id="i1"><input id="i2" readonly><input id="i3" type="submit">
+      <textarea id="t2" disabled>x</textarea><p id="page">page text</p></body>"""
+    els = E.elements(spark.createDataFrame([(1, html)], "page_id long, html string"), ["page_id"])
+    got = {r["attrs"]["id"]: r["provenance"] == E.USER_INPUT for r in els.collect() if r["attrs"].get("id")}
+    assert got == {
+        "old": False, "edit": False, "c1": True, "ans": False, "fake": False, "own": True, "inner": True, "i1": True, "i2": False,
+        "i3": False, "t2": False, "page": False,
+    }
+
+
+def test_redact_fields_keeps_the_boundary(spark):
+    html = """<body><p id="shown">mail a@b.example.com</p><textarea name="note">DB_URL=postgres://u:pw@h.example.com/d
+mail a@b.example.com and a@b.example.com</textarea><input type="password" value="s3cret-Pw!"><input name="q" value="">
+      <div data-role="assistant"><textarea>mail a@b.example.com</textarea></div><div contenteditable="true">call a@b.example.com</div></body>"""
+    els = E.elements(spark.createDataFrame([(1, html)], "page_id long, html string"), ["page_id"])
+    items = E.page_items(E.scannable(els), "page_id")
+    got = {r["path"].split("/")[-1]: r["text"] for r in E.redact_fields(E.stored_fields(els), items, "page_id").collect()}
+    assert set(got) == {"textarea[1]", "div[2]"}
+    assert "a@b" not in "".join(got.values()) and "pw@h" not in got["textarea[1]"] and got["textarea[1]"].startswith("DB_URL=YOUR_")
+    by_hand = spark.createDataFrame(
+        [(1, "/body[1]/input[2]", 1, "EMAIL", "x@y.example.com", "EMAIL=YOUR_EMAIL", "USER_INPUT"), (1, "/body[1]/p[1]", 1, "EMAIL", "a@b.example.com", "x", "USER_INPUT"),
+         (1, "/body[1]/div[2]", 1, "EMAIL", "a@b.example.com", "x", "WEBPAGE_CONTENT"), (1, None, 1, "EMAIL", "a@b.example.com", "x", None)],
+        "page_id long, path string, ord long, type string, value string, placeholder string, provenance string",
+    )
+    assert [r["text"] for r in E.redact_fields(E.stored_fields(els), by_hand, "page_id").collect()] == ["EMAIL=YOUR_EMAIL"]
+
+
+def test_deep_pages_stay_small(spark):
+    """Text is not stored once per ancestor: 1,000 levels, and 100 kB of text at the bottom."""
+    html = "<div>" * 1000 + "<p>" + "word " * 20_000 + "</p>" + "</div>" * 1000
+    rows = E.elements(spark.createDataFrame([(1, html)], "page_id long, html string"), ["page_id"]).collect()
+    assert len(rows) == 1001 and sum(len(r["full_text"] or "") + len(r["text"]) for r in rows) < 3 * 100_001
+    assert rows[0]["last"] == 1000 and rows[-1]["text"].startswith("word word")
+
+
+def test_nearest_heading_and_form(spark):
+    html = ("<h1>Top</h1><form id='f'><div><p id='a'>x</p></div></form><section><div><p id='b'>x</p></div><div><h2>Near</h2><h3>Second</h3></div></section>"
+            "<section><p id='c'>x</p></section><label for='d'></label><input id='d'>")
+    els = E.elements(spark.createDataFrame([(1, f"<html><body>{html}</body></html>")], "page_id long, html string"), ["page_id"])
+    got = {r["path"].split("/")[3]: r["region"] for r in E.region_labels(els, "page_id").filter("tag in ('p', 'input')").collect()}
+    assert got == {"form[1]": "f", "section[1]": "Near", "section[2]": "Top", "input[1]": "Top"}
+    near = E.region_labels(els, "page_id", ancestors=1).filter("tag = 'p'").collect()
+    assert {r["path"].split("/")[3]: r["region"] for r in near} == {"form[1]": "f", "section[1]": "Main Content", "section[2]": "Main Content"}
