@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hushlake.functions import dims
 from hushlake.functions.text import host_suffixes, once, url_host, url_ok, url_path, url_query
-
+from hushlake.operators.containment import contained
 
 
 def with_url_parts(df: DataFrame, url: str = "url") -> DataFrame:
@@ -22,10 +22,10 @@ def with_url_parts(df: DataFrame, url: str = "url") -> DataFrame:
 
 
 def match_signatures(pages: DataFrame, signatures: DataFrame, small: bool = False) -> DataFrame:
-    """First signature of each context for every (host, path) of ``pages``.
+    """First signature of each context for every (host, path) of ``pages``, with its place ``ord``.
 
     Works on the distinct (host, path) pairs: a host is expanded to its parent domains and
-    equi-joined with the signature domains.  Returns host, path, context, app, domain.
+    equi-joined with the signature domains.  Returns host, path, context, app, domain, ord.
     ``small`` says that the signatures are the built-in ones, whose number is fixed.
     """
     keys = pages.select("host", "path").distinct()
@@ -34,8 +34,22 @@ def match_signatures(pages: DataFrame, signatures: DataFrame, small: bool = Fals
     hits = suffixed.join(side, "domain").filter(
         F.col("path_rule").isNull() | F.call_function("rlike", F.col("path"), F.col("path_rule"))
     )
-    first = hits.groupBy("host", "path", "context").agg(F.min_by(F.struct("app", "domain"), F.col("ord")).alias("s"))
-    return first.select("host", "path", "context", F.col("s.app").alias("app"), F.col("s.domain").alias("domain"))
+    first = hits.groupBy("host", "path", "context").agg(F.min_by(F.struct("app", "domain", "ord"), F.col("ord")).alias("s"))
+    return first.select("host", "path", "context", F.col("s.app").alias("app"), F.col("s.domain").alias("domain"), F.col("s.ord").alias("ord"))
+
+
+def match_anywhere(pages: DataFrame, signatures: DataFrame, url: str = "url", context: str = "AI_ASSISTANT") -> DataFrame:
+    """Signatures of one context whose domain stands anywhere in an address: url, path, context, app, domain, ord.
+
+    For any number of signatures: addresses meet the domains they hold through an index on the domains' rarest pieces.
+    """
+    wanted = signatures.filter(F.col("context") == context)
+    seen = pages.select(url, F.lower(url).alias("__low"), "path").distinct()
+    held = contained(seen, wanted.select(F.lower("domain").alias("__domain")), [], "__low", "__domain")
+    hits = seen.join(held, "__low").join(wanted, F.col("__domain") == F.lower("domain")).filter(
+        F.col("path_rule").isNull() | F.call_function("rlike", F.col("path"), F.col("path_rule"))
+    )
+    return hits.select(url, "path", "context", "app", "domain", "ord")
 
 
 def register_signatures(base: DataFrame, extra: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hushlake.operators.containment import contained
+
 
 def first_of_each(items: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """First row of each key.  An aggregation (combined before the shuffle), not a window, so a hot key stays cheap."""
@@ -17,27 +19,19 @@ def first_of_each(items: DataFrame, keys: list[str], order: list[str]) -> DataFr
 def drop_dominated(items: DataFrame, scan: str) -> DataFrame:
     """Drop an item when another of its type is more confident at the same selector, or holds its value.
 
-    Both tests look at distinct values with their best confidence.  The containment test
-    joins on (scan, type, substring): a value is matched only with values that really hold
-    it, so a scan with many values of one type never forms all pairs.
+    Both tests look at distinct values with their best confidence.  The containment test finds holders through each
+    value's rarest piece, in those groups of a scan and type only that have values of different lengths, so neither many
+    values of one type nor long ones form all pairs or all substrings.
     """
     best = items.groupBy(scan, "type", "selector").agg(F.max("confidence").alias("__best"))
     top = items.join(best, [scan, "type", "selector"]).filter(F.col("confidence") >= F.col("__best")).drop("__best")
-    values = items.groupBy(scan, "type", "value").agg(
-        F.max("confidence").alias("__conf"), F.length(F.first("value")).alias("__len")
-    )
-    lengths = values.groupBy(scan, "type").agg(
-        F.array_sort(F.collect_set("__len")).alias("__lens")
-    )
-    holders = values.join(lengths.filter(F.size("__lens") > 1), [scan, "type"])
-    holders = holders.select(
-        scan, "type", F.col("value").alias("__holder"), F.col("__conf").alias("__holder_conf"),
-        F.explode(F.filter("__lens", lambda n: (n > 0) & (n < F.col("__len")))).alias("__n"),
-    )
-    holders = holders.withColumn("__at", F.explode(F.sequence(F.lit(1), F.length("__holder") - F.col("__n") + 1)))
-    held = holders.groupBy(scan, "type", F.expr("substring(__holder, __at, __n)").alias("value")).agg(
-        F.max("__holder_conf").alias("__hc")
-    )
+    values = items.groupBy(scan, "type", "value").agg(F.max("confidence").alias("__hc"))
+    lengths = values.groupBy(scan, "type").agg(F.min(F.length("value")).alias("__least"), F.max(F.length("value")).alias("__most"))
+    mixed = values.join(lengths.filter("__least < __most"), [scan, "type"])
+    holders = mixed.filter(F.length("value") > F.col("__least")).select(scan, "type", F.col("value").alias("__holder"), "__hc")
+    inner = mixed.filter(F.length("value") < F.col("__most")).select(scan, "type", "value")
+    pairs = contained(holders, inner, [scan, "type"], "__holder", "value").filter(F.length("__holder") > F.length("value"))
+    held = pairs.join(holders, [scan, "type", "__holder"]).groupBy(scan, "type", "value").agg(F.max("__hc").alias("__hc"))
     joined = top.join(held, [scan, "type", "value"], "left")
     return joined.filter(F.col("__hc").isNull() | (F.col("__hc") < F.col("confidence"))).select(*items.columns)
 

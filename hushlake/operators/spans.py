@@ -96,7 +96,7 @@ def _key_spans(text: Column, d: C.Detector, ord_: int) -> Column:
     long_token = C.java(r"\b[A-Za-z0-9_\-]{20,}(?:\b|\z)")
 
     def in_line(line: Column) -> Column:
-        before = F.regexp_extract(line, rf"(?i)^(.*)(?:{KEY_WORDS})", 1)
+        before = F.regexp_extract(line, rf"(?is)^(.*)(?:{KEY_WORDS})", 1)  # lines are cut already: a dot is any character
         return F.regexp_replace(before, r"(?<![A-Za-z0-9_])[A-Za-z0-9_]++\z", "")
 
     def placed(head: Column, base: Column) -> Column:

@@ -52,21 +52,26 @@ def site_signature(spark, root):
     return pages.select("page_id", "host", "path").join(hits, ["host", "path"]).select("page_id", "context", "app", "domain")
 
 
-_CUSTOM = "SELECT DISTINCT 'SOCIAL_MEDIA' AS context, 'Intranet ' || CAST(o_custkey % 20 AS STRING) AS app, 'intra' || CAST(o_custkey % 20 AS STRING) || '.corp.example.net' AS domain, '/wall' AS path_rule, CAST(o_custkey % 20 AS INT) AS ord FROM {orders}"
+_CUSTOM = """SELECT DISTINCT 'SOCIAL_MEDIA' AS context, 'Intranet ' || CAST(o_custkey % 20 AS STRING) AS app, 'intra' || CAST(o_custkey % 20 AS STRING) || '.corp.example.net' AS domain, '/wall' AS path_rule, CAST(o_custkey % 20 AS INT) AS ord FROM {orders}
+  UNION ALL SELECT DISTINCT 'AI_ASSISTANT', 'Helper ' || CAST(o_custkey % 50 AS STRING), 'acme' || CAST(o_custkey % 50 AS STRING) || '.okta', CAST(NULL AS STRING), CAST(100 + o_custkey % 50 AS INT) FROM {orders}
+  UNION ALL SELECT DISTINCT 'AI_ASSISTANT', 'Order desk ' || CAST(o_orderkey AS STRING), 'shop.example.com/oauth/callback?code=' || CAST(o_orderkey AS STRING), '/oauth', CAST(1000 + o_orderkey AS INT) FROM {orders}"""
 
 
 @query(
     "custom_signatures",
     f"SELECT page_id, context, arg_min(app, ord) AS app FROM {PARTS} p JOIN (SELECT * FROM {K.signatures()} UNION ALL SELECT context, app, domain, path_rule, ord + 1000000 FROM ({_CUSTOM.replace('{orders}', 'orders')})) s"
-    " ON (p.host = s.domain OR ends_with(p.host, '.' || s.domain)) AND (s.path_rule IS NULL OR regexp_matches(p.path, s.path_rule)) GROUP BY page_id, context",
+    " ON (p.host = s.domain OR ends_with(p.host, '.' || s.domain) OR (s.context = 'AI_ASSISTANT' AND contains(lower(p.url), lower(s.domain))))"
+    " AND (s.path_rule IS NULL OR regexp_matches(p.path, s.path_rule)) GROUP BY page_id, context",
 )
 def custom_signatures(spark, root):
-    """Signatures with user-supplied ones behind them; their number is not bounded, so nothing is forced to broadcast."""
+    """Signatures with user-supplied ones behind them, whose number is not bounded; assistants count anywhere in an address."""
     extra = spark.sql(_CUSTOM, orders=table(spark, root, "orders"))
     both = C.register_signatures(dims.signature_dim(spark), extra)
     pages = _pages(spark, root)
-    hits = C.match_signatures(pages, both, small=False)
-    return pages.select("page_id", "host", "path").join(hits, ["host", "path"]).select("page_id", "context", "app")
+    by_host = pages.select("page_id", "host", "path").join(C.match_signatures(pages, both), ["host", "path"])
+    by_text = pages.select("page_id", "url").join(C.match_anywhere(pages, both), "url")
+    hits = by_host.select("page_id", "context", "app", "ord").unionByName(by_text.select("page_id", "context", "app", "ord"))
+    return hits.groupBy("page_id", "context").agg(F.min_by("app", "ord").alias("app"))
 
 
 def _case(subject: list[str], rules, column: int) -> str:
