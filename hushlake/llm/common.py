@@ -46,7 +46,15 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes tables made by ``stored``.  Only for those that nothing will read again, lost executors or not."""
+    for df in frames:
+        _remove(df.sparkSession, df.stored_path)
 
 
 #: Values (8 bytes each, some fifty in a hash table) that may be broadcast.

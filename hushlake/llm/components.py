@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b); component is the smallest node that can be reached.
 
     Each round gives a node the least label among its neighbours and then the label of that label, so labels
-    travel twice as far in each round.  Every round's labels are written to the shared folder.
+    travel twice as far in each round.  Every round's labels are written to the shared folder, where only the last stay.
     """
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "links")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component")), "labels")
@@ -23,6 +23,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         after = stored(
             least.join(jump, least.component == jump["at"]).select("node", "old", F.least("component", "further").alias("component")), "labels",
         )
-        labels = after.select("node", "component")
+        discard(labels)
+        labels = after
         if after.filter("old <> component").isEmpty():
-            return labels
+            discard(both)
+            return labels.select("node", "component")
