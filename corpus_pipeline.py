@@ -32,11 +32,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group that links connect, the one with the smallest id.
 
     Texts link when they share 80 per cent of their shingles of five words; op7's own numbers belong to that query only.
-    Documents without words stay, and so do rows without an id.  Rows that share an id are one document.
+    Documents without words stay.  Decisions belong to id and text together: rows that share an id, or have none, are
+    told apart by their texts, and of repeated rows one stays.
     """
-    groups = ngram_join.shingle_components(docs, words=5, percent=80)
-    others = groups.filter("n_shingles > 0 AND doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(bounded(stored(others, "others")), "doc_id", "left_anti").select(*docs.columns)
+    names = {"id": "__near_id", "t1": "__near_1", "t2": "__near_2"}  # no column of the documents is called so
+    keys = list(names.values())
+    one, two = ngram_join.text_key(F.col("text"))
+    keyed = docs.withColumns({"__near_id": F.struct(F.col("doc_id").alias("v")), "__near_1": one, "__near_2": two})
+    others, repeated = (
+        df.withColumn("id", F.struct(F.col("id").alias("v"))).withColumnsRenamed(names) for df in ngram_join.near_duplicates(docs, words=5, percent=80)
+    )
+    others, repeated = stored(others, "others"), stored(repeated, "repeated")
+    kept = keyed.join(bounded(others, 3), keys, "left_anti")
+    single = kept.join(bounded(repeated, 3), keys, "left_anti")
+    once = kept.join(bounded(repeated, 3), keys, "left_semi").dropDuplicates(keys)
+    return single.unionByName(once).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
