@@ -29,7 +29,7 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, discard, stored
+from .common import bounded, discard, stored, trimmed
 from .components import connected_components
 from .words import NON_SPACE, gram_hashes, hashed_words, mix
 
@@ -141,7 +141,7 @@ def _signatures(rows: DataFrame, words: int, percent: int) -> DataFrame:
             )
 
     schema = f"id {id_type}, t1 long, t2 long, n long, s1 long, s2 long, sketch {_SKETCH}, bands array<struct<allow:int,band:int,keys:array<bigint>>>"
-    return rows.select("id", "t1", "t2", "text").mapInArrow(run, schema)
+    return rows.select("id", "t1", "t2", "text").mapInArrow(trimmed(run), schema)
 
 
 def _shingles(texts: DataFrame, words: int) -> DataFrame:
@@ -154,7 +154,7 @@ def _shingles(texts: DataFrame, words: int) -> DataFrame:
             columns = [pa.array([d[i] for d in digests], pa.int64()) for i in range(3)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["n", "s1", "s2", "shingles"])
 
-    return texts.mapInArrow(run, "n long, s1 long, s2 long, shingles array<bigint>")
+    return texts.mapInArrow(trimmed(run), "n long, s1 long, s2 long, shingles array<bigint>")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -298,8 +298,8 @@ def _members(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(k[out]), pa.array(v[out]), pa.array(t[out].astype(np.int32))], ["key", "s", "tag"])
 
     schema = "key long, s long, tag int"
-    each = rows.filter("n > 0").select(F.xxhash64("n", "s1", "s2").alias("s"), "bands").mapInArrow(deal, schema)
-    found = stored(each.repartition("key").sortWithinPartitions("key", "s").mapInArrow(met, schema), "found")
+    each = rows.filter("n > 0").select(F.xxhash64("n", "s1", "s2").alias("s"), "bands").mapInArrow(trimmed(deal), schema)
+    found = stored(each.repartition("key").sortWithinPartitions("key", "s").mapInArrow(trimmed(met), schema), "found")
     # a class leaves out its most frequent keys, as many as it may
     sizes = found.groupBy("key").agg(F.count("*").alias("size"))
     rank = F.row_number().over(Window.partitionBy("s", "tag").orderBy(F.col("size").desc(), "key"))
