@@ -434,6 +434,50 @@ def test_lines(spark, odd, none):
     assert line_dedup.drop_recurring_lines(none).count() == 0
 
 
+def _prose(rng, lines: int, words: int = 14) -> list[str]:
+    return [" ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(words)) for _ in range(lines)]
+
+
+def test_blocks_of_lines_go_whole(spark):
+    rng = random.Random(4)
+    block = _prose(rng, 4)
+    bodies = [_prose(rng, 6) for _ in range(30)]
+    places = [0, 3, 6]  # top, middle, end
+    docs = [(i, "\n".join(b[: places[i % 3]] + block + b[places[i % 3] :])) for i, b in enumerate(bodies)]
+    got = {r.doc_id: r for r in line_dedup.drop_recurring_lines(frame(spark, docs)).collect()}
+    assert all(got[i].text == "\n".join(b) and got[i].n_dropped == 4 for i, b in enumerate(bodies))
+
+
+def test_copies_count_once(spark):
+    rng = random.Random(5)
+    notice, shared = _prose(rng, 1)[0], _prose(rng, 12)
+    alone = [_prose(rng, 5) for _ in range(8)]
+    docs = [(i, "\n".join([*b, notice])) for i, b in enumerate(alone)]
+    copies = []
+    for _ in range(60):  # each copy has one line of its own and one edited word elsewhere
+        body = list(shared)
+        body[rng.randrange(12)] = _prose(rng, 1)[0]
+        at = rng.randrange(12)
+        words = body[at].split()
+        words[rng.randrange(len(words))] = "edited" + "".join(rng.choice("qrstuvwxyz") for _ in range(5))
+        body[at] = " ".join(words)
+        copies.append(body)
+    docs += [(100 + i, "\n".join([*b, notice])) for i, b in enumerate(copies)]
+    got = {r.doc_id: r for r in line_dedup.drop_recurring_lines(frame(spark, docs)).collect()}
+    assert all(got[i].text == "\n".join(b) for i, b in enumerate(alone))
+    assert all(got[100 + i].text == "\n".join(b) for i, b in enumerate(copies))
+    # without the eight others nothing recurs: copies alone are no boilerplate
+    only = line_dedup.drop_recurring_lines(frame(spark, docs[8:])).agg(F.sum("n_dropped")).first()[0]
+    assert only == 0
+
+
+def test_short_lines_need_a_fixed_number_of_texts(spark):
+    rng = random.Random(6)
+    for n, dropped in ((49, 0), (50, 1)):
+        docs = [(i, "\n".join([*_prose(rng, 2), "all rights"])) for i in range(n)]
+        assert {r.n_dropped for r in line_dedup.drop_recurring_lines(frame(spark, docs)).collect()} == {dropped}
+
+
 def test_lines_with_an_open_field(spark):
     names = ["alpha beta", "gamma delta", "epsilon zeta", "eta theta"]
     other = ["one thing", "two things there", "three of those other things", "four more"]
