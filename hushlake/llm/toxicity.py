@@ -1,10 +1,11 @@
 """Toxicity by a sparse logistic model with a counterfactual penalty.
 
 Features of a text are its distinct words and the beginnings of 4 to 7 letters that they have, each counted
-once per distinct word.  For every labelled text that
-names a group of people, the name is swapped for the others of its list; the squared change of the
-score's log-odds is added to the loss.  Names of groups so carry no weight of their own, and neutral mentions of a
-group don't score as toxic because toxic texts mention it too.  An L1 term keeps the words that matter.
+once per distinct word.  In every labelled text that names a group of people, the name is swapped for others of its list.
+A labelled text that names none is learned from with a name put in, which is taken out again and swapped for the next of its list.
+The squared change of the score's log-odds is added to the loss each time, so every text takes part.  Names of groups so
+carry no weight of their own, and neutral mentions of a group don't score as toxic because toxic texts mention it
+too.  An L1 term keeps the words that matter.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import labelled_sample
 
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Names that are swapped within a list.
+#: Names that are swapped within a list: English, German, French, Spanish.
 IDENTITIES = (
     ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist", "catholic", "protestant"),
     ("christians", "muslims", "jews", "hindus", "buddhists", "atheists", "catholics", "protestants"),
@@ -30,7 +31,27 @@ IDENTITIES = (
     ("black", "white", "asian", "latino", "arab", "african"),
     ("immigrants", "refugees", "foreigners", "natives"),
     ("disabled", "blind", "deaf", "autistic"),
+    ("christen", "muslime", "juden", "hindus", "buddhisten", "atheisten", "katholiken", "protestanten"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("schwul", "lesbisch", "heterosexuell", "bisexuell", "transgender", "queer"),
+    ("schwarze", "weiße", "asiaten", "araber", "afrikaner"),
+    ("einwanderer", "flüchtlinge", "ausländer", "einheimische"),
+    ("behinderte", "blinde", "gehörlose", "autisten"),
+    ("chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées", "catholiques", "protestants"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("gay", "lesbienne", "hétérosexuel", "bisexuel", "transgenre", "queer"),
+    ("noirs", "blancs", "asiatiques", "arabes", "africains"),
+    ("immigrés", "réfugiés", "étrangers", "autochtones"),
+    ("handicapés", "aveugles", "sourds", "autistes"),
+    ("cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos", "católicos", "protestantes"),
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("gay", "lesbiana", "heterosexual", "bisexual", "transgénero", "queer"),
+    ("negros", "blancos", "asiáticos", "árabes", "africanos"),
+    ("inmigrantes", "refugiados", "extranjeros", "nativos"),
+    ("discapacitados", "ciegos", "sordos", "autistas"),
 )
+#: Rows that a table of names may have; it is read whole.
+MOST_NAMES = 10_000
 PREFIXES = (4, 5, 6, 7)
 #: Bounds of the sample that is learned from, for each label value.
 TEXTS, TEXT_BYTES = 2000, 40_000
@@ -61,6 +82,14 @@ def swapped(words: set[str], identities=IDENTITIES, most: int = SWAPS) -> list[s
     return out
 
 
+def inserted(words: list[set[str]], identities=IDENTITIES) -> dict[int, tuple[str, str]]:
+    """A name for each text that has none, in turn, and the next of its list."""
+    names = [(g[k], g[(k + 1) % len(g)]) for g in identities for k in range(len(g))]
+    known = {n for n, _ in names}
+    bare = [i for i, w in enumerate(words) if names and known.isdisjoint(w)]
+    return {i: names[k % len(names)] for k, i in enumerate(bare)}
+
+
 class ToxicityModel:
     """``sizes`` says how many texts there are of each label value, if the sample has other shares."""
 
@@ -92,9 +121,12 @@ class ToxicityModel:
         vocab |= {f: i for i, f in enumerate(sorted(named - vocab.keys()), len(vocab))}
         rows, cols = self._index(bags, vocab)
         pairs = [(a, b) for w, bag in zip(words, bags) for s in swapped(w, identities) for a, b in [(bag, _bag(s))]]
+        added = inserted(words, identities)
+        pairs += [pair for a, b in added.values() for pair in ((Counter(), _bag({a})), (_bag({a}), _bag({b})))]
+        told = self._index([_bag({added[i][0]}) if i in added else Counter() for i in range(len(bags))], vocab)
         plus, plus_cols = self._index([b - a for a, b in pairs], vocab)
         minus, minus_cols = self._index([a - b for a, b in pairs], vocab)
-        w = self._fit(rows, cols, target, (plus, plus_cols, minus, minus_cols, len(pairs)), len(vocab), penalty, l1, steps)
+        w = self._fit(np.concatenate([rows, told[0]]), np.concatenate([cols, told[1]]), target, (plus, plus_cols, minus, minus_cols, len(pairs)), len(vocab), penalty, l1, steps)
         share = np.where(target > 0, sizes[1] / positive, sizes[0] / clean) / (sizes[0] + sizes[1])
         scale, self.base = self._calibrate(np.bincount(rows, w[cols], len(target)), target, share)
         self.weights = {f: float(scale * w[i]) for f, i in vocab.items() if w[i]}
@@ -113,20 +145,25 @@ class ToxicityModel:
         w = z = np.zeros(n_features)
         b = c = 0.0
         t = 1.0
+
+        def pulled(v):
+            """Gradient of the penalty: its value is the mean squared change times its strength."""
+            change = np.bincount(plus, v[plus_cols], n_pairs) - np.bincount(minus, v[minus_cols], n_pairs)
+            pull = 2 * penalty * change / max(n_pairs, 1)
+            return np.bincount(plus_cols, pull[plus], n_features) - np.bincount(minus_cols, pull[minus], n_features)
+
         probe = np.full(n_features, n_features**-0.5)
-        for _ in range(8):  # largest curvature of the loss, by power iteration
-            curve = np.bincount(cols, (weight * np.bincount(rows, probe[cols], len(y)))[rows], n_features) / 4
+        for _ in range(8):  # largest curvature of loss and penalty, by power iteration
+            curve = np.bincount(cols, (weight * np.bincount(rows, probe[cols], len(y)))[rows], n_features) / 4 + pulled(probe)
             bend = float(np.linalg.norm(curve))
             probe = curve / max(bend, 1e-12)
-        rate = 1 / (1.2 * bend + 0.25 + 4 * penalty * len(plus) / max(n_pairs, 1))
+        rate = 1 / (1.2 * bend + 0.25)
         for _ in range(steps):
             logit = np.bincount(rows, z[cols], len(y)) + c
             slope = weight * (1 / (1 + np.exp(-logit)) - y)
             grad = np.bincount(cols, slope[rows], n_features)
             if n_pairs and penalty:
-                change = np.bincount(plus, z[plus_cols], n_pairs) - np.bincount(minus, z[minus_cols], n_pairs)
-                pull = 2 * penalty * change / n_pairs
-                grad += np.bincount(plus_cols, pull[plus], n_features) - np.bincount(minus_cols, pull[minus], n_features)
+                grad += pulled(z)
             new = z - rate * grad
             new = np.sign(new) * np.maximum(np.abs(new) - rate * l1, 0)
             new_b = c - rate * slope.sum()
@@ -165,8 +202,24 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(total, -30, 30))))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", **options) -> ToxicityModel:
-    """Learns from about TEXTS labelled texts for each value, of at most TEXT_BYTES bytes each, whole; unlabelled rows don't count."""
+def name_lists(names: DataFrame) -> tuple[tuple[str, ...], ...]:
+    """Lists of names from a table (list, name) of at most MOST_NAMES rows, in lower case; nulls are left out."""
+    rows = names.select("list", F.lower("name").alias("name")).dropna().distinct().limit(MOST_NAMES + 1).collect()
+    if len(rows) > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} names")
+    lists: dict = {}
+    for r in sorted(rows, key=str):
+        lists.setdefault(r["list"], []).append(r["name"])
+    return tuple(tuple(v) for v in lists.values())
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", names: DataFrame | None = None, **options) -> ToxicityModel:
+    """Learns from about TEXTS labelled texts for each value, of at most TEXT_BYTES bytes each, whole; unlabelled rows don't count.
+
+    ``names`` (list, name) takes the place of IDENTITIES.
+    """
+    if names is not None:
+        options["identities"] = name_lists(names)
     sample, sizes = labelled_sample(docs, labels.select("doc_id", label_col), label_col, TEXTS, TEXT_BYTES)
     return ToxicityModel(sample, sizes, **options)
 

@@ -286,6 +286,30 @@ def test_byte_network_gradient_and_chunks(odd):
     assert quality.ByteNetwork().fit([]).score("x") == 0.5
 
 
+def test_toxicity_penalty_acts_on_the_given_tables(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    with_, without = (toxicity.fit_toxicity(docs, labels, penalty=p) for p in (toxicity.PENALTY, 0.0))
+    assert with_.weights != without.weights
+    lists = toxicity.IDENTITIES
+    spread = lambda m: max(abs(m._weight(a) - m._weight(b)) for g in lists for a in g for b in g)
+    assert spread(with_) < 0.5 * spread(without)
+    texts = [r.text for r in docs.select("text").limit(60).collect()]
+    got = [r.s for r in spark.createDataFrame([(t,) for t in texts], "t string").select(toxicity.toxicity_score(with_, F.col("t")).alias("s")).collect()]
+    for t, s in zip(texts, got):  # the score again, feature by feature
+        total = with_.base
+        for w in {"".join(g) for g in re.findall(r"[^\W\d_]+", (t or "").lower())}:
+            total += with_.weights.get(w, 0.0) + sum(with_.weights.get("^" + w[:n], 0.0) for n in (4, 5, 6, 7) if len(w) >= n)
+        assert math.isclose(s, 1 / (1 + math.exp(-max(-30, min(30, total)))), rel_tol=1e-9)
+
+
+def test_toxicity_names_from_a_table(spark):
+    rows = [("a", "Kettles"), ("a", "spoons"), (None, "forks"), ("b", None), ("a", "spoons")]
+    assert toxicity.name_lists(spark.createDataFrame(rows, "list string, name string")) == (("kettles", "spoons"),)
+    names = toxicity.inserted([{"a"}, {"spoons"}, {"b"}, {"c"}], (("kettles", "spoons"), ("x",)))
+    assert names == {0: ("kettles", "spoons"), 2: ("spoons", "kettles"), 3: ("x", "x")}
+    assert toxicity.inserted([{"a"}], ()) == {}
+
+
 # -- 7 similarity join ---------------------------------------------------------------------------
 
 def linked(docs):
