@@ -101,45 +101,55 @@ def first_n(items: DataFrame, keys: list[str], order: list[str], n: int) -> Data
     return items.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
+#: Buckets of distinct values in a group when ranks are looked for.
+BUCKETS = 128
+
+
 def latency_stats(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Mean, p50, p90, p95, min, max; a percentile is the value at rank floor(n*p) (from zero).
+    """Mean, p50, p90, p95, min, max; a percentile is the value at rank floor(n*p) (from zero).  Null values don't count.
 
-    Exact for groups of any size: values are counted first, and the ranks come from running
-    sums over the distinct values in two steps (value buckets, then values inside a bucket),
-    so no task sorts a whole group.
+    Exact for groups of any size and any spread: values are counted first; a mergeable sketch of a group's distinct values
+    gives the borders of buckets that hold about equally many, whatever the outliers; exact counts of the buckets tell in
+    which one a rank lies, and only that bucket's values are sorted.  Borders only decide on the sizes, never on a result.
     """
-    counts = rows.groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    totals = counts.groupBy(*keys).agg(
-        F.sum("c").alias("n"), F.sum(F.col("v") * F.col("c")).alias("s"), F.min("v").alias("min"), F.max("v").alias("max")
+    v = F.col("v")
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    shares = [i / BUCKETS for i in range(1, BUCKETS)]
+    borders = counts.groupBy(*keys).agg(F.percentile_approx("v", shares, 10 * BUCKETS).alias("borders"))
+    placed = counts.join(borders, keys).select(*keys, "v", "c", F.size(F.filter("borders", lambda x: x < v)).alias("b"))
+    buckets = placed.groupBy(*keys, "b").agg(
+        F.sum("c").alias("n"), F.sum(v * F.col("c")).alias("s"), F.min("v").alias("min"), F.max("v").alias("max")
+    )
+    groups = buckets.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("b", "n"))).alias("sizes"),  # at most BUCKETS of them
+        F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("min").alias("min"), F.max("max").alias("max"),
     )
-    # 4096 equal-width buckets between the smallest and the largest value of the group.
-    width = F.greatest((F.col("max") - F.col("min")) / 4096, F.lit(1e-300))
-    placed = counts.join(totals.select(*keys, "min", "max"), keys).withColumn(
-        "b", F.least(F.floor((F.col("v") - F.col("min")) / width), F.lit(4095))
-    ).drop("min", "max")
-    earlier = Window.unboundedPreceding
-    buckets = placed.groupBy(*keys, "b").agg(F.sum("c").alias("bc"))
-    over_buckets = Window.partitionBy(*keys).orderBy("b")
-    buckets = buckets.withColumn("lo", F.coalesce(F.sum("bc").over(over_buckets.rowsBetween(earlier, -1)), F.lit(0)))
-    picks = F.array(*[
-        F.struct(F.lit(name).alias("name"), F.floor(F.col("n") * p).alias("k"))
-        for name, p in (("p50", 0.50), ("p90", 0.90), ("p95", 0.95))
-    ])
-    wanted = totals.select(*keys, F.explode(picks).alias("w"))
-    hit = buckets.join(wanted, keys).filter((F.col("w.k") >= F.col("lo")) & (F.col("w.k") < F.col("lo") + F.col("bc")))
-    hit = hit.select(*keys, "b", "lo", "w")
-    needed = placed.join(hit.select(*keys, "b").distinct(), [*keys, "b"], "left_semi")
-    inside = Window.partitionBy(*keys, "b").orderBy("v")
-    ranked = needed.withColumn("from", F.coalesce(F.sum("c").over(inside.rowsBetween(earlier, -1)), F.lit(0)))
-    found = ranked.join(hit, [*keys, "b"]).filter(
-        (F.col("w.k") - F.col("lo") >= F.col("from")) & (F.col("w.k") - F.col("lo") < F.col("from") + F.col("c"))
+    start = F.struct(F.lit(0).alias("b"), F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"))
+
+    def bucket_of(k: Column) -> Column:
+        """The bucket of rank ``k``, and how many values lie before it and up to its end."""
+        return F.aggregate("sizes", start, lambda a, x: F.when(a["hi"] > k, a).otherwise(
+            F.struct(x["b"].alias("b"), a["hi"].alias("lo"), (a["hi"] + x["n"]).alias("hi"))
+        ))
+
+    names = {"p50": 0.50, "p90": 0.90, "p95": 0.95}
+    picks = [F.struct(F.lit(p).alias("name"), F.floor(F.col("n") * q).alias("k"), bucket_of(F.floor(F.col("n") * q)).alias("at")) for p, q in names.items()]
+    wanted = groups.select(*keys, "n", "s", "min", "max", F.explode(F.array(*picks)).alias("w"))
+    wanted = wanted.groupBy(*keys, F.col("w.at.b").alias("b"), F.col("w.at.lo").alias("lo")).agg(
+        F.collect_list("w").alias("w"), *[F.first(c).alias(c) for c in ("n", "s", "min", "max")]
     )
-    wide = found.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("w.name") == p, F.col("v"))).alias(p) for p in ("p50", "p90", "p95")]
+    inside = Window.partitionBy(*keys, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = placed.join(wanted, [*keys, "b"]).withColumn("to", F.col("lo") + F.sum("c").over(inside))
+    hit = ranked.select("*", F.explode("w").alias("pick")).filter(
+        (F.col("pick.k") < F.col("to")) & (F.col("pick.k") >= F.col("to") - F.col("c"))
     )
-    return totals.join(wide, keys).select(
+    out = hit.groupBy(*keys).agg(
+        *[F.first(c).alias(c) for c in ("n", "s", "min", "max")],
+        *[F.max(F.when(F.col("pick.name") == p, v)).alias(p) for p in names],
+    )
+    return out.select(
         *keys, F.col("n").alias("samples"), F.round(F.col("s") / F.col("n"), 3).alias("mean"),
-        *[F.round(c, 3).alias(c) for c in ("p50", "p90", "p95", "min", "max")],
+        *[F.round(c, 3).alias(c) for c in (*names, "min", "max")],
     )
 
 
@@ -157,6 +167,16 @@ def stage_totals(stage_stats: DataFrame, local: list[str], remote: list[str], cl
     )
 
 
+def stage_shares(rows: DataFrame, scan: list[str], stage: str, ms: str) -> DataFrame:
+    """Time of each stage of a scan, its share of the scan's slowest stage (of one millisecond at least) and its band.
+
+    The slowest row of a stage counts, a missing time as 0.  Rows are brought to one per stage before the window over the scan.
+    """
+    stages = rows.groupBy(*scan, stage).agg(F.coalesce(F.max(ms), F.lit(0.0)).alias("ms"))
+    slowest = F.greatest(F.max("ms").over(Window.partitionBy(*scan)), F.lit(1.0))
+    return stages.withColumns({"share": F.round(F.col("ms") / slowest, 4), "band": latency_band(F.col("ms"))})
+
+
 def latency_band(ms: Column) -> Column:
     return F.when(ms < 20, "fast").when(ms < 100, "medium").otherwise("slow")
 

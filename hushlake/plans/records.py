@@ -147,6 +147,17 @@ def latency_bands(spark, root):
     )
 
 
+@query(
+    "stage_shares",
+    """SELECT user_id, event_type, ms, round(ms / greatest(max(ms) OVER (PARTITION BY user_id), 1.0), 4) AS share,
+      CASE WHEN ms < 20 THEN 'fast' WHEN ms < 100 THEN 'medium' ELSE 'slow' END AS band
+    FROM (SELECT user_id, event_type, coalesce(max(value), 0.0) AS ms FROM events GROUP BY 1, 2)""",
+)
+def stage_shares(spark, root):
+    """Users as scans, event kinds as stages."""
+    return reports.stage_shares(table(spark, root, "events"), ["user_id"], "event_type", "value")
+
+
 _LOG = """(SELECT event_type AS event, CASE event_id % 3 WHEN 0 THEN 'NORMAL' WHEN 1 THEN 'AI_ASSISTANT' ELSE 'UNKNOWN' END AS context, event_id % 5 AS detections,
   event_id % 4 AS redactions, CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END AS raw_transmitted, event_id % 97 <> 0 AS safe FROM events)"""
 
