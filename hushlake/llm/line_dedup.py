@@ -26,6 +26,8 @@ DEPTH = 3
 OPEN_FROM = 9
 #: Leading tokens by which an edited line is known as one of a copy.
 BEGINNING = 5
+#: More than a line's tokens.
+WIDEST = 1 << 31
 SPACE = r"[ \t\n\x0B\f\r]+"
 VARIABLE = r"[^0-9 \t\n\x0B\f\r]*+[0-9][^ \t\n\x0B\f\r]*+"
 #: Lines without these have no variable fields and only spaces between tokens.
@@ -81,13 +83,17 @@ def shared_lines(lines: DataFrame, min_docs: int) -> DataFrame:
 
 def recurring_templates(shared: DataFrame, min_docs: int, min_own: float, short_tokens: int, short_docs: int) -> DataFrame:
     """Keys of recurring templates, from the table of ``shared_lines``."""
-    places = F.array_distinct(F.transform("hits", lambda h: F.struct(h["pos"].alias("pos"), h["n"].alias("n"))))
-    tokens = F.aggregate(places, F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    leaves = F.array_distinct(F.transform(F.filter("hits", lambda h: h["leaf"]), lambda h: F.struct(h["key"].alias("key"), h["n"].alias("n"))))
+    places = F.array_distinct(F.transform("hits", lambda h: h["pos"].cast("long") * WIDEST + h["n"]))  # numbers, as structs are compared pair by pair
+    tokens = F.aggregate(places, F.lit(0).cast("long"), lambda a, x: a + x % WIDEST)
+    leaves = [
+        F.transform(F.array_distinct(F.transform(F.filter("hits", lambda h: h["leaf"] & ((h["n"] < short_tokens) == F.lit(short))), lambda h: h["key"])),
+                    lambda key: F.struct(key.alias("key"), F.lit(short).alias("short")))  # noqa: B023
+        for short in (False, True)
+    ]
     alone = (F.col("total") - tokens >= F.col("total") * min_own).cast("int")
-    each = shared.select(alone.alias("alone"), F.explode(leaves).alias("leaf")).select("alone", "leaf.key", "leaf.n")
-    counts = each.groupBy("key").agg((F.sum("alone") + F.max(1 - F.col("alone"))).alias("texts"), F.min("n").alias("n"))
-    return counts.filter(F.col("texts") >= F.when(F.col("n") >= short_tokens, min_docs).otherwise(short_docs)).select("key")
+    each = shared.select(alone.alias("alone"), F.explode(F.concat(*leaves)).alias("leaf")).select("alone", "leaf.key", "leaf.short")
+    counts = each.groupBy("key").agg((F.sum("alone") + F.max(1 - F.col("alone"))).alias("texts"), F.max("short").alias("short"))
+    return counts.filter(F.col("texts") >= F.when(F.col("short"), short_docs).otherwise(min_docs)).select("key")
 
 
 def drop_recurring_lines(
