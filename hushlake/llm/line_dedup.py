@@ -76,7 +76,7 @@ def shared_lines(lines: DataFrame, min_docs: int) -> DataFrame:
     """
     keys = lines.select("k1", "k2", "total", "line.pos", "line.n", F.posexplode("line.keys").alias("at", "key"))
     held = keys.select("k1", "key").distinct().groupBy("key").agg(F.count("*").alias("texts")).filter(F.col("texts") >= min_docs)
-    hits = keys.join(stored(held.select("key"), "held"), "key")
+    hits = keys.join(stored(held.select("key"), "held").hint("merge"), "key")  # too many to broadcast at size, so never
     hit = F.struct("pos", "n", "key", (F.col("at") < 4).alias("leaf"))
     return hits.groupBy("k1", "k2").agg(F.max("total").alias("total"), F.collect_set(hit).alias("hits"))
 
