@@ -91,7 +91,8 @@ def recurring_templates(shared: DataFrame, min_docs: int, min_own: float, short_
         for short in (False, True)
     ]
     alone = (F.col("total") - tokens >= F.col("total") * min_own).cast("int")
-    each = shared.select(alone.alias("alone"), F.explode(F.concat(*leaves)).alias("leaf")).select("alone", "leaf.key", "leaf.short")
+    texts = shared.select(alone.alias("alone"), F.concat(*leaves).alias("leaves"))  # before the explosion: once a text, not once a leaf
+    each = texts.select("alone", F.explode("leaves").alias("leaf")).select("alone", "leaf.key", "leaf.short")
     counts = each.groupBy("key").agg((F.sum("alone") + F.max(1 - F.col("alone"))).alias("texts"), F.max("short").alias("short"))
     return counts.filter(F.col("texts") >= F.when(F.col("short"), short_docs).otherwise(min_docs)).select("key")
 
@@ -114,7 +115,7 @@ def drop_recurring_lines(
     texts = docs.select(F.col(text_col).alias("text")).filter("text IS NOT NULL")
     found = stored(texts.select(*_key(F.col("text")), line_templates(F.col("text"), min_tokens).alias("lines")).filter("size(lines) > 0"), "lines")
     total = F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    lines = found.select("k1", "k2", total.alias("total"), F.explode("lines").alias("line"))
+    lines = found.select("k1", "k2", total.alias("total"), "lines").select("k1", "k2", "total", F.explode("lines").alias("line"))
     shared = stored(shared_lines(lines, min_docs), "shared")
     bad = stored(recurring_templates(shared, min_docs, min_own, short_tokens, short_docs), "templates")
     hits = shared.select("k1", "k2", F.explode("hits").alias("hit")).filter("hit.leaf").select("k1", "k2", "hit.pos", "hit.key").join(bad, "key")
