@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hushlake.functions.dims import PRIORITY
+from hushlake.functions.placeholders import type_placeholder
 from hushlake.functions.text import round_half_up
+from hushlake.sources.scratch import checkpointed
 
 BOX = ["x", "y", "width", "height"]
+#: Boxes over more grid cells than this meet the others by page instead of by cell.
+LARGE = 64
+#: Distinct boxes of one independent region that a task may fold; larger regions are reduced in rounds first.
+REGION = 4096
 
 
 def intersection_area(a: str, b: str) -> Column:
@@ -59,13 +68,31 @@ def _prefixed(df: DataFrame, prefix: str, keep: list[str]) -> DataFrame:
     return df.select(*[F.col(c) if c in keep else F.col(c).alias(prefix + c) for c in df.columns])
 
 
-def _cells(df: DataFrame, prefix: str, cell: int) -> DataFrame:
-    def span(p: str, size: str) -> Column:
+def _cells(df: DataFrame, prefix: str, cell: int, table: int) -> DataFrame:
+    """Every grid cell of every box, as (cell x, cell y, side).
+
+    A box of more than ``LARGE`` cells gets a single row for the whole page, and every other box one more there to be met
+    by it.  ``side`` is the table (1 or 2) whose large boxes a row is for, so two small boxes never meet by page.
+    """
+    def span(p: str, size: str) -> tuple[Column, Column]:
         lo = F.floor(F.col(f"{prefix}{p}") / cell)
-        hi = F.floor((F.col(f"{prefix}{p}") + F.col(f"{prefix}{size}")) / cell)
-        return F.sequence(lo, F.greatest(lo, hi))
+        return lo, F.greatest(lo, F.floor((F.col(f"{prefix}{p}") + F.col(f"{prefix}{size}")) / cell))
+
+    (x1, x2), (y1, y2) = span("x", "width"), span("y", "height")
+    large = (x2 - x1 + 1.0) * (y2 - y1 + 1.0) > LARGE
 
-    return df.withColumn("__cx", F.explode(span("x", "width"))).withColumn("__cy", F.explode(span("y", "height")))
+    def entry(x: Column, y: Column, side: int) -> Column:
+        return F.struct(x.cast("long").alias("__cx"), y.cast("long").alias("__cy"), F.lit(side).alias("__side"))
+
+    def page(side: int) -> Column:
+        return entry(F.lit(0), F.lit(0), side)
+
+    grid = F.flatten(F.transform(F.sequence(x1, x2), lambda x: F.transform(F.sequence(y1, y2), lambda y: entry(x, y, 0))))
+    own, other = (1, 2) if table == 1 else (2, 1)
+    # A pair of two large boxes meets on side 1 only.
+    as_large = F.array(page(1)) if own == 1 else F.array(page(1), page(2))
+    rows = F.when(large, as_large).otherwise(F.concat(grid, F.array(page(other))))
+    return df.withColumn("__c", F.explode(rows)).select("*", "__c.*").drop("__c")
 
 
 def overlap_join(left: DataFrame, right: DataFrame, page: str, cell: int = 256) -> DataFrame:
@@ -73,14 +100,16 @@ def overlap_join(left: DataFrame, right: DataFrame, page: str, cell: int = 256)
 
     A page is cut into grid cells and the join runs on (page, cell), so a crowded page is
     spread over many tasks and only near boxes meet.  A pair that shares several cells is
-    produced once, in the cell that holds the corner of its intersection.
+    produced once, in the cell that holds the corner of its intersection.  Boxes over very many cells are
+    not cut; they meet the boxes of their page, and adaptive skew splitting divides those.
     """
-    a = _cells(_prefixed(left, "a_", [page]), "a_", cell)
-    b = _cells(_prefixed(right, "b_", [page]), "b_", cell)
+    a = _cells(_prefixed(left, "a_", [page]), "a_", cell, 1)
+    b = _cells(_prefixed(right, "b_", [page]), "b_", cell, 2)
     corner = (F.col("__cx") == F.floor(F.greatest("a_x", "b_x") / cell)) & (
         F.col("__cy") == F.floor(F.greatest("a_y", "b_y") / cell)
     )
-    return a.join(b, [page, "__cx", "__cy"]).filter(corner & overlaps("a_", "b_")).drop("__cx", "__cy")
+    met = a.join(b, [page, "__cx", "__cy", "__side"]).filter((corner | (F.col("__side") > 0)) & overlaps("a_", "b_"))
+    return met.drop("__cx", "__cy", "__side")
 
 
 def overlap_pairs(boxes: DataFrame, page: str, ident: str, cell: int = 256) -> DataFrame:
@@ -94,6 +123,33 @@ def overlap_pairs(boxes: DataFrame, page: str, ident: str, cell: int = 256) -> D
     )
 
 
+def box_classes(boxes: DataFrame, page: str, ident: str) -> DataFrame:
+    """Classes of equal boxes of a page: smallest member as ``class_id``, the box, and how many ``copies`` there are."""
+    return boxes.groupBy(page, *BOX).agg(F.min(ident).alias("class_id"), F.count("*").alias("copies"))
+
+
+def class_members(boxes: DataFrame, classes: DataFrame, page: str, ident: str) -> DataFrame:
+    """Link table of ``box_classes``: one row per box."""
+    return boxes.select(page, ident, *BOX).join(classes.drop("copies"), [page, *BOX]).select(page, "class_id", ident)
+
+
+def class_pairs(classes: DataFrame, page: str, cell: int = 256) -> DataFrame:
+    """Overlaps between classes of equal boxes, and of a class with itself where it has copies.
+
+    A stack of n equal boxes gives one row, not n * n / 2; ``pairs`` is the number of pairs of boxes that a row stands for.
+    """
+    across = overlap_pairs(classes, page, "class_id", cell).select(
+        page, "a_class_id", "b_class_id", (F.col("a_copies") * F.col("b_copies")).alias("pairs"), "iou", "a_in_b", "b_in_a"
+    )
+    stacked = classes.filter((F.col("copies") > 1) & (F.col("width") > 0) & (F.col("height") > 0))
+    n = F.col("copies")
+    same = stacked.select(
+        page, F.col("class_id").alias("a_class_id"), F.col("class_id").alias("b_class_id"),
+        F.floor(n * (n - 1) / 2).alias("pairs"), *[F.lit(1.0).alias(c) for c in ("iou", "a_in_b", "b_in_a")],
+    )
+    return across.unionByName(same)
+
+
 def clamp(x: Column, y: Column, width: Column, height: Column, frame_w: Column, frame_h: Column) -> list[Column]:
     """Box rounded (half up) and forced into the frame; at least one pixel in each direction."""
     cx = F.greatest(F.lit(0.0), F.least(round_half_up(x), frame_w))
@@ -157,19 +213,8 @@ def _independent(boxes: DataFrame, keys: list[str]) -> DataFrame:
     return islands(across, [*keys, "__ix"], F.col("y"), F.col("y") + F.col("height"), "__iy")
 
 
-def suppress(boxes: DataFrame, page: str, order: str, threshold: float = 0.5) -> DataFrame:
-    """Non-maximum suppression per page and type: most confident first, ``order`` breaks ties.
-
-    Exact copies fall to their best copy by an aggregation first; the greedy rest runs inside
-    independent regions only.
-    """
-    keys = [page, "type"]
-    pick = F.min_by(F.struct("confidence", order), F.struct(-F.col("confidence"), F.col(order)))
-    solid = (F.col("width") > 0) & (F.col("height") > 0)
-    copies = boxes.filter(solid).groupBy(*keys, *BOX).agg(pick.alias("s"))
-    copies = copies.select(*keys, *BOX, F.col("s.confidence").alias("confidence"), F.col(f"s.{order}").alias(order))
-    flat = boxes.filter(~solid).select(*keys, *BOX, "confidence", order)
-    regions = _independent(copies, keys)
+def _fold(regions: DataFrame, keys: list[str], order: str, threshold: float) -> DataFrame:
+    """Greedy suppression inside each independent region, in one array."""
     entry = f"named_struct('r', -confidence, 'o', {order}, 'x', x, 'y', y, 'w', width, 'h', height)"
     meet = (
         "greatest(0D, least(k.x + k.w, b.x + b.w) - greatest(k.x, b.x))"
@@ -182,10 +227,122 @@ def suppress(boxes: DataFrame, page: str, order: str, threshold: float = 0.5) ->
     )
     k = F.col("k")
     rows = grouped.select(*keys, F.explode_outer(kept).alias("k")).filter(k.isNotNull())
-    best = rows.select(
+    return rows.select(
         *keys, k["x"].alias("x"), k["y"].alias("y"), k["w"].alias("width"), k["h"].alias("height"),
         (-k["r"]).alias("confidence"), k["o"].alias(order),
     )
+
+
+_SLACK = 1e-6  # widens ranges against rounding; what is found in them is checked exactly
+
+
+def _band(size: Column) -> Column:
+    return F.floor(F.log2(size) + _SLACK).cast("int")
+
+
+def _place(center: Column, band: Column) -> Column:
+    return F.floor(center / F.pow(F.lit(2.0), band)).cast("long")
+
+
+def _around(p: str, size: str, threshold: float) -> Column:
+    """Bands and places, along one axis, of all boxes that can reach the threshold with a box.
+
+    Sides of such boxes differ by less than the factor 1 / threshold, and their centres by less than
+    (1 - threshold) of the longer side.
+    """
+    w, center = F.col(size), F.col(p) + F.col(size) / 2
+    ratio = math.log2(threshold)
+    bands = F.sequence(
+        F.floor(F.log2(w) + ratio - _SLACK).cast("int"), F.floor(F.log2(w) - ratio + 3 * _SLACK).cast("int")
+    )
+
+    def places(band: Column) -> Column:
+        longest = F.greatest(w, F.least(F.pow(F.lit(2.0), band + 1), w / threshold))
+        reach = longest * (1 - threshold) * (1 + _SLACK) + _SLACK
+        cells = F.sequence(_place(center - reach, band), _place(center + reach, band))
+        return F.transform(cells, lambda g: F.struct(band.alias("band"), g.alias("place")))
+
+    return F.flatten(F.transform(bands, places))
+
+
+def _conflicts(live: DataFrame, keys: list[str], order: str, threshold: float) -> DataFrame:
+    """(leader, box) for every undecided box that a bucket's strongest box is in conflict with, itself included.
+
+    Buckets are made of boxes of like sides and centres; each has one leader, found by an aggregation, so a box meets
+    a bounded number of leaders however crowded the place is.
+    """
+    rank = F.struct((-F.col("confidence")).alias("r"), F.col(order).alias("o"), *BOX)
+    bucket = [
+        _band(F.col("width")).alias("__bw"), _place(F.col("x") + F.col("width") / 2, _band(F.col("width"))).alias("__gx"),
+        _band(F.col("height")).alias("__bh"), _place(F.col("y") + F.col("height") / 2, _band(F.col("height"))).alias("__gy"),
+    ]
+    boxes = live.select(*keys, *bucket, rank.alias("u"))
+    leaders = boxes.groupBy(*keys, "__bw", "__gx", "__bh", "__gy").agg(F.min("u").alias("leader")).select(*keys, "leader", "leader.*")
+    wide = leaders.select(*keys, "leader", "y", "height", F.explode(_around("x", "width", threshold)).alias("__h"))
+    probes = wide.select(*keys, "leader", "__h", F.explode(_around("y", "height", threshold)).alias("__v")).select(
+        *keys, "leader", F.col("__h.band").alias("__bw"), F.col("__h.place").alias("__gx"),
+        F.col("__v.band").alias("__bh"), F.col("__v.place").alias("__gy"),
+    )
+    meet = reduce(
+        lambda a, b: a * b,
+        [
+            F.greatest(F.lit(0.0), F.least(F.col(f"leader.{p}") + F.col(f"leader.{q}"), F.col(f"u.{p}") + F.col(f"u.{q}"))
+                       - F.greatest(f"leader.{p}", f"u.{p}"))
+            for p, q in (("x", "width"), ("y", "height"))
+        ],
+    )
+    both = F.col("leader.width") * F.col("leader.height") + F.col("u.width") * F.col("u.height")
+    met = boxes.join(probes, [*keys, "__bw", "__gx", "__bh", "__gy"]).filter(meet / (both - meet) > threshold)
+    return met.select(*keys, "leader", "u")
+
+
+def _in_rounds(live: DataFrame, keys: list[str], order: str, threshold: float, region: int) -> DataFrame:
+    """Greedy suppression of crowded regions, in rounds over all of them at once.
+
+    A leader that is in conflict with no stronger undecided box stays, and what it is in conflict with falls; this is what the
+    greedy order does to them, too.  What is left falls apart into regions; those of at most ``region`` boxes are folded.
+    """
+    parts = []
+    where = [*keys, "__ix", "__iy"]
+    while True:
+        regions = checkpointed(_independent(live, keys))
+        sizes = checkpointed(regions.groupBy(*where).agg(F.count("*").alias("__n")).filter(F.col("__n") > region).select(*where))
+        parts.append(_fold(regions.join(sizes, where, "left_anti"), keys, order, threshold))
+        if sizes.isEmpty():
+            return reduce(DataFrame.unionByName, parts)
+        crowded = regions.join(sizes, where, "left_semi").drop("__ix", "__iy")
+        found = checkpointed(_conflicts(crowded, keys, order, threshold))
+        strongest = found.groupBy(*keys, "leader").agg(F.min("u").alias("__best"))
+        winners = checkpointed(strongest.filter(F.col("__best") == F.col("leader")).select(*keys, "leader"))
+        names = ["x", "y", "width", "height"]
+        parts.append(winners.select(*keys, *[F.col(f"leader.{c}").alias(c) for c in names],
+                                    (-F.col("leader.r")).alias("confidence"), F.col("leader.o").alias(order)))
+        gone = found.join(winners, [*keys, "leader"], "left_semi").select(*keys, *[F.col(f"u.{c}").alias(c) for c in names]).distinct()
+        live = crowded.join(gone, [*keys, *names], "left_anti")
+
+
+def suppress(boxes: DataFrame, page: str, order: str, threshold: float = 0.5, region: int = REGION) -> DataFrame:
+    """Non-maximum suppression per page and type: most confident first, ``order`` breaks ties.
+
+    Exact copies fall to their best copy by an aggregation first; the greedy rest runs inside
+    independent regions only.  Regions of more than ``region`` distinct boxes are reduced in rounds, spread over tasks;
+    whether a page can have any is counted before the plan is made.  ``threshold`` lies between 0 and 1.
+    """
+    if not 0 < threshold < 1:
+        raise ValueError("the threshold of a suppression lies between 0 and 1")
+    keys = [page, "type"]
+    pick = F.min_by(F.struct("confidence", order), F.struct(-F.col("confidence"), F.col(order)))
+    solid = (F.col("width") > 0) & (F.col("height") > 0)
+    copies = boxes.filter(solid).groupBy(*keys, *BOX).agg(pick.alias("s"))
+    copies = copies.select(*keys, *BOX, F.col("s.confidence").alias("confidence"), F.col(f"s.{order}").alias(order))
+    flat = boxes.filter(~solid).select(*keys, *BOX, "confidence", order)
+    full = boxes.filter(solid).groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > region).select(*keys)
+    if full.isEmpty():
+        best = _fold(_independent(copies, keys), keys, order, threshold)
+    else:
+        full = checkpointed(full)
+        rest = _fold(_independent(copies.join(full, keys, "left_anti"), keys), keys, order, threshold)
+        best = rest.unionByName(_in_rounds(copies.join(full, keys, "left_semi"), keys, order, threshold, region))
     return best.unionByName(flat)
 
 
@@ -234,8 +391,10 @@ def fuse(candidates: DataFrame, page: str) -> DataFrame:
     box, best type, confidence, sources) is an ordinary aggregation afterwards.
 
     Expects ``page``, ``ord`` (unique per page), ``type``, ``source``, ``confidence`` and the
-    box columns.
+    box columns; ``placeholder``, where there is one, goes to the region with the type of its candidate.
     """
+    given = F.col("placeholder") if "placeholder" in candidates.columns else F.lit(None).cast("string")
+    candidates = candidates.withColumn("placeholder", given)
     solid = (F.col("width") > 0) & (F.col("height") > 0)
     members = candidates.filter(solid)
     firsts = members.groupBy(page, *BOX).agg(F.min("ord").alias("ord"))
@@ -258,7 +417,7 @@ def fuse(candidates: DataFrame, page: str) -> DataFrame:
         F.min("y").alias("y"),
         F.max(F.col("x") + F.col("width")).alias("__r"),
         F.max(F.col("y") + F.col("height")).alias("__b"),
-        F.min_by("type", rank).alias("type"),
+        F.min_by(F.struct("type", "placeholder"), rank).alias("__best"),
         F.round(F.max("confidence"), 2).alias("confidence"),
         F.array_sort(F.collect_set("source")).alias("sources"),
         F.count("*").alias("members"),
@@ -266,7 +425,8 @@ def fuse(candidates: DataFrame, page: str) -> DataFrame:
     return top.select(
         page, F.col("head").alias("region"), "x", "y",
         (F.col("__r") - F.col("x")).alias("width"), (F.col("__b") - F.col("y")).alias("height"),
-        "type", "confidence", "sources", "members", F.lit(False).alias("redacted"),
+        F.col("__best.type").alias("type"), "confidence", "sources", "members", F.lit(False).alias("redacted"),
+        F.coalesce(F.when(F.col("__best.placeholder") != "", F.col("__best.placeholder")), type_placeholder(F.col("__best.type"))).alias("placeholder"),
     )
 
 

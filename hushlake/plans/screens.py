@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hushlake.functions import dims
 from hushlake.functions import text as X
+from hushlake.functions.dims import PRIORITY
 from hushlake.operators import audits, boxes as B, context as C, dedupe, elements as E, evaluate, spans
 from hushlake.plans import sqlkit as K
 from hushlake.plans.registry import ORACLES, query
@@ -376,6 +377,44 @@ def contained_pairs(spark, root):
     return hits.select("page_id", "a_ord", "b_ord", F.round("a_in_b", 6).alias("a_in_b"), F.round("b_in_a", 6).alias("b_in_a"))
 
 
+# Boxes of all screens of a customer group on one grid: stacks of equal boxes, one group holding a third of them.
+_STACKED = (
+    "(SELECT page_id % 60 * CAST(page_id % 3 > 0 AS BIGINT) AS page_id, page_id * 100 + ord AS ord, floor(x / 60) * 60 AS x, floor(y / 50) * 50 AS y,"
+    f" ceil(width / 70) * 70 AS width, ceil(height / 30) * 30 + CASE WHEN page_id % 1000 = 7 THEN 9000 ELSE 0 END AS height FROM {BOXES} b)"
+)
+_CLASSES = f"(SELECT page_id, x, y, width, height, min(ord) AS id, count(*) AS copies FROM {_STACKED} s GROUP BY ALL)"
+
+
+def _stacked(spark, root):
+    snap = {"x": F.floor(F.col("x") / 60) * 60, "y": F.floor(F.col("y") / 50) * 50, "width": F.ceil(F.col("width") / 70) * 70}
+    tall = F.when(F.col("page_id") % 1000 == 7, 9000).otherwise(0)
+    return _boxes(spark, root).select(
+        (F.col("page_id") % 60 * (F.col("page_id") % 3 > 0).cast("long")).alias("page_id"), (F.col("page_id") * 100 + F.col("ord")).alias("ord"),
+        *[c.cast("double").alias(k) for k, c in snap.items()], (F.ceil(F.col("height") / 30) * 30 + tall).cast("double").alias("height"),
+    )
+
+
+@query(
+    "class_pairs",
+    f"""SELECT page_id, a_class_id, b_class_id, CAST(pairs AS BIGINT) AS pairs, round(shared / (aa + ba - shared), 6) AS iou, round(shared / aa, 6) AS a_in_b, round(shared / ba, 6) AS b_in_a FROM (
+      SELECT a.page_id, a.id AS a_class_id, b.id AS b_class_id, CASE WHEN a.id = b.id THEN a.copies * (a.copies - 1) // 2 ELSE a.copies * b.copies END AS pairs,
+        {K.area('a', 'b')} AS shared, a.width * a.height AS aa, b.width * b.height AS ba
+      FROM {_CLASSES} a JOIN {_CLASSES} b ON a.page_id = b.page_id AND (a.id < b.id OR (a.id = b.id AND a.copies > 1)) AND {K.overlap('a', 'b')})""",
+)
+def class_pairs(spark, root):
+    """Overlaps of stacked boxes, by classes of equal boxes instead of by boxes."""
+    found = B.class_pairs(B.box_classes(_stacked(spark, root), "page_id", "ord"), "page_id")
+    shares = [F.round(c, 6).alias(c) for c in ("iou", "a_in_b", "b_in_a")]
+    return found.select("page_id", "a_class_id", "b_class_id", "pairs", *shares)
+
+
+@query("class_members", f"SELECT page_id, min(ord) OVER (PARTITION BY page_id, x, y, width, height) AS class_id, ord FROM {_STACKED} s")
+def class_members(spark, root):
+    """The class of every box."""
+    boxes = _stacked(spark, root)
+    return B.class_members(boxes, B.box_classes(boxes, "page_id", "ord"), "page_id", "ord")
+
+
 @query(
     "enclosing_box",
     f"SELECT page_id, min(x) AS x, min(y) AS y, max(x + width) - min(x) AS width, max(y + height) - min(y) AS height, count(*) AS boxes FROM {BOXES} b GROUP BY page_id",
@@ -473,7 +512,36 @@ def box_nms(spark, root):
     return B.suppress(_boxes(spark, root), "page_id", "ord").select("page_id", "type", "ord", "x", "y")
 
 
-@query("fuse_regions")
+def _fuse_sql() -> str:
+    """One candidate a step: it joins the open cluster or waits; with nobody left to ask, the first that waits opens the next."""
+    weight = "CASE type " + " ".join(f"WHEN '{t}' THEN {w}" for t, w in PRIORITY.items()) + " ELSE 0 END"
+    start = "{'head': %s.ord, 'x': %s.x, 'y': %s.y, 'r': %s.r, 'b': %s.b, 'type': %s.type, 'weight': %s.weight, 'confidence': %s.confidence, 'sources': [%s.source], 'members': 1}"
+    inter = "(greatest(0, least(c.r, o.r) - greatest(c.x, o.x)) * greatest(0, least(c.b, o.b) - greatest(c.y, o.y)))"
+    own, other = "((c.r - c.x) * (c.b - c.y))", "((o.r - o.x) * (o.b - o.y))"
+    joins = f"{inter} / ({own} + {other} - {inter}) > 0.4 OR {inter} / {own} > 0.7 OR {inter} / {other} > 0.7"
+    grown = (
+        "{'head': c.head, 'x': least(c.x, o.x), 'y': least(c.y, o.y), 'r': greatest(c.r, o.r), 'b': greatest(c.b, o.b),"
+        " 'type': CASE WHEN o.weight > c.weight THEN o.type ELSE c.type END, 'weight': greatest(c.weight, o.weight),"
+        " 'confidence': greatest(c.confidence, o.confidence), 'sources': list_append(c.sources, o.source), 'members': c.members + 1}"
+    )
+
+    def opened(by: str) -> str:
+        return start.replace("%s", by)
+
+    return f"""WITH RECURSIVE pages AS (SELECT page_id, list({{'ord': ord, 'x': x, 'y': y, 'r': x + width, 'b': y + height, 'type': type, 'weight': {weight},
+        'confidence': confidence, 'source': source}} ORDER BY ord) AS rest FROM {BOXES} b GROUP BY page_id),
+      steps AS (SELECT page_id, {opened('rest[1]')} AS c, rest[2:] AS todo, rest[1:0] AS waiting FROM pages
+        UNION ALL
+        SELECT page_id, CASE WHEN o IS NULL THEN {opened('waiting[1]')} WHEN {joins} THEN {grown} ELSE c END,
+          CASE WHEN o IS NULL THEN waiting[2:] ELSE todo[2:] END,
+          CASE WHEN o IS NULL THEN waiting[1:0] WHEN {joins} THEN waiting ELSE list_append(waiting, o) END
+        FROM (SELECT *, todo[1] AS o FROM steps WHERE len(todo) > 0 OR len(waiting) > 0))
+      SELECT page_id, c.head AS region, c.x AS x, c.y AS y, c.r - c.x AS width, c.b - c.y AS height, t AS type, round(c.confidence, 2) AS confidence,
+        array_to_string(list_sort(list_distinct(c.sources)), ',') AS sources, CAST(c.members AS BIGINT) AS members, false AS redacted, {K.type_placeholder('t')} AS placeholder
+      FROM (SELECT *, c.type AS t FROM steps WHERE len(todo) = 0)"""
+
+
+@query("fuse_regions", _fuse_sql())
 def fuse_regions(spark, root):
     """Regions fused from the detections of all sources."""
     return B.fuse(_boxes(spark, root), "page_id").withColumn("sources", F.array_join("sources", ","))

@@ -9,8 +9,6 @@ executors.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,6 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from hushlake.operators import redact, spans, verify
 from hushlake.operators.ordered import running_sliced
+from hushlake.sources.scratch import shared_folder
 from hushlake.streaming import sessions
 
 
@@ -27,18 +26,6 @@ def _expiry(idle_ms: int | None) -> str:
     return GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """Address of a new folder below the one that the cluster shares; only Spark itself reads and writes there.
-
-    Where ``spark.checkpoint.dir`` is unset (tests) it is set to a temporary folder.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="hushlake-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def detect_stream(stream: DataFrame, keys: list[str], text: str = "text", **options) -> DataFrame:
     """Spans of newly arriving rows; stateless, so it appends."""
     return spans.detect(stream, keys, text, **options)

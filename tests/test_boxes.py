@@ -88,6 +88,55 @@ def test_suppression_matches_the_loop(spark):
     assert sorted(got) == sorted(want)
 
 
+def test_suppression_in_rounds_matches_the_fold(spark):
+    rnd = random.Random(3)
+    data = [(0 if i % 3 else 1, i, rnd.choice("AB"), "dom", rnd.randint(1, 5) / 10, rnd.uniform(-50, 300), rnd.uniform(0, 200),
+             rnd.choice([1.0, 8.0, 16.0, 30.5, 64.0, 200.0]), rnd.choice([2.0, 8.0, 31.0, 64.0])) for i in range(900)]
+    df = spark.createDataFrame(data, SCHEMA)
+    for threshold in (0.3, 0.5, 0.8):
+        whole, parts = (sorted(tuple(r) for r in B.suppress(df, "page", "ord", threshold, region).select("page", "type", "ord").collect()) for region in (10**6, 20))
+        assert whole == parts and len(whole) < 900
+
+
+def test_one_crowded_region_is_reduced_in_rounds(spark):
+    # A chain of boxes over the whole page, each in conflict with the next: one region, every second box stays.
+    chain = [(0, i, "A", "dom", 1.0 - i / 10_000, 2.0 * i, 0.0, 10.0, 10.0) for i in range(40)]
+    crowd = [(1, i, "A", "dom", 0.5 + (i * 7919 % 1000) / 3000, float(i % 97), float(i % 89), 40.0, 40.0) for i in range(6000)]
+    got = [r["ord"] for r in B.suppress(spark.createDataFrame(chain, SCHEMA), "page", "ord", 0.5, 5).collect()]
+    assert sorted(got) == list(range(0, 40, 2))
+    df = spark.createDataFrame(crowd, SCHEMA)
+    whole, parts = (sorted(r["ord"] for r in B.suppress(df, "page", "ord", 0.5, region).collect()) for region in (10**6, 500))
+    assert whole == parts
+
+
+def test_stacked_boxes_give_rows_by_class(spark):
+    stack = [(0, i, "A", "dom", 0.9, 5.0, 5.0, 10.0, 10.0) for i in range(2000)]
+    near = [(0, 5000 + i, "A", "dom", 0.9, 8.0, 5.0, 10.0, 10.0) for i in range(3)]
+    df = spark.createDataFrame(stack + near + [(0, 9000, "A", "dom", 0.9, 500.0, 5.0, 0.0, 10.0)], SCHEMA)
+    classes = B.box_classes(df, "page", "ord")
+    got = {(r["a_class_id"], r["b_class_id"]): (r["pairs"], round(r["iou"], 4)) for r in B.class_pairs(classes, "page").collect()}
+    assert got == {(0, 0): (1999000, 1.0), (0, 5000): (6000, 0.5385), (5000, 5000): (3, 1.0)}
+    links = B.class_members(df, classes, "page", "ord")
+    assert links.count() == 2004 and links.filter("class_id = 0").count() == 2000
+
+
+def test_huge_boxes_are_not_cut_into_cells(spark):
+    rnd = random.Random(8)
+    data = [(i % 2, i, "A", "dom", 0.9, rnd.uniform(0, 1e4), rnd.uniform(0, 1e4), 30.0 if i % 10 else 1e9, 30.0 if i % 15 else 1e9) for i in range(300)]
+    want = sorted((a[1], b[1]) for a in data for b in data if a[0] == b[0] and a[1] < b[1] and inter(a[5:], b[5:]) > 0)
+    got = sorted((r["a_ord"], r["b_ord"]) for r in B.overlap_pairs(spark.createDataFrame(data, SCHEMA), "page", "ord").collect())
+    assert got == want
+
+
+def test_regions_carry_the_placeholder_of_their_best_candidate(spark):
+    data = [(0, 0, "PHONE", "dom", 0.9, 0.0, 0.0, 10.0, 10.0, "HOME_NUMBER"), (0, 1, "EMAIL", "ocr", 0.8, 1.0, 0.0, 10.0, 10.0, "WORK_MAIL"),
+            (0, 2, "EMAIL", "ocr", 0.8, 50.0, 0.0, 10.0, 10.0, None), (0, 3, "CARD", "ocr", 0.8, 90.0, 0.0, 10.0, 10.0, "")]
+    df = spark.createDataFrame(data, SCHEMA + ", placeholder string")
+    got = {r["region"]: r["placeholder"] for r in B.fuse(df, "page").collect()}
+    assert got == {0: "WORK_MAIL", 2: "YOUR_EMAIL", 3: "YOUR_CARD_NUMBER"}
+    assert {r["placeholder"] for r in B.fuse(df.drop("placeholder"), "page").collect()} == {"YOUR_EMAIL", "YOUR_CARD_NUMBER"}
+
+
 def test_grid_join_finds_each_pair_once(spark):
     data = rows(200, 2)
     want = sorted(
