@@ -8,6 +8,7 @@ never compared.  Bigrams are hashed for that, and coefficients are computed on w
 
 from __future__ import annotations
 
+import heapq
 import pkgutil
 import re
 from collections.abc import Iterator
@@ -147,6 +148,40 @@ def bigrams(text: str) -> frozenset[tuple[str, ...]]:
     return frozenset(zip(words, words[1:])) if len(words) > 1 else frozenset((w,) for w in words)
 
 
+def _reach(before: list[int], after: list[int], hit: list[bool], most: int, need: int, size: int) -> Iterator[tuple[int, int, int, float]]:
+    """(start, end of the bounds, shared, dice) of starts whose windows can share ``need`` bigrams with a template of ``size``.
+
+    ``shared`` is what all bigrams up to the end share, and ``dice`` that of the shortest window that shares as many: no
+    window of the start ranks higher.  Both ends only move on, so this takes one step for each bigram and end.
+    """
+    n = len(hit)
+    end = distinct = shared = 0  # of [s, end)
+    last = inside = 0  # [s, last) is the shortest prefix with all that is shared; its distinct bigrams
+    for s in range(n):
+        while end < n and (before[end] >= s or distinct < most):
+            if before[end] < s:
+                distinct += 1
+                if hit[end]:
+                    shared += 1
+                    while last <= end:
+                        inside += before[last] < s
+                        last += 1
+            end += 1
+        if hit[s] and shared >= need:
+            yield s, end, shared, 2 * shared / (inside + size)
+        following = after[s]
+        if following >= end:
+            distinct -= 1
+            shared -= hit[s]
+        elif hit[s]:
+            while last <= following:
+                inside += before[last] < s
+                last += 1
+        inside -= s < last and following >= last
+        if last <= s:
+            last, inside = s + 1, 0
+
+
 class Templates:
     """Templates by size, and their bigrams' hashes."""
 
@@ -195,45 +230,48 @@ class Templates:
 
         A template's best window of each start among its bigrams is found among all ends within the size bounds.  Of
         windows that overlap, the one that shares most bigrams stays, then the closest; equals all stay.
+
+        Starts wait in a queue by the most that their windows can share, which one slide over the text tells.  A start is
+        looked at when its turn comes; those inside a window that stays by then never are.
         """
-        t, found = self.threshold, []
+        t = self.threshold
         numbers: dict[tuple, int] = {}
         grams = np.array([numbers.setdefault(g, len(numbers)) for g in zip(words, words[1:])], dtype=np.int64)
-        before = np.full(len(grams), -1)
+        before, after = np.full(len(grams), -1), np.full(len(grams), len(grams))
         order = np.argsort(grams, kind="stable")
         same = grams[order][1:] == grams[order][:-1]
         before[order[1:][same]] = order[:-1][same]
-        for name, b in zip(self.names, self.sets):
+        after[order[:-1][same]] = order[1:][same]
+        queue: list[tuple] = []  # (-shared, -dice, first word, last word or -1 if not looked at, template, end of the bounds)
+        hits: dict[int, np.ndarray] = {}
+        links = before.tolist(), after.tolist()
+        for k, b in enumerate(self.sets):
             need, most = int(np.ceil(t / (2 - t) * len(b) - 1e-9)), int(len(b) * (2 - t) / t + 1e-9)
             if len(b) == 1 and len(word := next(iter(b))) == 1:
-                found += [(1, 1.0, i, i, name) for i, w in enumerate(words) if w == word[0]]
+                queue += [(-1, -1.0, i, i, k, 0) for i, w in enumerate(words) if w == word[0]]
                 continue
             held = [numbers[g] for g in b if g in numbers]
-            if not held or len(held) < need:
+            if held and len(held) >= need:
+                hits[k] = np.isin(grams, held)
+                queue += [(-most_shared, -dice, s, -1, k, end) for s, end, most_shared, dice in _reach(*links, hits[k].tolist(), most, need, len(b))]
+        heapq.heapify(queue)
+        free, out, starts = np.ones(len(words), dtype=bool), {}, set()
+        while queue:
+            less, lower, s, e, k, end = heapq.heappop(queue)
+            if not free[s] and s not in starts:
                 continue
-            hit = np.isin(grams, held)
-            places = np.flatnonzero(hit)
-            for i, s in enumerate(places[: len(places) - need + 1 or None].tolist()):
-                end = min(len(grams), s + most)
-                if places[i + need - 1] >= end and np.count_nonzero(before[s : places[i + need - 1] + 1] < s) > most:
-                    continue
-                while True:  # repeated bigrams do not count, so a window may be longer than its set
-                    new = before[s:end] < s
-                    size = np.cumsum(new)
-                    if end == len(grams) or size[-1] > most:
-                        break
-                    end = min(len(grams), s + 2 * (end - s))
-                shared = np.cumsum(new & hit[s:end])
-                dice = np.where(size <= most, 2 * shared / (size + len(b)), 0.0)
-                e = int(dice.argmax())
-                if dice[e] >= t:
-                    found.append((int(shared[e]), float(dice[e]), s, s + e + 1, name))
-        free, out = np.ones(len(words), dtype=bool), {}
-        for shared, dice, s, e, name in sorted(found, key=lambda x: (-x[0], -x[1], x[2], x[3])):
-            if free[s : e + 1].all() or out.get((s, e), (0, 0))[:2] == (shared, dice):
+            if e < 0:
+                new = before[s:end] < s  # repeated bigrams do not count, so a window may be longer than its set
+                size, shared = np.cumsum(new), np.cumsum(new & hits[k][s:end])
+                dice = 2 * shared / (size + len(self.sets[k]))
+                at = int(dice.argmax())
+                if dice[at] >= t:
+                    heapq.heappush(queue, (-int(shared[at]), -float(dice[at]), s, s + at + 1, k, end))
+            elif free[s : e + 1].all() or out.get((s, e), (0, 0))[:2] == (less, lower):
                 free[s : e + 1] = False
-                out.setdefault((s, e), (shared, dice, []))[2].append(name)
-        return [(s, e, name, dice) for (s, e), (_, dice, names) in sorted(out.items()) for name in names]
+                starts.add(s)
+                out.setdefault((s, e), (less, lower, []))[2].append(self.names[k])
+        return [(s, e, name, -lower) for (s, e), (_, lower, names) in sorted(out.items()) for name in names]
 
     def reachable(self, grams: frozenset) -> bool:
         """Whether a text of these bigrams can hold a segment that reaches the threshold with some template."""

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -139,6 +140,18 @@ def test_license_windows_against_all_windows():
         assert all(covered & set(range(i, j + 1)) for i, j, _ in best)
 
 
+def test_many_copies_of_a_license_in_one_text():
+    known = licenses.Templates(licenses.TEMPLATES, 0.9)
+    text = licenses.TEMPLATES["GPL-3.0 text"]
+    size = len(licenses._words(text))
+    filler = " ".join(f"filler{i} word{i}" for i in range(3000))
+    words = licenses._words(" ".join([text, filler] * 10))
+    started = time.monotonic()
+    found = known.windows(words)
+    assert time.monotonic() - started < 30  # minutes, if every start were looked at
+    assert [(s, e, name) for s, e, name, _ in found] == [(i * (size + 6000), i * (size + 6000) + size - 1, "GPL-3.0 text") for i in range(10)]
+
+
 def test_licenses_odd(odd, none):
     assert [r.matches for r in licenses.scan_licenses(odd).collect()] == [[]] * len(ODD)
     assert licenses.scan_licenses(none).count() == 0
