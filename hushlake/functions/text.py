@@ -15,6 +15,33 @@ def let(value: Column, fn) -> Column:
     return F.get(F.transform(F.array(value), fn), F.lit(0))
 
 
+#: Elements that an ordered fold takes together; a fold copies its result in every step.
+BLOCK = 128
+
+
+def blocks(items: Column, size: Column | int = BLOCK) -> Column:
+    """An array, which must not be empty, cut into arrays of ``size``."""
+    number = F.ceil(F.size(items) / size).cast("int")
+    return F.transform(F.sequence(F.lit(0), number - 1), lambda k: F.slice(items, (k * size + 1).cast("int"), size))
+
+
+def positions(items: Column, size) -> Column:
+    """For each element, the sum of ``size`` over the elements before it; in blocks, as linear as a fold gets."""
+    none = F.expr("cast(array() as array<int>)")
+
+    def run(part: Column, base: Column, length) -> Column:
+        return F.aggregate(
+            part, F.struct(base.alias("at"), none.alias("out")),
+            lambda a, z: F.struct((a["at"] + length(z)).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"],
+        )
+
+    def in_blocks(parts: Column) -> Column:
+        bases = run(parts, F.lit(0), lambda part: F.aggregate(part, F.lit(0), lambda n, z: n + size(z)))
+        return F.flatten(F.zip_with(parts, bases, lambda part, base: run(part, base, size)))
+
+    return F.when(F.size(items) <= BLOCK, run(items, F.lit(0), size)).otherwise(let(blocks(items), in_blocks))
+
+
 def once(value: Column) -> Column:
     """Keep the optimizer from copying an expensive column into filters that it pushes down.
 

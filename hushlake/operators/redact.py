@@ -7,18 +7,39 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hushlake.functions import placeholders as P
-from hushlake.functions.text import match_line, once
+from hushlake.functions.text import BLOCK, blocks, let, match_line, once
 from hushlake.operators.spans import NO_SPANS, with_spans
 
 
 def resolve_overlaps(spans: str) -> Column:
     """Leftmost span first, the longest of those, catalogue order last; later overlaps are dropped."""
-    return F.expr(
-        f"aggregate(array_sort({spans}), named_struct('end', -1, 'kept', {NO_SPANS}),"
-        " (a, s) -> if(s.start >= a.end,"
-        " named_struct('end', s.start - s.neg_len, 'kept', concat(a.kept, array(s))), a),"
-        " a -> a.kept)"
-    )
+    def reach(end: Column, s: Column) -> Column:
+        return F.when(s["start"] >= end, s["start"] - s["neg_len"]).otherwise(end)
+
+    def keep(part: Column, end: Column) -> Column:
+        start = F.struct(end.alias("end"), F.expr(NO_SPANS).alias("kept"))
+        return F.aggregate(
+            part, start,
+            lambda a, s: F.when(
+                s["start"] >= a["end"],
+                F.struct((s["start"] - s["neg_len"]).alias("end"), F.concat(a["kept"], F.array(s)).alias("kept")),
+            ).otherwise(a),
+            lambda a: a["kept"],
+        )
+
+    def in_blocks(parts: Column) -> Column:
+        # Where the spans kept before each block end; then the blocks are independent.
+        ends = F.aggregate(
+            parts, F.struct(F.lit(-1).alias("end"), F.expr("cast(array() as array<int>)").alias("ends")),
+            lambda a, part: F.struct(F.aggregate(part, a["end"], reach).alias("end"), F.concat(a["ends"], F.array(a["end"])).alias("ends")),
+            lambda a: a["ends"],
+        )
+        return F.flatten(F.zip_with(parts, ends, keep))
+
+    def resolve(ordered: Column) -> Column:
+        return F.when(F.size(ordered) <= BLOCK, keep(ordered, F.lit(-1))).otherwise(let(blocks(ordered), in_blocks))
+
+    return let(F.array_sort(spans), resolve)
 
 
 def with_resolved(df: DataFrame, spans: str, out: str) -> DataFrame:
@@ -37,26 +58,60 @@ def with_placeholders(df: DataFrame, text: str, spans: str, out: str, style: str
     ``prompt`` keeps the meaning of the assigned name or uses brackets, ``bracket`` is the
     plain bracket form, ``type`` the ``YOUR_`` form by type only.
     """
-    t = F.col(text)
-
-    def one(s: Column) -> Column:
-        if style == "prompt":
-            return P.prompt_placeholder(s["type"], line_prefix(t, s["start"]))
-        return P.bracket_placeholder(s["type"]) if style == "bracket" else P.type_placeholder(s["type"])
+    t, found = F.col(text), F.col(spans)
+
+    def in_stretch(part: Column) -> Column:
+        """Prefixes are cut from the stretch of text from the line of a block's first span on."""
+        base = F.get(part, 0)["start"]
+        head = line_prefix(t, base)
+        stretch = F.concat(head, F.substring(t, base + 1, F.element_at(part, -1)["start"] - base))
+        return let(
+            F.struct(stretch.alias("t"), (F.length(head) - base).alias("by")),
+            lambda z: F.transform(part, lambda s: P.prompt_placeholder(s["type"], line_prefix(z["t"], s["start"] + z["by"]))),
+        )
 
-    return df.withColumn(out, F.when(F.size(spans) > 0, F.transform(spans, one)).otherwise(F.expr("cast(array() as array<string>)")))
+    if style == "prompt":
+        marks = F.flatten(F.transform(blocks(found, _stretch(found)), in_stretch))
+    else:
+        marks = F.transform(found, lambda s: (P.bracket_placeholder if style == "bracket" else P.type_placeholder)(s["type"]))
+    return df.withColumn(out, F.when(F.size(found) > 0, marks).otherwise(F.expr("cast(array() as array<string>)")))
 
 
 def splice(text: str, spans: str, marks: str) -> Column:
-    """The text with each resolved span cut out and its mark put in, in one pass over the spans."""
-    end = f"element_at({spans}, i).start - element_at({spans}, i).neg_len"
-    pieces = (
-        f"transform({spans}, (s, i) -> concat(substring(`{text}`, if(i = 0, 0, {end}) + 1,"
-        f" s.start - if(i = 0, 0, {end})), element_at({marks}, i + 1)))"
-    )
-    last = f"element_at({spans}, -1)"
-    tail = f"substring(`{text}`, {last}.start - {last}.neg_len + 1)"
-    return F.expr(f"if(size({spans}) = 0, `{text}`, concat(array_join({pieces}, ''), {tail}))")
+    """The text with each resolved span cut out and its mark put in, in one pass over the spans.
+
+    Many spans are taken in blocks, each with its own stretch of the text, as finding a place in a text means reading up to it.
+    """
+    def end(s: Column) -> Column:
+        return s["start"] - s["neg_len"]
+
+    def pieces(part: Column, names: Column, whole: Column, base: Column) -> Column:
+        """What stands before each span, and its mark; ``whole`` begins at ``base``."""
+        def piece(s: Column, i: Column) -> Column:
+            before = F.when(i == 0, base).otherwise(end(F.get(part, i - 1)))
+            return F.concat(F.substring(whole, before - base + 1, s["start"] - before), F.get(names, i))
+
+        return F.array_join(F.transform(part, piece), "")
+
+    def in_blocks(parts: Column) -> Column:
+        size = _stretch(F.col(spans))
+
+        def block(part: Column, k: Column) -> Column:
+            base = F.when(k == 0, F.lit(0)).otherwise(end(F.element_at(F.get(parts, k - 1), -1)))
+            stretch = F.substring(t, base + 1, F.element_at(part, -1)["start"] - base)
+            names = F.slice(marks, (k * size + 1).cast("int"), size)
+            return let(F.struct(stretch.alias("t"), names.alias("n"), base.alias("b")), lambda z: pieces(part, z["n"], z["t"], z["b"]))
+
+        return F.array_join(F.transform(parts, block), "")
+
+    t, found = F.col(text), F.col(spans)
+    tail = F.substring(t, end(F.element_at(found, -1)) + 1, F.length(t))
+    body = F.when(F.size(found) <= BLOCK, pieces(found, F.col(marks), t, F.lit(0))).otherwise(let(blocks(found, _stretch(found)), in_blocks))
+    return F.when(F.size(found) == 0, t).otherwise(F.concat(body, tail))
+
+
+def _stretch(spans: Column) -> Column:
+    return F.greatest(F.lit(BLOCK), F.ceil(F.sqrt(F.size(spans).cast("double"))).cast("int"))
 
 
 def redact_prompts(df: DataFrame, text: str = "text", style: str = "prompt", types=None, keep_spans: bool = True) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from hushlake.functions import catalog as C
 from hushlake.functions import checks
-from hushlake.functions.text import once, trim_spaces
+from hushlake.functions.text import let, once, positions, trim_spaces
 
 # ``neg_len`` sits behind ``start`` so that the natural order of the struct is the
 # leftmost-then-longest order, ``ord`` (catalogue position) breaking the last ties.
@@ -26,10 +26,6 @@ NO_SPANS = f"cast(array() as array<{SPAN}>)"
 PROMPT_ORD = len(C.CATALOG)
 
 
-def _sql(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 # Tests shared by several detectors; each is evaluated at most once per text.
 _SHARED = {
     C.DIGITS: ("__digits", lambda t: t.rlike("[0-9]{4}")),
@@ -52,34 +48,39 @@ def _anchor(text: Column, anchor: tuple[str, ...]) -> Column | None:
     return cond
 
 
-def _fold(hits: str, gaps: str, whole: str, start: str, value: str, type_: str, confidence: float, ord_: int) -> Column:
-    """Fold the gaps between matches and the matches into spans with offsets, one pass over both."""
-    return F.expr(
-        f"aggregate(zip_with({gaps}, {hits}, (g, h) -> named_struct('g', g, 'h', h)),"
-        f" named_struct('pos', 0, 'out', {NO_SPANS}),"
-        f" (a, z) -> named_struct('pos', a.pos + length(z.g) + length(z.{whole}),"
-        f" 'out', concat(a.out, array(named_struct('start', a.pos + length(z.g) + {start},"
-        f" 'neg_len', -length({value}), 'ord', {ord_}, 'type', '{type_}', 'value', {value},"
-        f" 'confidence', {float(confidence)}D)))),"
-        " a -> a.out)"
+def _span(start: Column, value: Column, ord_: int, type_: str, confidence: float) -> Column:
+    return F.struct(
+        start.alias("start"), (-F.length(value)).alias("neg_len"), F.lit(ord_).alias("ord"), F.lit(type_).alias("type"),
+        value.alias("value"), F.lit(float(confidence)).alias("confidence"),
     )
 
 
 def _whole_spans(text: str, hits: str, d: C.Detector, ord_: int) -> Column:
-    gaps = f"slice(split({text}, {_sql(d.java)}, -1), 1, size({hits}))"
-    return _fold(hits, gaps, "h", "0", "z.h", d.type, d.confidence, ord_)
+    """Spans of whole matches: what stands between the matches and the matches themselves add up to the offsets."""
+    gaps = F.slice(F.split(text, d.java, -1), 1, F.size(hits))
+    pairs = F.zip_with(gaps, F.col(hits), lambda g, h: F.struct(g.alias("g"), h.alias("h")))
+
+    def place(found: Column) -> Column:
+        at = positions(found, lambda z: F.length(z["g"]) + F.length(z["h"]))
+        return F.zip_with(found, at, lambda z, p: _span(p + F.length(z["g"]), z["h"], ord_, d.type, d.confidence))
+
+    return let(pairs, place)
 
 
 def _grouped_spans(text: str, hits: str, pattern: str, group: int, type_: str, confidence: float, ord_: int) -> Column:
     """Prompt rules: the value is a group of the match, trailing punctuation is not part of it."""
-    p = _sql(pattern)
-    gaps = f"slice(split({text}, {p}, -1), 1, size({hits}))"
-    inner = hits if group == 0 else f"regexp_extract_all({text}, {p}, {group})"
-    pairs = f"zip_with({hits}, {inner}, (m, v) -> named_struct('m', m, 'v', v))"
-    value = r"regexp_replace(z.h.v, '[.,;:]+\\z', '')"
-    quoted = """if(endswith(z.h.m, '"') or endswith(z.h.m, "'"), 1, 0)"""
-    start = f"if({value} = '', length(z.h.m), length(z.h.m) - length(z.h.v) - {quoted})"
-    return _fold(pairs, gaps, "h.m", start, value, type_, confidence, ord_)
+    gaps = F.slice(F.split(text, pattern, -1), 1, F.size(hits))
+    inner = F.col(hits) if group == 0 else F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(group))
+    pairs = F.zip_with(F.col(hits), inner, lambda m, v: F.struct(m.alias("m"), v.alias("v")))
+    found = F.zip_with(gaps, pairs, lambda g, h: F.struct(g.alias("g"), h["m"].alias("m"), h["v"].alias("v")))
+
+    def place(z: Column, p: Column) -> Column:
+        value = F.regexp_replace(z["v"], r"[.,;:]+\z", "")
+        quoted = (F.endswith(z["m"], F.lit('"')) | F.endswith(z["m"], F.lit("'"))).cast("int")
+        inside = F.when(value == "", F.length(z["m"])).otherwise(F.length(z["m"]) - F.length(z["v"]) - quoted)
+        return _span(p + F.length(z["g"]) + inside, value, ord_, type_, confidence)
+
+    return let(found, lambda f: F.zip_with(f, positions(f, lambda z: F.length(z["g"]) + F.length(z["m"])), place))
 
 
 #: The generic key rule: a long token counts if one of these words follows on its line.
@@ -103,26 +104,21 @@ def _key_spans(text: Column, d: C.Detector, ord_: int) -> Column:
         hits = F.regexp_extract_all(head, F.lit(long_token), F.lit(0))
         pairs = F.zip_with(F.slice(F.split(head, long_token, -1), 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("g"), h.alias("h")))
 
-        def step(a: Column, z: Column) -> Column:
-            start = a["pos"] + F.length(z["g"])
-            span = F.struct(
-                start.alias("start"), (-F.length(z["h"])).alias("neg_len"), F.lit(ord_).alias("ord"), F.lit(d.type).alias("type"),
-                z["h"].alias("value"), F.lit(float(d.confidence)).alias("confidence"),
-            )
-            return F.struct((start + F.length(z["h"])).alias("pos"), F.concat(a["out"], F.array(span)).alias("out"))
+        def place(found: Column) -> Column:
+            at = positions(found, lambda z: F.length(z["g"]) + F.length(z["h"]))
+            return F.zip_with(found, at, lambda z, p: _span(base + p + F.length(z["g"]), z["h"], ord_, d.type, d.confidence))
 
-        return F.aggregate(pairs, F.struct(base.alias("pos"), F.expr(NO_SPANS).alias("out")), step, lambda a: a["out"])
+        return let(pairs, place)
 
-    def next_line(a: Column, line: Column) -> Column:
-        found = F.when(
-            line.rlike(rf"(?i){KEY_WORDS}") & line.rlike(r"[A-Za-z0-9_\-]{20}"),
-            F.concat(a["out"], F.flatten(F.transform(F.array(in_line(line)), lambda head: placed(head, a["base"])))),
-        ).otherwise(a["out"])
-        return F.struct((a["base"] + F.length(line) + 1).alias("base"), found.alias("out"))
+    def with_keys(line: Column) -> Column:
+        return line.rlike(rf"(?i){KEY_WORDS}") & line.rlike(r"[A-Za-z0-9_\-]{20}")
 
-    return F.aggregate(
-        F.split(text, _BREAKS, -1), F.struct(F.lit(0).alias("base"), F.expr(NO_SPANS).alias("out")), next_line, lambda a: a["out"],
-    )
+    def by_line(lines: Column) -> Column:
+        at = positions(lines, lambda line: F.length(line) + 1)
+        kept = F.filter(F.arrays_zip(lines.alias("line"), at.alias("at")), lambda z: with_keys(z["line"]))
+        return F.flatten(F.transform(kept, lambda z: placed(in_line(z["line"]), z["at"])))
+
+    return let(F.split(text, _BREAKS, -1), by_line)
 
 
 def _valid(text: Column, check: str):

@@ -160,3 +160,37 @@ def test_long_line_without_keyword(spark):
     df = spark.createDataFrame([(1, line), (2, line[:60] + " token"), (3, "k" * 3_000_000)], "doc_id long, text string")
     got = spans.detect(df, ["doc_id"], types=["API_KEY"]).collect()
     assert sorted((r["doc_id"], r["start"], r["value"]) for r in got) == [(2, 0, "abcdefghij0123456789xyz"), (2, 24, "abcdefghij0123456789xyz")]
+
+
+def test_many_spans_in_one_text(spark):
+    """Blocks of spans give what one span at a time gives, and in time that grows in proportion."""
+    import time
+
+    from hushlake.operators import redact, spans
+
+    rows, want = [], []
+    for n in (0, 1, 127, 128, 129, 300, 20_000):
+        part = [f"row {i}: MAIL_KEY=user{i}@mail.example.com" + ("\n" if i % 5 else " and ") for i in range(n)]
+        rows.append((n, "ü" + "".join(part) + "end"))
+        at, starts = 1, []
+        for i, p in enumerate(part):
+            starts.append((at + p.index("user"), f"user{i}@mail.example.com"))
+            at += len(p)
+        want.append(starts)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    started = time.monotonic()
+    done = redact.redact_prompts(df, types=["EMAIL"]).orderBy("doc_id").collect()
+    assert time.monotonic() - started < 60
+    for (n, text), starts, r in zip(rows, want, done):
+        assert [(s.start, s.value) for s in r.spans] == starts
+        out, end = [], 0
+        for (start, value), mark in zip(starts, r.placeholders):
+            out += [text[end:start], mark]
+            end = start + len(value)
+        assert r.redacted == "".join(out) + text[end:]
+    marks = {m for r in done for m in r.placeholders}
+    alone = redact.redact_prompts(spark.createDataFrame([(1, "MAIL_KEY=user1@mail.example.com")], "doc_id long, text string"), types=["EMAIL"]).first()
+    assert alone.placeholders[0] in marks and len(marks) <= 2
+    keys = "\n".join(f"the token abcdefghij{i:010d}x is key" for i in range(1000))
+    found = spans.with_spans(spark.createDataFrame([(1, keys)], "doc_id long, text string"), types=["API_KEY"]).first().spans
+    assert [s.start for s in found] == [m.start() for m in __import__("re").finditer(r"abcdefghij\d+x", keys)]
