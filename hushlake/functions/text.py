@@ -26,20 +26,12 @@ def blocks(items: Column, size: Column | int = BLOCK) -> Column:
 
 
 def positions(items: Column, size) -> Column:
-    """For each element, the sum of ``size`` over the elements before it; in blocks, as linear as a fold gets."""
-    none = F.expr("cast(array() as array<int>)")
-
-    def run(part: Column, base: Column, length) -> Column:
-        return F.aggregate(
-            part, F.struct(base.alias("at"), none.alias("out")),
-            lambda a, z: F.struct((a["at"] + length(z)).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"],
-        )
-
-    def in_blocks(parts: Column) -> Column:
-        bases = run(parts, F.lit(0), lambda part: F.aggregate(part, F.lit(0), lambda n, z: n + size(z)))
-        return F.flatten(F.zip_with(parts, bases, lambda part, base: run(part, base, size)))
-
-    return F.when(F.size(items) <= BLOCK, run(items, F.lit(0), size)).otherwise(let(blocks(items), in_blocks))
+    """For each element, the sum of ``size`` over the elements before it."""
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+    return F.aggregate(
+        items, start,
+        lambda a, z: F.struct((a["at"] + size(z)).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"],
+    )
 
 
 def once(value: Column) -> Column:

@@ -26,6 +26,10 @@ NO_SPANS = f"cast(array() as array<{SPAN}>)"
 PROMPT_ORD = len(C.CATALOG)
 
 
+def _sql(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 # Tests shared by several detectors; each is evaluated at most once per text.
 _SHARED = {
     C.DIGITS: ("__digits", lambda t: t.rlike("[0-9]{4}")),
@@ -55,32 +59,35 @@ def _span(start: Column, value: Column, ord_: int, type_: str, confidence: float
     )
 
 
-def _whole_spans(text: str, hits: str, d: C.Detector, ord_: int) -> Column:
-    """Spans of whole matches: what stands between the matches and the matches themselves add up to the offsets."""
-    gaps = F.slice(F.split(text, d.java, -1), 1, F.size(hits))
-    pairs = F.zip_with(gaps, F.col(hits), lambda g, h: F.struct(g.alias("g"), h.alias("h")))
+def _fold(hits: str, gaps: str, whole: str, start: str, value: str, type_: str, confidence: float, ord_: int) -> Column:
+    """The gaps between matches and the matches as spans: their lengths add up to the offsets.
+
+    The sum keeps numbers only, as a fold copies what it keeps in every step.
+    """
+    return F.expr(
+        f"get(transform(array(zip_with({gaps}, {hits}, (g, h) -> named_struct('g', g, 'h', h))), f -> zip_with(f,"
+        " aggregate(f, named_struct('pos', 0, 'out', cast(array() as array<int>)),"
+        f" (a, z) -> named_struct('pos', a.pos + length(z.g) + length(z.{whole}), 'out', concat(a.out, array(a.pos))), a -> a.out),"
+        f" (z, p) -> named_struct('start', p + length(z.g) + {start}, 'neg_len', -length({value}), 'ord', {ord_},"
+        f" 'type', '{type_}', 'value', {value}, 'confidence', {float(confidence)}D))), 0)"
+    )
 
-    def place(found: Column) -> Column:
-        at = positions(found, lambda z: F.length(z["g"]) + F.length(z["h"]))
-        return F.zip_with(found, at, lambda z, p: _span(p + F.length(z["g"]), z["h"], ord_, d.type, d.confidence))
 
-    return let(pairs, place)
+def _whole_spans(text: str, hits: str, d: C.Detector, ord_: int) -> Column:
+    gaps = f"slice(split({text}, {_sql(d.java)}, -1), 1, size({hits}))"
+    return _fold(hits, gaps, "h", "0", "z.h", d.type, d.confidence, ord_)
 
 
 def _grouped_spans(text: str, hits: str, pattern: str, group: int, type_: str, confidence: float, ord_: int) -> Column:
     """Prompt rules: the value is a group of the match, trailing punctuation is not part of it."""
-    gaps = F.slice(F.split(text, pattern, -1), 1, F.size(hits))
-    inner = F.col(hits) if group == 0 else F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(group))
-    pairs = F.zip_with(F.col(hits), inner, lambda m, v: F.struct(m.alias("m"), v.alias("v")))
-    found = F.zip_with(gaps, pairs, lambda g, h: F.struct(g.alias("g"), h["m"].alias("m"), h["v"].alias("v")))
-
-    def place(z: Column, p: Column) -> Column:
-        value = F.regexp_replace(z["v"], r"[.,;:]+\z", "")
-        quoted = (F.endswith(z["m"], F.lit('"')) | F.endswith(z["m"], F.lit("'"))).cast("int")
-        inside = F.when(value == "", F.length(z["m"])).otherwise(F.length(z["m"]) - F.length(z["v"]) - quoted)
-        return _span(p + F.length(z["g"]) + inside, value, ord_, type_, confidence)
-
-    return let(found, lambda f: F.zip_with(f, positions(f, lambda z: F.length(z["g"]) + F.length(z["m"])), place))
+    p = _sql(pattern)
+    gaps = f"slice(split({text}, {p}, -1), 1, size({hits}))"
+    inner = hits if group == 0 else f"regexp_extract_all({text}, {p}, {group})"
+    pairs = f"zip_with({hits}, {inner}, (m, v) -> named_struct('m', m, 'v', v))"
+    value = r"regexp_replace(z.h.v, '[.,;:]+\\z', '')"
+    quoted = """if(endswith(z.h.m, '"') or endswith(z.h.m, "'"), 1, 0)"""
+    start = f"if({value} = '', length(z.h.m), length(z.h.m) - length(z.h.v) - {quoted})"
+    return _fold(pairs, gaps, "h.m", start, value, type_, confidence, ord_)
 
 
 #: The generic key rule: a long token counts if one of these words follows on its line.
