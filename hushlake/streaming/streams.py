@@ -173,6 +173,7 @@ def run_to_table(stream: DataFrame, mode: str = "append", checkpoint: str | None
 
 def read_stream(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A lake table as a stream of its files, be it one file or a folder of them."""
-    path = f"{root.rstrip('/')}/{name}.parquet"
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(root)
+    folder = root.rstrip("/")
+    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+    # As a pattern the address may be that of one file too, which a stream takes only inside a folder.
+    return spark.readStream.schema(schema).parquet(f"{folder}/{{{name}}}.parquet")

@@ -119,3 +119,19 @@ def test_batches_merge_once(spark, tmp_path):
     assert len(set(touched.values())) > 1  # partitions without changes keep their generation
     table.upsert(changed.limit(0), 9, merge)
     assert table._newest(None) == touched
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+@pytest.mark.parametrize("folder", [False, True])
+def test_stream_of_a_table_in_one_file_or_a_folder(spark, tmp_path, folder, parts):
+    at = tmp_path / "lake"
+    rows = [(i, f"mail u{i}@example.com") for i in range(9)]
+    written = str(at / "conversations.parquet") if folder else str(tmp_path / "once")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(parts if folder else 1).write.parquet(written)
+    if not folder:
+        at.mkdir()
+        (one,) = (tmp_path / "once").glob("part-*.parquet")
+        (at / "conversations.parquet").write_bytes(one.read_bytes())
+    spark.createDataFrame([(100, "other")], "doc_id long, text string").write.parquet(str(at / "conversations2.parquet"))
+    live = streams.read_stream(spark, f"file:{at}", "conversations")
+    assert sorted(map(tuple, streams.run_to_table(live).drop("batch").collect())) == rows
