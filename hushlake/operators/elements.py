@@ -5,8 +5,9 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ ELEMENT = (
     "level:int,last:int,skipped:boolean,by_ref:string,by_for:string,form:int,head:int,head_steps:int,provenance:string>"
 )
 
+_FIELDS = [f.split(":")[0] for f in ELEMENT.removeprefix("struct<").replace("map<string,string>", "map").split(",")]
+
 # Containers whose text is page furniture, not content.
 IGNORED_TAGS = {"nav", "header", "footer", "aside", "title", "h1", "button", "a", "label"}
 IGNORED_ROLES = {"navigation", "complementary", "button", "link"}
@@ -61,6 +64,8 @@ COMPOSER_HINTS = ["ask", "message", "prompt"]
 COMPOSER_CONTAINER = "composer-container"
 # --- end of fixed values
 
+#: Characters of pages whose elements a task hands over at once: the bound of its memory besides one page.
+CHUNK = 1 << 20
 USER_INPUT, WEBPAGE_CONTENT = "USER_INPUT", "WEBPAGE_CONTENT"
 _HEADINGS = {"h1", "h2", "h3", "h4", "legend"}
 #: Elements whose whole text is asked for; that of all others stays in the parser.
@@ -102,8 +107,8 @@ class _Tree(HTMLParser):
             "editable": bool(up and up["editable"]) or a.get("contenteditable", "no") in ("", "true"),
             "level": 0 if tag == "body" else up["level"] + 1 if up and up["level"] >= 0 else -1,
             "skipped": bool(up and up["skipped"]) or tag in SKELETON_SKIPPED,
-            "answer": bool(up and up["answer"]) or any(_marked(a, *m) for m in ASSISTANT_MARKS),
-            "past": bool(up and up["past"]) or any(_marked(a, *m) for m in HISTORY_MARKS) or any(tag == t and k in a for t, k in HISTORY_TAGS),
+            "answer": bool(up and up["answer"]) or _any_mark(a, _ASSISTANT),
+            "past": bool(up and up["past"]) or _any_mark(a, _HISTORY) or any(tag == t and k in a for t, k in HISTORY_TAGS),
             "boxed": bool(up and up["boxed"]) or _marked(a, "class", "word", COMPOSER_CONTAINER),
         }
         row["composer"] = bool(up and up["composer"]) or _composer(tag, a, bool(up and up["boxed"]))
@@ -176,10 +181,21 @@ def _marked(a: dict, name: str, test: str, value: str) -> bool:
     return {"any": True, "is": have == value, "same": have.lower() == value, "has": value in have.lower()}[test]
 
 
+def _by_name(marks: list[tuple[str, str, str]]) -> dict[str, list[tuple[str, str, str]]]:
+    return {name: [m for m in marks if m[0] == name] for name, _, _ in marks}
+
+
+_ASSISTANT, _HISTORY, _COMPOSER = _by_name(ASSISTANT_MARKS), _by_name(HISTORY_MARKS), _by_name(COMPOSER_MARKS)
+
+
+def _any_mark(a: dict, marks: dict[str, list[tuple[str, str, str]]]) -> bool:
+    return any(_marked(a, *m) for name in a if name in marks for m in marks[name])
+
+
 def _composer(tag: str, a: dict, boxed: bool) -> bool:
     editable, hint = a.get("contenteditable") == "true", a.get("placeholder", "").lower()
     return (
-        any(_marked(a, *m) for m in COMPOSER_MARKS)
+        _any_mark(a, _COMPOSER)
         or tag == "div" and ("rich-textarea" in a.get("class", "").split() or editable and ("ask" in a.get("data-placeholder", "").lower() or a.get("role") == "textbox"))
         or tag == "textarea" and ("data-id" in a or any(w in hint for w in COMPOSER_HINTS))
         or boxed and (tag == "textarea" or editable)
@@ -258,15 +274,52 @@ def _parse(html: str | None) -> list[dict]:
     return out
 
 
-def _parse_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for html in batches:
-        yield pd.Series([_parse(h) for h in html])
+_TYPES = {
+    **dict.fromkeys(("idx", "parent", "depth", "nth", "children", "level", "last", "form", "head", "head_steps"), pa.int32()),
+    **dict.fromkeys(("ignored", "hidden", "chip", "editable", "skipped"), pa.bool_()),
+}
+
+
+def _lists(pages: list[list[dict]]) -> pa.Array:
+    """The elements of some pages as one array of lists, built column by column."""
+    rows = [r for page in pages for r in page]
+    columns = []
+    for name in _FIELDS:
+        values = [r[name] for r in rows]
+        if name == "attrs":
+            at = pa.array([0, *accumulate(map(len, values))], pa.int32())
+            keys = pa.array([k for a in values for k in a], pa.string())
+            columns.append(pa.MapArray.from_arrays(at, keys, pa.array([v for a in values for v in a.values()], pa.string())))
+        else:
+            columns.append(pa.array(values, _TYPES.get(name, pa.string())))
+    at = pa.array([0, *accumulate(map(len, pages))], pa.int32())
+    return pa.ListArray.from_arrays(at, pa.StructArray.from_arrays(columns, _FIELDS))
+
+
+def _parse_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for htmls in batches:
+        some, size = [], 0
+        for html in htmls:
+            html = html.as_py()
+            some.append(_parse(html))
+            size += len(html or "")
+            if size >= CHUNK:
+                yield _lists(some)
+                some, size = [], 0
+        if some:
+            yield _lists(some)
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """The rows dealt evenly over tasks; a table in one file with one row group would else be read, and worked on, by one."""
+    spark = rows.sparkSession
+    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def with_elements(pages: DataFrame, html: str = "html", out: str = "elements") -> DataFrame:
-    """Array of the elements of each page, in document order.  Row-local: a page never leaves its partition."""
-    parse = F.pandas_udf(_parse_batches, f"array<{ELEMENT}>")
-    return pages.withColumn(out, parse(html))
+    """Array of the elements of each page, in document order.  Pages are dealt over all tasks and parsed one by one."""
+    parse = F.arrow_udf(_parse_batches, f"array<{ELEMENT}>")
+    return dealt(pages).withColumn(out, parse(html))
 
 
 def elements(pages: DataFrame, keys: list[str], html: str = "html") -> DataFrame:

@@ -164,3 +164,20 @@ def test_nearest_heading_and_form(spark):
     assert got == {"form[1]": "f", "section[1]": "Near", "section[2]": "Top", "input[1]": "Top"}
     near = E.region_labels(els, "page_id", ancestors=1).filter("tag = 'p'").collect()
     assert {r["path"].split("/")[3]: r["region"] for r in near} == {"form[1]": "f", "section[1]": "Main Content", "section[2]": "Main Content"}
+
+
+def test_elements_are_handed_over_in_bounded_chunks():
+    import pyarrow as pa
+
+    html = "<p id=a title=b>text</p>" * 4000
+    sizes = [len(part) for part in E._parse_batches(iter([pa.array([html] * 40 + [None]), pa.array([], pa.string())]))]
+    assert sum(sizes) == 41 and max(sizes) * len(html) <= E.CHUNK + len(html)
+
+
+def test_pages_of_one_file_are_parsed_by_many_tasks(spark, tmp_path):
+    rows = [(i, f"<p id=p{i}>page {i}</p>") for i in range(200)]
+    spark.createDataFrame(rows, "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages"))
+    els = E.elements(spark.read.parquet(str(tmp_path / "pages")), ["page_id"])
+    tasks = els.select("page_id", "path", "text", F.spark_partition_id().alias("task")).collect()
+    assert len({r["task"] for r in tasks}) >= 4
+    assert sorted((r["page_id"], r["path"], r["text"]) for r in tasks) == [(i, "/p[1]", f"page {i}") for i in range(200)]
