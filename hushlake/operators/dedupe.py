@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hushlake.operators.containment import contained
+from hushlake.sources.scratch import stored
 
 
 def first_of_each(items: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -27,11 +28,11 @@ def drop_dominated(items: DataFrame, scan: str) -> DataFrame:
     top = items.join(best, [scan, "type", "selector"]).filter(F.col("confidence") >= F.col("__best")).drop("__best")
     values = items.groupBy(scan, "type", "value").agg(F.max("confidence").alias("__hc"))
     lengths = values.groupBy(scan, "type").agg(F.min(F.length("value")).alias("__least"), F.max(F.length("value")).alias("__most"))
-    mixed = values.join(lengths.filter("__least < __most"), [scan, "type"])
+    mixed = stored(values.join(lengths.filter("__least < __most").hint("merge"), [scan, "type"]))  # read six times
     holders = mixed.filter(F.length("value") > F.col("__least")).select(scan, "type", F.col("value").alias("__holder"), "__hc")
     inner = mixed.filter(F.length("value") < F.col("__most")).select(scan, "type", "value")
     pairs = contained(holders, inner, [scan, "type"], "__holder", "value").filter(F.length("__holder") > F.length("value"))
-    held = pairs.join(holders, [scan, "type", "__holder"]).groupBy(scan, "type", "value").agg(F.max("__hc").alias("__hc"))
+    held = pairs.join(holders.hint("merge"), [scan, "type", "__holder"]).groupBy(scan, "type", "value").agg(F.max("__hc").alias("__hc"))
     joined = top.join(held, [scan, "type", "value"], "left")
     return joined.filter(F.col("__hc").isNull() | (F.col("__hc") < F.col("confidence"))).select(*items.columns)
 

@@ -718,9 +718,10 @@ def page_items(nodes: DataFrame, page: str) -> DataFrame:
 def page_scan(pages: DataFrame, page: str, html: str = "html") -> DataFrame:
     """A page's final items: elements, detection, first of each (type, selector, value), better matches win."""
     from hushlake.operators.dedupe import drop_dominated, first_of_each
+    from hushlake.sources.scratch import stored
 
     items = page_items(scannable(elements(pages, [page], html)), page)
-    return drop_dominated(first_of_each(items, [page, "type", "selector", "value"], ["ord"]), page)
+    return drop_dominated(stored(first_of_each(items, [page, "type", "selector", "value"], ["ord"])), page)  # pages are scanned once
 
 
 def rescan_roots(els: DataFrame, changed: DataFrame, page: str) -> DataFrame:

@@ -26,3 +26,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark, "checkpoints"))
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, computed now and written as parquet to the shared folder, for operators that read them several times."""
+    at = shared_folder(df.sparkSession, "stored")
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
