@@ -3,7 +3,8 @@
 A value is known by one of its short pieces (grams): the one that fewest texts of its scope have.  Texts are cut into
 their distinct grams of the same lengths, joined with those pieces, and every candidate is verified.  Frequent pieces
 never become keys while a value has a rarer one, so values that begin alike, or texts that share most of their
-characters, do not meet in one group.  Nothing is broadcast, and the number of values is not bounded.
+characters, do not meet in one group.  Nothing is broadcast (the joins say so, since a side that looks small when
+compressed may not fit the driver), and the number of values is not bounded.
 """
 
 from __future__ import annotations
@@ -41,11 +42,11 @@ def contained(texts: DataFrame, values: DataFrame, scope: list[str], text: str,
 
     parts = needles.select(*scope, "__v", F.explode(grams(F.col("__v"), size)).alias("__g"))
     on = [*scope, "__g"]
-    counts = pieces.join(parts.select(*on).distinct(), on, "left_semi").groupBy(*on).agg(F.count("*").alias("__n"))
+    counts = pieces.groupBy(*on).agg(F.count("*").alias("__n"))  # combined before the shuffle, however frequent a piece is
     # a piece that no text has rules its value out: such a value gets no key at all
-    keys = parts.join(counts, on, "left").groupBy(*scope, "__v").agg(
+    keys = parts.join(counts.hint("merge"), on, "left").groupBy(*scope, "__v").agg(
         F.min_by("__g", F.struct(F.coalesce("__n", F.lit(0)), "__g")).alias("__g"), F.min(F.coalesce("__n", F.lit(0))).alias("__n")
     ).filter("__n > 0").drop("__n")
-    met = pieces.join(keys, on).select(*scope, "__id", "__v").distinct()
-    held = met.join(hays, [*scope, "__id"]).filter(F.col("__t").contains(F.col("__v")))
+    met = pieces.join(keys.hint("merge"), on).select(*scope, "__id", "__v").distinct()
+    held = met.join(hays.hint("merge"), [*scope, "__id"]).filter(F.col("__t").contains(F.col("__v")))
     return held.select(*scope, F.col("__v").alias(value), F.col("__t").alias(text))

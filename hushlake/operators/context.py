@@ -30,7 +30,7 @@ def match_signatures(pages: DataFrame, signatures: DataFrame, small: bool = Fals
     """
     keys = pages.select("host", "path").distinct()
     suffixed = keys.withColumn("domain", F.explode(host_suffixes(F.col("host"))))
-    side = F.broadcast(signatures) if small else signatures
+    side = F.broadcast(signatures) if small else signatures.hint("merge")
     hits = suffixed.join(side, "domain").filter(
         F.col("path_rule").isNull() | F.call_function("rlike", F.col("path"), F.col("path_rule"))
     )
@@ -46,7 +46,7 @@ def match_anywhere(pages: DataFrame, signatures: DataFrame, url: str = "url", co
     wanted = signatures.filter(F.col("context") == context)
     seen = pages.select(url, F.lower(url).alias("__low"), "path").distinct()
     held = contained(seen, wanted.select(F.lower("domain").alias("__domain")), [], "__low", "__domain")
-    hits = seen.join(held, "__low").join(wanted, F.col("__domain") == F.lower("domain")).filter(
+    hits = seen.join(held.hint("merge"), "__low").join(wanted.hint("merge"), F.col("__domain") == F.lower("domain")).filter(
         F.col("path_rule").isNull() | F.call_function("rlike", F.col("path"), F.col("path_rule"))
     )
     return hits.select(url, "path", "context", "app", "domain", "ord")

@@ -69,8 +69,8 @@ def custom_signatures(spark, root):
     extra = spark.sql(_CUSTOM, orders=table(spark, root, "orders"))
     both = C.register_signatures(dims.signature_dim(spark), extra)
     pages = _pages(spark, root)
-    by_host = pages.select("page_id", "host", "path").join(C.match_signatures(pages, both), ["host", "path"])
-    by_text = pages.select("page_id", "url").join(C.match_anywhere(pages, both), "url")
+    by_host = pages.select("page_id", "host", "path").join(C.match_signatures(pages, both).hint("merge"), ["host", "path"])
+    by_text = pages.select("page_id", "url").join(C.match_anywhere(pages, both).hint("merge"), "url")
     hits = by_host.select("page_id", "context", "app", "ord").unionByName(by_text.select("page_id", "context", "app", "ord"))
     return hits.groupBy("page_id", "context").agg(F.min_by("app", "ord").alias("app"))
 

@@ -70,3 +70,40 @@ def test_key_rule_at_line_ends(spark, name):
     assert all(r["verified"] and ((TOKEN in r["redacted"]) == (r["doc_id"] not in want)) for r in done)
     raw = verify.residual_check(df.withColumn("spans", F.expr(spans.NO_SPANS)), "text", "spans").collect()
     assert {r["doc_id"] for r in raw if not r["verified"]} == set(want)
+
+
+def test_many_values_are_never_broadcast(spark):
+    texts = spark.range(3000).selectExpr("concat('https://shop.example.com/code=', id) as t")
+    values = spark.range(3000).selectExpr("concat('example.com/code=', id) as v")
+    held = containment.contained(texts, values, [], "t", "v").select("v", "t")
+    assert len(held.collect()) == 3000 + sum(1 for t in range(3000) for n in (1, 2, 3) if len(str(t)) > n)
+    assert "BroadcastExchange" not in held._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dominance_computes_its_distinct_values_once(spark):
+    rows = [(i % 40, i, "API_KEY", "v" * (i % 7 + 1), f"#{i}", 0.9) for i in range(400)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(v: str) -> str:
+        seen.add(1)
+        return v
+
+    items = spark.createDataFrame(rows, "scan long, ord long, type string, value string, selector string, confidence double")
+    items = items.withColumn("value", F.udf(count, "string").asNondeterministic()("value"))
+    assert dedupe.drop_dominated(items, "scan").count() == sum(len(r[3]) == max(len(q[3]) for q in rows if q[0] == r[0]) for r in rows)
+    assert seen.value <= 5 * len(rows)
+
+
+def test_pages_are_scanned_once(spark):
+    from hushlake.operators import elements as E
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(html: str) -> str:
+        seen.add(1)
+        return html
+
+    pages = spark.createDataFrame([(i, f"<input type=email value=u{i}@example.com><p>mail u{i}@example.com or xu{i}@example.com</p>") for i in range(50)], "page_id long, html string")
+    found = E.page_scan(pages.withColumn("html", F.udf(count, "string")("html")), "page_id").collect()
+    assert {r["value"] for r in found} >= {f"xu{i}@example.com" for i in range(50)}
+    assert seen.value == 50
