@@ -61,7 +61,7 @@ def discard(*frames: DataFrame) -> None:
         _remove(df.sparkSession, df.stored_path)
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Returns memory that finished tasks have freed to the system; a worker is kept from task to task."""
     gc.collect()
     pa.default_memory_pool().release_unused()
@@ -75,9 +75,9 @@ def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterato
     """The same step of ``mapInArrow`` in a worker that holds no more than it needs, before and after."""
 
     def wrapped(batches: Iterator) -> Iterator:
-        _give_back()
+        give_back()
         yield from run(batches)
-        _give_back()
+        give_back()
 
     return wrapped
 

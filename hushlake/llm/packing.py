@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hushlake.llm.common import give_back
+
 WINDOW = 4096
 TIERS = (512, 1024, 2048, 4096)
 #: Ids a task holds before it packs them: the bound of its memory besides one document.
@@ -190,6 +192,7 @@ def pack_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        give_back()  # what earlier steps of this worker have freed, before the vocabulary is loaded
         task = TaskContext.get().partitionId()
         end = int(end_id).to_bytes(4, "little")
         coder, packer = _tokenizer(tokenizer), Packer(window, tiers)
