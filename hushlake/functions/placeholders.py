@@ -79,8 +79,8 @@ def variable_name(context: Column, value: Column) -> Column:
     """Name the value is assigned to in its line (last dotted part); NULL when there is none."""
     pattern = F.concat(F.lit(java(NAME_BEFORE_VALUE, True)), quote_regex(value))
     name = F.call_function("regexp_extract", context, pattern, F.lit(1))
-    last = F.element_at(F.split(name, r"\."), -1)
-    return F.when(context.contains("=") | context.contains(":"), F.when(name != "", last))
+    last = let(name, lambda n: F.when(n != "", F.element_at(F.split(n, r"\."), -1)))  # the pattern is compiled for each value
+    return F.when(context.contains("=") | context.contains(":"), last)
 
 
 def choose_placeholder(type_: Column, variable: Column | None = None, attribute: Column | None = None) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from hushlake.functions import catalog as C
 from hushlake.functions.text import collapse_spaces, trim_spaces
 from hushlake.operators.spans import with_spans
+from hushlake.sources.tables import dealt
 
 ELEMENT = (
     "struct<idx:int,parent:int,depth:int,nth:int,tag:string,path:string,text:string,full_text:string,"
@@ -310,12 +311,6 @@ def _parse_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             yield _lists(some)
 
 
-def dealt(rows: DataFrame) -> DataFrame:
-    """The rows dealt evenly over tasks; a table in one file with one row group would else be read, and worked on, by one."""
-    spark = rows.sparkSession
-    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-
-
 def with_elements(pages: DataFrame, html: str = "html", out: str = "elements") -> DataFrame:
     """Array of the elements of each page, in document order.  Pages are dealt over all tasks and parsed one by one."""
     parse = F.arrow_udf(_parse_batches, f"array<{ELEMENT}>")
@@ -673,7 +668,7 @@ def page_items(nodes: DataFrame, page: str) -> DataFrame:
     """
     from hushlake.functions import placeholders as P
     from hushlake.functions.checks import allowlisted
-    from hushlake.functions.text import match_line, once
+    from hushlake.functions.text import let, match_line, once
 
     is_pw = F.col("is_input") & password_field()
     text, filled = F.col("text"), (F.col("text") != "") & ~allowlisted(F.col("text"))
@@ -701,7 +696,7 @@ def page_items(nodes: DataFrame, page: str) -> DataFrame:
     )
     both = F.when(F.size("__spans") > 0, F.concat("__fields", matches)).otherwise(F.col("__fields"))
     keys = F.transform("__all", lambda i: F.struct(i["type"], i["value"]))
-    first = F.filter("__all", lambda i, at: F.array_position(keys, F.struct(i["type"], i["value"])) == at + 1)
+    first = let(keys, lambda k: F.filter("__all", lambda i, at: F.array_position(k, F.struct(i["type"], i["value"])) == at + 1))
     rows = found.withColumn("__all", once(both)).select(
         page, "idx", "path", "selector", "provenance", F.posexplode(F.filter(first, lambda i: i["confidence"] >= 0.6)).alias("at", "i"),
     )

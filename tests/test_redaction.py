@@ -194,3 +194,47 @@ def test_many_spans_in_one_text(spark):
     keys = "\n".join(f"the token abcdefghij{i:010d}x is key" for i in range(1000))
     found = spans.with_spans(spark.createDataFrame([(1, keys)], "doc_id long, text string"), types=["API_KEY"]).first().spans
     assert [s.start for s in found] == [m.start() for m in __import__("re").finditer(r"abcdefghij\d+x", keys)]
+
+
+def test_bodies_of_many_strings_take_linear_time(spark):
+    import json
+    import time
+
+    from hushlake.operators.audits import repair_bodies
+
+    parts = [f"mail u{i}@corp.example.com" if i % 50 == 0 else f"plain {i}" for i in range(1500)]
+    started = time.time()
+    out = repair_bodies(spark.createDataFrame([(json.dumps(parts),)], "body string")).first()
+    assert json.loads(out["sent_body"]) == ["mail YOUR_EMAIL" if i % 50 == 0 else p for i, p in enumerate(parts)]
+    assert time.time() - started < 60
+
+
+def test_texts_made_of_orders_are_scanned_by_many_tasks(spark, tmp_path):
+    from hushlake.sources.derived import derive
+
+    rows = [(i, "1-URGENT") for i in range(64)]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderpriority string").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    notes = derive(spark, str(tmp_path), "notes")
+    held = [len(part) for part in notes.select("doc_id").rdd.glom().collect()]
+    assert sum(held) == 64 and max(held) < 32
+
+
+def test_offsets_in_a_text_that_holds_the_mark(spark):
+    text = "a\x01 joe@corp.example.com \x01\x01 ann@corp.example.com\x01 api: abcdefghij_abcdefghij\x01 key"
+    for t in (text, text.replace("\x01", "-"), text.replace("\x01", "\n")):
+        found = spans.with_spans(spark.createDataFrame([(t,)], "text string"), prompt_rules=True).first()["spans"]
+        assert {"joe@corp.example.com", "ann@corp.example.com"} <= {s["value"] for s in found}
+        assert all(t[s["start"]:s["start"] - s["neg_len"]] == s["value"] for s in found)
+
+
+def test_allowlist_of_values_with_and_without_spaces(spark):
+    from hushlake.functions import checks
+
+    terms = ["new chat", "login", "sign"]
+    cases = {
+        "login": True, " Login\t": True, "NEW  chat": True, "login sign": True, "log": False, "loginlogin": False, "new": False,
+        " login ": True, "": True, "  ": True, "login secretvalue": False, "your_x": True, None: True,
+    }
+    frame = spark.createDataFrame([(k,) for k in cases], "v string")
+    got = {r["v"]: r["a"] for r in frame.select("v", checks.allowlisted(F.col("v"), terms).alias("a")).collect()}
+    assert got == cases
