@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushlake.functions import dims
-from hushlake.functions.text import once
+from hushlake.functions.text import let, once
 from hushlake.operators import boxes as B
 from hushlake.operators.redact import replace_values
 from hushlake.operators.spans import value_items, with_spans
@@ -159,10 +159,15 @@ def repair_bodies(requests: DataFrame, body: str = "body") -> DataFrame:
     outside = F.exists("__between", lambda g: F.size(value_items(g)) > 0)
     json_hit = F.exists("__items", lambda x: F.size(x) > 0)
     work = work.withColumn("held", F.coalesce(kept | outside, F.lit(False)))
-    quoted = F.transform("__fixed", lambda s: F.to_json(F.array(s)))
-    original = F.regexp_extract_all(body, F.lit(JSON_STRING), F.lit(0))
-    written = F.transform(quoted, lambda q, i: F.when(F.size(F.get("__items", i)) > 0, q.substr(F.lit(2), F.length(q) - 2)).otherwise(F.get(original, i)))
-    sent_json = F.array_join(F.transform("__between", lambda g, i: F.concat(g, F.coalesce(F.get(written, i), F.lit("")))), "")
+
+    def quoted(s: Column) -> Column:
+        return let(F.to_json(F.array(s)), lambda q: q.substr(F.lit(2), F.length(q) - 2))
+
+    # Arrays that are read by place are computed once; in a lambda they would be computed for every element again.
+    written = let(strings, lambda original: F.transform(
+        "__fixed", lambda s, i: F.when(F.size(F.get("__items", i)) > 0, quoted(s)).otherwise(F.get(original, i))
+    ))
+    sent_json = let(written, lambda w: F.array_join(F.transform("__between", lambda g, i: F.concat(g, F.coalesce(F.get(w, i), F.lit("")))), ""))
     text_hit = F.coalesce(F.size("__text_items"), F.lit(0)) > 0
     blocked = F.coalesce(json_hit, F.lit(False)) | text_hit | F.col("held")
     sent = (
