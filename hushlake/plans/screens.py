@@ -334,9 +334,9 @@ def incremental_merge(spark, root):
 def stream_merge(spark, root):
     """The same merge batch by batch: changed roots come as a stream, and each batch rewrites what it touches, once."""
     old = _items_at(spark, root).select("page_id", "ord", "type", "value", "path")
-    fresh = old.filter("ord % 2 = 0").withColumn("value", F.concat("value", F.lit("-new")))
     target = upserts.GenerationTable(spark, streams.shared_folder(spark, "merge"), "page_id long, ord long, type string, value string, path string", "page_id")
     target.load(old)
+    fresh = target.current().filter("ord % 2 = 0").withColumn("value", F.concat("value", F.lit("-new")))  # every batch reads it
     orders = streams.read_stream(spark, root, "orders")
     roots = orders.select(F.col("o_orderkey").alias("page_id"), F.expr("'/html/body/div[' || CAST(o_orderkey % 4 + 1 AS STRING) || ']'").alias("root"))
 

@@ -135,3 +135,19 @@ def test_stream_of_a_table_in_one_file_or_a_folder(spark, tmp_path, folder, part
     spark.createDataFrame([(100, "other")], "doc_id long, text string").write.parquet(str(at / "conversations2.parquet"))
     live = streams.read_stream(spark, f"file:{at}", "conversations")
     assert sorted(map(tuple, streams.run_to_table(live).drop("batch").collect())) == rows
+
+
+def test_stream_merge_makes_its_rows_once(spark, tmp_path, monkeypatch):
+    from hushlake.plans import screens
+
+    spark.range(1, 21).select(F.col("id").alias("o_orderkey")).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    made = spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda v: (made.add(1), v)[1], "string").asNondeterministic()
+    old = spark.range(1, 21).select(
+        F.col("id").alias("page_id"), F.lit(2).cast("long").alias("ord"), F.lit("EMAIL").alias("type"),
+        counted(F.concat(F.lit("v"), "id")).alias("value"), F.lit("/html/body/div[3]/p[2]").alias("path"),
+    )
+    monkeypatch.setattr(screens, "_items_at", lambda spark, root: old)
+    got = {(r["page_id"], r["value"]) for r in screens.stream_merge(spark, str(tmp_path)).collect()}
+    assert got == {(i, f"v{i}-new") for i in range(1, 21)} | {(i, f"v{i}") for i in range(1, 21) if i % 4 != 2}
+    assert made.value == 20
