@@ -27,7 +27,7 @@ from .common import stored
 from .words import NON_SPACE, hashed_words, mix
 
 #: Words of a block at most, besides one document; keys of a range.
-BLOCK, RANGE = 2_000_000, 1_000_000
+BLOCK, RANGE = 3_000_000, 1_000_000
 #: Counts up to this one are discounted.
 CUT = 5
 #: Hashes of the marks before the first word of a text and after its last.
