@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
+from itertools import accumulate, islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +23,8 @@ BOX = ["x", "y", "width", "height"]
 LARGE = 64
 #: Distinct boxes of one independent region that a task may fold; larger regions are reduced in rounds first.
 REGION = 4096
+#: Boxes of one page that are reduced at once; only larger pages are cut into independent regions first.
+WHOLE = 64
 
 
 def intersection_area(a: str, b: str) -> Column:
@@ -208,25 +213,55 @@ def islands(df: DataFrame, keys: list[str], low: Column, high: Column, out: str)
     return work.join(flagged.select(*keys, "__lo", number.alias(out)), [*keys, "__lo"]).drop("__lo")
 
 
+def _regular() -> Column:
+    """Whether a box is far from the limits of numbers, where a box may meet others without sharing a pixel with them."""
+    plain = [F.abs(F.col(c)) < 2.0**52 for c in BOX] + [F.col(c) > 2.0**-52 for c in ("width", "height")]
+    return reduce(lambda a, b: a & b, plain)
+
+
+def _placed(keys: list[str]) -> Column:
+    """Whether a box has no area, or its keys and its place are known."""
+    solid = (F.col("width") > 0) & (F.col("height") > 0)
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*keys, "x", "y")])
+    return ~solid | (solid & known)
+
+
+def _crowded(boxes: DataFrame, keys: list[str], whole: int) -> DataFrame:
+    """(keys, __n): pages that are not reduced at once, with their number of boxes."""
+    odd = (F.col("width") > 0) & (F.col("height") > 0) & ~_regular()
+    sizes = boxes.groupBy(*keys).agg(F.count("*").alias("__n"), F.count_if(odd).alias("__odd"))
+    return sizes.filter((F.col("__n") > whole) | (F.col("__odd") > 0)).select(*keys, "__n")
+
+
 def _independent(boxes: DataFrame, keys: list[str]) -> DataFrame:
     across = islands(boxes, keys, F.col("x"), F.col("x") + F.col("width"), "__ix")
     return islands(across, [*keys, "__ix"], F.col("y"), F.col("y") + F.col("height"), "__iy")
 
 
-def _fold(regions: DataFrame, keys: list[str], order: str, threshold: float) -> DataFrame:
-    """Greedy suppression inside each independent region, in one array."""
-    entry = f"named_struct('r', -confidence, 'o', {order}, 'x', x, 'y', y, 'w', width, 'h', height)"
+def _kept(boxes: str, threshold: float) -> str:
+    """Greedy suppression of an array of solid boxes, the strongest first; exact copies always fall."""
     meet = (
         "greatest(0D, least(k.x + k.w, b.x + b.w) - greatest(k.x, b.x))"
         " * greatest(0D, least(k.y + k.h, b.y + b.h) - greatest(k.y, b.y))"
     )
-    grouped = regions.groupBy(*keys, "__ix", "__iy").agg(F.expr(f"array_sort(collect_list({entry}))").alias("b"))
-    kept = F.expr(
-        "aggregate(b, slice(b, 1, 0), (kept, b) -> if(exists(kept, k -> "
-        f"({meet}) / (k.w * k.h + b.w * b.h - ({meet})) > {threshold}), kept, concat(kept, array(b))))"
+    copy = "(k.x = b.x and k.y = b.y and k.w = b.w and k.h = b.h)"
+    return (
+        f"aggregate({boxes}, slice({boxes}, 1, 0), (kept, b) -> if(exists(kept, k -> "
+        f"({meet}) / (k.w * k.h + b.w * b.h - ({meet})) > {threshold} or {copy}), kept, concat(kept, array(b))))"
     )
+
+
+def _fold(regions: DataFrame, keys: list[str], order: str, threshold: float, region: tuple[str, ...] = ("__ix", "__iy")) -> DataFrame:
+    """Greedy suppression inside each independent region, in one array; boxes without an area stay."""
+    def number(c: str) -> str:
+        return f"{c} + 0D" if regions.schema[c].dataType.simpleString() == "double" else c  # there is one zero
+
+    x, y, w, h = map(number, BOX)
+    entry = f"named_struct('r', -confidence, 'o', {order}, 'x', {x}, 'y', {y}, 'w', {w}, 'h', {h})"
+    grouped = regions.groupBy(*keys, *region).agg(F.expr(f"array_sort(collect_list({entry}))").alias("b"))
+    parts = grouped.select(*keys, F.expr("filter(b, k -> k.w > 0 and k.h > 0)").alias("s"), F.expr("filter(b, k -> not (k.w > 0 and k.h > 0))").alias("f"))
+    rows = parts.select(*keys, F.explode(F.concat(F.expr(_kept("s", threshold)), "f")).alias("k"))
     k = F.col("k")
-    rows = grouped.select(*keys, F.explode_outer(kept).alias("k")).filter(k.isNotNull())
     return rows.select(
         *keys, k["x"].alias("x"), k["y"].alias("y"), k["w"].alias("width"), k["h"].alias("height"),
         (-k["r"]).alias("confidence"), k["o"].alias(order),
@@ -324,26 +359,32 @@ def _in_rounds(live: DataFrame, keys: list[str], order: str, threshold: float, r
 def suppress(boxes: DataFrame, page: str, order: str, threshold: float = 0.5, region: int = REGION) -> DataFrame:
     """Non-maximum suppression per page and type: most confident first, ``order`` breaks ties.
 
-    Exact copies fall to their best copy by an aggregation first; the greedy rest runs inside
-    independent regions only.  Regions of more than ``region`` distinct boxes are reduced in rounds, spread over tasks;
-    whether a page can have any is counted before the plan is made.  ``threshold`` lies between 0 and 1.
+    Pages of at most ``WHOLE`` boxes are reduced at once, one array for each type.  In others, exact copies fall to their
+    best copy by an aggregation first, and the greedy rest runs inside independent regions only.  Regions
+    of more than ``region`` distinct boxes are reduced in rounds, spread over tasks; whether there are such pages is counted
+    before the plan is made.  ``threshold`` lies between 0 and 1.
     """
     if not 0 < threshold < 1:
         raise ValueError("the threshold of a suppression lies between 0 and 1")
     keys = [page, "type"]
     pick = F.min_by(F.struct("confidence", order), F.struct(-F.col("confidence"), F.col(order)))
     solid = (F.col("width") > 0) & (F.col("height") > 0)
-    copies = boxes.filter(solid).groupBy(*keys, *BOX).agg(pick.alias("s"))
+    placed = boxes.filter(_placed(keys)).select(*keys, *BOX, "confidence", order)
+    crowded = _crowded(placed, [page], min(WHOLE, region))
+    if crowded.isEmpty():
+        return _fold(placed, keys, order, threshold, ())
+    crowded = checkpointed(crowded.select(page))
+    best = _fold(placed.filter(F.col(page).isNotNull()).join(crowded, page, "left_anti"), keys, order, threshold, ())
+    many = placed.join(crowded, page, "left_semi").unionByName(placed.filter(F.col(page).isNull()))
+    copies = many.filter(solid).groupBy(*keys, *BOX).agg(pick.alias("s"))
     copies = copies.select(*keys, *BOX, F.col("s.confidence").alias("confidence"), F.col(f"s.{order}").alias(order))
-    flat = boxes.filter(~solid).select(*keys, *BOX, "confidence", order)
-    full = boxes.filter(solid).groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > region).select(*keys)
+    best = best.unionByName(many.filter(~solid))
+    full = many.filter(solid).groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > region).select(*keys)
     if full.isEmpty():
-        best = _fold(_independent(copies, keys), keys, order, threshold)
-    else:
-        full = checkpointed(full)
-        rest = _fold(_independent(copies.join(full, keys, "left_anti"), keys), keys, order, threshold)
-        best = rest.unionByName(_in_rounds(copies.join(full, keys, "left_semi"), keys, order, threshold, region))
-    return best.unionByName(flat)
+        return best.unionByName(_fold(_independent(copies, keys), keys, order, threshold))
+    full = checkpointed(full)
+    rest = _fold(_independent(copies.join(full, keys, "left_anti"), keys), keys, order, threshold)
+    return best.unionByName(rest).unionByName(_in_rounds(copies.join(full, keys, "left_semi"), keys, order, threshold, region))
 
 
 def _cluster_heads(x, y, r, b, ords) -> list[int]:
@@ -381,20 +422,65 @@ def _heads_batch(x: pd.Series, y: pd.Series, w: pd.Series, h: pd.Series, ords: p
     )
 
 
-def fuse(candidates: DataFrame, page: str) -> DataFrame:
-    """Greedy fusion of overlapping detections of all sources, in candidate order.
-
-    A candidate joins the cluster being built when IoU > 0.4 or either box holds more than
-    70 % of the other; the cluster box grows while the page is scanned once.  Only the
-    cluster membership is sequential, and only among distinct boxes of one independent
-    region.  Exact copies always follow their first copy, and everything else (enclosing
-    box, best type, confidence, sources) is an ordinary aggregation afterwards.
+def _page_heads(boxes: Iterator[tuple[float, float, float, float, int]]) -> list[int]:
+    """The same for all boxes of a small page, in one pass: a box goes to the first cluster that takes it, or opens one.
 
-    Expects ``page``, ``ord`` (unique per page), ``type``, ``source``, ``confidence`` and the
-    box columns; ``placeholder``, where there is one, goes to the region with the type of its candidate.
+    Flat boxes head themselves, and exact copies follow their first copy.
     """
-    given = F.col("placeholder") if "placeholder" in candidates.columns else F.lit(None).cast("string")
-    candidates = candidates.withColumn("placeholder", given)
+    out, known, clusters = [], {}, []
+    for x, y, w, h, o in boxes:
+        if not (w and h and w > 0 and h > 0):
+            out.append(o)
+            continue
+        head = known.get((x, y, w, h))
+        if head is None:
+            r, b = x + w, y + h
+            area = (r - x) * (b - y)
+            for c in clusters:
+                cx, cy, cr, cb, own, name = c
+                wide = (cr if cr < r else r) - (cx if cx > x else x)
+                if wide <= 0:
+                    continue
+                high = (cb if cb < b else b) - (cy if cy > y else y)
+                if high <= 0:
+                    continue
+                inter = wide * high
+                if inter / (own + area - inter) > 0.4 or inter / area > 0.7 or inter / own > 0.7:
+                    cx, cy, cr, cb = min(cx, x), min(cy, y), max(cr, r), max(cb, b)
+                    c[:5] = cx, cy, cr, cb, (cr - cx) * (cb - cy)
+                    head = name
+                    break
+            else:
+                head = o
+                clusters.append([x, y, r, b, area, o])
+            known[x, y, w, h] = head
+        out.append(head)
+    return out
+
+
+def _pages_batch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Heads of the boxes of each page (a list of structs); the boxes of a batch are read column by column."""
+    for pages in batches:
+        at = pages.value_lengths().fill_null(0).to_pylist()
+        boxes = pages.flatten()
+        rows = zip(*(boxes.field(c).to_pylist() for c in (*BOX, "ord")))
+        heads = [_page_heads(islice(rows, n)) for n in at]
+        yield pa.ListArray.from_arrays(pa.array([0, *accumulate(at)], pa.int32()), pa.array([h for page in heads for h in page], pa.int64()))
+
+
+def _page_clusters(candidates: DataFrame, page: str) -> DataFrame:
+    """The candidates of small pages with ``head``.  A page stays in its task from here to the regions."""
+    entry = F.struct("ord", *BOX, "type", "source", "confidence", "placeholder")
+    grouped = candidates.groupBy(page).agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    heads = F.arrow_udf(_pages_batch, "array<bigint>")
+    boxes = F.transform("e", lambda e: F.struct(*[e[c].alias(c) for c in BOX], e["ord"].cast("bigint").alias("ord")))
+    named = grouped.withColumn("h", heads(boxes))
+    rows = named.select(page, F.explode_outer(F.arrays_zip("e", "h")).alias("z")).select(page, "z.e.*", F.col("z.h").alias("head"))
+    return rows.select(*candidates.columns, "head")
+
+
+def _region_clusters(candidates: DataFrame, page: str) -> DataFrame:
+    """The candidates of large pages with ``head``; only distinct boxes of one independent region meet in a task."""
     solid = (F.col("width") > 0) & (F.col("height") > 0)
     members = candidates.filter(solid)
     firsts = members.groupBy(page, *BOX).agg(F.min("ord").alias("ord"))
@@ -409,7 +495,33 @@ def fuse(candidates: DataFrame, page: str) -> DataFrame:
         page, *[F.col(f"z.e.{c}").alias(c) for c in BOX], F.col("z.h").alias("head")
     )
     flat = candidates.filter(~solid).withColumn("head", F.col("ord").cast("bigint"))
-    clustered = members.join(numbered, [page, *BOX]).unionByName(flat)
+    return members.join(numbered, [page, *BOX]).select(*candidates.columns, "head").unionByName(flat)
+
+
+def fuse(candidates: DataFrame, page: str) -> DataFrame:
+    """Greedy fusion of overlapping detections of all sources, in candidate order.
+
+    A candidate joins the cluster being built when IoU > 0.4 or either box holds more than
+    70 % of the other; the cluster box grows while the page is scanned once.  Only the
+    cluster membership is sequential, and only among distinct boxes of one independent
+    region, or of a page of at most ``WHOLE`` candidates; whether there are larger pages is counted before the plan is made.
+    Exact copies always follow their first copy, and everything else (enclosing
+    box, best type, confidence, sources) is an ordinary aggregation afterwards.
+
+    Expects ``page``, ``ord`` (unique per page), ``type``, ``source``, ``confidence`` and the
+    box columns; ``placeholder``, where there is one, goes to the region with the type of its candidate.
+    """
+    given = F.col("placeholder") if "placeholder" in candidates.columns else F.lit(None).cast("string")
+    candidates = candidates.select(page, "ord", *BOX, "type", "source", "confidence", given.alias("placeholder"))
+    placed = candidates.filter(_placed([page]))
+    crowded = _crowded(placed, [page], WHOLE)
+    if crowded.isEmpty():
+        clustered = _page_clusters(placed, page)
+    else:
+        crowded = checkpointed(crowded.select(page))
+        few = placed.filter(F.col(page).isNotNull()).join(crowded, page, "left_anti")
+        many = placed.join(crowded, page, "left_semi").unionByName(placed.filter(F.col(page).isNull()))
+        clustered = _page_clusters(few, page).unionByName(_region_clusters(many, page))
     priority = F.create_map(*[F.lit(v) for kv in PRIORITY.items() for v in kv])
     rank = F.struct(-F.coalesce(F.try_element_at(priority, F.col("type")), F.lit(0)), F.col("ord"))
     top = clustered.groupBy(page, "head").agg(

@@ -191,3 +191,45 @@ def test_dominance_matches_the_loop(spark):
     )
     df = spark.createDataFrame(data, "scan long, ord long, type string, value string, selector string, confidence double")
     assert sorted(r["ord"] for r in dedupe.drop_dominated(df, "scan").collect()) == want
+
+
+def exchanges(df):
+    """Shuffles in the plan of a frame."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_small_pages_move_once(spark):
+    df = spark.createDataFrame(rows(60), SCHEMA)
+    assert exchanges(B.suppress(df, "page", "ord")) <= 1
+    assert exchanges(B.fuse(df, "page")) <= 2
+
+
+def test_derived_boxes_move_once(spark, tmp_path):
+    from hushlake.sources.derived import derive
+
+    lines = [(k // 3, k, k % 7, k % 4 + 1, float(k % 50), float(k), "ANR"[k % 3], "O") for k in range(90)]
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string"
+    spark.createDataFrame(lines, names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    boxes = derive(spark, str(tmp_path), "boxes")
+    assert exchanges(B.suppress(boxes, "page_id", "ord")) == 1
+    assert exchanges(B.fuse(boxes, "page_id")) == 2
+    assert exchanges(boxes.groupBy("page_id", "type").count()) == 1
+
+
+def odd_rows():
+    """Copies, missing keys and places, boxes without an area, and numbers at their limits."""
+    out = rows(300, 11)
+    for i, box in enumerate([(None, 1.0, 5.0, 5.0), (1.0, None, 5.0, 5.0), (1.0, 1.0, None, 5.0), (1.0, 1.0, None, 0.0), (None, 1.0, 0.0, 5.0),
+                             (0.0, 1.0, 5.0, 5.0), (-0.0, 1.0, 5.0, 5.0), (float("nan"), 1.0, 5.0, 5.0), (2.0**53, 1.0, 5.0, 5.0)]):
+        out += [(page, 1000 + 10 * i + n, kind, "dom", 0.9, *box) for n, (page, kind) in enumerate([(50 + i, "EMAIL"), (50 + i, None), (None, "EMAIL"), (50, "EMAIL")])]
+    return out
+
+
+def test_small_pages_give_what_regions_give(spark, monkeypatch):
+    df = spark.createDataFrame(odd_rows(), SCHEMA)
+    got = []
+    for whole in (64, 0, 10):
+        monkeypatch.setattr(B, "WHOLE", whole)
+        got.append([sorted(map(str, frame.collect())) for frame in (B.suppress(df, "page", "ord"), B.fuse(df, "page"))])
+    assert got[0] == got[1] == got[2]
+    assert len(got[0][0]) > 100
