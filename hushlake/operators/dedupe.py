@@ -9,6 +9,10 @@ from hushlake.operators.containment import contained
 from hushlake.sources.scratch import stored
 
 
+#: Changed roots of one page that a row may carry; pages with more are joined root by root.
+ROOTS = 64
+
+
 def first_of_each(items: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """First row of each key.  An aggregation (combined before the shuffle), not a window, so a hot key stays cheap."""
     rest = [c for c in items.columns if c not in keys]
@@ -47,21 +51,40 @@ def merge_incremental(previous: DataFrame, rescanned: DataFrame, changed: DataFr
     """Keep what lies outside the changed roots, add the rescanned items, one row per (type, value).
 
     ``changed`` has (page, root); an item lies under a root when its path is the root or
-    starts with the root and a separator.  Paths are expanded to their ancestors, so this is
-    an equi-join as well.
+    starts with the root and a separator.  The roots of a page come to its items as an array, so items move by page only and
+    are not copied; pages of more than ``ROOTS`` roots (counted before the plan is made) expand paths to their ancestors
+    and join root by root.
     """
+    crowded = changed.groupBy(page).agg(F.count("root").alias("__n")).filter(F.col("__n") > ROOTS).select(page)
+    if crowded.isEmpty():
+        kept = _outside_few(previous, changed, page)
+    else:
+        crowded = stored(crowded)
+        few, many = (_outside_few(previous, changed.join(crowded, page, "left_anti"), page), changed.join(crowded, page, "left_semi"))
+        kept = few.join(_under_many(previous, many, page), [page, "path"], "left_anti").select(*previous.columns)
+    merged = kept.withColumn("__gen", F.lit(0)).unionByName(rescanned.withColumn("__gen", F.lit(1)))
+    return first_of_each(merged, [page, "type", "value"], ["__gen", "ord"]).drop("__gen")
+
+
+def _outside_few(items: DataFrame, changed: DataFrame, page: str) -> DataFrame:
+    """The items under none of the changed roots of their page."""
+    roots = changed.groupBy(page).agg(F.collect_set("root").alias("__roots"))
+    under = F.exists("__roots", lambda root: (F.col("path") == root) | F.startswith(F.col("path"), F.concat(root, F.lit("/"))))
+    return items.join(roots, page, "left").filter(~F.coalesce(under, F.lit(False))).select(*items.columns)
+
+
+def _under_many(items: DataFrame, changed: DataFrame, page: str) -> DataFrame:
+    """(page, path) under changed roots, found through the ancestors of the paths."""
     parts = F.split("path", "/")
     ancestors = F.transform(
         F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")
     )
-    touched = (
-        previous.select(page, "path").distinct().select(page, "path", F.explode(ancestors).alias("root"))
-        .join(changed.select(page, "root").distinct(), [page, "root"], "left_semi")
+    roots = changed.select(page, "root").distinct()
+    paths = items.select(page, "path").join(roots.select(page).distinct(), page, "left_semi").distinct()
+    return (
+        paths.select(page, "path", F.explode(ancestors).alias("root")).join(roots, [page, "root"], "left_semi")
         .select(page, "path").distinct()
     )
-    kept = previous.join(touched, [page, "path"], "left_anti")
-    merged = kept.withColumn("__gen", F.lit(0)).unionByName(rescanned.withColumn("__gen", F.lit(1)))
-    return first_of_each(merged, [page, "type", "value"], ["__gen", "ord"]).drop("__gen")
 
 
 def latest_per_key(rows: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:

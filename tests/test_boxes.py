@@ -233,3 +233,34 @@ def test_small_pages_give_what_regions_give(spark, monkeypatch):
         got.append([sorted(map(str, frame.collect())) for frame in (B.suppress(df, "page", "ord"), B.fuse(df, "page"))])
     assert got[0] == got[1] == got[2]
     assert len(got[0][0]) > 100
+
+
+def paths(spark):
+    """Detections of a few pages, among them missing pages and paths."""
+    kinds = ["/a/b", "/a/b/c", "/a/bc", "/a", "", None, "a//b", "a/"]
+    old = [(p, i, "EMAIL", f"v{i % 5}", path) for p in (1, 2, 3, None) for i, path in enumerate(kinds)]
+    changed = [(1, "/a/b"), (1, "/a/b"), (1, None), (2, ""), (2, "a/"), (3, "/x"), (None, "/a"), (9, "/a")]
+    names = "page long, ord long, type string, value string, path string"
+    return spark.createDataFrame(old, names), spark.createDataFrame(old[:3], names), spark.createDataFrame(changed, "page long, root string")
+
+
+def test_merge_keeps_what_lies_outside(spark, monkeypatch):
+    old, fresh, changed = paths(spark)
+    want = {}
+    roots = [tuple(r) for r in changed.collect()]
+    for gen, rows_ in ((0, old.collect()), (1, fresh.collect())):
+        for r in rows_:
+            under = any(p == r["page"] and root is not None and (r["path"] == root or r["path"].startswith(root + "/"))
+                        for p, root in roots if p is not None and r["path"] is not None)
+            if gen or not under:
+                key = (r["page"], r["type"], r["value"])
+                want[key] = min(want.get(key, (9, 0)), (gen, r["ord"]))
+    for most in (64, 1, 0):
+        monkeypatch.setattr(dedupe, "ROOTS", most)
+        got = {(r["page"], r["type"], r["value"]): r["ord"] for r in dedupe.merge_incremental(old, fresh, changed, "page").collect()}
+        assert got == {k: v[1] for k, v in want.items()}
+
+
+def test_merge_moves_items_by_page_only(spark):
+    plan = dedupe.merge_incremental(*paths(spark), "page")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "path" not in "".join(line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
