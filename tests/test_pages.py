@@ -181,3 +181,16 @@ def test_pages_of_one_file_are_parsed_by_many_tasks(spark, tmp_path):
     tasks = els.select("page_id", "path", "text", F.spark_partition_id().alias("task")).collect()
     assert len({r["task"] for r in tasks}) >= 4
     assert sorted((r["page_id"], r["path"], r["text"]) for r in tasks) == [(i, "/p[1]", f"page {i}") for i in range(200)]
+
+
+def test_bare_tags_skip_the_tests_on_attributes(monkeypatch):
+    """Tags without attributes take over what their ancestors are; only tags with attributes are looked into."""
+    seen = []
+    for name in ("_ignored", "_hidden", "_chip"):
+        monkeypatch.setattr(E, name, lambda *given, plain=getattr(E, name): seen.append(given) or plain(*given))
+    page = '<body><nav><p>menu</p></nav><div style="display: none"><p>away</p></div><div class="composer-container"><textarea>mine</textarea></div><p>text</p></body>'
+    rows = {r["path"]: r for r in E._parse(page)}
+    assert [(r["ignored"], r["hidden"], r["provenance"]) for r in rows.values() if r["tag"] in ("p", "textarea")] == [
+        (True, False, "WEBPAGE_CONTENT"), (False, True, "WEBPAGE_CONTENT"), (False, False, "USER_INPUT"), (False, False, "WEBPAGE_CONTENT"),
+    ]
+    assert all(given[-1] for given in seen) and len(seen) <= 6
