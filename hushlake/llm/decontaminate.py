@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, trimmed
 from .words import ALNUM, gram_hashes, hashed_words
 
 #: Words of a window, of a fingerprint, and fingerprint positions of a window.
@@ -101,7 +101,7 @@ def _fingerprints(rows: DataFrame, lengths: list[int], wanted: np.ndarray | None
                     [keys.slice(first, n), pa.array(np.diff(offsets), pa.int64()), pa.array(found, kind)], ["id", "n_words", "hits"]
                 )
 
-    return rows.mapInArrow(run, f"id {id_type}, n_words long, hits {HIT}")
+    return rows.mapInArrow(trimmed(run), f"id {id_type}, n_words long, hits {HIT}")
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:

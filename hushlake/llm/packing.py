@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushlake.llm.common import give_back
+from hushlake.llm.common import trimmed
 
 WINDOW = 4096
 TIERS = (512, 1024, 2048, 4096)
@@ -192,7 +192,6 @@ def pack_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        give_back()  # what earlier steps of this worker have freed, before the vocabulary is loaded
         task = TaskContext.get().partitionId()
         end = int(end_id).to_bytes(4, "little")
         coder, packer = _tokenizer(tokenizer), Packer(window, tiers)
@@ -247,4 +246,4 @@ def pack_documents(
         if out[0]:
             yield flush()
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(trimmed(run), schema)

@@ -12,13 +12,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample
+from .common import labelled_sample, trimmed
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Names that are swapped within a list: English, German, French, Spanish.
@@ -231,8 +232,14 @@ def toxicity_score(model: ToxicityModel, text: Column) -> Column:
     gets that rate.  Equal texts get equal scores.
     """
 
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([model.score(t) for t in texts], dtype="float64")
+
+    run = trimmed(scores)
+
     @F.pandas_udf("double")
-    def toxic(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.score(t) for t in texts], dtype="float64")
+    def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from run(batches)
 
     return toxic(text)

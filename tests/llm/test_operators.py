@@ -569,3 +569,19 @@ def test_packing_odd(odd, none):
     assert packing.pack_documents(none, tokenizer_path()).count() == 0
     with pytest.raises(ValueError):
         packing.pack_documents(odd, tokenizer_path(), tiers=(100, 4096))
+
+
+def test_workers_of_the_pipeline_give_memory_back(spark, monkeypatch):
+    """Packing, toxicity and decontamination return what they freed, as a worker is kept for the steps after them."""
+    from hushlake.llm import decontaminate, packing, toxicity
+    from hushlake.llm.queries import tokenizer_path
+
+    seen = []
+    for module in (packing, toxicity, decontaminate):
+        monkeypatch.setattr(module, "trimmed", lambda run, name=module.__name__, plain=module.trimmed: seen.append(name) or plain(run))
+    docs = spark.createDataFrame([(i, f"some words of text {i} " * 9) for i in range(20)], "doc_id long, text string")
+    assert packing.pack_documents(docs, tokenizer_path()).count() >= 20
+    model = toxicity.fit_toxicity(docs, spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int"))
+    assert docs.filter(toxicity.toxicity_score(model, docs["text"]) <= 1).count() == 20
+    decontaminate.find_contamination(docs, docs.selectExpr("cast(doc_id as string) as item_id", "text"))
+    assert {name.rsplit(".")[-1] for name in seen} == {"packing", "toxicity", "decontaminate"}
