@@ -55,6 +55,15 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return out
 
 
+def parts_of(source: DataFrame, df: DataFrame) -> DataFrame:
+    """``df`` in no more partitions than ``source``, a table as it is read.  For results that are smaller than their source.
+
+    A partition costs a task and a file.  Without Hadoop's native library an executor starts a process for each file, and until it
+    runs, that process counts as another one of the executor's size.
+    """
+    return df.coalesce(max(1, source.rdd.getNumPartitions()))
+
+
 def discard(*frames: DataFrame) -> None:
     """Deletes tables made by ``stored``.  Only for those that nothing will read again, lost executors or not."""
     for df in frames:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, trimmed
+from .common import parts_of, stored, trimmed
 from .words import ALNUM, gram_hashes, hashed_words
 
 #: Words of a window, of a fingerprint, and fingerprint positions of a window.
@@ -132,13 +132,13 @@ def find_contamination(
     text has no words; an item without words, or without id, is never listed.  Repeated rows give a row each,
     repeated items are each listed.  Whole texts are read, other columns are not; empty tables are fine.
     """
-    windows = stored(benchmark_windows(benchmark, item_col, item_text), "windows")
+    windows = stored(parts_of(benchmark, benchmark_windows(benchmark, item_col, item_text)), "windows")
     size = windows.agg(F.count("*").alias("n"), F.collect_set("words").alias("words")).first()
     lengths = sorted(n for n in size["words"] if n)
     small = size["n"] <= filter_max
     wanted = None
     if small:
-        wanted = np.unique(np.array([r["key"] for r in windows.select("key").distinct().collect()], dtype=np.int64).view(np.uint64))
+        wanted = np.unique(np.array([r["key"] for r in windows.select("key").collect()], dtype=np.int64).view(np.uint64))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     prints = _fingerprints(rows, lengths, wanted, own_short=False).withColumn("row", F.monotonically_increasing_id())
     each = prints.select("row", "id", "n_words", F.explode_outer("hits").alias("h"))

@@ -11,7 +11,7 @@ from . import (
     decontaminate, exact_dedup, katz, language, licenses, line_dedup, ngram_join, packing, quality, ranked_search, toxicity,
     url_filters, whitening,
 )
-from .common import fold, table
+from .common import fold, parts_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,7 +45,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_decontamination", decontaminate.DECONTAMINATE_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    docs = table(spark, sf_dir, "documents")
+    found = parts_of(docs, decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark")))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),

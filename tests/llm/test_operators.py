@@ -204,6 +204,39 @@ def test_contamination_odd(spark, odd, none):
     assert decontaminate.find_contamination(odd, empty).filter("n_hit > 0").count() == 0
 
 
+def test_contamination_makes_few_files(spark, tmp_path):
+    """However many shuffle partitions there are, windows and result come in no more files than benchmark and documents."""
+    from hushlake.llm.queries import QUERIES
+
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(14))
+    items, docs = [(str(i), text(i)) for i in range(60)], [(i, f"before {text(i)} after") for i in range(0, 90, 2)]
+    frame(spark, items, "item_id string, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    frame(spark, docs).coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    held = {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    files = []
+    plain = decontaminate.stored
+
+    def stored(df, name):
+        out = plain(df, name)
+        files.append(len(out.inputFiles()))
+        return out
+
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(decontaminate, "stored", stored)
+            found = QUERIES["op2_decontamination"](spark, str(tmp_path))
+            found.write.parquet(f"{tmp_path}/out")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert files == [1] and len(out.inputFiles()) <= 2
+    assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items) for r in out.collect()) == [(i, 16, 14 * (i < 60), int(i < 60)) for i, _ in docs]
+
+
 # -- 3 exact dedup -------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("hashed", [F.xxhash64, lambda c: F.length(c).cast("long")])
