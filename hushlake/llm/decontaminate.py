@@ -28,6 +28,7 @@ REACH = SPAN - GRAM
 #: Keys (8 bytes each) that may be sent to every task.
 FILTER_MAX = 1_000_000
 HIT = "array<struct<key:bigint,pos:bigint,words:int,context:array<bigint>>>"
+HIT_ARROW = pa.list_(pa.struct([("key", pa.int64()), ("pos", pa.int64()), ("words", pa.int32()), ("context", pa.list_(pa.int64()))]))
 
 
 def _minima(grams: np.ndarray) -> np.ndarray:
@@ -75,11 +76,13 @@ def _hits(words: np.ndarray, lengths: list[int], wanted: np.ndarray | None) -> l
 
 
 def _fingerprints(rows: DataFrame, lengths: list[int], wanted: np.ndarray | None, own_short: bool) -> DataFrame:
-    """(id, n_words, hits) of (id, text).  ``own_short``: short texts give one key, for themselves as a whole."""
+    """(docs, hits) of (id, text): docs are (id, n_words) of a text with hits, or of all texts of a group that have none.
+
+    So the many texts without hits are few rows in what follows.  ``own_short``: short texts give one key, for themselves as a whole.
+    """
     id_type = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = None
         for batch in batches:
             keys = batch.column(0)
             for first, hashes, offsets in hashed_words(batch.column(1).to_pylist(), ALNUM):
@@ -96,19 +99,21 @@ def _fingerprints(rows: DataFrame, lengths: list[int], wanted: np.ndarray | None
                     words = hashes[offsets[i] : offsets[i + 1]]
                     own = ([len(words)] if 0 < len(words) < SPAN else []) if own_short else lengths
                     found[i] = _hits(words, own, wanted)
-                kind = kind or pa.list_(pa.struct([("key", pa.int64()), ("pos", pa.int64()), ("words", pa.int32()), ("context", pa.list_(pa.int64()))]))
-                yield pa.RecordBatch.from_arrays(
-                    [keys.slice(first, n), pa.array(np.diff(offsets), pa.int64()), pa.array(found, kind)], ["id", "n_words", "hits"]
-                )
+                alone = [i for i in range(n) if found[i]]
+                rest = [i for i in range(n) if not found[i]]
+                order, ends = np.array(alone + rest, dtype=np.int64), [*range(len(alone) + 1), *([n] if rest else [])]
+                texts = pa.StructArray.from_arrays([keys.slice(first, n).take(pa.array(order)), pa.array(np.diff(offsets)[order], pa.int64())], ["id", "n_words"])
+                hits = pa.array([found[i] for i in alone] + ([[]] if rest else []), HIT_ARROW)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), texts), hits], ["docs", "hits"])
 
-    return rows.mapInArrow(trimmed(run), f"id {id_type}, n_words long, hits {HIT}")
+    return rows.mapInArrow(trimmed(run), f"docs array<struct<id:{id_type},n_words:bigint>>, hits {HIT}")
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(key, words, context, items): fingerprints of the benchmark; items with the same words share one entry."""
     rows = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    prints = _fingerprints(rows, [], None, own_short=True)
-    same = prints.groupBy("hits", "n_words").agg(F.collect_set("id").alias("items"))
+    prints = _fingerprints(rows, [], None, own_short=True).select(F.explode("docs").alias("d"), "hits")
+    same = prints.groupBy("hits", "d.n_words").agg(F.collect_set("d.id").alias("items"))
     return same.select("items", F.explode("hits").alias("h")).select("h.key", "h.words", "h.context", "items")
 
 
@@ -141,9 +146,9 @@ def find_contamination(
         wanted = np.unique(np.array([r["key"] for r in windows.select("key").collect()], dtype=np.int64).view(np.uint64))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     prints = _fingerprints(rows, lengths, wanted, own_short=False).withColumn("row", F.monotonically_increasing_id())
-    each = prints.select("row", "id", "n_words", F.explode_outer("hits").alias("h"))
+    each = prints.select("row", "docs", F.explode_outer("hits").alias("h"))
     # rows without a fingerprint get a key of their own, so that they do not meet in one task
-    each = each.select("row", "id", "n_words", F.coalesce("h.key", F.xxhash64("row")).alias("key"), F.coalesce("h.words", F.lit(-1)).alias("words"), F.col("h.pos").alias("pos"), F.col("h.context").alias("near"))
+    each = each.select("row", "docs", F.coalesce("h.key", F.xxhash64("row")).alias("key"), F.coalesce("h.words", F.lit(-1)).alias("words"), F.col("h.pos").alias("pos"), F.col("h.context").alias("near"))
     right = windows.select("key", "words", F.col("context").alias("item_near"), "items")
     met = each.join(F.broadcast(right) if small else right, ["key", "words"], "left")
 
@@ -162,7 +167,7 @@ def find_contamination(
         F.when(F.col("words") > 0, F.col("pos")).otherwise(F.col("pos") - F.col("l")).alias("from"),
         F.when(F.col("words") > 0, F.col("pos") + F.col("words")).otherwise(F.col("pos") + GRAM + F.col("r")).alias("to"),
     )
-    grouped = found.groupBy("row", "id", "n_words").agg(
+    grouped = found.groupBy("row", "docs").agg(
         F.collect_set(F.when(hit, span)).alias("found"), F.collect_set(F.when(hit, F.col("items"))).alias("sets"),
     )
     ordered = F.array_sort("found")
@@ -173,7 +178,8 @@ def find_contamination(
             F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["from"].alias("from"), F.greatest(F.element_at(acc, -1)["to"], x["to"]).alias("to")))),
         ).otherwise(F.concat(acc, F.array(F.struct(x["from"].cast("long").alias("from"), x["to"].cast("long").alias("to"))))),
     )
-    out = grouped.select(F.col("id").alias("doc_id"), "n_words", merged.alias("spans"), F.array_sort(F.array_distinct(F.flatten("sets"))).alias("items"))
+    grouped = grouped.select("docs", merged.alias("spans"), F.array_sort(F.array_distinct(F.flatten("sets"))).alias("items"))
+    out = grouped.select(F.explode("docs").alias("d"), "spans", "items").select(F.col("d.id").alias("doc_id"), "d.n_words", "spans", "items")
     total = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["to"] - x["from"])
     return out.select("doc_id", "n_words", total.alias("n_hit"), "spans", "items")
 

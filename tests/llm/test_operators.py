@@ -237,6 +237,19 @@ def test_contamination_makes_few_files(spark, tmp_path):
     assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items) for r in out.collect()) == [(i, 16, 14 * (i < 60), int(i < 60)) for i, _ in docs]
 
 
+def test_contamination_moves_few_rows(spark):
+    """Documents without a fingerprint of the benchmark travel together, and still give a row each."""
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(12))
+    docs = frame(spark, [(i if i % 7 else None, text(i)) for i in range(400)] + [(500, None), (501, "")], "id long, text string").coalesce(2)
+    bench = frame(spark, [(1, text(1)), (2, text(2)), (3, "")], "item_id long, text string")
+    keys = [r["key"] for r in decontaminate.benchmark_windows(bench).collect()]
+    wanted = np.unique(np.array(keys, dtype=np.int64).view(np.uint64))
+    assert decontaminate._fingerprints(docs, [], wanted, own_short=False).count() <= 2 + 2
+    got = decontaminate.find_contamination(docs, bench, id_col="id").collect()
+    want = [(i if i % 7 else None, 12, 12 * (i in (1, 2)), [str(i)] * (i in (1, 2))) for i in range(400)] + [(500, 0, 0, []), (501, 0, 0, [])]
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in got), key=str) == sorted(want, key=str)
+
+
 # -- 3 exact dedup -------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("hashed", [F.xxhash64, lambda c: F.length(c).cast("long")])
