@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from hushlake.functions import dims
 from hushlake.functions.text import host_suffixes, once, url_host, url_ok, url_path, url_query
 from hushlake.operators.containment import contained
+from hushlake.sources.scratch import stored
+
+#: Pairs of a host and its signature that are copied to all tasks; more of them join by key.
+FEW_SIGNATURES = 10_000
 
 
 def with_url_parts(df: DataFrame, url: str = "url") -> DataFrame:
@@ -21,35 +25,55 @@ def with_url_parts(df: DataFrame, url: str = "url") -> DataFrame:
     )
 
 
+def host_hits(pages: DataFrame, signatures: DataFrame, small: bool = False) -> DataFrame:
+    """Rows of ``pages`` (with host and path) with every signature of their host: context, app, domain, ord.
+
+    A host is expanded to its parent domains and equi-joined with the signature domains.  ``small`` says that the
+    signatures are the built-in ones, whose number is fixed.  Of others, domains that hold a character no host has (they
+    stand for parts of addresses) are left out first; distinct hosts meet the rest, and rows meet what fits their host.
+    """
+    names = ["context", "app", "domain", "path_rule", "ord"]
+    if small:
+        hits = _by_domain(pages, F.broadcast(signatures.select(*names)))
+    else:
+        possible = signatures.select(*names).filter(~F.col("domain").rlike("[/?#:]"))
+        fit = stored(_by_domain(pages.select("host").distinct(), possible.hint("merge")))  # counted and joined
+        hits = pages.join(F.broadcast(fit) if fit.count() <= FEW_SIGNATURES else fit.hint("merge"), "host")
+    hits = hits.filter(F.col("path_rule").isNull() | F.call_function("rlike", F.col("path"), F.col("path_rule")))
+    return hits.select(*pages.columns, "context", "app", "domain", "ord")
+
+
+def _by_domain(hosts: DataFrame, signatures: DataFrame) -> DataFrame:
+    return hosts.withColumn("domain", F.explode(host_suffixes(F.col("host")))).join(signatures, "domain")
+
+
 def match_signatures(pages: DataFrame, signatures: DataFrame, small: bool = False) -> DataFrame:
     """First signature of each context for every (host, path) of ``pages``, with its place ``ord``.
 
-    Works on the distinct (host, path) pairs: a host is expanded to its parent domains and
-    equi-joined with the signature domains.  Returns host, path, context, app, domain, ord.
-    ``small`` says that the signatures are the built-in ones, whose number is fixed.
+    Works on the distinct (host, path) pairs.  Returns host, path, context, app, domain, ord; ``small`` as in ``host_hits``.
     """
-    keys = pages.select("host", "path").distinct()
-    suffixed = keys.withColumn("domain", F.explode(host_suffixes(F.col("host"))))
-    side = F.broadcast(signatures) if small else signatures.hint("merge")
-    hits = suffixed.join(side, "domain").filter(
-        F.col("path_rule").isNull() | F.call_function("rlike", F.col("path"), F.col("path_rule"))
-    )
+    hits = host_hits(pages.select("host", "path").distinct(), signatures, small)
     first = hits.groupBy("host", "path", "context").agg(F.min_by(F.struct("app", "domain", "ord"), F.col("ord")).alias("s"))
     return first.select("host", "path", "context", F.col("s.app").alias("app"), F.col("s.domain").alias("domain"), F.col("s.ord").alias("ord"))
 
 
-def match_anywhere(pages: DataFrame, signatures: DataFrame, url: str = "url", context: str = "AI_ASSISTANT") -> DataFrame:
-    """Signatures of one context whose domain stands anywhere in an address: url, path, context, app, domain, ord.
+def anywhere_hits(pages: DataFrame, signatures: DataFrame, url: str = "url", context: str = "AI_ASSISTANT") -> DataFrame:
+    """Rows of ``pages`` (with path) with every signature of one context whose domain stands anywhere in their address.
 
     For any number of signatures: addresses meet the domains they hold through an index on the domains' rarest pieces.
     """
-    wanted = signatures.filter(F.col("context") == context)
-    seen = pages.select(url, F.lower(url).alias("__low"), "path").distinct()
-    held = contained(seen, wanted.select(F.lower("domain").alias("__domain")), [], "__low", "__domain")
-    hits = seen.join(held.hint("merge"), "__low").join(wanted.hint("merge"), F.col("__domain") == F.lower("domain")).filter(
+    wanted = signatures.filter(F.col("context") == context).withColumn("__domain", F.lower("domain"))
+    seen = pages.withColumn("__low", F.lower(url))
+    held = contained(seen.select("__low"), wanted.select("__domain"), [], "__low", "__domain")
+    hits = seen.join(held.hint("merge"), "__low").join(wanted.hint("merge"), "__domain").filter(
         F.col("path_rule").isNull() | F.call_function("rlike", F.col("path"), F.col("path_rule"))
     )
-    return hits.select(url, "path", "context", "app", "domain", "ord")
+    return hits.select(*pages.columns, "context", "app", "domain", "ord")
+
+
+def match_anywhere(pages: DataFrame, signatures: DataFrame, url: str = "url", context: str = "AI_ASSISTANT") -> DataFrame:
+    """``anywhere_hits`` of the distinct addresses: url, path, context, app, domain, ord."""
+    return anywhere_hits(pages.select(url, "path").distinct(), signatures, url, context)
 
 
 def register_signatures(base: DataFrame, extra: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from hushlake.operators import audits, boxes as B, context as C, dedupe, element
 from hushlake.plans import sqlkit as K
 from hushlake.plans.registry import ORACLES, query
 from hushlake.sources.derived import derive, duck
+from hushlake.sources.scratch import stored
 from hushlake.sources.tables import table
 from hushlake.streaming import streams, upserts
 
@@ -67,12 +68,13 @@ _CUSTOM = """SELECT DISTINCT 'SOCIAL_MEDIA' AS context, 'Intranet ' || CAST(o_cu
 def custom_signatures(spark, root):
     """Signatures with user-supplied ones behind them, whose number is not bounded; assistants count anywhere in an address."""
     extra = spark.sql(_CUSTOM, orders=table(spark, root, "orders"))
-    both = C.register_signatures(dims.signature_dim(spark), extra)
-    pages = _pages(spark, root)
-    by_host = pages.select("page_id", "host", "path").join(C.match_signatures(pages, both).hint("merge"), ["host", "path"])
-    by_text = pages.select("page_id", "url").join(C.match_anywhere(pages, both).hint("merge"), "url")
-    hits = by_host.select("page_id", "context", "app", "ord").unionByName(by_text.select("page_id", "context", "app", "ord"))
-    return hits.groupBy("page_id", "context").agg(F.min_by("app", "ord").alias("app"))
+    both = stored(C.register_signatures(dims.signature_dim(spark), extra))  # read six times
+    visits = derive(spark, root, "visits")
+    seen = stored(C.with_url_parts(visits.select("url").distinct()).select("url", "host", "path"))  # read four times
+    hits = C.host_hits(seen, both).unionByName(C.anywhere_hits(seen, both)).select(F.col("url").alias("__url"), "context", "app", "ord")
+    first = hits.groupBy("__url", "context").agg(F.min_by("app", "ord").alias("app"), F.min("ord").alias("ord"))
+    met = visits.join(first.hint("merge"), F.col("url").eqNullSafe(F.col("__url")))
+    return met.groupBy("page_id", "context").agg(F.min_by("app", "ord").alias("app"))
 
 
 def _case(subject: list[str], rules, column: int) -> str:

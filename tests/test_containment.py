@@ -107,3 +107,59 @@ def test_pages_are_scanned_once(spark):
     found = E.page_scan(pages.withColumn("html", F.udf(count, "string")("html")), "page_id").collect()
     assert {r["value"] for r in found} >= {f"xu{i}@example.com" for i in range(50)}
     assert seen.value == 50
+
+
+def _most_joined(spark) -> int:
+    """Rows of the join that made most of them, in the last query."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    last = store.executionsList().last().executionId()
+    values, nodes, most = store.executionMetrics(last), store.planGraph(last).allNodes(), 0
+    for i in range(nodes.size()):
+        metrics = nodes.apply(i).metrics()
+        for m in (metrics.apply(k) for k in range(metrics.size())):
+            if "Join" in nodes.apply(i).name() and m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return most
+
+
+def test_numbered_values_meet_few_texts(spark):
+    """Numbers put together from the same parts have all their short pieces in common; candidates may not grow with that."""
+    part = [f"{7 * i + 1000}" for i in range(12)]
+    codes = [a + b + c for a in part for b in part for c in part]
+    texts = spark.createDataFrame([(f"https://shop.example.com/oauth/callback?code={c}",) for c in codes], "t string")
+    values = spark.createDataFrame([(f"shop.example.com/oauth/callback?code={c}",) for c in codes], "v string")
+    held = containment.contained(texts, values, [], "t", "v").collect()
+    most = _most_joined(spark)
+    assert sorted(r["t"] for r in held) == sorted("https://" + r["v"] for r in held) and len(held) == len(codes)
+    assert 0 < most <= 6 * len(codes), most
+
+
+def test_few_short_values_beside_many_long_ones(spark):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcü€") for _ in range(n))
+    base = [word(n) for n in (7, 8, 31, 32, 33, 200, 256, 257, 400, 700)]
+    cut = lambda t, n: (lambda i: t[i : i + n])(rng.randint(0, max(0, len(t) - n)))
+    values = {cut(rng.choice(base), n) for n in list(range(1, 12)) + [rng.randint(12, 90) for _ in range(400)]} | {word(40) for _ in range(40)}
+    texts = base + [word(5), "", None]
+    got = containment.contained(
+        spark.createDataFrame([(t,) for t in texts * 2], "t string"), spark.createDataFrame([(v,) for v in [*values, *values, "", None]], "v string"), [], "t", "v"
+    )
+    rows = [tuple(r) for r in got.select("v", "t").collect()]
+    assert len(values) > containment.FEW and len(rows) == len(set(rows))
+    assert set(rows) == {(v, t) for v in values for t in base + texts[-3:-2] if v and v in t}
+
+
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_registered_hosts(spark, monkeypatch, few):
+    """Domains that are parts of addresses are no hosts; any number of signatures gives the same hits."""
+    monkeypatch.setattr(context, "FEW_SIGNATURES", few)
+    signatures = spark.createDataFrame(
+        [("SOCIAL_MEDIA", "A", "example.com", "/wall", 1), ("AI_ASSISTANT", "B", "a.example.com", None, 2), ("AI_ASSISTANT", "C", "example.com/wall", None, 0),
+         ("AI_ASSISTANT", "D", "", None, 3), ("AI_ASSISTANT", "E", None, None, 4), ("AI_ASSISTANT", "F", "b.a.example.com", "/x", 1)],
+        "context string, app string, domain string, path_rule string, ord int",
+    )
+    urls = [(1, "https://b.a.example.com/wall"), (2, "https://b.a.example.com/x"), (3, "https://example.com/wall"), (4, "no address"), (5, None), (6, "https://example.org/wall")]
+    pages = context.with_url_parts(spark.createDataFrame(urls, "page_id long, url string"))
+    first = context.match_signatures(pages, signatures)
+    got = pages.select("page_id", "host", "path").join(first, ["host", "path"]).collect()
+    assert sorted((r["page_id"], r["app"]) for r in got) == [(1, "A"), (1, "B"), (2, "F"), (3, "A"), (4, "D"), (5, "D")]
