@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hushlake.functions import placeholders as P
+from hushlake.functions import scanner
 from hushlake.functions.text import BLOCK, blocks, let, match_line, once
-from hushlake.operators.spans import NO_SPANS, with_spans
+from hushlake.operators.spans import NO_SPANS, SPAN, prompt_finder, with_spans
 
 
 def resolve_overlaps(spans: str) -> Column:
@@ -117,12 +118,14 @@ def _stretch(spans: Column) -> Column:
 def redact_prompts(df: DataFrame, text: str = "text", style: str = "prompt", types=None, keep_spans: bool = True) -> DataFrame:
     """Detect with the prompt rules, resolve overlaps and replace the exact spans.
 
-    Adds ``spans`` (resolved), ``placeholders`` and ``redacted``.
+    Adds ``spans`` (resolved), ``placeholders`` and ``redacted``.  The same as ``with_spans``, ``with_resolved``,
+    ``with_placeholders`` and ``splice`` one after the other, done by plain Python in the workers, text by text.
     """
-    found = with_spans(df, text, "__raw", prompt_rules=True, types=types)
-    found = with_resolved(found, "__raw", "spans")
-    marked = with_placeholders(found, text, "spans", "placeholders", style)
-    out = marked.withColumn("redacted", once(splice(text, "spans", "placeholders"))).drop("__raw")
+    done = f"struct<spans:array<{SPAN}>,placeholders:array<string>,redacted:string>"
+    redact = F.arrow_udf(scanner.on_texts(scanner.redactor(prompt_finder(types), style), scanner.redacted_rows), done)
+    out = df.withColumn("__done", once(redact(F.make_valid_utf8(text))))
+    changed = F.when(F.size("__done.spans") == 0, F.col(text)).otherwise(F.col("__done.redacted"))
+    out = out.withColumns({"spans": F.col("__done.spans"), "placeholders": F.col("__done.placeholders"), "redacted": changed}).drop("__done")
     return out if keep_spans else out.drop("spans", "placeholders")
 
 
